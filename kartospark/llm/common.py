@@ -44,6 +44,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def repeated(counted: DataFrame, n: str = "n", copy: str = "copy", chunk: int = 10_000) -> DataFrame:
+    """``n`` rows for each row, numbered from 0 in ``copy``; made in chunks, so a huge ``n`` never is one array."""
+    starts = counted.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(chunk).cast("long"))))
+    return starts.withColumn(copy, F.explode(F.sequence("__from", F.least(F.col("__from") + chunk, F.col(n)) - 1))).drop("__from", n)
+
+
 def crc32_mod(col: str, n: int) -> Column:
     """crc32 of the column's text form, modulo ``n``; null where the column is null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

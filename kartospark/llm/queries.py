@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import simhash
+from kartospark.llm import decontaminate, mixing, quality_rules, sharding, simhash
 from kartospark.llm.common import table
 
 
@@ -16,8 +16,93 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.col("version").alias("map_version"))
+
+
+def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling weights by labelled quality: 2 for good, 0.5 for poor documents."""
+    best = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return best.select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"), quality=label_weights(spark, sf_dir))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hits").cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": op1_simhash_groups,
+    "op2_slot_shards": op2_slot_shards,
+    "op4_rule_cascade": op4_rule_cascade,
+    "op6_source_mix": op6_source_mix,
+    "op10_benchmark_passages": op10_benchmark_passages,
 }
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op4_rule_cascade": rf"""
+        with d as (select row_number() over () r, doc_id, coalesce(text, '') text from documents),
+        w as (select *, regexp_extract_all(text, '{_WORD}') ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+        pos as (select r, ws, unnest(range(1, len(ws) - 3)) p from w),
+        g as (select r, p, array_to_string(ws[p:p + 4], ' ') g from pos),
+        twice as (select r, p, count(*) over (partition by r, g) n from g),
+        cov as (select r, count(distinct p + o) n from twice, (select unnest(range(0, 5)) o) where n > 1 group by r),
+        m as (select w.*, len(ws)::bigint n_words, length(array_to_string(ws, ''))::bigint word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+                (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words,
+                length(regexp_replace(text, '[^A-Z]', '', 'g')) upper_n, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) letter_n,
+                length(regexp_replace(text, '[^!]', '', 'g')) bang_n,
+                len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) echo_n
+              from w left join cov using (r)),
+        v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          not base_failed and 10 * n_symbols <= n_words and 10 * upper_n <= 3 * letter_n and 10 * bang_n <= n_words
+            and 10 * echo_n <= n_words and 2 * n_dup_lines <= len(ls) kept
+        from v""",
+    "op6_source_mix": rf"""
+        with q as (select doc_id, case when max(quality) = 1 then 2.0::double else 0.5::double end w from labels where doc_id is not null and quality is not null group by doc_id),
+        d as (select row_number() over () r, d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint size,
+                -ln((('0x' || substr(md5(d.doc_id::varchar), 1, 13))::bigint + 0.5::double) / 4503599627370496::double) / coalesce(w, 1.0::double) k
+              from documents d left join q on d.doc_id = q.doc_id),
+        s as (select source, sum(size)::bigint source_size from d group by source),
+        a as (select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] w, 2 * source_size cap, row_number() over (order by source nulls last) rk from s),
+        b as (select *, (sum(source_size) over ())::double * 1.5::double total,
+                coalesce(sum(cap) over (order by cap::double / w, rk rows between unbounded preceding and 1 preceding), 0) before_cap,
+                sum(w) over (order by cap::double / w, rk rows between current row and unbounded following) behind from a),
+        c as (select *, cap * behind < w * (total - before_cap::double) is_full from b),
+        e as (select *, coalesce(sum(case when is_full then cap end) over (), 0)::double spent, (sum(case when not is_full then w end) over ())::double sharing from c),
+        t as (select source, source_size, case when is_full then cap::double else w * (total - spent) / sharing end target from e),
+        u as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end epochs from t),
+        x as (select d.*, u.source_size, u.target, u.epochs, u.target - u.epochs * u.source_size rest,
+                coalesce(sum(size) over (partition by d.source order by k, d.doc_id, r rows between unbounded preceding and 1 preceding), 0) upto
+              from d join u on d.source is not distinct from u.source)
+        select doc_id, size, source_size, target, (size * (epochs + case when size > 0 and upto::double + size / 2.0::double < rest then 1 else 0 end))::bigint taken, source from x""",
+    "op10_benchmark_passages": rf"""
+        with d as (select row_number() over () r, doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+        i as (select item_id::varchar item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+        ip as (select item_id, ws, least(10, len(ws)) n, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) p from i where len(ws) > 0),
+        win as (select distinct item_id, n, array_to_string(ws[p:p + n - 1], ' ') g from ip),
+        lens as (select distinct n from win),
+        dp as (select r, n, ws, unnest(range(1, len(ws) - n + 2)) p from d, lens where len(ws) >= n),
+        dg as (select r, n, p, array_to_string(ws[p:p + n - 1], ' ') g from dp),
+        hit as (select r, p, win.n, item_id from dg join win on dg.n = win.n and dg.g = win.g),
+        cov as (select r, count(distinct q) n_hit from (select r, unnest(range(p, p + n)) q from hit) group by r),
+        its as (select r, count(*) n_items, string_agg(item_id, ',' order by item_id) l from (select distinct r, item_id from hit) group by r)
+        select doc_id, coalesce(len(ws), 0)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+          sha256(coalesce(l, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+        from d left join cov using (r) left join its using (r)""",
+}
