@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from kartospark.llm import decontaminate, mixing, quality_rules, secrets, sharding, simhash
 from kartospark.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op2_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.col("version").alias("map_version"))
 
 
+def op3_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of(F.col("base"), k).alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
 def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_slot_shards": op2_slot_shards,
+    "op3_linked_secrets": op3_linked_secrets,
     "op4_rule_cascade": op4_rule_cascade,
     "op6_source_mix": op6_source_mix,
     "op10_benchmark_passages": op10_benchmark_passages,
@@ -53,7 +60,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORD = r"[^\x20\x09-\x0D]+"
 _FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _secret_sql() -> str:
+    """Spans by kind as in ``secrets.found``; links by a plain join on distance."""
+    kinds = {**secrets.BASE, **secrets.WEAK}
+    found = " union all ".join(
+        f"select r, {i} k, {least} least, regexp_extract_all(text, '{p}') ms, regexp_extract_all(text, '{p}', {g}) gs, string_split_regex(text, '{p}') ps from d"
+        for i, (p, least, g) in enumerate((rx.replace("'", "''"), n, g) for rx, n, g in kinds.values())
+    )
+    number = {k: i for i, k in enumerate(secrets.KINDS)}
+    ids, keys = (", ".join(str(number[k]) for k in ks) for ks in (secrets.IDENTIFIERS, secrets.SECRETS))
+
+    def near(ks: str) -> str:
+        return f"exists (select 1 from s o where o.r = s.r and o.k in ({ks}) and (o.e <= s.b and s.b - o.e <= {secrets.SCOPE} or o.b >= s.e and o.b - s.e <= {secrets.SCOPE}))"
+
+    def text(rows: str) -> str:
+        return f"coalesce(string_agg(n || ':' || b || ':' || e, ',' order by b, k) filter (where {rows}), '')"
+
+    return f"""
+        with d as (select row_number() over () r, doc_id, coalesce(text, '') text from documents),
+        f as ({found}),
+        u as (select *, unnest(range(1, len(ms) + 1)) i from f where len(ms) > 0),
+        s as (select r, k, b::bigint b, (b + length(ms[i]))::bigint e, {list(secrets.KINDS)}[k + 1] n from (
+                select *, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) b
+                from u where length(gs[i]) >= least)),
+        t as (select * from s where k < {len(secrets.BASE)} or k = {number["login"]} and {near(keys)} or k = {number["opaque"]} and {near(ids)}
+                or k = {number["endpoint"]} and {near(keys)} and {near(ids)})
+        select doc_id, count(t.r) filter (where k = 0) n_assign, count(t.r) filter (where k = 1) n_access, count(t.r) filter (where k = 2) n_hex,
+          sha256({text(f"k < {len(secrets.BASE)}")}) base_sha256, {text("k is not null")} spans
+        from d left join t using (r) group by r, doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_linked_secrets": _secret_sql(),
     "op4_rule_cascade": rf"""
         with d as (select row_number() over () r, doc_id, coalesce(text, '') text from documents),
         w as (select *, regexp_extract_all(text, '{_WORD}') ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
