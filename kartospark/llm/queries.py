@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import decontaminate, mixing, quality_rules, secrets, sharding, simhash
-from kartospark.llm.common import table
+from kartospark.llm import decontaminate, language, mixing, quality_rules, secrets, sharding, simhash
+from kartospark.llm.common import crc32_mod, table
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(crc32_mod("doc_id", 3) != 1))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
+
+
 def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("long")
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_linked_secrets": op3_linked_secrets,
     "op4_rule_cascade": op4_rule_cascade,
     "op6_source_mix": op6_source_mix,
+    "op8_language_spans": op8_language_spans,
     "op10_benchmark_passages": op10_benchmark_passages,
 }
 
