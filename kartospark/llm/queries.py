@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import decontaminate, language, mixing, quality_rules, secrets, sharding, simhash
+from kartospark.llm import decontaminate, language, mixing, quality_model, quality_rules, secrets, sharding, simhash
 from kartospark.llm.common import crc32_mod, table
 
 
@@ -31,6 +31,13 @@ def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (crc32_mod("doc_id", 4) != 2)).select("doc_id")
+    found = quality_model.scored(table(spark, sf_dir, "documents"), trusted)
+    held_out = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling weights by labelled quality: 2 for good, 0.5 for poor documents."""
     best = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -60,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_slot_shards": op2_slot_shards,
     "op3_linked_secrets": op3_linked_secrets,
     "op4_rule_cascade": op4_rule_cascade,
+    "op5_pu_quality": op5_pu_quality,
     "op6_source_mix": op6_source_mix,
     "op8_language_spans": op8_language_spans,
     "op10_benchmark_passages": op10_benchmark_passages,
