@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import decontaminate, language, mixing, quality_model, quality_rules, secrets, sharding, simhash
+from kartospark.llm import decontaminate, language, lm, mixing, quality_model, quality_rules, secrets, sharding, simhash
 from kartospark.llm.common import crc32_mod, table
 
 
@@ -49,6 +49,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = crc32_mod("doc_id", 10)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.scored(docs, remainder != 0).withColumn("held_out", F.coalesce(remainder == 0, F.lit(False)))
+
+
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(crc32_mod("doc_id", 3) != 1))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rule_cascade": op4_rule_cascade,
     "op5_pu_quality": op5_pu_quality,
     "op6_source_mix": op6_source_mix,
+    "op7_gru_scores": op7_gru_scores,
     "op8_language_spans": op8_language_spans,
     "op10_benchmark_passages": op10_benchmark_passages,
 }
