@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import decontaminate, language, lm, mixing, quality_model, quality_rules, secrets, sharding, simhash
+from kartospark.llm import decontaminate, language, line_dedup, lm, mixing, quality_model, quality_rules, secrets, sharding, simhash
 from kartospark.llm.common import crc32_mod, table
 
 
@@ -62,6 +62,12 @@ def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.by_document(docs)
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.array_join(F.col("kept").cast("array<string>"), ",").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("long")
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mix": op6_source_mix,
     "op7_gru_scores": op7_gru_scores,
     "op8_language_spans": op8_language_spans,
+    "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_passages": op10_benchmark_passages,
 }
 
