@@ -75,12 +75,15 @@ def edited_map(shards: list[int], sizes: list[int], n_shards: int) -> list[int]:
         new[slot] = s
         load[s] += sizes[slot]
         slots[s].append(slot)
-    for _ in range(len(sizes)):
-        full, empty = max(range(n_shards), key=lambda x: (load[x], -x)), min(range(n_shards), key=lambda x: (load[x], x))
+    # The fullest shard that still has a slot to give; one without is done.
+    giving = set(range(n_shards))
+    while len(giving) > 1:
+        full, empty = max(giving, key=lambda x: (load[x], -x)), min(range(n_shards), key=lambda x: (load[x], x))
         room = (load[full] - load[empty]) // 2
         fits = [i for i in slots[full] if 0 < sizes[i] <= room]
         if not fits:
-            break
+            giving.remove(full)
+            continue
         slot = max(fits, key=lambda i: (sizes[i], -i))
         slots[full].remove(slot)
         slots[empty].append(slot)
