@@ -155,7 +155,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     """Learn from every row of ``docs`` that has a text and a language."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counted = rows.mapInArrow(_count_batches, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()
+    table = counted.toArrow().to_pandas()
     langs = sorted(table["lang"].unique())
     counts = np.zeros((N_BUCKETS + len(SCRIPT_NAMES), len(langs)))
     for i, lang in enumerate(langs):
