@@ -162,7 +162,7 @@ def suppressed(circles: DataFrame, dist: Column | None = None) -> DataFrame:
         near = left.join(worse, "map_id").where((F.col("rank") < F.col("w_rank")) & (F.hypot(F.col("cx") - F.col("wx"), F.col("cy") - F.col("wy")) < F.col("w_lim")))
         beaten = near.select("map_id", F.col("w_id").alias("cid")).distinct()
         stay = left.join(beaten, ["map_id", "cid"], "left_anti")
-        kept = stay if kept is None else kept.union(stay)
+        kept = stay if kept is None else kept.unionByName(stay)
         gone = near.join(stay.select("map_id", "cid"), ["map_id", "cid"], "left_semi").select("map_id", F.col("w_id").alias("cid")).distinct()
         rest = left.join(stay.select("map_id", "cid"), ["map_id", "cid"], "left_anti").join(gone, ["map_id", "cid"], "left_anti")
         left = checkpointed(rest)
