@@ -10,62 +10,93 @@ a linked one.
    first word that two similar sets share is in both prefixes; the pair is looked for
    under that word alone. Words that occur once in the corpus are left out.
 3. Rows of one prefix word meet in one place. Length and positional filters and a
-   128-bit parity map (two sets differ in at least as many words as bits) discard pairs
-   exactly, without the sets.
-4. Only classes with a surviving partner are fetched, with their sets, and verified.
+   parity map of about a bit a word (two sets differ in at least as many words as bits)
+   discard pairs exactly, without the sets. What is left connects classes, as a forest.
+4. Only connected classes are fetched, with their sets, and pairs within a component that
+   pass the filters are verified.
 
-Runs of one word longer than ``block`` are cut into pairs of blocks over many tasks.
-Links are counted in place; pairs are never emitted.
+Runs of one word or component longer than ``block`` are cut into pairs of blocks over
+many tasks. Links are counted in place; pairs are never emitted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import as_bytes, run_starts, slices, written
+from kartospark.llm.common import as_bytes, connected_components, run_starts, slices, written
 
 THRESHOLD = 0.8
 N_CELLS = 1 << 21
 #: Rows of one prefix word compared inside one task; a longer run is cut into pairs of blocks.
 BLOCK = 4096
+#: Text handled at once; its words' dictionary stays small.
+_SLICE = 2 << 20
 _FOUR = 4  # smaller sets have no similar set but themselves
-_DOC = "doc_id long, text_key long, line array<int>, class array<long>"
+_DOC = "doc_id long, text_key long, lines array<struct<line:int,class:long,size:int,parity:binary,single:int,words:array<long>,hot:array<long>>>"
 
 
-def _tokens(texts: list[bytes | None]):
-    """Lines with words of many texts: text and line number of each, and the distinct words of each as sorted hashes.
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2^64, as far as a text has needed them."""
 
-    Returns ``text_of``, ``line_no``, ``start`` (of a line's words, closed by the total) and ``token``.
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    up = down = np.ones(1, dtype=np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.cumprod(np.append(np.uint64(1), np.full(n, x))) for x in (cls.base, cls.inverse))
+        return cls.up[:n], cls.down[:n]
+
+
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word of the texts (A-Z in lower case), the word's line counted through all texts, and each text's first line.
+
+    A word's hash is a polynomial of its bytes: a difference of prefix sums, scaled back
+    by the power that the word starts at, then mixed. So words cost a few array passes.
+    """
+    joined = b"\n".join(t or b"" for t in texts).lower() + b"\n"
+    buffer = np.frombuffer(joined, dtype=np.uint8)
+    blank = _BLANK[buffer]
+    change = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        change = np.append(0, change)
+    start, end = change[::2], change[1::2]
+    up, down = _Powers.upto(len(buffer) + 1)
+    sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
+    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    token = _mixed((sums[end] - sums[start]) * down[start])
+    breaks = np.flatnonzero(buffer == 10)
+    text_start = np.cumsum([0, *(len(t or b"") + 1 for t in texts[:-1])]) if texts else np.empty(0, dtype=np.int64)
+    return token, np.searchsorted(breaks, start), np.searchsorted(breaks, text_start)
+
+
+def _tokens(texts: list[bytes | None], level: np.ndarray):
+    """Lines with words of many texts: text and line number of each, and the distinct words of each, by rarity, then hash.
+
+    Returns ``text_of``, ``line_no``, ``start`` (of a line's words, closed by the total), ``token`` and its level.
     """
-    text_of, line_no, sizes, lines = [], [], [], []
-    for i, text in enumerate(texts):
-        for k, line in enumerate((text or b"").lower().split(b"\n")):
-            words = line.split()
-            if words:
-                text_of.append(i)
-                line_no.append(k)
-                sizes.append(len(words))
-                lines.append(words)
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in chain.from_iterable(lines)), dtype=np.int64, count=sum(sizes))
-    hashes = np.array([xxhash.xxh64_intdigest(w, 1) for w in seen], dtype=np.uint64)
-    by_hash = np.argsort(hashes)
-    rank = np.empty(len(hashes), dtype=np.int64)
-    rank[by_hash] = np.arange(len(hashes))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    packed = np.unique(row * max(1, len(seen)) + rank[ids])  # by line, then by hash; repeats of a word fall together
-    row, rank = np.divmod(packed, max(1, len(seen)))
-    token = hashes[by_hash][rank] if len(packed) else np.empty(0, dtype=np.uint64)
-    start = np.searchsorted(row, np.arange(len(sizes) + 1))
-    return np.array(text_of, dtype=np.int64), np.array(line_no, dtype=np.int64), start, token
+    token, line, first = _words(texts)
+    full, row = np.unique(line, return_inverse=True) if len(line) else (line, line)
+    text_of = np.searchsorted(first, full, side="right") - 1
+    bits = np.uint64(max(1, int(len(full)).bit_length()))
+    lv = level[_cell(token)]
+    # One number to sort by: line, level, leading bits of the hash.
+    key = (row.astype(np.uint64) << (np.uint64(64) - bits)) | (lv.astype(np.uint64) << (np.uint64(56) - bits)) | (token >> (np.uint64(8) + bits))
+    order = np.argsort(key)
+    token, lv, row = token[order], lv[order], row[order]
+    once = np.append(True, (token[1:] != token[:-1]) | (row[1:] != row[:-1])) if len(token) else np.empty(0, dtype=bool)
+    token, lv, row = token[once], lv[once], row[once]
+    return text_of, full - first[text_of], np.searchsorted(row, np.arange(len(full) + 1)), token, lv
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,17 +105,62 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _map_words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of a set's parity map: one for each 64 words of the line, rounded up to a power of two, at most 32."""
+    return 1 << np.minimum(5, np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64))
+
+
 def _classes(start: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class hash and parity map (two halves) of each line's set."""
-    if len(start) < 2:
-        none = np.empty(0, dtype=np.uint64)
-        return none, none, none
-    m = _mixed(token)
-    cls = _mixed(np.add.reduceat(m, start[:-1]) + np.diff(start).astype(np.uint64))
+    """Class hash of each line's set, and parity maps as words with offsets."""
+    size = np.diff(start)
+    words = _map_words(size)
+    offset = np.append(0, np.cumsum(words))
+    flat = np.zeros(offset[-1], dtype=np.uint64)
+    if not len(size):
+        return np.empty(0, dtype=np.uint64), flat, offset
+    cls = _mixed(np.add.reduceat(_mixed(token), start[:-1]) + size.astype(np.uint64))
     bit = np.uint64(1) << (token & np.uint64(63))
-    upper = (token >> np.uint64(6) & np.uint64(1)).astype(bool)
-    zero = np.uint64(0)
-    return cls, np.bitwise_xor.reduceat(np.where(upper, zero, bit), start[:-1]), np.bitwise_xor.reduceat(np.where(upper, bit, zero), start[:-1])
+    flat[offset[:-1]] = np.bitwise_xor.reduceat(bit, start[:-1])
+    long = np.repeat(words > 1, size)
+    if long.any():
+        row = np.repeat(np.arange(len(size)), size)[long]
+        flat[np.repeat(offset[:-1][words > 1], words[words > 1]) + np.concatenate([np.arange(w) for w in words[words > 1]])] = 0
+        at = offset[row] + (token[long] >> np.uint64(6)).astype(np.int64) % words[row]
+        np.bitwise_xor.at(flat, at, bit[long])
+    return cls, flat, offset
+
+
+def _maps(flat: np.ndarray, offset: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offset) - 1, [None, pa.py_buffer((8 * offset).astype(np.int32)), pa.py_buffer(flat)])
+
+
+class _Parity:
+    """Parity maps of rows; two are compared at the length of the shorter, to which the longer folds."""
+
+    def __init__(self, column: pa.Array, order: np.ndarray):
+        offset = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+        self.flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[: 8 * int(offset[-1])].view(np.uint64)
+        self.start, self.words = offset[:-1][order], np.diff(offset)[order]
+        self.one = self._folded(np.arange(len(order)), 1)
+
+    def _folded(self, rows: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros((len(rows), k), dtype=np.uint64)
+        most = self.words[rows]
+        for turn in range(0, int(most.max(initial=0)), k):
+            on = most > turn
+            out[on] ^= self.flat[(self.start[rows[on]] + turn)[:, None] + np.arange(k)]
+        return out
+
+    def close(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Pairs whose maps differ in at most ``most`` bits."""
+        one = self.one[:, 0]
+        ok = np.bitwise_count(one[i] ^ one[j]) <= most
+        k = np.minimum(self.words[i], self.words[j])
+        for level in (2, 4, 8, 16, 32):
+            at = np.flatnonzero(ok & (k == level))
+            if len(at):
+                ok[at] = np.bitwise_count(self._folded(i[at], level) ^ self._folded(j[at], level)).sum(axis=1, dtype=np.int64) <= most[at]
+        return ok
 
 
 def _cell(token: np.ndarray) -> np.ndarray:
@@ -94,58 +170,57 @@ def _cell(token: np.ndarray) -> np.ndarray:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(N_CELLS, dtype=np.int64)
     for batch in batches:
-        for part in slices(batch, "text"):
-            _, _, _, token = _tokens(as_bytes(part.column("text")))
-            total += np.bincount(_cell(token), minlength=N_CELLS)
+        for part in slices(batch, "text", _SLICE):
+            np.add.at(total, _cell(_words(as_bytes(part.column("text")))[0]), 1)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Level of each cell: 0 if its words occur in one line in all, else one more than the logarithm of their count, in eighths."""
+    """Level of each cell: 0 if its words occur once in all, else one more than the logarithm of their count, in fifths."""
     counts = docs.select("text").mapInArrow(_count_batches, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     level = np.zeros(N_CELLS, dtype=np.uint8)
-    table = counts.where("n > 1").select("cell", F.least(F.lit(255), 1 + F.floor(F.log2("n") * 5)).cast("int").alias("level")).toPandas()
-    level[table["cell"]] = table["level"]
+    table = counts.where("n > 1").select("cell", F.least(F.lit(255), 1 + F.floor(F.log2("n") * 5)).cast("short").alias("level")).toArrow()
+    level[table.column("cell").to_numpy()] = table.column("level").to_numpy()
     return level
 
 
-def _ordered(level: np.ndarray, start: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each line by rarity, then hash, and their levels."""
-    row = np.repeat(np.arange(len(start) - 1), np.diff(start))
-    lv = level[_cell(token)]
-    order = np.lexsort((lv, row))  # stable: words of one level stay in order of hash
-    return token[order], lv[order]
-
-
 def _prefix(size: np.ndarray) -> np.ndarray:
     """Words of which a set shares one with every similar set that is no larger than needed."""
     return size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1
 
 
-def _posting_batches(batches: Iterator[pa.RecordBatch], level) -> Iterator[pa.RecordBatch]:
+def _line_batches(batches: Iterator[pa.RecordBatch], level, block: int) -> Iterator[pa.RecordBatch]:
+    """Each text's lines: class, size, parity map and the prefix words that may occur elsewhere.
+
+    Words that occur once are the first of a prefix and left out; a class's words are
+    listed once a task. ``hot`` are those words that occur often enough for a long run.
+    """
     level, seen = level.value, set()
+    many = 1 + int(np.log2(block) * 5)
     for batch in batches:
-        for part in slices(batch, "text"):
-            _, _, start, token = _tokens(as_bytes(part.column("text")))
-            cls, low, high = _classes(start, token)
-            token, lv = _ordered(level, start, token)
+        for part in slices(batch, "text", _SLICE):
+            text_of, line_no, start, token, lv = _tokens(as_bytes(part.column("text")), level)
+            cls, flat, offset = _classes(start, token)
             size = np.diff(start)
             fresh = np.zeros(len(cls), dtype=bool)
-            _, first = np.unique(cls, return_index=True)
-            for i in first.tolist():
+            for i in np.unique(cls, return_index=True)[1].tolist():
                 c = int(cls[i])
                 if size[i] >= _FOUR and c not in seen:
                     seen.add(c)
                     fresh[i] = True
             row = np.repeat(np.arange(len(cls)), size)
-            position = np.arange(len(token)) - start[row]
-            at = np.flatnonzero(fresh[row] & (position < _prefix(size)[row]) & (lv > 0))
-            row = row[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (token[at].view(np.int64), cls[row].view(np.int64), size[row].astype(np.int32), position[at].astype(np.int32), low[row].view(np.int64), high[row].view(np.int64))],
-                names=["token", "class", "size", "position", "low", "high"],
-            )
+            single = np.bincount(row[lv == 0], minlength=len(cls))
+            listed = fresh[row] & (np.arange(len(token)) - start[row] < _prefix(size)[row]) & (lv > 0)
+
+            def lists(which: np.ndarray, row: np.ndarray = row, token: np.ndarray = token, n: int = len(cls)) -> pa.ListArray:
+                at = np.flatnonzero(which)
+                return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(n + 1)).astype(np.int32)), pa.array(token[at].view(np.int64)))
+
+            columns = [pa.array(line_no.astype(np.int32)), pa.array(cls.view(np.int64)), pa.array(size.astype(np.int32)), _maps(flat, offset), pa.array(single.astype(np.int32))]
+            lines = pa.StructArray.from_arrays([*columns, lists(listed), lists(listed & (lv >= many))], names=["line", "class", "size", "parity", "single", "words", "hot"])
+            nested = pa.ListArray.from_arrays(pa.array(np.searchsorted(text_of, np.arange(part.num_rows + 1)).astype(np.int32)), lines)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), nested], names=["doc_id", "text_key", "lines"])
 
 
 def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,13 +229,14 @@ def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _may_match(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Pairs of rows of one word that the filters leave, if that word is the first they share."""
+    """Pairs of rows that length, position and parity leave; rows without a position may match anywhere.
+
+    In a run of two blocks only pairs across them count.
+    """
     a, b = r["size"][i], r["size"][j]
     need = _needed(a, b)
-    ok = (np.minimum(a, b) >= THRESHOLD * np.maximum(a, b) - 1e-9) & (np.minimum(a - r["position"][i], b - r["position"][j]) >= need) & (r["class"][i] != r["class"][j])
-    i, j, a, b, need = i[ok], j[ok], a[ok], b[ok], need[ok]
-    apart = np.bitwise_count(r["low"][i] ^ r["low"][j]).astype(np.int64) + np.bitwise_count(r["high"][i] ^ r["high"][j])
-    ok[np.flatnonzero(ok)] = a + b - apart >= 2 * need
+    ok = (np.minimum(a - r["position"][i], b - r["position"][j]) >= need) & ((r["half"][i] == 2) | (r["half"][i] != r["half"][j]))
+    ok[np.flatnonzero(ok)] = r["parity"].close(i[ok], j[ok], (a + b - 2 * need)[ok])
     return ok
 
 
@@ -177,7 +253,7 @@ def _pairs(r: dict[str, np.ndarray], starts: np.ndarray):
     at = 0
     while at < n:
         base = total[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(total, base + 2_000_000, side="right")))
+        stop = max(at + 1, int(np.searchsorted(total, base + 1_000_000, side="right")))
         k = todo[at:stop]
         i = np.repeat(rows[at:stop], k)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
@@ -186,152 +262,141 @@ def _pairs(r: dict[str, np.ndarray], starts: np.ndarray):
         at = stop
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str], act) -> Iterator[pa.RecordBatch]:
-    """Whole runs of equal ``token, pair`` of sorted rows, as many at a time as a batch ends."""
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end with a run of ``key``, of rows sorted by it."""
     held: list[pa.RecordBatch] = []
-
-    def flush(rows: pa.Table, upto: int) -> Iterator[pa.RecordBatch]:
-        yield act(rows.slice(0, upto).combine_chunks())
-
     for batch in batches:
         if not batch.num_rows:
             continue
+        key = batch.column("key").to_numpy()
+        cut = int(run_starts(key)[-2])
+        new = held and key[0] != held[-1].column("key")[-1].as_py()
         held.append(batch)
-        t, p = batch.column("token").to_numpy(), batch.column("pair").to_numpy()
-        cut = int(run_starts(t, p)[-2])
-        if cut or (len(held) > 1 and (t[0] != held[-2].column("token")[-1].as_py() or p[0] != held[-2].column("pair")[-1].as_py())):
+        if cut or new:
             rows = pa.Table.from_batches(held)
             upto = rows.num_rows - batch.num_rows + cut
-            yield from flush(rows, upto)
+            yield rows.slice(0, upto)
             held = rows.slice(upto).combine_chunks().to_batches()
     if held:
-        rows = pa.Table.from_batches(held)
-        yield from flush(rows, rows.num_rows)
-
+        yield pa.Table.from_batches(held)
 
-def _numbers(rows: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
-    return {n: rows.column(n).to_numpy() for n in names}
 
-
-def _sorted_runs(r: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def _sorted_runs(rows: pa.Table, names: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Rows by run and size, one row a class and run; also the places they had."""
-    runs = run_starts(r["token"], r["pair"])
+    r = {n: rows.column(n).to_numpy() for n in ["key", *names]}
+    r["size"], r["position"], r["half"] = r["packed"] >> 32, r["packed"] >> 2 & 0x3FFFFFFF, r["packed"] & 3
+    runs = run_starts(r["key"])
     run = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
     order = np.lexsort((r["class"], r["size"], run))
-    cls = r["class"][order]
-    once = np.ones(len(order), dtype=bool)
-    once[1:] = (cls[1:] != cls[:-1]) | (run[order][1:] != run[order][:-1])
+    cls, run = r["class"][order], run[order]
+    once = np.append(True, (cls[1:] != cls[:-1]) | (run[1:] != run[:-1]))
     order = order[once]
-    out = {k: v[order] for k, v in r.items()}
-    out["run"] = run[order].astype(np.int64)
+    out = {k: v[order] for k, v in r.items()} | {"run": run[once].astype(np.int64)}
     out["size"] = out["size"].astype(np.int64)
-    out["low"], out["high"] = out["low"].view(np.uint64), out["high"].view(np.uint64)
+    out["parity"] = _Parity(rows.column("parity").combine_chunks(), order)
     return out, np.searchsorted(out["run"], np.arange(len(runs))), order
 
 
-_POST = ["token", "pair", "class", "size", "position", "low", "high", "half"]
-
-
-def _crosses(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """In a run of two blocks only pairs across them count, in one of a single block all."""
-    return (r["half"][i] == 2) | (r["half"][i] != r["half"][j])
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row that each of n rows is connected to by the pairs."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a surviving partner."""
-
-    def act(rows: pa.Table) -> pa.RecordBatch:
-        r, starts, _ = _sorted_runs(_numbers(rows, _POST))
-        hit = np.zeros(len(r["class"]), dtype=bool)
+    """Links that connect the classes of each run as its surviving pairs do."""
+    for rows in _whole_runs(batches):
+        r, starts, _ = _sorted_runs(rows, ["class", "packed"])
+        label = np.arange(len(r["class"]))
         for i, j in _pairs(r, starts):
-            ok = _crosses(r, i, j)
-            hit[i[ok]] = True
-            hit[j[ok]] = True
-        return pa.RecordBatch.from_arrays([pa.array(r["token"][hit]), pa.array(r["class"][hit]), pa.array(r["position"][hit])], names=["token", "class", "position"])
-
-    yield from _runs(batches, _POST, act)
+            label = _joined(len(label), np.concatenate([label, i]), np.concatenate([np.arange(len(label)), j]))
+        hit = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(r["class"][label[hit]]), pa.array(r["class"][hit])], names=["a", "b"])
 
 
-def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersections of pairs of sets, and the first common word's place in the first set."""
+def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of intersections of pairs of sets."""
     a = [sets[k] for k in i.tolist()]
     b = [sets[k] for k in j.tolist()]
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    pair = np.concatenate([np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)])
+    which = np.arange(len(a))
+    pair = np.concatenate([np.repeat(which, [len(x) for x in a]), np.repeat(which, [len(x) for x in b])])
     token = np.concatenate([*a, *b])
-    place = np.concatenate([np.arange(len(pair) - nb.sum()) - np.repeat(np.cumsum(na) - na, na), np.full(nb.sum(), 1 << 30)])
-    order = np.lexsort((place, token, pair))
-    pair, token, place = pair[order], token[order], place[order]
-    same = np.flatnonzero((pair[1:] == pair[:-1]) & (token[1:] == token[:-1]))
-    first = np.full(len(a), 1 << 30)
-    np.minimum.at(first, pair[same], place[same])
-    return np.bincount(pair[same], minlength=len(a)), first
+    order = np.lexsort((token, pair))
+    pair, token = pair[order], token[order]
+    return np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (token[1:] == token[:-1])], minlength=len(a))
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each class found under each word, and whether one of them is to an earlier class."""
-    names = [*_POST, "rank_id", "rank_line"]
-
-    def act(rows: pa.Table) -> pa.RecordBatch:
-        r, starts, order = _sorted_runs(_numbers(rows, names))
+    """Links of each class, and whether one of them is to an earlier class."""
+    for rows in _whole_runs(batches):
+        r, starts, order = _sorted_runs(rows, ["class", "packed", "rank_id", "rank_line"])
         words = rows.column("words").combine_chunks()
         flat, offsets = words.values.to_numpy(), words.offsets.to_numpy()
         sets = [flat[offsets[k] : offsets[k + 1]] for k in order.tolist()]
         n_links = np.zeros(len(order), dtype=np.int64)
         beaten = np.zeros(len(order), dtype=bool)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[np.lexsort((r["class"], r["rank_line"], r["rank_id"]))] = np.arange(len(order))
         for i, j in _pairs(r, starts):
-            ok = _crosses(r, i, j)
-            i, j = i[ok], j[ok]
-            for at in range(0, len(i), 20_000):
-                x, y = i[at : at + 20_000], j[at : at + 20_000]
-                common, first = _overlaps(sets, x, y)
-                linked = (common >= THRESHOLD * (r["size"][x] + r["size"][y] - common) - 1e-9) & (first == r["position"][x])
+            for at in range(0, len(i), 10_000):
+                x, y = i[at : at + 10_000], j[at : at + 10_000]
+                common = _overlaps(sets, x, y)
+                linked = common >= THRESHOLD * (r["size"][x] + r["size"][y] - common) - 1e-9
                 x, y = x[linked], y[linked]
                 np.add.at(n_links, x, 1)
                 np.add.at(n_links, y, 1)
-                key = [r["rank_id"], r["rank_line"], r["class"]]
-                y_first = (key[0][y] < key[0][x]) | (key[0][y] == key[0][x]) & ((key[1][y] < key[1][x]) | (key[1][y] == key[1][x]) & (key[2][y] < key[2][x]))
-                beaten[x[y_first]] = True
-                beaten[y[~y_first]] = True
+                beaten[np.where(rank[x] > rank[y], x, y)] = True
         hit = n_links > 0
-        return pa.RecordBatch.from_arrays([pa.array(r["class"][hit]), pa.array(n_links[hit]), pa.array(beaten[hit])], names=["class", "n_links", "beaten"])
-
-    yield from _runs(batches, names, act)
-
-
-def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            text_of, line_no, start, token = _tokens(as_bytes(part.column("text")))
-            cls = _classes(start, token)[0]
-            offsets = pa.array(np.searchsorted(text_of, np.arange(part.num_rows + 1)).astype(np.int32))
-            line = pa.ListArray.from_arrays(offsets, pa.array(line_no.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), line, pa.ListArray.from_arrays(offsets, pa.array(cls.view(np.int64)))], names=["doc_id", "text_key", "line", "class"])
+        yield pa.RecordBatch.from_arrays([pa.array(r["class"][hit]), pa.array(n_links[hit]), pa.array(beaten[hit])], names=["class", "n_links", "beaten"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], level) -> Iterator[pa.RecordBatch]:
-    """Sets, in rarity order, of the wanted lines of each text."""
+    """Sets of the wanted lines of each text, with what is known of them."""
     level = level.value
     for batch in batches:
-        for part in slices(batch, "text"):
-            text_of, line_no, start, token = _tokens(as_bytes(part.column("text")))
-            cls, low, high = _classes(start, token)
-            token, _ = _ordered(level, start, token)
-            wanted = [set(x) for x in part.column("lines").to_pylist()]
+        for part in slices(batch, "text", _SLICE):
+            text_of, line_no, start, token, _ = _tokens(as_bytes(part.column("text")), level)
+            cls, flat, offset = _classes(start, token)
+            maps = _maps(flat, offset)
+            wanted = [{w["line"]: w for w in x} for x in part.column("wanted").to_pylist()]
             at = [k for k, (i, line) in enumerate(zip(text_of.tolist(), line_no.tolist(), strict=True)) if line in wanted[i]]
-            sets = [token[start[k] : start[k + 1]].view(np.int64) for k in at]
-            columns = [cls[at].view(np.int64), np.diff(start)[at].astype(np.int32), low[at].view(np.int64), high[at].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(sets, type=pa.list_(pa.int64()))], names=["class", "size", "low", "high", "words"])
+            told = [wanted[text_of[k]][line_no[k]] for k in at]
+            columns = [pa.array([t["root"] for t in told], type=pa.int64()), pa.array([t["rank_id"] for t in told], type=pa.int64()), pa.array(line_no[at]), pa.array(cls[at].view(np.int64)), pa.array(np.diff(start)[at] << 32), maps.take(pa.array(at, type=pa.int64()))]
+            sets = pa.array([token[start[k] : start[k + 1]].view(np.int64) for k in at], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, sets], names=["key", "rank_id", "rank_line", "class", "packed", "parity", "words"])
 
 
-def _dealt(rows: DataFrame, by: list[str], block: int) -> DataFrame:
-    """Rows of one word together and sorted; ``pair`` numbers the blocks or pairs of blocks of a long run."""
-    hot = rows.groupBy("token").count().where(F.col("count") > block).select(F.col("token").alias("t"), F.ceil(F.col("count") / block).cast("int").alias("n"))
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of one ``key`` together and sorted; runs in ``hot`` are cut into pairs of their ``n`` blocks.
+
+    ``packed`` holds a set's size from bit 32, the word's position from bit 2 and, in the
+    last bits, which block of the pair the row is of, or 2 where a run is one block.
+    """
+    cut = hot.select(F.col("key").alias("h"), "n")
     mine = F.pmod(F.xxhash64("class"), F.col("n")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct((F.least(o, mine) * F.col("n") + F.greatest(o, mine)).alias("pair"), F.when(o == mine, 2).otherwise((mine > o).cast("int")).alias("half")))
-    one = F.array(F.struct(F.lit(0).alias("pair"), F.lit(2).alias("half")))
-    split = rows.join(hot, F.col("token") == F.col("t"), "left").select(*by, F.inline(F.when(F.col("n").isNull(), one).otherwise(pair)))
-    return split.repartition("token", "pair").sortWithinPartitions("token", "pair")
+
+    def pair(o: Column) -> Column:
+        number = F.least(o, mine) * F.col("n") + F.greatest(o, mine)
+        half = F.when(o == mine, 2).otherwise((mine > o).cast("int"))
+        return F.struct(F.xxhash64("key", number).alias("key"), (F.col("packed") + half).alias("packed"))
+
+    whole = F.array(F.struct(F.col("key"), (F.col("packed") + 2).alias("packed")))
+    rest = [c for c in rows.columns if c not in ("key", "packed")]
+    split = rows.join(cut, F.col("key") == F.col("h"), "left").select(*rest, F.inline(F.when(F.col("n").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 1), pair))))
+    return split.repartition("key").sortWithinPartitions("key")
+
+
+def _hot(keys: DataFrame, block: int) -> DataFrame:
+    """Keys of more than ``block`` rows, with their number of blocks; written, so that its size is known to the join."""
+    return written(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -359,22 +424,23 @@ def marked_lines(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
     context = docs.sparkSession.sparkContext
     rows = _keyed(docs, id_col, text_col)
     level = context.broadcast(rarity(rows))
-    lines = written(rows.mapInArrow(_line_batches, _DOC).withColumn("uid", F.monotonically_increasing_id()))
-    each = lines.select("uid", "doc_id", "text_key", F.explode(F.arrays_zip("line", "class")).alias("x")).select("uid", "doc_id", "text_key", "x.line", "x.class")
+    lines = written(rows.mapInArrow(partial(_line_batches, level=level, block=block), _DOC).withColumn("uid", F.monotonically_increasing_id()))
+    each = lines.select("uid", "doc_id", "text_key", F.explode("lines").alias("x")).select("uid", "doc_id", "text_key", "x.line", "x.class")
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "line", "uid", "doc_id", "text_key")
     classes = written(each.groupBy("class").agg(F.min(rank).alias("first")).select("class", "first.*"))
 
-    schema = "token long, class long, size int, position int, low long, high long"
-    postings = rows.select("text").mapInArrow(partial(_posting_batches, level=level), schema)
-    dealt = _dealt(written(postings), ["token", "class", "size", "position", "low", "high"], block)
-    candidates = written(dealt.mapInArrow(_candidate_batches, "token long, class long, position int").distinct())
+    listed = lines.select(F.explode("lines").alias("x")).where(F.size("x.words") > 0)
+    hot = _hot(listed.select(F.explode("x.hot").alias("key")), block)
+    packed = F.shiftleft(F.col("x.size").cast("long"), 32) + F.shiftleft(F.col("x.single"), 2)
+    postings = listed.select("x.class", "x.parity", packed.alias("packed"), F.posexplode("x.words").alias("place", "key")).select("key", "class", "parity", (F.col("packed") + F.shiftleft("place", 2)).alias("packed"))
+    found = _dealt(postings, hot).mapInArrow(_candidate_batches, "a long, b long").distinct()
+    roots = written(connected_components(found))
 
-    wanted = candidates.select("class").distinct().join(classes, "class")
-    by_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list("line").alias("lines"))
+    wanted = roots.withColumnRenamed("v", "class").join(classes, "class")
+    by_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("line", "root", F.col("id").alias("rank_id"))).alias("wanted"))
     texts = rows.join(by_text, _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key")))
-    sets = texts.select("text", "lines").mapInArrow(partial(_set_batches, level=level), "class long, size int, low long, high long, words array<long>").dropDuplicates(["class"])
-    full = candidates.join(sets, "class").join(classes.select("class", F.col("id").alias("rank_id"), F.col("line").cast("long").alias("rank_line")), "class")
-    verified = _dealt(full, ["token", "class", "size", "position", "low", "high", "words", "rank_id", "rank_line"], block).mapInArrow(_verify_batches, "class long, n_links long, beaten boolean")
+    sets = texts.select("text", "wanted").mapInArrow(partial(_set_batches, level=level), "key long, rank_id long, rank_line long, class long, packed long, parity binary, words array<long>")
+    verified = _dealt(sets, _hot(roots.select(F.col("root").alias("key")), block)).mapInArrow(_verify_batches, "class long, n_links long, beaten boolean")
     links = verified.groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten"))
     told = classes.join(links, "class", "left").select(F.col("class").alias("c"), F.col("uid").alias("first_uid"), F.col("line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("beaten", F.lit(False)).alias("beaten"))
     joined = each.join(told, F.col("class") == F.col("c"))
