@@ -168,3 +168,41 @@ def suppressed(circles: DataFrame, dist: Column | None = None) -> DataFrame:
         left = checkpointed(rest)
         if left.isEmpty():
             return kept.drop("rank", "lim")
+
+
+def away_from(circles: DataFrame, others: DataFrame, dist: Column) -> DataFrame:
+    """Circles that have none of ``others`` (``map_id, ox, oy``) closer than ``dist``; a course has few of these."""
+    o = others.select(F.col("map_id").alias("om"), "ox", "oy")
+    close = (F.col("map_id") == F.col("om")) & (F.hypot(F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy")) < dist)
+    return circles.join(o, close, "left_anti")
+
+
+def radial_profile(circles: DataFrame, mask: DataFrame, radii: Column, tol: float = 0.75) -> DataFrame:
+    """``(map_id, cid, radius, support)``: ring support of each centre at an array of radii."""
+    each = circles.select("map_id", F.col("cid").alias("own"), "cx", "cy", F.explode(radii).alias("cr")).withColumn("cid", F.struct("own", "cr"))
+    found = ring_support(each, mask, F.lit(tol))
+    return found.select("map_id", F.col("cid.own").alias("cid"), F.col("cid.cr").alias("radius"), "support")
+
+
+def finish_score(profile: DataFrame, r0: Column, cfg: Settings | None = None) -> DataFrame:
+    """``(map_id, cid, score, inner, outer)`` of centres with two concentric rings of the finish's proportions.
+
+    The best-supported radius in the window of either ring is taken; the rings must be in
+    proportion and apart, with a gap of little ink between them. Others have no row.
+    """
+    cfg = cfg or Settings()
+    ppm, tol = 2 * r0 / cfg.control_diameter_mm, cfg.finish_radius_tol_ratio
+    r_in, r_out = cfg.finish_inner_diameter_mm / 2 * ppm, cfg.finish_outer_diameter_mm / 2 * ppm
+
+    def window(r: Column) -> Column:
+        return F.col("radius").between(r * (1 - tol), r * (1 + tol))
+
+    key = F.struct("support", -F.col("radius"))
+    best = profile.groupBy("map_id", "cid").agg(F.max(F.when(window(r_in), key)).alias("i"), F.max(F.when(window(r_out), key)).alias("o"))
+    rings_ = best.select("map_id", "cid", (-F.col("i")["col2"]).alias("inner"), (-F.col("o")["col2"]).alias("outer"), F.least(F.col("i")["support"], F.col("o")["support"]).alias("score"))
+    nominal = cfg.finish_outer_diameter_mm / cfg.finish_inner_diameter_mm
+    ratio = F.col("outer") / F.col("inner")
+    good = rings_.where(ratio.between(nominal * (1 - tol), nominal * (1 + tol)) & (F.col("outer") - F.col("inner") >= 0.2 * r0) & (F.col("score") >= cfg.ring_support_min_ratio))
+    between = profile.join(good, ["map_id", "cid"]).where((F.col("radius") > F.col("inner") + 1) & (F.col("radius") < F.col("outer") - 1))
+    gap = between.groupBy("map_id", "cid").agg(F.min("support").alias("least"))
+    return good.join(gap, ["map_id", "cid"]).where(F.col("least") <= 0.75 * F.col("score")).select("map_id", "cid", "score", "inner", "outer")

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kartospark.functions import color
-from kartospark.operators import classify, course, graph, nearest, rings, routing, stencil, terrain
+from kartospark.operators import areas, classify, course, graph, lines, nearest, rings, routing, stencil, terrain
 from kartospark.settings import CLASS_NAMES, DISPLAY_COLORS, REFERENCE_COLORS, Settings, terrain_class
-from kartospark.sources import projects
+from kartospark.sources import images, projects
+from kartospark.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,3 +432,87 @@ def content_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_RASTER} select a.y, a.x, (count(b.x) - 1)::bigint n8 from m a join m b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and b.m3 where a.m3 group by 1, 2 having count(b.x) - 1 >= 3""")
 def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.neighbours8(raster(spark, sf_dir), "m3").where("m3 and n8 >= 3").select("y", "x", "n8")
+
+
+@query(f"""{_RASTER}, c as ({_POINTS}), a as (select pid, px, py, pr, k, unnest(range(0, floor((pr + 0.01) * 2)::int + 1)) i from c, (select unnest(range(0, 72)) k)),
+    b as (select *, pr + (i * 0.5::double - 0.5::double * pr) rr from a),
+    h as (select pid, k, pr, bool_or(y is not null and rr < 0.7::double * pr) inn, bool_or(y is not null and rr > 1.3::double * pr) ou, count(y) * 0.5::double ink
+          from b left join (select y, x from m where m3) m on m.x = round_even(px + rr * cos(k * (2 * pi() / 72)), 0)::int and m.y = round_even(py + rr * sin(k * (2 * pi() / 72)), 0)::int group by pid, k, pr)
+    select pid cid, round(avg(inn::int), 6) "inner", round(avg(ou::int), 6) "outer", round(quantile_cont(ink, 0.5) / pr, 6) thickness from h group by pid, pr""")
+def ring_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rings.band_stats(_circles(spark, sf_dir), _mask(spark, sf_dir))
+    return found.select("cid", *[F.round(c, 6).alias(c) for c in ("inner", "outer", "thickness")])
+
+
+_PAIRS = f"pt as ({_POINTS}), pairs as (select * from (select pid i, px ax, py ay, pr ar, lead(pid) over (order by pid) j, lead(px) over (order by pid) bx, lead(py) over (order by pid) \"by\", lead(pr) over (order by pid) br from pt) where j is not null)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _window("map_id", "pid")
+    nxt = [F.lead(c).over(w).alias(n) for c, n in (("pid", "j"), ("px", "bx"), ("py", "by"), ("pr", "br"))]
+    return points(spark, sf_dir).select("map_id", F.col("pid").alias("i"), F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("pr").alias("ar"), *nxt).where("j is not null")
+
+
+@query(f"""{_RASTER}, {_PAIRS}, d as (select *, sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) d from pairs), t as (select *, ar + 0.15::double * 4 t0, d - br - 0.15::double * 4 t1 from d),
+    s as (select *, unnest(range(0, ceil(t1 - t0)::int)) st from t where t1 - t0 >= 3), o as (select *, unnest([-1.5::double, -0.75::double, 0.0::double, 0.75::double, 1.5::double]) o from s),
+    h as (select i, st, bool_or(m.y is not null) hit from o left join (select y, x from m where m3) m
+          on m.x = round_even(ax + (bx - ax) / d * (t0 + st) - ("by" - ay) / d * o, 0)::int and m.y = round_even(ay + ("by" - ay) / d * (t0 + st) + (bx - ax) / d * o, 0)::int group by i, st)
+    select pairs.i, pairs.j, round(coalesce(x.s, 0), 6) support from pairs left join (select i, avg(hit::int) s from h group by i) x on x.i = pairs.i""")
+def line_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rings.line_support(_pairs(spark, sf_dir), _mask(spark, sf_dir), F.lit(4.0))
+    return found.select("i", "j", F.round("support", 6).alias("support"))
+
+
+@query(f"""{_CELLS.replace(", p as (select *, v % 5", ", q as (select *, v % 5").replace("from p group by 1, 2", "from q group by 1, 2")}, {_PAIRS}, e as (select max(r) h, max(c) w from cells),
+    n as (select *, greatest(2, ceil(sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) / 1.0)::int + 1) n from pairs, e), k as (select *, unnest(range(0, n)) k from n),
+    hits as (select i, greatest(0, least(h, floor((ay + ("by" - ay) * (k / (n - 1)::double)) / 4)))::int r, greatest(0, least(w, floor((ax + (bx - ax) * (k / (n - 1)::double)) / 4)))::int c from k)
+    select i sid, not bool_or(cost = 'infinity'::double) clear from hits join cells using (r, c) group by i""")
+def segments_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = _pairs(spark, sf_dir).withColumnRenamed("i", "sid")
+    return routing.segments_clear(segments, cells(spark, sf_dir), 4).select("sid", "clear")
+
+
+@query(f"with p as ({_POINTS}) select pid cid from p a where not exists (select 1 from p b where b.pid % 9 = 0 and sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) < 10)")
+def circles_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    circles = _circles(spark, sf_dir)
+    others = circles.where("cid % 9 = 0").select("map_id", F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    return rings.away_from(circles, others, F.lit(10.0)).select("cid")
+
+
+@query()
+def finish_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    radii = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: 4.0 + i * 0.5)
+    profile = rings.radial_profile(_circles(spark, sf_dir), _mask(spark, sf_dir), radii)
+    return profile.select("cid", "radius", F.round("support", 6).alias("support"))
+
+
+@query()
+def skeleton_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plane = stencil.opened(raster(spark, sf_dir).withColumn("on", ~F.col("m3")), "on", 1, "__o").select("map_id", "y", "x", F.col("__o").alias("on"))
+    plane = written(stencil.dilate(plane, "on", 1, "wide"))
+    segments = written(lines.stroke_segments(lines.skeleton(plane, "wide")))
+    return lines.segment_widths(plane, "wide", segments).select(F.col("seg.y").alias("sy"), F.col("seg.x").alias("sx"), "area", "length", "width")
+
+
+@query()
+def overprint_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plane = raster(spark, sf_dir).select("map_id", "y", "x", "label", F.col("m3").alias("purple"))
+    return areas.outside_map(areas.hatched(plane, 2.0), 1.0).select("y", "x", "hatch", "outside")
+
+
+@query()
+def leg_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = written(cells(spark, sf_dir))
+    kinds = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("event_id").alias("e"), F.count(F.lit(1)).alias("n"))
+    controls = kinds.select(F.lit("m").alias("map_id"), F.col("e").alias("id"), F.col("e").alias("order"), (F.col("n") % 64).cast("double").alias("x"), (F.col("e") * 37 % 500).cast("double").alias("y"))
+    at = nearest.snap(controls.select("map_id", F.col("id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py")), grid, grid.where(F.col("cost") < INF).select("map_id", "r", "c"), 4)
+    legs = routing.legs(controls, grid, written(at.select("map_id", "pid", "r", "c")), 4)
+    return legs.select("from_id", "to_id", "ok", F.round("cost", 5).alias("cost"), F.round("length_px", 5).alias("length_px"), F.size("path").alias("n_points"))
+
+
+@query()
+def layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = raster(spark, sf_dir)
+    layer = base.select(F.lit("labels").alias("name"), "y", "x", *[c.alias(n) for n, c in classify.palette(F.col("label")).items()])
+    size = base.groupBy(F.lit("labels").alias("name")).agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    return images.layer_rows(layer, size)
