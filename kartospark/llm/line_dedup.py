@@ -33,10 +33,12 @@ from kartospark.llm.common import as_bytes, connected_components, run_starts, sl
 
 THRESHOLD = 0.8
 N_CELLS = 1 << 21
+#: Cells that are summed together.
+CHUNK = 4096
 #: Rows of one prefix word compared inside one task; a longer run is cut into pairs of blocks.
 BLOCK = 4096
 #: Text handled at once; its words' dictionary stays small.
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _FOUR = 4  # smaller sets have no similar set but themselves
 _DOC = "doc_id long, text_key long, lines array<struct<line:int,class:long,size:int,parity:binary,single:int,words:array<long>,hot:array<long>>>"
 
@@ -61,7 +63,7 @@ _BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every word of the texts (A-Z in lower case), the word's line counted through all texts, and each text's first line.
 
-    A word's hash is a polynomial of its bytes: a difference of prefix sums, scaled back
+    A word's hash is a polynomial of its bytes: a sum of bytes times powers, scaled back
     by the power that the word starts at, then mixed. So words cost a few array passes.
     """
     joined = b"\n".join(t or b"" for t in texts).lower() + b"\n"
@@ -70,11 +72,10 @@ def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     change = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
         change = np.append(0, change)
-    start, end = change[::2], change[1::2]
-    up, down = _Powers.upto(len(buffer) + 1)
-    sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    token = _mixed((sums[end] - sums[start]) * down[start])
+    start = change[::2]
+    up, down = _Powers.upto(len(buffer))
+    sums = np.add.reduceat((buffer + np.uint64(1)) * up, change)[::2] if len(change) else np.empty(0, dtype=np.uint64)
+    token = _mixed(sums * down[start])
     breaks = np.flatnonzero(buffer == 10)
     text_start = np.cumsum([0, *(len(t or b"") + 1 for t in texts[:-1])]) if texts else np.empty(0, dtype=np.int64)
     return token, np.searchsorted(breaks, start), np.searchsorted(breaks, text_start)
@@ -168,21 +169,34 @@ def _cell(token: np.ndarray) -> np.ndarray:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(N_CELLS, dtype=np.int64)
+    """Counts of a task's words, in chunks of ``CHUNK`` cells."""
+    total = np.zeros(N_CELLS, dtype=np.int32)
     for batch in batches:
-        for part in slices(batch, "text", _SLICE):
-            np.add.at(total, _cell(_words(as_bytes(part.column("text")))[0]), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+        cells = [_cell(_words(as_bytes(part.column("text")))[0]) for part in slices(batch, "text", _SLICE // 4)]
+        if cells:
+            total += np.bincount(np.concatenate(cells), minlength=N_CELLS).astype(np.int32)
+    chunks = total.reshape(-1, CHUNK)
+    there = np.flatnonzero(chunks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array([chunks[i].tobytes() for i in there], type=pa.binary())], names=["chunk", "counts"])
+
+
+def _level_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of the chunks that a task has all counts of."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, dtype=np.int32).astype(np.int64)
+    levels = [np.where(n > 1, np.minimum(255, 1 + np.floor(np.log2(np.maximum(n, 1)) * 5)), 0).astype(np.uint8).tobytes() for n in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array(levels, type=pa.binary())], names=["chunk", "levels"])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """Level of each cell: 0 if its words occur once in all, else one more than the logarithm of their count, in fifths."""
-    counts = docs.select("text").mapInArrow(_count_batches, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    level = np.zeros(N_CELLS, dtype=np.uint8)
-    table = counts.where("n > 1").select("cell", F.least(F.lit(255), 1 + F.floor(F.log2("n") * 5)).cast("short").alias("level")).toArrow()
-    level[table.column("cell").to_numpy()] = table.column("level").to_numpy()
-    return level
+    counts = docs.select("text").mapInArrow(_count_batches, "chunk int, counts binary")
+    level = np.zeros((N_CELLS // CHUNK, CHUNK), dtype=np.uint8)
+    for r in counts.repartition("chunk").mapInArrow(_level_batches, "chunk int, levels binary").collect():
+        level[r["chunk"]] = np.frombuffer(r["levels"], dtype=np.uint8)
+    return level.ravel()
 
 
 def _prefix(size: np.ndarray) -> np.ndarray:
