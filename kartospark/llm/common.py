@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartospark.operators.graph import connected_components
+from kartospark.sources.shared import checkpointed, written
+
+__all__ = ["SLICE_BYTES", "WORD", "as_bytes", "checkpointed", "connected_components", "crc32_mod", "repeated", "run_starts", "slices", "table", "written"]
+
 #: Words of every operator but benchmark decontamination: runs of anything but these six blanks,
 #: which are also the bytes that ``bytes.split()`` splits on.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,27 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def repeated(counted: DataFrame, n: str = "n", copy: str = "copy", chunk: int = 10_000) -> DataFrame:
     """``n`` rows for each row, numbered from 0 in ``copy``; made in chunks, so a huge ``n`` never is one array."""
     starts = counted.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(chunk).cast("long"))))
@@ -82,36 +64,3 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
         for k in keys:
             new[1:n] |= k[1:] != k[:-1]
     return np.flatnonzero(new)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of an undirected graph, as ``(v, root)`` with the smallest vertex as root.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014): each node's
-    neighbours are linked to its smallest neighbour until only stars are left. Every
-    step is a map-side combined ``min`` and an equi-join, so a hub is never gathered in
-    one task, and the number of rounds grows with the logarithm of a component's size.
-
-    ``edges`` has two integer columns ``a`` and ``b``; self-loops and repeats are allowed.
-    """
-
-    def orient(df: DataFrame) -> DataFrame:
-        return df.where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct()
-
-    def mark(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    cur = checkpointed(orient(edges.selectExpr("a u", "b v")))
-    was = mark(cur)
-    while was[0]:
-        both = cur.union(cur.selectExpr("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
-        large = both.join(least, "u").where("v > u").selectExpr("v u", "m v").where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("v u", "m v").union(least.selectExpr("u", "m v"))
-        cur = checkpointed(orient(small))
-        now = mark(cur)
-        if now == was:
-            break
-        was = now
-    return cur.selectExpr("u v", "v root").union(cur.selectExpr("v", "v root").distinct())
