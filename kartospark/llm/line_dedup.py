@@ -106,15 +106,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _map_words(size: np.ndarray) -> np.ndarray:
-    """64-bit words of a set's parity map: one for each 64 words of the line, rounded up to a power of two, at most 32."""
-    return 1 << np.minimum(5, np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64))
+def _map_words(size: np.ndarray, per: int = 64) -> np.ndarray:
+    """64-bit words of a set's parity map: one for each ``per`` words of the line, rounded up to a power of two, at most 32."""
+    return 1 << np.minimum(5, np.ceil(np.log2(np.maximum(size, per) / per)).astype(np.int64))
 
 
-def _classes(start: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _classes(start: np.ndarray, token: np.ndarray, per: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class hash of each line's set, and parity maps as words with offsets."""
     size = np.diff(start)
-    words = _map_words(size)
+    words = _map_words(size, per)
     offset = np.append(0, np.cumsum(words))
     flat = np.zeros(offset[-1], dtype=np.uint64)
     if not len(size):
@@ -168,11 +168,15 @@ def _cell(token: np.ndarray) -> np.ndarray:
     return (token >> np.uint64(20)).astype(np.int64) % N_CELLS
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_hashes(texts: list[bytes | None]) -> np.ndarray:
+    return _words(texts)[0]
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch], tokens=_word_hashes) -> Iterator[pa.RecordBatch]:
     """Counts of a task's words, in chunks of ``CHUNK`` cells."""
     total = np.zeros(N_CELLS, dtype=np.int32)
     for batch in batches:
-        cells = [_cell(_words(as_bytes(part.column("text")))[0]) for part in slices(batch, "text", _SLICE // 4)]
+        cells = [_cell(tokens(as_bytes(part.column("text")))) for part in slices(batch, "text", _SLICE // 4)]
         if cells:
             total += np.bincount(np.concatenate(cells), minlength=N_CELLS).astype(np.int32)
     chunks = total.reshape(-1, CHUNK)
@@ -190,18 +194,18 @@ def _level_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array(levels, type=pa.binary())], names=["chunk", "levels"])
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
+def rarity(docs: DataFrame, tokens=_word_hashes) -> np.ndarray:
     """Level of each cell: 0 if its words occur once in all, else one more than the logarithm of their count, in fifths."""
-    counts = docs.select("text").mapInArrow(_count_batches, "chunk int, counts binary")
+    counts = docs.select("text").mapInArrow(partial(_count_batches, tokens=tokens), "chunk int, counts binary")
     level = np.zeros((N_CELLS // CHUNK, CHUNK), dtype=np.uint8)
     for r in counts.repartition("chunk").mapInArrow(_level_batches, "chunk int, levels binary").collect():
         level[r["chunk"]] = np.frombuffer(r["levels"], dtype=np.uint8)
     return level.ravel()
 
 
-def _prefix(size: np.ndarray) -> np.ndarray:
+def _prefix(size: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Words of which a set shares one with every similar set that is no larger than needed."""
-    return size - np.ceil(THRESHOLD * size - 1e-9).astype(np.int64) + 1
+    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch], level, block: int) -> Iterator[pa.RecordBatch]:
@@ -237,32 +241,34 @@ def _line_batches(batches: Iterator[pa.RecordBatch], level, block: int) -> Itera
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), nested], names=["doc_id", "text_key", "lines"])
 
 
-def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _needed(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Least overlap of similar sets of these sizes."""
-    return np.ceil(THRESHOLD / (1 + THRESHOLD) * (a + b) - 1e-9)
+    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def _may_match(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _may_match(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Pairs of rows that length, position and parity leave; rows without a position may match anywhere.
 
     In a run of two blocks only pairs across them count.
     """
     a, b = r["size"][i], r["size"][j]
-    need = _needed(a, b)
+    need = _needed(a, b, threshold)
     ok = (np.minimum(a - r["position"][i], b - r["position"][j]) >= need) & ((r["half"][i] == 2) | (r["half"][i] != r["half"][j]))
     ok[np.flatnonzero(ok)] = r["parity"].close(i[ok], j[ok], (a + b - 2 * need)[ok])
     return ok
 
 
-def _pairs(r: dict[str, np.ndarray], starts: np.ndarray):
-    """Candidate pairs within runs, in pieces of bounded size; rows of a run are sorted by size."""
+def _pairs(r: dict[str, np.ndarray], starts: np.ndarray, threshold: float = THRESHOLD, longest: int | None = None):
+    """Candidate pairs within runs, in pieces of bounded size; rows of a run are sorted by size. Runs beyond ``longest`` rows are left out."""
     n = int(starts[-1])
     end = np.repeat(starts[1:], np.diff(starts))
     rows = np.arange(n)
     # Sizes ascend, so partners of a row lie in a stretch behind it.
     span = r["run"] * (1 << 32)
-    last = np.minimum(np.searchsorted(span + r["size"], span + np.floor(r["size"] / THRESHOLD + 1e-9).astype(np.int64), side="right"), end)
+    last = np.minimum(np.searchsorted(span + r["size"], span + np.floor(r["size"] / threshold + 1e-9).astype(np.int64), side="right"), end)
     todo = last - rows - 1
+    if longest is not None:
+        todo[np.repeat(np.diff(starts) > longest, np.diff(starts))] = 0
     total = np.cumsum(todo)
     at = 0
     while at < n:
@@ -271,7 +277,7 @@ def _pairs(r: dict[str, np.ndarray], starts: np.ndarray):
         k = todo[at:stop]
         i = np.repeat(rows[at:stop], k)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-        ok = _may_match(r, i, j)
+        ok = _may_match(r, i, j, threshold)
         yield i[ok], j[ok]
         at = stop
 
@@ -284,7 +290,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             continue
         key = batch.column("key").to_numpy()
         cut = int(run_starts(key)[-2])
-        new = held and key[0] != held[-1].column("key")[-1].as_py()
+        new = bool(held) and key[0] != held[-1].column("key")[-1].as_py()
         held.append(batch)
         if cut or new:
             rows = pa.Table.from_batches(held)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartospark.llm.common import as_bytes, checkpointed, connected_components, run_starts, slices, written
+from kartospark.llm.shingle_sets import similar_groups
 
 SEED = 42
 N_PIVOTS = 16
@@ -232,149 +233,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Similarity search: words of 64 bits a fingerprint, bits sampled for a table's key, and tables.
-WIDE_WORDS = 4
-KEY_BITS = 16
-N_TABLES = 48
-#: Rows of one table key compared inside one task.
-WIDE_BLOCK = 4096
-#: Longest run compared pair by pair at once.
-WIDE_RUN = 512
-
-_ROUNDS = [np.uint64(x | 1) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-
-
-def _wide_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            hashed = [np.array(shingle_hashes(t, size), dtype=np.uint64) for t in as_bytes(part.column("text"))]
-            counts = np.array([len(h) for h in hashed], dtype=np.int64)
-            h = np.concatenate(hashed)
-            words = []
-            for i in range(WIDE_WORDS):
-                m = h if not i else (h ^ (h >> np.uint64(29))) * _ROUNDS[i]
-                words.append(pa.array(majority_bits(m ^ (m >> np.uint64(32)), counts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *words], names=["doc_id", "text_key", *_WIDE])
-
-
-_WIDE = [f"w{i}" for i in range(WIDE_WORDS)]
-
-
-def _table_masks() -> list[int]:
-    """For each table a mask of ``KEY_BITS`` bits, drawn by a fixed seed."""
-    rng = np.random.default_rng(11)
-    return [sum(1 << int(b) for b in rng.choice(64, KEY_BITS, replace=False)) for _ in range(N_TABLES)]
-
-
-def wide_distance(similarity: float) -> int:
-    """Most differing bits expected of fingerprints of sets with this Jaccard similarity, with half a deviation to spare."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * WIDE_WORDS
-    return int(n * share + 0.5 * np.sqrt(n * share * (1 - share)))
-
-
-def _apart(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
-
-
-def _spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the links a spanning forest keeps."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
-
-    keep = np.zeros(len(i), dtype=bool)
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = root(x), root(y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep[k] = True
-    return keep
-
-
-def _wide_links(fps: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links, as row numbers, within runs of one key each; a spanning forest of every run."""
-    length = np.diff(starts)
-    end = np.repeat(starts[1:], length)
-    rows = np.flatnonzero(np.repeat(length <= WIDE_RUN, length))
-    a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-    for shift in range(1, WIDE_RUN):
-        rows = rows[rows + shift < end[rows]]
-        if not len(rows):
-            break
-        near = rows[np.bitwise_count(fps[rows, 0] ^ fps[rows + shift, 0]) <= distance]
-        near = near[_apart(fps, near, near + shift) <= distance]
-        a.append(near)
-        b.append(near + shift)
-    for i in np.flatnonzero(length > WIDE_RUN):
-        left = np.arange(starts[i], starts[i + 1])
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                row = queue.pop()
-                hit = np.bitwise_count(fps[left] ^ fps[row]).sum(axis=1, dtype=np.int64) <= distance
-                if hit.any():
-                    a.append(np.full(int(hit.sum()), row))
-                    b.append(left[hit])
-                    queue += left[hit].tolist()
-                    left = left[~hit]
-    i, j = np.concatenate(a), np.concatenate(b)
-    keep = _spanning(i, j)
-    return i[keep], j[keep]
-
-
-def _wide_link_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    held: pa.Table | None = None
-
-    def out(rows: pa.Table) -> pa.RecordBatch:
-        r = {n: rows.column(n).to_numpy() for n in rows.column_names}
-        starts = run_starts(r["t"], r["k"], r["p"])
-        fps = np.stack([r[n] for n in _WIDE], axis=1).view(np.uint64)
-        i, j = _wide_links(fps, starts, distance)
-        return pa.RecordBatch.from_arrays([pa.array(r["v"][i]), pa.array(r["v"][j])], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.Table.from_batches([*(held.to_batches() if held else []), batch])
-        upto = int(run_starts(*(held.column(n).to_numpy() for n in ("t", "k", "p")))[-2])
-        if upto:
-            yield out(held.slice(0, upto))
-            held = held.slice(upto)
-    if held:
-        yield out(held)
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = WIDE_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text_key, root)`` for every row: near duplicates by SimHash at a lower similarity, as for filtering.
-
-    Fingerprints of ``64 * WIDE_WORDS`` bits estimate the cosine of shingle sets; texts link where it is
-    that of the given Jaccard similarity. At such distances no bands stay untouched and pivot
-    coordinates discard hardly anything, so keys are bits sampled from a word, in ``N_TABLES``
-    tables (a pair at 0.8 meets in one of them with a chance of 97 %, at 0.9 of 99.9 %), and
-    pairs of one key are verified by their full distance. ``root`` names the group.
-    """
-    text = F.col(text_col).cast("string")
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    marked = written(picked.mapInArrow(partial(_wide_batches, size=shingle), f"doc_id long, text_key long, {', '.join(f'{n} long' for n in _WIDE)}"))
-    fps = marked.select(F.xxhash64(*_WIDE).alias("v"), *_WIDE).dropDuplicates(["v"])
-    keys = F.array(*[F.col(_WIDE[t % WIDE_WORDS]).bitwiseAND(F.lit(_signed(m))) for t, m in enumerate(_table_masks())])
-    rows = fps.select("v", *_WIDE, F.posexplode(keys).alias("t", "k"))
-    hot = fps.select(F.posexplode(keys).alias("t", "k")).groupBy("t", "k").count().where(F.col("count") > block).selectExpr("t ht", "k hk", f"cast(ceil(count / {block}) as int) n")
-    mine = F.pmod(F.xxhash64("v"), F.col("n")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.least(o, mine) * F.col("n") + F.greatest(o, mine))
-    dealt = rows.join(hot, (F.col("t") == F.col("ht")) & (F.col("k") == F.col("hk")), "left").select("t", "k", "v", *_WIDE, F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("p"))
-    found = dealt.repartition("t", "k", "p").sortWithinPartitions("t", "k", "p").mapInArrow(partial(_wide_link_batches, distance=wide_distance(similarity)), "a long, b long").distinct()
-    roots = connected_components(found)
-    named = marked.select("doc_id", "text_key", F.xxhash64(*_WIDE).alias("f")).join(roots, F.col("f") == F.col("v"), "left")
-    return named.select("doc_id", "text_key", F.coalesce("root", "f").alias("root"))
-
-
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for all except one of each near-duplicate group, with the columns of ``docs``.
+    """The rows of ``docs`` but for all except one of each near-duplicate group (``shingle_sets``), with the columns of ``docs``.
 
     The row with the smallest id stays (a null id comes last; of texts that share it the
     one with the smallest hash, of repeated rows any). Texts without words are one group.
