@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,3 +28,9 @@ def written(df: DataFrame) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Have the driver notice what nothing refers to any more, so that shuffles of finished steps leave the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -86,3 +86,10 @@ def test_long_runs_equal_brute_force(spark, documents, monkeypatch):
     texts = [" ".join(base[: 100 - k] + words(rng, k)) for k in range(0, 30)]
     got, want = groups_of(spark, documents, texts)
     assert got == want
+
+
+def test_isolated_pairs_are_found(spark, documents):
+    texts = isolated(0.8, 0.86, 60, 2)
+    got, want = groups_of(spark, documents, texts)
+    assert len(set(want)) < 70
+    assert got == want
