@@ -3,6 +3,10 @@
 The vocabulary is cut into classes; a token's probability is that of its class times
 that of the word within the class, so no step normalises over the whole vocabulary.
 The last ``n_open`` classes are open: the model predicts the class alone.
+
+All weights are views of one flat vector, so that an update is a handful of array
+passes. Only what depends on the step before runs step by step; the rest of a window
+(inputs, outputs, gradients of weights) is computed for all its steps at once.
 """
 
 from __future__ import annotations
@@ -16,9 +20,12 @@ import numpy as np
 HIDDEN = 16
 #: Steps of one window of truncated backpropagation; the state is carried into the next.
 WINDOW = 16
-#: Streams that a trainer runs side by side.
-STREAMS = 64
-RATE = 0.01
+#: Most streams that a trainer runs side by side; fewer where its texts would make less than ``LEAST_WINDOWS`` windows.
+STREAMS = 512
+LEAST_WINDOWS = 64
+#: A training text is dealt to the streams in stretches of at most so many tokens, each from the zero state.
+STRETCH = 1024
+RATE = 0.02
 CLIP = 1.0
 
 Params = dict[str, np.ndarray]
@@ -67,45 +74,102 @@ def pack(p: Params) -> np.ndarray:
 
 
 def unpack(flat: np.ndarray, like: Params) -> Params:
+    """Weights as views of ``flat``."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
-def step(p: Params, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of all streams: new state, and the gates that backpropagation needs."""
-    g, hu = p["E"][x], h @ p["U"]
-    gates = _sigmoid(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = np.tanh(g[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, hu[:, 2 * HIDDEN :]
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+class Steps:
+    """A window's forward pass: gates and states of all its tokens, step after step."""
+
+    def __init__(self, p: Params, shape: Shape, xs: list[np.ndarray], h: np.ndarray):
+        self.x = np.concatenate(xs)
+        self.cuts = np.cumsum([0, *map(len, xs)]).tolist()
+        n = len(self.x)
+        self.keep = (self.x != shape.start_token).astype(np.float32)[:, None]
+        self.before, self.out, self.n, self.hun = (np.empty((n, HIDDEN), dtype=np.float32) for _ in range(4))
+        self.gates = np.empty((n, 2 * HIDDEN), dtype=np.float32)
+        g = p["E"][self.x]
+        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
+            hp = np.multiply(h[: b - a], self.keep[a:b], out=self.before[a:b])
+            hu = hp @ p["U"]
+            gates = np.add(g[a:b, : 2 * HIDDEN], hu[:, : 2 * HIDDEN], out=self.gates[a:b])
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            self.hun[a:b] = hu[:, 2 * HIDDEN :]
+            n_ = np.multiply(gates[:, HIDDEN:], self.hun[a:b], out=self.n[a:b])
+            n_ += g[a:b, 2 * HIDDEN :]
+            np.tanh(n_, out=n_)
+            h = np.subtract(hp, n_, out=self.out[a:b])
+            h *= gates[:, :HIDDEN]
+            h += n_
+        self.state = h.copy()
+
+    def grads(self, p: Params, d_out: np.ndarray, grads: Params) -> None:
+        """Adds gradients of the recurrent weights, given those of the loss by each token's state (which is overwritten)."""
+        z, r = self.gates[:, :HIDDEN], self.gates[:, HIDDEN:]
+        by_n = (1 - z) * (1 - self.n * self.n)
+        by_hu = np.empty((len(self.x), 3, HIDDEN), dtype=np.float32)
+        by_hu[:, 0] = (self.before - self.n) * z * (1 - z)
+        by_hu[:, 1] = by_n * self.hun * r * (1 - r)
+        by_hu[:, 2] = by_n * r
+        d_hu = np.empty((len(self.x), 3 * HIDDEN), dtype=np.float32)
+        u_t, later = np.ascontiguousarray(p["U"].T), None
+        for a, b in zip(self.cuts[-2::-1], self.cuts[:0:-1], strict=True):
+            dh = d_out[a:b]
+            if later is not None:
+                dh[: len(later)] += later
+            np.multiply(dh[:, None, :], by_hu[a:b], out=d_hu[a:b].reshape(-1, 3, HIDDEN))
+            later = d_hu[a:b] @ u_t
+            later += dh * z[a:b]
+            later *= self.keep[a:b]
+        grads["U"] += self.before.T @ d_hu
+        d_hu[:, 2 * HIDDEN :] = d_out * by_n
+        order = np.argsort(self.x, kind="stable")
+        x = self.x[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        grads["E"][x[first]] += np.add.reduceat(d_hu[order], first, axis=0)
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """Exponentials of columns less their greatest value, in place; returns the sums."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    return x.sum(axis=0)
 
 
 def _by_class(shape: Shape, cls: np.ndarray):
-    """Rows of each closed class of more than one word."""
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(shape.n_closed + 1))
+    """Stretches of sorted ``cls`` of one closed class of more than one word, with the class's words."""
+    cuts = np.searchsorted(cls, np.arange(shape.n_closed + 1)).tolist()
     for c in range(shape.n_closed):
-        if cuts[c + 1] > cuts[c] and shape.starts[c + 1] - shape.starts[c] > 1:
-            yield order[cuts[c] : cuts[c + 1]], int(shape.starts[c]), int(shape.starts[c + 1])
+        a, b = int(shape.starts[c]), int(shape.starts[c + 1])
+        if cuts[c + 1] > cuts[c] and b - a > 1:
+            yield slice(cuts[c], cuts[c + 1]), a, b
 
 
 def log_prob(p: Params, shape: Shape, h: np.ndarray, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log probability of each target given the state before it; open classes count by class alone."""
-    out = _log_softmax(h @ p["Wc"] + p["bc"])[np.arange(len(cls)), cls]
-    for rows, a, b in _by_class(shape, cls):
-        out[rows] += _log_softmax(h[rows] @ p["Ww"][:, a:b] + p["bw"][a:b])[np.arange(len(rows)), word[rows] - a]
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    h, cls, word, at = np.ascontiguousarray(h[order].T), cls[order], word[order], np.arange(len(cls))
+    x = p["Wc"].T @ h
+    x += p["bc"][:, None]
+    share = x[cls, at]
+    share -= x.max(axis=0)
+    share -= np.log(_exp(x))
+    for part, a, b in _by_class(shape, cls):
+        x = p["Ww"][:, a:b].T @ h[:, part]
+        x += p["bw"][a:b, None]
+        mine = x[word[part] - a, at[: x.shape[1]]]
+        mine -= x.max(axis=0)
+        mine -= np.log(_exp(x))
+        share[part] += mine
+    out = np.empty(len(cls))
+    out[order] = share
     return out
 
 
@@ -148,84 +212,76 @@ def total_log_prob(p: Params, shape: Shape, inputs: np.ndarray, cls: np.ndarray,
     feed = Feed(shape, inputs, starts, counts, n_streams)
     out = np.zeros(len(inputs))
     h = np.zeros((len(feed.length), HIDDEN), dtype=np.float32)
-    for steps in feed.windows(window):
-        states = []
-        for rows in steps:
-            x = feed.before[rows]
-            h = np.where((x == shape.start_token)[:, None], np.float32(0), h[: len(rows)])  # a copy: earlier states are still needed
-            h = step(p, x, h)[0]
-            states.append(h)
-        rows = np.concatenate(steps)
-        out[rows] = log_prob(p, shape, np.concatenate(states), cls[rows], word[rows])
+    for rows in feed.windows(window):
+        steps = Steps(p, shape, [feed.before[s] for s in rows], h)
+        h, rows = steps.state, np.concatenate(rows)
+        out[rows] = log_prob(p, shape, steps.out, cls[rows], word[rows])
     return out
 
 
 def _output_grads(p: Params, shape: Shape, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: Params) -> np.ndarray:
     """Adds gradients of the mean negative log probability; returns that of the states."""
     m = np.float32(1 / len(cls))
-    d = np.exp(_log_softmax(h @ p["Wc"] + p["bc"]))
-    d[np.arange(len(cls)), cls] -= 1
-    d *= m
-    grads["Wc"] += h.T @ d
-    grads["bc"] += d.sum(axis=0)
-    dh = d @ p["Wc"].T
-    for rows, a, b in _by_class(shape, cls):
-        x = h[rows]
-        d = np.exp(_log_softmax(x @ p["Ww"][:, a:b] + p["bw"][a:b]))
-        d[np.arange(len(rows)), word[rows] - a] -= 1
-        d *= m
-        grads["Ww"][:, a:b] += x.T @ d
-        grads["bw"][a:b] += d.sum(axis=0)
-        dh[rows] += d @ p["Ww"][:, a:b].T
-    return dh
-
-
-def window_grads(p: Params, shape: Shape, xs: list[np.ndarray], cls: np.ndarray, word: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray]:
-    """Gradients of one window, backpropagated to its first step, and the state after it."""
-    kept = []
-    for x in xs:
-        h = h[: len(x)].copy()
-        h[x == shape.start_token] = 0
-        new, z, r, n, hun = step(p, x, h)
-        kept.append((h, z, r, n, hun))
-        h = new
-    outs = [n + z * (hp - n) for hp, z, _, n, _ in kept]
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
-    flat = _output_grads(p, shape, np.concatenate(outs), cls, word, grads)
-    cuts = np.cumsum([len(x) for x in xs])
-    dh_next = np.zeros((0, HIDDEN), dtype=np.float32)
-    dgs: list[np.ndarray] = [np.empty(0)] * len(xs)
-    for t in range(len(xs) - 1, -1, -1):
-        hp, z, r, n, hun = kept[t]
-        dh = flat[cuts[t] - len(xs[t]) : cuts[t]].copy()
-        dh[: len(dh_next)] += dh_next
-        dan = dh * (1 - z) * (1 - n * n)
-        daz = dh * (hp - n) * z * (1 - z)
-        dar = dan * hun * r * (1 - r)
-        dgs[t] = np.concatenate([daz, dar, dan], axis=1)
-        dhu = np.concatenate([daz, dar, dan * r], axis=1)
-        grads["U"] += hp.T @ dhu
-        dh_next = dh * z + dhu @ p["U"].T
-        dh_next[xs[t] == shape.start_token] = 0
-    np.add.at(grads["E"], np.concatenate(xs), np.concatenate(dgs))
-    return grads, h
-
-
-def fit(p: Params, shape: Shape, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> Params:
-    """One pass of truncated backpropagation with Adam over the texts, from ``p``."""
-    p = {k: v.copy() for k, v in p.items()}
-    feed = Feed(shape, inputs, starts, counts, STREAMS)
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    h = np.zeros((len(feed.length), HIDDEN), dtype=np.float32)
-    for i, steps in enumerate(feed.windows(WINDOW), start=1):
-        rows = np.concatenate(steps)
-        grads, h = window_grads(p, shape, [feed.before[s] for s in steps], cls[rows], word[rows], h)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        shrink = np.float32(min(1.0, CLIP / max(norm, 1e-12)) * min(1.0, len(rows) / (STREAMS * WINDOW)) ** 0.5)
-        for k, g in grads.items():
-            g *= shrink
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            p[k] -= np.float32(RATE / (1 - 0.9**i)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**i)) + np.float32(1e-6))
-    return p
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    h, cls, word, at = np.ascontiguousarray(h[order].T), cls[order], word[order], np.arange(len(cls))
+
+    def errors(w: np.ndarray, bias: np.ndarray, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        d = w.T @ h
+        d += bias[:, None]
+        d *= m / _exp(d)
+        d[target, at[: len(target)]] -= m
+        return d
+
+    d = errors(p["Wc"], p["bc"], h, cls)
+    grads["Wc"] += h @ d.T
+    grads["bc"] += d.sum(axis=1)
+    dh = p["Wc"] @ d
+    for part, a, b in _by_class(shape, cls):
+        d = errors(p["Ww"][:, a:b], p["bw"][a:b], h[:, part], word[part] - a)
+        grads["Ww"][:, a:b] += h[:, part] @ d.T
+        grads["bw"][a:b] += d.sum(axis=1)
+        dh[:, part] += p["Ww"][:, a:b] @ d
+    out = np.empty((len(cls), HIDDEN), dtype=np.float32)
+    out[order] = dh.T
+    return out
+
+
+def window_grads(p: Params, shape: Shape, xs: list[np.ndarray], cls: np.ndarray, word: np.ndarray, h: np.ndarray, grads: Params) -> np.ndarray:
+    """Adds gradients of one window's mean loss to ``grads``, backpropagated to its first step; returns the state after it."""
+    steps = Steps(p, shape, xs, h)
+    steps.grads(p, _output_grads(p, shape, steps.out, cls, word, grads), grads)
+    return steps.state
+
+
+class Trainer:
+    """Adam over windows of texts, from ``weights``; moments last from one call to the next."""
+
+    def __init__(self, weights: np.ndarray, like: Params, shape: Shape):
+        self.flat, self.shape = weights.astype(np.float32), shape
+        self.p = unpack(self.flat, like)
+        self.grad, self.first, self.second = (np.zeros_like(self.flat) for _ in range(3))
+        self.grads, self.n = unpack(self.grad, like), 0
+
+    def fit(self, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        """One pass of truncated backpropagation over the texts."""
+        pieces = -(-counts // STRETCH)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts, counts = np.repeat(starts, pieces) + nth * STRETCH, np.minimum(np.repeat(counts, pieces) - nth * STRETCH, STRETCH)
+        n = int(np.clip(counts.sum() // (WINDOW * LEAST_WINDOWS), 8, STREAMS))
+        feed = Feed(self.shape, inputs, starts, counts, n)
+        h = np.zeros((len(feed.length), HIDDEN), dtype=np.float32)
+        for steps in feed.windows(WINDOW):
+            rows = np.concatenate(steps)
+            self.grad.fill(0)
+            h = window_grads(self.p, self.shape, [feed.before[s] for s in steps], cls[rows], word[rows], h, self.grads)
+            self.n += 1
+            norm = float(np.sqrt(self.grad @ self.grad))
+            self.grad *= np.float32(min(1.0, CLIP / max(norm, 1e-12)) * min(1.0, len(rows) / (len(feed.length) * WINDOW)) ** 0.5)
+            self.first += np.float32(0.1) * (self.grad - self.first)
+            self.second += np.float32(0.01) * (self.grad * self.grad - self.second)
+            step = np.sqrt(self.second)
+            step *= np.float32((1 - 0.99**self.n) ** -0.5)
+            step += np.float32(1e-6)
+            np.divide(self.first, step, out=step)
+            step *= np.float32(RATE / (1 - 0.9**self.n))
+            self.flat -= step

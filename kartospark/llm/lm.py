@@ -7,9 +7,12 @@ dictionary that grows with the corpus is ever sent to tasks.
 The recurrent model (``gru``) has the ``N_MODELLED`` most frequent words in closed
 classes of about equal mass. All other words fall into open classes by their last bytes;
 within an open class a word has its smoothed relative count, unseen words together one
-more share, so every text has a proper probability. Training is parallel: in each of
-``ROUNDS`` rounds every task runs truncated backpropagation over its share of a fixed
-fraction of all training texts from the same weights, and the weights are averaged.
+more share, so every text has a proper probability.
+
+Every training text trains it, in one of ``ROUNDS`` rounds. A round's texts are dealt by
+hash to groups of about ``GROUP_BYTES``; each group runs truncated backpropagation over
+its texts from the same weights, and the weights are averaged. Groups and their order
+follow from the texts alone, so the model does not depend on how a table is split.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ N_MODELLED = 1023
 N_CLOSED = 24
 N_OPEN = 32
 ROUNDS = 3
-#: One in so many training texts, by hash, trains the recurrent model; counts use all of them.
-TRAIN_EVERY = 8
+#: Training text of one group, and the most groups of a round; beyond that groups grow.
+GROUP_BYTES = 8 << 20
+MAX_GROUPS = 1 << 14
 _FLUSH = 300_000
 _SLICE = 4 << 20
 _LN10 = float(np.log(10))
@@ -167,29 +171,46 @@ def _encode(lex: Lexicon, texts: list[bytes | None]):
     return ids, cls, number, inputs, counts, rare_at, rare
 
 
-def _train_batches(batches: Iterator[pa.RecordBatch], lex, weights: np.ndarray, like: gru.Params) -> Iterator[pa.RecordBatch]:
-    """Averages of the weights that a task arrives at, as sums weighted by tokens."""
-    lex, total, n = lex.value, np.zeros(len(weights)), 0
-    p = gru.unpack(weights, like)
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Texts of one group after another, in pieces of about ``_SLICE`` bytes that do not depend on the batches."""
+    at, texts, size = None, [], 0
     for batch in batches:
-        for part in slices(batch, "text", _SLICE):
-            _, cls, number, inputs, counts, _, _ = _encode(lex, as_bytes(part.column("text")))
-            p = gru.fit(p, lex.shape, inputs, cls, number, np.cumsum(counts) - counts, counts)
+        for group, text in zip(batch.column("group").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            if texts and (group != at or size >= _SLICE):
+                yield at, texts
+                texts, size = [], 0
+            at = group
+            texts.append(text)
+            size += len(text or b"")
+    if texts:
+        yield at, texts
+
+
+def _train_batches(batches: Iterator[pa.RecordBatch], lex, weights: np.ndarray, like: gru.Params) -> Iterator[pa.RecordBatch]:
+    """Weights that a task's groups arrive at, as sums weighted by tokens."""
+    lex, total, n, at, trainer = lex.value, np.zeros(len(weights) + 1), 0, None, None
+    for group, texts in chain(_pieces(batches), [(None, [])]):
+        if group != at:
+            if trainer is not None:
+                total += n * np.append(1.0, trainer.flat)
+            at, n, trainer = group, 0, gru.Trainer(weights, like, lex.shape)
+        if texts:
+            _, cls, number, inputs, counts, _, _ = _encode(lex, texts)
+            trainer.fit(inputs, cls, number, np.cumsum(counts) - counts, counts)
             n += int(counts.sum())
-    if n:
-        total = gru.pack(p).astype(np.float64) * n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total), dtype=np.int32)), pa.array(np.append(n, total))], names=["at", "value"])
+    if total[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(weights), dtype=np.int32)), pa.array(total)], names=["at", "value"])
 
 
-def train(docs: DataFrame, lex: Lexicon, n_texts: int, lex_sent) -> gru.Params:
-    """Train on one in ``TRAIN_EVERY`` rows of ``docs`` (``doc_id, text``), each round on another part of them."""
+def train(docs: DataFrame, lex: Lexicon, n_texts: int, lex_sent, n_bytes: int, group_bytes: int = GROUP_BYTES) -> gru.Params:
+    """Train on every row of ``docs`` (``doc_id, text``, of ``n_bytes`` of text in all), each in one round."""
     like = start_weights(lex, n_texts)
     weights = gru.pack(like)
-    part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(TRAIN_EVERY * ROUNDS))
-    chosen = written(docs.where(part < ROUNDS).select(part.alias("part"), "text"))
+    n_groups = int(np.clip(-(-n_bytes // (ROUNDS * group_bytes)), 1, MAX_GROUPS))
+    rows = docs.select(F.xxhash64("text", "doc_id").alias("h"), "text").withColumn("group", F.pmod(F.shiftright("h", 8), F.lit(n_groups)).cast("int"))
     for i in range(ROUNDS):
-        rows = chosen.where(F.col("part") == i).select("text")
-        sums = rows.mapInArrow(partial(_train_batches, lex=lex_sent, weights=weights, like=like), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow().to_pandas()
+        dealt = rows.where(F.pmod("h", F.lit(ROUNDS)) == i).repartitionById(n_groups, "group").sortWithinPartitions("group", "h").select("group", "text")
+        sums = dealt.mapInArrow(partial(_train_batches, lex=lex_sent, weights=weights, like=like), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow().to_pandas()
         if len(sums):
             at = sums.set_index("at")["value"].sort_index()
             weights = (at.loc[0:].to_numpy() / at.loc[-1]).astype(np.float32)
@@ -234,19 +255,20 @@ def scored(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
 
     Rows where ``training`` is true are learnt from; scores are log10 probabilities of
     whole texts, end token included. A null text is an empty one: its end token alone.
-    Texts are never cut; a very long one only makes its stream longer. Repeated rows
+    Texts are never cut; a very long one only makes its stream longer (in training its
+    stretches of ``gru.STRETCH`` tokens start anew). Repeated rows
     have equal scores and count as often as they occur. Without training text only the
     end token's and unseen words' shares are left, and scores are finite. An empty table
     gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     learnt = rows.where("training")
-    n_texts = learnt.select("doc_id").count()
+    n_texts, n_bytes = learnt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     counts = count(learnt)
     lex = lexicon(counts, n_texts)
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(lex)
-    params = context.broadcast(train(learnt.select("doc_id", "text"), lex, n_texts, sent))
+    params = context.broadcast(train(learnt.select("doc_id", "text"), lex, n_texts, sent, n_bytes))
     marked = rows.select("doc_id", "text").mapInArrow(partial(_score_batches, lex=sent, params=params, n_texts=n_texts), _SCORED)
     marked = written(marked.withColumn("uid", F.monotonically_increasing_id()))
     hashed = counts.select(F.xxhash64("word").alias("ch"), F.col("n").alias("c"))

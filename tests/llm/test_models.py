@@ -107,7 +107,7 @@ def test_recurrent_model_is_a_distribution(spark, documents):
     df = documents(rows).select("doc_id", "text")
     counts = lm.count(df)
     lex = lm.lexicon(counts, 40)
-    params = lm.train(df, lex, 40, spark.sparkContext.broadcast(lex))
+    params = lm.train(df, lex, 40, spark.sparkContext.broadcast(lex), 4000)
     shape = lex.shape
     h = rng.normal(size=(1, lm.gru.HIDDEN)).astype(np.float32)
     words = np.arange(shape.n_words)
@@ -117,6 +117,66 @@ def test_recurrent_model_is_a_distribution(spark, documents):
     assert closed + opened == pytest.approx(1, abs=1e-4)
 
 
+def test_training_does_not_depend_on_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm, "_SLICE", 300)
+    rng = np.random.default_rng(5)
+    df = documents(EDGE + [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.5, 30) % 40)) for i in range(60)]).select("doc_id", "text")
+    lex = lm.lexicon(lm.count(df), 70)
+    sent = spark.sparkContext.broadcast(lex)
+    one, many = (lm.gru.pack(lm.train(d, lex, 70, sent, 8000, group_bytes=500)) for d in (df.coalesce(1), df.repartition(7)))
+    assert np.abs(one - many).max() < 1e-5
+    assert np.abs(one - lm.gru.pack(lm.start_weights(lex, 70))).max() > 0.01
+
+
+def test_every_training_text_trains_once(spark, documents, monkeypatch):
+    """The texts that reach the trainers, over all rounds, are the table's rows."""
+    rows = EDGE + [(100 + i, f"text {i}") for i in range(50)]
+    df = documents(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    seen = spark.sparkContext.accumulator(0)
+
+    lex = lm.lexicon(lm.count(df), len(rows))
+    monkeypatch.setattr(lm, "_train_batches", _counting(lm._train_batches, seen))
+    lm.train(df, lex, len(rows), spark.sparkContext.broadcast(lex), 1000)
+    assert seen.value == len(rows)
+
+
+def _counting(batches_of, seen):
+    def run(batches, **options):
+        def told():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return batches_of(told(), **options)
+
+    return run
+
+
+def test_gradients_equal_differences():
+    """Backpropagated gradients of a window against central differences of its loss."""
+    rng = np.random.default_rng(6)
+    shape = lm.gru.Shape(np.array([0, 1, 4, 6]), 2)
+    like = lm.gru.initial(shape, np.ones(5), np.ones(6))
+    flat = (lm.gru.pack(like) + rng.normal(0, 0.5, sum(v.size for v in like.values()))).astype(np.float32)
+    lengths = [4, 4, 4, 3, 2]
+    xs = [rng.integers(0, shape.start_token + 1, k) for k in lengths]
+    cls = rng.integers(0, 5, sum(lengths))
+    word = np.array([rng.integers(shape.starts[c], shape.starts[c + 1]) if c < 3 else -1 for c in cls])
+    h = rng.normal(0, 0.5, (4, lm.gru.HIDDEN)).astype(np.float32)
+
+    def loss(w):
+        p = lm.gru.unpack(w, like)
+        return -lm.gru.log_prob(p, shape, lm.gru.Steps(p, shape, xs, h).out, cls, word).mean()
+
+    grad = np.zeros_like(flat)
+    lm.gru.window_grads(lm.gru.unpack(flat, like), shape, xs, cls, word, h, lm.gru.unpack(grad, like))
+    for i in rng.choice(len(flat), 120, replace=False):
+        up, down = flat.copy(), flat.copy()
+        up[i] += 0.01
+        down[i] -= 0.01
+        assert grad[i] == pytest.approx((loss(up) - loss(down)) / 0.02, abs=2e-4)
+
+
 def test_state_runs_through_the_whole_text():
     rng = np.random.default_rng(4)
     shape = lm.gru.Shape(np.array([0, 2, 5]), 1)
@@ -126,12 +186,22 @@ def test_state_runs_through_the_whole_text():
     cls = np.array([0, 0, 1, 1, 1])[word]
     starts, counts = np.array([0, 10, 10, 33]), np.array([10, 0, 23, 7])
     whole = lm.gru.total_log_prob(p, shape, word, cls, word, starts, counts, n_streams=2, window=4)
-    h = np.zeros((1, lm.gru.HIDDEN), dtype=np.float32)
+    size = lm.gru.HIDDEN
+
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
     for a, n in zip(starts, counts, strict=True):
-        h[:], x = 0, shape.start_token
+        h, x = np.zeros(size), shape.start_token
         for t in range(a, a + n):
-            h = lm.gru.step(p, np.array([x]), h)[0]
-            assert whole[t] == pytest.approx(float(lm.gru.log_prob(p, shape, h, cls[t : t + 1], word[t : t + 1])[0]), abs=1e-4)
+            e, u = p["E"][x], h @ p["U"]
+            z, r = sigmoid(e[:size] + u[:size]), sigmoid(e[size : 2 * size] + u[size : 2 * size])
+            new = np.tanh(e[2 * size :] + r * u[2 * size :])
+            h = (1 - z) * new + z * h
+            by_class, lo, hi = np.exp(h @ p["Wc"] + p["bc"]), *shape.starts[cls[t] : cls[t] + 2]
+            by_word = np.exp(h @ p["Ww"][:, lo:hi] + p["bw"][lo:hi])
+            want = np.log(by_class[cls[t]] / by_class.sum() * by_word[word[t] - lo] / by_word.sum())
+            assert whole[t] == pytest.approx(want, abs=1e-4)
             x = word[t]
 
 
