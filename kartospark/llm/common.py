@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kartospark.operators.graph import connected_components
 from kartospark.sources.shared import checkpointed, written
 
-__all__ = ["SLICE_BYTES", "WORD", "as_bytes", "checkpointed", "connected_components", "crc32_mod", "repeated", "run_starts", "slices", "table", "written"]
+__all__ = ["SLICE_BYTES", "WORD", "as_bytes", "checkpointed", "connected_components", "crc32_mod", "repeated", "run_starts", "slices", "table", "unused", "written"]
 
 #: Words of every operator but benchmark decontamination: runs of anything but these six blanks,
 #: which are also the bytes that ``bytes.split()`` splits on.
@@ -26,10 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names, one for each stem, that ``df`` does not have, however it is called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = next(n for i in range(len(taken) + 1) if (n := f"{stem}_{i}") not in taken)
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def repeated(counted: DataFrame, n: str = "n", copy: str = "copy", chunk: int = 10_000) -> DataFrame:
     """``n`` rows for each row, numbered from 0 in ``copy``; made in chunks, so a huge ``n`` never is one array."""
-    starts = counted.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(chunk).cast("long"))))
-    return starts.withColumn(copy, F.explode(F.sequence("__from", F.least(F.col("__from") + chunk, F.col(n)) - 1))).drop("__from", n)
+    (low,) = unused(counted, "low")
+    starts = counted.withColumn(low, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(chunk).cast("long"))))
+    return starts.withColumn(copy, F.explode(F.sequence(low, F.least(F.col(low) + chunk, F.col(n)) - 1))).drop(low, n)
 
 
 def crc32_mod(col: str, n: int) -> Column:

@@ -71,7 +71,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("long")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -171,8 +171,18 @@ ORACLES: dict[str, str] = {
         dg as (select r, n, p, array_to_string(ws[p:p + n - 1], ' ') g from dp),
         hit as (select r, p, win.n, item_id from dg join win on dg.n = win.n and dg.g = win.g),
         cov as (select r, count(distinct q) n_hit from (select r, unnest(range(p, p + n)) q from hit) group by r),
-        its as (select r, count(*) n_items, string_agg(item_id, ',' order by item_id) l from (select distinct r, item_id from hit) group by r)
+        its as (select r, count(*) n_items, string_agg(item_id, ',' order by item_id) l from (select distinct r, item_id from hit) group by r),
+        iw as (select row_number() over () wid, least(10, len(ws))::bigint n, ws[p:p + least(10, len(ws)) - 1] win from (select ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) p from i where len(ws) > 0)),
+        cnt as (select w, count(*) c from (select unnest(ws) w from d) group by w),
+        ww as (select wid, n, w, count(*) times from (select wid, n, unnest(win) w from iw) group by all),
+        rk as (select ww.*, coalesce(sum(times) over (partition by wid order by coalesce(c, 0), w rows between unbounded preceding and 1 preceding), 0) earlier from ww left join cnt using (w)),
+        wl as (select wid, n, list({{'w': w, 'times': times}}) terms from ww group by wid, n),
+        dw as (select r, q, ws[q] w from (select r, ws, unnest(range(1, len(ws) + 1)) q from d)),
+        cand as (select distinct dw.r, rk.wid, dw.q from dw join rk on dw.w = rk.w where earlier <= n // 10),
+        str as (select r, wid, n, terms, ws[greatest(1, q - s):q - s + n + 4] part from (select cand.*, d.ws, wl.n, wl.terms, unnest(range(0, wl.n + 5)) s from cand join d using (r) join wl using (wid))),
+        near as (select r, count(distinct wid) n_near from str
+                 where list_sum(list_transform(terms, lambda x: least(x.times, len(list_filter(part, lambda y: y = x.w))))) >= n - n // 10 group by r)
         select doc_id, coalesce(len(ws), 0)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
-          sha256(coalesce(l, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-        from d left join cov using (r) left join its using (r)""",
+          sha256(coalesce(l, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0) n_near
+        from d left join cov using (r) left join its using (r) left join near using (r)""",
 }

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from kartospark.llm import decontaminate, line_dedup, quality_rules, secrets
 from llm_cases import EDGE
@@ -133,12 +134,45 @@ def test_passages_equal_brute_force(spark, documents):
     assert decontaminate.find_passages(documents([]), bench).collect() == []
 
 
-def test_near_matches_are_counted(spark, documents):
-    words = [f"t{i}" for i in range(10)]
-    bench = spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")
-    swapped = " ".join([words[1], words[0], *words[2:]])
-    row = decontaminate.find_passages(documents([(1, swapped)]), bench).first()
-    assert row.hits == [] and row.n_near == 1
+def brute_near(text, items):
+    """Windows of items of which some stretch of the text has all words but a tenth, repeats counted."""
+    words, total = decontaminate.words((text or "").encode()), 0
+    for _, t in items:
+        w = decontaminate.words((t or "").encode())
+        for i in range(max(1, len(w) - 9) if w else 0):
+            win = Counter(w[i : i + 10])
+            n = sum(win.values())
+            total += any(sum((win & Counter(words[p : p + n + 5])).values()) >= n - n // 10 for p in range(len(words)))
+    return total
+
+
+def test_near_matches_equal_brute_force(spark, documents):
+    items, rows = items_and_rows()
+    t = [f"t{i}" for i in range(14)]
+    items += [(20, " ".join(t))]
+    rows = [r for r in rows if r[0] != 7] + [
+        (50, " ".join([t[1], t[0], *t[2:10]])),
+        (51, " ".join([*t[:3], "other", *t[4:10]])),  # one word replaced
+        (52, " ".join([*t[:3], "other", "other", *t[5:10]])),  # two
+        (53, " ".join(["some", t[9], "more", t[8], "words", *t[:8], "and"])),
+        (54, t[3]),  # in no other document of the split
+        (55, "the the the the zero the the the the"),
+        (56, "the one the"),
+    ]
+    rare = [(100 + i, " ".join(t[:3] + t[4:10])) for i in range(5)]  # makes the replaced word the rarest
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    want = sorted((repr(d), brute_near(x, items)) for d, x in rows + rare)
+    assert dict(want)["51"] > 0 and dict(want)["52"] == 0
+    df = documents(rows + rare)
+    for docs, block_bytes in ((df.coalesce(1), 1 << 20), (df.repartition(9), 1 << 20), (df.repartition(3, "text"), 200)):
+        got = decontaminate.find_passages(docs, bench, block_bytes=block_bytes).collect()
+        assert sorted((repr(r.doc_id), r.n_near) for r in got) == want
+
+
+def test_clashing_names_are_left_alone(spark, documents):
+    df = documents([(1, "t0 t1 t2"), (2, "other words")]).selectExpr("*", "'mine' as id_0", "'mine' as key_0", "'mine' as hits")
+    left = decontaminate.without_passages(df, spark.createDataFrame([(1, "t1 t2")], "item_id int, text string"))
+    assert left.columns == df.columns and [(r.doc_id, r.id_0, r.key_0, r.hits) for r in left.collect()] == [(2, "mine", "mine", "mine")]
 
 
 def brute_lines(rows):
