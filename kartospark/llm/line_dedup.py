@@ -11,12 +11,13 @@ a linked one.
    under that word alone. Words that occur once in the corpus are left out.
 3. Rows of one prefix word meet in one place. Length and positional filters and a
    parity map of about a bit a word (two sets differ in at least as many words as bits)
-   discard pairs exactly, without the sets. What is left connects classes, as a forest.
-4. Only connected classes are fetched, with their sets, and pairs within a component that
-   pass the filters are verified.
+   discard pairs exactly, without the sets. Rows of a pair that is left stay in the run.
+4. Only classes that stayed somewhere are fetched, with their sets. They meet again in the
+   same runs, and the pairs that are left there are verified: no others are ever tried.
+   A pair counts in the run of the first word that it shares, so once.
 
-Runs of one word or component longer than ``block`` are cut into pairs of blocks over
-many tasks. Links are counted in place; pairs are never emitted.
+Runs of one word longer than ``block`` are cut into pairs of blocks over many tasks.
+Links are counted in place; pairs are never emitted.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import as_bytes, connected_components, run_starts, slices, written
+from kartospark.llm.common import as_bytes, run_starts, slices, unused, written
 
 THRESHOLD = 0.8
 N_CELLS = 1 << 21
@@ -332,18 +333,19 @@ def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect the classes of each run as its surviving pairs do."""
+    """Rows of each run that are in a surviving pair."""
     for rows in _whole_runs(batches):
         r, starts, _ = _sorted_runs(rows, ["class", "packed"])
-        label = np.arange(len(r["class"]))
+        stays = np.zeros(len(r["class"]), dtype=bool)
         for i, j in _pairs(r, starts):
-            label = _joined(len(label), np.concatenate([label, i]), np.concatenate([np.arange(len(label)), j]))
-        hit = np.flatnonzero(label != np.arange(len(label)))
-        yield pa.RecordBatch.from_arrays([pa.array(r["class"][label[hit]]), pa.array(r["class"][hit])], names=["a", "b"])
+            stays[i] = stays[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(r[n][stays]) for n in ("key", "class", "packed")], names=["key", "class", "packed"])
 
 
 def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of intersections of pairs of sets."""
+    if not len(i):
+        return np.zeros(0, dtype=np.int64)
     a = [sets[k] for k in i.tolist()]
     b = [sets[k] for k in j.tolist()]
     which = np.arange(len(a))
@@ -355,12 +357,13 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each class, and whether one of them is to an earlier class."""
+    """Links of each class in the runs of its words, and whether one of them is to an earlier class."""
     for rows in _whole_runs(batches):
         r, starts, order = _sorted_runs(rows, ["class", "packed", "rank_id", "rank_line"])
         words = rows.column("words").combine_chunks()
         flat, offsets = words.values.to_numpy(), words.offsets.to_numpy()
         sets = [flat[offsets[k] : offsets[k + 1]] for k in order.tolist()]
+        before = [x[:n] for x, n in zip(sets, r["position"].tolist(), strict=True)]  # words ahead of the run's own
         n_links = np.zeros(len(order), dtype=np.int64)
         beaten = np.zeros(len(order), dtype=bool)
         rank = np.empty(len(order), dtype=np.int64)
@@ -368,6 +371,8 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for i, j in _pairs(r, starts):
             for at in range(0, len(i), 10_000):
                 x, y = i[at : at + 10_000], j[at : at + 10_000]
+                first = _overlaps(before, x, y) == 0
+                x, y = x[first], y[first]
                 common = _overlaps(sets, x, y)
                 linked = common >= THRESHOLD * (r["size"][x] + r["size"][y] - common) - 1e-9
                 x, y = x[linked], y[linked]
@@ -389,9 +394,9 @@ def _set_batches(batches: Iterator[pa.RecordBatch], level) -> Iterator[pa.Record
             wanted = [{w["line"]: w for w in x} for x in part.column("wanted").to_pylist()]
             at = [k for k, (i, line) in enumerate(zip(text_of.tolist(), line_no.tolist(), strict=True)) if line in wanted[i]]
             told = [wanted[text_of[k]][line_no[k]] for k in at]
-            columns = [pa.array([t["root"] for t in told], type=pa.int64()), pa.array([t["rank_id"] for t in told], type=pa.int64()), pa.array(line_no[at]), pa.array(cls[at].view(np.int64)), pa.array(np.diff(start)[at] << 32), maps.take(pa.array(at, type=pa.int64()))]
+            columns = [pa.array([t["rank_id"] for t in told], type=pa.int64()), pa.array(line_no[at]), pa.array(cls[at].view(np.int64)), maps.take(pa.array(at, type=pa.int64()))]
             sets = pa.array([token[start[k] : start[k + 1]].view(np.int64) for k in at], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*columns, sets], names=["key", "rank_id", "rank_line", "class", "packed", "parity", "words"])
+            yield pa.RecordBatch.from_arrays([*columns, sets], names=["rank_id", "rank_line", "class", "parity", "words"])
 
 
 def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -441,6 +446,11 @@ def marked_lines(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
     one's lines are removed. Very long lines and texts are compared whole. Empty tables
     give empty results. Other columns are not read.
     """
+    return _marked(docs, block, id_col, text_col)[1]
+
+
+def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All texts ``(uid, doc_id, text_key)`` and ``marked_lines``."""
     context = docs.sparkSession.sparkContext
     rows = _keyed(docs, id_col, text_col)
     level = context.broadcast(rarity(rows))
@@ -453,45 +463,48 @@ def marked_lines(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
     hot = _hot(listed.select(F.explode("x.hot").alias("key")), block)
     packed = F.shiftleft(F.col("x.size").cast("long"), 32) + F.shiftleft(F.col("x.single"), 2)
     postings = listed.select("x.class", "x.parity", packed.alias("packed"), F.posexplode("x.words").alias("place", "key")).select("key", "class", "parity", (F.col("packed") + F.shiftleft("place", 2)).alias("packed"))
-    found = _dealt(postings, hot).mapInArrow(_candidate_batches, "a long, b long").distinct()
-    roots = written(connected_components(found))
-
-    wanted = roots.withColumnRenamed("v", "class").join(classes, "class")
-    by_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("line", "root", F.col("id").alias("rank_id"))).alias("wanted"))
-    texts = rows.join(by_text, _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key")))
-    sets = texts.select("text", "wanted").mapInArrow(partial(_set_batches, level=level), "key long, rank_id long, rank_line long, class long, packed long, parity binary, words array<long>")
-    verified = _dealt(sets, _hot(roots.select(F.col("root").alias("key")), block)).mapInArrow(_verify_batches, "class long, n_links long, beaten boolean")
-    links = verified.groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten"))
+    found = written(_dealt(postings, hot).mapInArrow(_candidate_batches, "key long, class long, packed long"))
+
+    wanted = classes.join(found.select("class").distinct(), "class", "left_semi")
+    by_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("line", F.col("id").alias("rank_id"))).alias("wanted"))
+    texts = rows.join(by_text, _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key"))).dropDuplicates(["doc_id", "text_key"])
+    sets = texts.select("text", "wanted").mapInArrow(partial(_set_batches, level=level), "rank_id long, rank_line long, class long, parity binary, words array<long>").withColumnRenamed("class", "c")
+    met = found.join(sets, F.col("class") == F.col("c")).drop("c").repartition("key").sortWithinPartitions("key")
+    links = met.mapInArrow(_verify_batches, "class long, n_links long, beaten boolean").groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten"))
     told = classes.join(links, "class", "left").select(F.col("class").alias("c"), F.col("uid").alias("first_uid"), F.col("line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("beaten", F.lit(False)).alias("beaten"))
     joined = each.join(told, F.col("class") == F.col("c"))
     first = (F.col("uid") == F.col("first_uid")) & (F.col("line") == F.col("first_line"))
-    return joined.select("uid", "doc_id", "text_key", "line", "class", "n_links", (~first | F.col("beaten")).alias("removed"))
+    return lines.select("uid", "doc_id", "text_key"), joined.select("uid", "doc_id", "text_key", "line", "class", "n_links", (~first | F.col("beaten")).alias("removed"))
 
 
-def by_document(docs: DataFrame, **options) -> DataFrame:
-    """``(doc_id, n_lines, n_removed, n_links, kept)``, one row for each text with a line; ``kept`` lists line numbers."""
-    lines = marked_lines(docs, **options)
-    out = lines.groupBy("uid").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("text_key").alias("text_key"),
+def by_document(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_key, n_lines, n_removed, n_links, kept)``, one row for each row of ``docs``.
+
+    ``kept`` lists line numbers; rows without lines have none and 0 in every count.
+    """
+    texts, lines = _marked(docs, block, id_col, text_col)
+    counted = lines.groupBy(F.col("uid").alias("u")).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if("removed").alias("n_removed"),
         F.sum("n_links").alias("n_links"),
         F.array_sort(F.collect_list(F.when(~F.col("removed"), F.col("line")))).alias("kept"),
     )
-    return out.drop("uid")
+    joined = texts.join(counted, F.col("uid") == F.col("u"), "left")
+    zero = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_lines", "n_removed", "n_links")]
+    return joined.select("doc_id", "text_key", *zero, F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` without removed lines in its texts; blank lines stay, rows without lines are as they were.
 
     Of repeated rows all get the text that is left of the first.
     """
-    found = by_document(docs, id_col=id_col, text_col=text_col, **options).where("n_removed > 0")
-    best = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max_by("kept", F.size("kept")).alias("__kept"))
+    i, k, keep = unused(docs, "id", "key", "keep")
+    found = by_document(docs, block, id_col, text_col).where("n_removed > 0")
+    best = found.groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(k)).agg(F.max_by("kept", F.size("kept")).alias(keep))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(best, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
+    joined = docs.join(best, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(k)), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     blank = F.lit(r"^[\x20\x09-\x0D]*$")
-    kept = F.array_join(F.filter(lines, lambda x, i: F.array_contains("__kept", i) | F.regexp_like(x, blank)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(lines, lambda x, n: F.array_contains(keep, n) | F.regexp_like(x, blank)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(keep).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

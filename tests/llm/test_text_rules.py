@@ -214,9 +214,21 @@ def test_lines_equal_brute_force(spark, documents):
         assert sorted((repr(r.doc_id), r.line, r.n_links, r.removed) for r in got) == want
 
 
+def test_chains_and_copies_equal_brute_force(spark, documents):
+    """Chains of lines similar only to their neighbours, and many near copies of one line."""
+    chain = [" ".join(f"c{k}" for k in range(i, i + 20)) for i in range(0, 60)]
+    copies = [" ".join([*(f"d{k}" for k in range(15)), f"e{i}"]) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(chain + copies)]
+    for block in (4096, 7):
+        got = line_dedup.marked_lines(documents(rows), block=block).collect()
+        assert sorted((repr(r.doc_id), r.line, r.n_links, r.removed) for r in got) == brute_lines(rows)
+
+
 def test_repeated_and_long_rows(spark, documents):
     rows = EDGE + [(50, "the very same text of a repeated row")] * 3
     got = line_dedup.by_document(documents(rows)).collect()
+    assert sorted(repr(r.doc_id) for r in got) == sorted(repr(d) for d, _ in rows)
+    assert all((r.n_lines == 0) == (r.kept == [] and r.n_removed == 0) for r in got)
     assert sorted(r.n_removed for r in got if r.doc_id == 50) == [0, 1, 1]
     df = documents(rows)
     out = line_dedup.without_repeats(df)
