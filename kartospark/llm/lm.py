@@ -5,7 +5,7 @@ frequent are looked up by an equi-join of their hashes with the count table, so
 dictionary that grows with the corpus is ever sent to tasks.
 
 The recurrent model (``gru``) has the ``N_MODELLED`` most frequent words in closed
-classes of about equal mass. All other words fall into open classes by their last bytes;
+classes, rarer words in larger ones. All other words fall into open classes by their last bytes;
 within an open class a word has its smoothed relative count, unseen words together one
 more share, so every text has a proper probability.
 
@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +49,18 @@ _SLICE = 4 << 20
 _LN10 = float(np.log(10))
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Blank-separated words of the text with A-Z in lower case."""
-    return text.lower().split() if text else []
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Blank-separated words of the texts with A-Z in lower case: how many each text has, their numbers, and the distinct words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    coded = lists.flatten().dictionary_encode()
+    number = coded.indices.to_numpy()
+    counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    distinct = coded.dictionary.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()).to_pylist()
+    if b"" in distinct:  # the one word of a text without any
+        full = number != distinct.index(b"")
+        counts -= np.bincount(np.repeat(np.arange(len(counts)), counts)[~full], minlength=len(counts))
+        number = number[full]
+    return counts, number, distinct
 
 
 def open_class(word: bytes) -> int:
@@ -65,7 +75,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for part in slices(batch, "text", _SLICE):
             for text in as_bytes(part.column("text")):
-                seen.update(words(text))
+                seen.update(text.lower().split() if text else ())
             if len(seen) > _FLUSH:
                 yield out(seen)
                 seen = Counter()
@@ -122,8 +132,9 @@ def lexicon(counts: DataFrame, n_texts: int) -> Lexicon:
     n_words, n_types = total[0] or 0, total[1]
     frequent = _frequent(counts)
     modelled = frequent[:N_MODELLED]
-    # Closed classes: runs of the modelled words by falling count, of about equal mass; the end token is a class of its own.
-    mass = np.array([n for _, n in modelled], dtype=np.float64)
+    # Closed classes: runs of the modelled words by falling count, of about equal sums of the counts' square roots, which makes
+    # the number of words normalised over for a token about least; the end token is a class of its own.
+    mass = np.sqrt(np.array([n for _, n in modelled], dtype=np.float64))
     before = np.cumsum(mass) - mass
     group = np.minimum((before / max(mass.sum(), 1) * (N_CLOSED - 1)).astype(int), N_CLOSED - 2) if len(mass) else np.empty(0, dtype=int)
     _, group = np.unique(group, return_inverse=True)
@@ -147,54 +158,62 @@ def start_weights(lex: Lexicon, n_texts: int) -> gru.Params:
     return gru.initial(lex.shape, class_mass, word_mass)
 
 
-def _encode(lex: Lexicon, texts: list[bytes | None]):
-    """Tokens of texts, each closed by the end token: ``ids`` (frequent word, -1 another, -2 end), class, word and input number."""
-    split = [words(t) for t in texts]
-    counts = np.array([len(w) + 1 for w in split], dtype=np.int64)
-    ends = np.cumsum(counts) - 1
-    ids = np.full(int(counts.sum()), -2, dtype=np.int64)
-    is_word = np.ones(len(ids), dtype=bool)
-    is_word[ends] = False
-    ids[is_word] = np.fromiter(map(lex.ids.get, chain.from_iterable(split), repeat(-1)), dtype=np.int64, count=int(is_word.sum()))
-    rare_at = np.flatnonzero(ids == -1)
-    flat = list(chain.from_iterable(split))
-    word_row = np.cumsum(is_word) - 1
-    rare = [flat[i] for i in word_row[rare_at].tolist()]
+def _encode(lex: Lexicon, texts: pa.Array):
+    """Tokens of texts, each closed by the end token.
+
+    Returns ``ids`` (frequent word, -1 another, -2 end), class, word and input number of
+    each token, tokens of each text, and where words that are not frequent stand, with
+    their hashes.
+    """
+    counts, number_of, distinct = words(texts)
+    id_of = np.fromiter(map(lex.ids.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+    cls_of = np.empty(len(distinct), dtype=np.int64)
+    hash_of = np.zeros(len(distinct), dtype=np.uint64)
+    known = id_of >= 0
+    cls_of[known] = lex.cls[id_of[known]]
+    for i in np.flatnonzero(~known).tolist():
+        cls_of[i] = lex.shape.n_closed + open_class(distinct[i])
+        hash_of[i] = xxhash.xxh64_intdigest(distinct[i], 42)
+    word_of = np.full(len(distinct), -1, dtype=np.int64)
+    word_of[known] = lex.number[id_of[known]]
+    counts = counts + 1
+    is_word = np.ones(int(counts.sum()), dtype=bool)
+    is_word[np.cumsum(counts) - 1] = False
+    ids = np.full(len(is_word), -2, dtype=np.int64)
     cls = np.full(len(ids), lex.shape.n_closed - 1, dtype=np.int64)
     number = np.full(len(ids), lex.end, dtype=np.int64)
-    known = ids >= 0
-    cls[known] = lex.cls[ids[known]]
-    number[known] = lex.number[ids[known]]
-    cls[rare_at] = [lex.shape.n_closed + open_class(w) for w in rare]
-    number[rare_at] = -1
+    ids[is_word], cls[is_word], number[is_word] = id_of[number_of], cls_of[number_of], word_of[number_of]
     inputs = np.where(number >= 0, number, lex.shape.n_words + cls - lex.shape.n_closed)
-    return ids, cls, number, inputs, counts, rare_at, rare
+    rare_at = np.flatnonzero(ids == -1)
+    word_row = np.cumsum(is_word) - 1
+    return ids, cls, number, inputs, counts, rare_at, hash_of[number_of[word_row[rare_at]]]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes | None]]]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
     """Texts of one group after another, in pieces of about ``_SLICE`` bytes that do not depend on the batches."""
-    at, texts, size = None, [], 0
+    at, held, size = None, [], 0
     for batch in batches:
-        for group, text in zip(batch.column("group").to_pylist(), as_bytes(batch.column("text")), strict=True):
-            if texts and (group != at or size >= _SLICE):
-                yield at, texts
-                texts, size = [], 0
+        texts, start = batch.column("text"), 0
+        for i, (group, n) in enumerate(zip(batch.column("group").to_pylist(), pc.binary_length(texts).to_pylist(), strict=True)):
+            if at is not None and (group != at or size >= _SLICE):
+                yield at, pa.concat_arrays([*held, texts.slice(start, i - start)])
+                held, start, size = [], i, 0
             at = group
-            texts.append(text)
-            size += len(text or b"")
-    if texts:
-        yield at, texts
+            size += n or 0
+        held.append(texts.slice(start))
+    if at is not None:
+        yield at, pa.concat_arrays(held)
 
 
 def _train_batches(batches: Iterator[pa.RecordBatch], lex, weights: np.ndarray, like: gru.Params) -> Iterator[pa.RecordBatch]:
     """Weights that a task's groups arrive at, as sums weighted by tokens."""
     lex, total, n, at, trainer = lex.value, np.zeros(len(weights) + 1), 0, None, None
-    for group, texts in chain(_pieces(batches), [(None, [])]):
+    for group, texts in chain(_pieces(batches), [(None, None)]):
         if group != at:
             if trainer is not None:
                 total += n * np.append(1.0, trainer.flat)
             at, n, trainer = group, 0, gru.Trainer(weights, like, lex.shape)
-        if texts:
+        if texts is not None:
             _, cls, number, inputs, counts, _, _ = _encode(lex, texts)
             trainer.fit(inputs, cls, number, np.cumsum(counts) - counts, counts)
             n += int(counts.sum())
@@ -228,7 +247,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], lex, params, n_texts: int)
     log_mass = np.log10(lex.open_mass)
     for batch in batches:
         for part in slices(batch, "text", _SLICE):
-            ids, cls, number, inputs, counts, rare_at, rare = _encode(lex, as_bytes(part.column("text")))
+            ids, cls, number, inputs, counts, rare_at, hashes = _encode(lex, part.column("text"))
             starts = np.cumsum(counts) - counts
             text_of = np.repeat(np.arange(len(counts)), counts)
             of_count = log_count[np.where(ids >= 0, ids, np.where(ids == -2, len(lex.counts), len(lex.counts) + 1))]
@@ -237,8 +256,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], lex, params, n_texts: int)
             model = gru.total_log_prob(params, lex.shape, inputs, cls, number, starts, counts) / _LN10
             model[is_open] += of_count[is_open] - log_mass[cls[is_open] - lex.shape.n_closed]
             known = np.add.reduceat(((ids >= 0) | (ids == -2) & (n_texts > 0)).astype(np.int64), starts)
-            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in rare], dtype=np.uint64).view(np.int64)
-            owner = text_of[rare_at]
+            hashes, owner = hashes.view(np.int64), text_of[rare_at]
             order = np.lexsort((hashes, owner))
             hashes, owner = hashes[order], owner[order]
             new = np.ones(len(hashes), dtype=bool)

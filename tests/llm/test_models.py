@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,15 @@ def test_unigram_scores_equal_brute_force(spark, documents, monkeypatch):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_words_equal_python_words():
+    texts = [None, "", " \t ", "one", " A\u00c9 b\x1cc\n\n d\x0b\x0ce ", "x  y", "Zw\u00f6lf \u00a0 words", "one x"]
+    counts, number, distinct = lm.words(pa.array(texts, type=pa.string()))
+    got, at = [distinct[i] for i in number], 0
+    for text, n in zip(texts, counts, strict=True):
+        assert got[at : at + n] == (text or "").encode().lower().split()
+        at += n
+
+
 def test_recurrent_model_is_a_distribution(spark, documents):
     """Probabilities of all next tokens add up to one: modelled words, the end, words of open classes and unseen ones."""
     rng = np.random.default_rng(3)
