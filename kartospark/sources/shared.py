@@ -5,15 +5,22 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables that ``written`` returned and that are still referred to.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """``spark.checkpoint.dir``; where that is unset, a local folder in local mode, and an error on a cluster, whose executors would not see one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -22,7 +29,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _PATHS[made] = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned; nothing made of them may be read any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
