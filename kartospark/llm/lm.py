@@ -18,7 +18,6 @@ follow from the texts alone, so the model does not depend on how a table is spli
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain, repeat
@@ -32,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartospark.llm import gru
-from kartospark.llm.common import as_bytes, slices, written
+from kartospark.llm.common import slices, written
 
 SMOOTH = 0.1
 #: Most words whose counts are sent to all tasks.
 N_FREQUENT = 1 << 17
 N_MODELLED = 1023
 N_CLOSED = 24
-N_OPEN = 32
+N_OPEN = 16
 ROUNDS = 3
 #: Training text of one group, and the most groups of a round; beyond that groups grow.
 GROUP_BYTES = 8 << 20
@@ -68,17 +67,20 @@ def open_class(word: bytes) -> int:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(seen: Counter) -> pa.RecordBatch:
+    def out(seen: dict[bytes, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(seen.keys(), type=pa.binary()), pa.array(seen.values(), type=pa.int64())], names=["word", "n"])
 
-    seen: Counter = Counter()
+    seen: dict[bytes, int] = {}
     for batch in batches:
         for part in slices(batch, "text", _SLICE):
-            for text in as_bytes(part.column("text")):
-                seen.update(text.lower().split() if text else ())
+            _, number, distinct = words(part.column("text"))
+            times = np.bincount(number, minlength=len(distinct)).tolist()
+            for word, n in zip(distinct, times, strict=True):
+                if n:
+                    seen[word] = seen.get(word, 0) + n
             if len(seen) > _FLUSH:
                 yield out(seen)
-                seen = Counter()
+                seen = {}
     yield out(seen)
 
 
@@ -158,22 +160,24 @@ def start_weights(lex: Lexicon, n_texts: int) -> gru.Params:
     return gru.initial(lex.shape, class_mass, word_mass)
 
 
-def _encode(lex: Lexicon, texts: pa.Array):
+def _encode(lex: Lexicon, texts: pa.Array, hashes: bool = True):
     """Tokens of texts, each closed by the end token.
 
     Returns ``ids`` (frequent word, -1 another, -2 end), class, word and input number of
     each token, tokens of each text, and where words that are not frequent stand, with
-    their hashes.
+    their hashes (where asked for).
     """
     counts, number_of, distinct = words(texts)
     id_of = np.fromiter(map(lex.ids.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
-    cls_of = np.empty(len(distinct), dtype=np.int64)
-    hash_of = np.zeros(len(distinct), dtype=np.uint64)
     known = id_of >= 0
+    others = np.flatnonzero(~known)
+    other_words = [distinct[i] for i in others.tolist()]
+    cls_of = np.empty(len(distinct), dtype=np.int64)
     cls_of[known] = lex.cls[id_of[known]]
-    for i in np.flatnonzero(~known).tolist():
-        cls_of[i] = lex.shape.n_closed + open_class(distinct[i])
-        hash_of[i] = xxhash.xxh64_intdigest(distinct[i], 42)
+    cls_of[others] = lex.shape.n_closed + np.fromiter(map(open_class, other_words), dtype=np.int64, count=len(others))
+    hash_of = np.zeros(len(distinct), dtype=np.uint64)
+    if hashes:
+        hash_of[others] = np.fromiter(map(xxhash.xxh64_intdigest, other_words, repeat(42)), dtype=np.uint64, count=len(others))
     word_of = np.full(len(distinct), -1, dtype=np.int64)
     word_of[known] = lex.number[id_of[known]]
     counts = counts + 1
@@ -214,7 +218,7 @@ def _train_batches(batches: Iterator[pa.RecordBatch], lex, weights: np.ndarray,
                 total += n * np.append(1.0, trainer.flat)
             at, n, trainer = group, 0, gru.Trainer(weights, like, lex.shape)
         if texts is not None:
-            _, cls, number, inputs, counts, _, _ = _encode(lex, texts)
+            _, cls, number, inputs, counts, _, _ = _encode(lex, texts, hashes=False)
             trainer.fit(inputs, cls, number, np.cumsum(counts) - counts, counts)
             n += int(counts.sum())
     if total[0]:
