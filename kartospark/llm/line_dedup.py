@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartospark.llm.common import as_bytes, run_starts, slices, unused, written
+from kartospark.sources.shared import forget
 
 THRESHOLD = 0.8
 N_CELLS = 1 << 21
@@ -464,6 +465,8 @@ def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[Da
     packed = F.shiftleft(F.col("x.size").cast("long"), 32) + F.shiftleft(F.col("x.single"), 2)
     postings = listed.select("x.class", "x.parity", packed.alias("packed"), F.posexplode("x.words").alias("place", "key")).select("key", "class", "parity", (F.col("packed") + F.shiftleft("place", 2)).alias("packed"))
     found = written(_dealt(postings, hot).mapInArrow(_candidate_batches, "key long, class long, packed long"))
+    del listed, hot, postings
+    forget(docs.sparkSession)
 
     wanted = classes.join(found.select("class").distinct(), "class", "left_semi")
     by_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("line", F.col("id").alias("rank_id"))).alias("wanted"))
