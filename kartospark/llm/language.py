@@ -20,10 +20,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from kartospark.llm.common import slices
+from kartospark.llm.common import slices, unused
 
 N_BUCKETS = 1 << 16
 #: Lengths of n-grams, in bytes, word boundaries included.
@@ -212,15 +213,15 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, switch:
     return label
 
 
-def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, spans: bool) -> Iterator[pa.RecordBatch]:
+def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, spans: bool, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     model = model.value
     n_langs = len(model.langs)
     seen: dict[bytes, int] = {}
     scores = np.zeros((0, n_langs), dtype=np.float32)
     lettered = np.zeros(0, dtype=bool)
     for batch in batches:
-        for part in slices(batch, "__text", _SLICE):
-            split = [words(t) for t in part.column("__text").to_pylist()]
+        for part in slices(batch, text, _SLICE):
+            split = [words(t) for t in part.column(text).to_pylist()]
             if len(seen) > _CACHE_WORDS:
                 seen, scores, lettered = {}, scores[:0], lettered[:0]
             known = len(seen)
@@ -257,31 +258,41 @@ def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, span
                     i = text_of[a]
                     if total[i]:
                         found[i].append({"lang": model.langs[label[a]], "start": int(a - starts[i]), "end": int(b - starts[i])})
-            rest = part.drop_columns(["__text"])
+            rest = part.drop_columns([text])
             extra = [pa.array(pred), pa.array(score), pa.array(found, type=_SPAN)]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *extra], names=[*rest.schema.names, "lang_pred", "lang_score", "lang_spans"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *extra], names=[*rest.schema.names, *names])
 
 
 _SPAN = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text_col: str = "text", spans: bool = True) -> DataFrame:
+#: Columns that ``identify`` adds.
+ADDED = ("lang_pred", "lang_score", "lang_spans")
+
+
+def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text_col: str = "text", spans: bool = True, names: tuple[str, ...] | list[str] = ADDED) -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` (share of lettered words in that language) and ``lang_spans``.
 
     Spans are word ranges ``(lang, start, end)``, end exclusive, where words are runs of
     letters and non-ASCII characters. Texts that are null or have no letter, and all
     texts under a model without languages, are ``und`` with score 0 and no spans. Texts
     are labelled whole, row by row: repeated rows have equal results, an empty table an
-    empty one. Columns of ``docs`` with the new names are replaced; of languages with
-    equally many words the first by name is taken.
+    empty one. Of languages with equally many words the first by name is taken. ``names``
+    are the new columns' names; columns of ``docs`` that have them are replaced.
     """
-    made = ("lang_pred", "lang_score", "lang_spans")
-    rows = docs.drop(*made).withColumn("__text", F.col(text_col).cast("string"))
+    rows = docs.drop(*(n for n in names if n != text_col))
+    (text,) = unused(rows, "text")
+    rows = rows.withColumn(text, F.col(text_col).cast("string")).drop(*(n for n in names if n == text_col))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "lang_pred string, lang_score double, lang_spans array<struct<lang:string,start:int,end:int>>"])
-    return rows.mapInArrow(partial(_label_batches, model=sent, switch=switch, spans=spans), schema)
+    schema = StructType([*(f for f in rows.schema if f.name != text), *(StructField(n, t) for n, t in zip(names, _TYPES, strict=True))])
+    return rows.mapInArrow(partial(_label_batches, model=sent, switch=switch, spans=spans, text=text, names=list(names)), schema)
+
+
+_TYPES = (StringType(), DoubleType(), ArrayType(StructType([StructField("lang", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
 
 
-def accepted() -> Column:
-    """Rows of ``identify`` that a filter keeps: a language was found, with a fair share of the words."""
-    return (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= LEAST_SHARE)
+def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which a language was found that has a fair share of the words, with the columns of ``docs``."""
+    pred, score, spans = names = unused(docs, *ADDED)
+    found = identify(docs, model, text_col=text_col, spans=False, names=names)
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SHARE)).select(*(F.col(f"`{c}`") for c in docs.columns))

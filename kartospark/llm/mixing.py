@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import WORD, repeated, written
+from kartospark.llm.common import WORD, repeated, unused, written
 
 #: Weights of the sources by rank, repeating.
 WEIGHTS = (3, 1, 2)
@@ -115,14 +115,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, quality: DataFrame
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as ``mix`` takes it, with the columns of ``docs``.
 
-    Rows without words are in no mix. Repeated rows together appear as often as ``mix``
+    Rows without words are in no mix; other columns go with their row, whatever their
+    names. Repeated rows together appear as often as ``mix``
     takes them in all.
     """
     took = mix(docs, weights, quality, id_col, text_col, source_col).where("size > 0 and taken > 0")
-    times = took.groupBy(F.col("source").alias("__s"), F.col("doc_id").alias("__id"), F.col("crc").alias("__crc")).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("__n"), (F.max("copy") + 1).alias("__rows"))
+    s, i, c, n, rows, copy = unused(docs, "s", "id", "crc", "n", "rows", "copy")
+    times = took.groupBy(F.col("source").alias(s), F.col("doc_id").alias(i), F.col("crc").alias(c)).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias(n), (F.max("copy") + 1).alias(rows))
     text = F.col(text_col).cast("string")
-    same = F.col(source_col).cast("string").eqNullSafe(F.col("__s")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) == F.col("__crc"))
+    same = F.col(source_col).cast("string").eqNullSafe(F.col(s)) & F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) == F.col(c))
     joined = docs.join(times, same)
-    one = joined.where("__rows = 1").drop("__s", "__id", "__crc", "__rows")
-    many = joined.where("__rows > 1").dropDuplicates(["__s", "__id", "__crc"]).drop("__s", "__id", "__crc", "__rows")
-    return repeated(one.union(many), "__n", "__copy").drop("__copy")
+    one = joined.where(F.col(rows) == 1).drop(s, i, c, rows)
+    many = joined.where(F.col(rows) > 1).dropDuplicates([s, i, c]).drop(s, i, c, rows)
+    return repeated(one.union(many), n, copy).drop(copy)

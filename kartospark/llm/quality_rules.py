@@ -1,31 +1,35 @@
 """Quality rules run as a short-circuit cascade.
 
-Every rule's cost and rejection rate are measured on a sample of rows, in a Spark task;
-rules then run in order of rejections per second, each only on the texts that all
-earlier rules let pass. The order changes what a pass costs, never which rows it keeps.
+A rule needs measures of a text (its words, its symbols, ...), and rules share them. On a
+sample, in Spark tasks, every measure is timed and every rule tried. The order is built
+greedily: next comes the rule that rejects most of the sample's texts still left per
+second that its measures, but for those that earlier rules have paid for, take on them.
+Each rule then runs only on texts that all earlier ones let pass. The order changes what
+a pass costs, never which rows it keeps.
 """
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from functools import cached_property, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import as_bytes, slices
+from kartospark.llm.common import as_bytes, slices, unused
 
-#: Rows on which costs and rejection rates are measured.
+#: Rows, on average, on which costs and rejection rates are measured.
 SAMPLE_ROWS = 2000
 #: Words in a window whose repetition counts.
 REPEAT_WINDOW = 5
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b" \t\n\v\f\r"
+_DIGITS = bytes(range(48, 58))
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
 
@@ -89,41 +93,122 @@ class Text:
         return sum(a == b for a, b in zip(self.words, self.words[1:], strict=False))
 
 
-Rule = Callable[[Text], bool]
+    @cached_property
+    def n_upper(self) -> int:
+        return self.count(_UPPER)
+
+    @cached_property
+    def n_letters(self) -> int:
+        return self.count(_LETTERS)
+
+    @cached_property
+    def n_digits(self) -> int:
+        return self.count(_DIGITS)
+
+    @cached_property
+    def n_exclamations(self) -> int:
+        return self.raw.count(b"!")
+
+    @cached_property
+    def n_bullets(self) -> int:
+        """Lines with a word that begin with a bullet."""
+        return sum(x.startswith((b"- ", b"* ", b"\xe2\x80\xa2")) for x in self.full_lines)
+
+    @cached_property
+    def n_trailing(self) -> int:
+        """Lines with a word that end with an ellipsis."""
+        return sum(x.endswith((b"...", b"\xe2\x80\xa6")) for x in self.full_lines)
+
+
+class Rule(NamedTuple):
+    """``passes`` may look at the measures named in ``needs`` only."""
+
+    needs: tuple[str, ...]
+    passes: Callable[[Text], bool]
+
 
 #: Rules that a text must all pass, by name.
 RULES: dict[str, Rule] = {
-    "enough_words": lambda t: t.n_words >= 10,
-    "few_repeats": lambda t: 100 * t.n_repeat_words <= 20 * t.n_words,
-    "few_symbols": lambda t: 10 * t.n_symbols <= t.n_words,
-    "no_shouting": lambda t: 10 * t.count(_UPPER) <= 3 * t.count(_LETTERS),
-    "few_exclamations": lambda t: 10 * t.raw.count(b"!") <= t.n_words,
-    "few_echoes": lambda t: 10 * t.n_echoes <= t.n_words,
-    "few_dup_lines": lambda t: 2 * t.n_dup_lines <= len(t.full_lines),
+    "enough_words": Rule(("n_words",), lambda t: t.n_words >= 10),
+    "few_repeats": Rule(("n_words", "n_repeat_words"), lambda t: 100 * t.n_repeat_words <= 20 * t.n_words),
+    "few_symbols": Rule(("n_words", "n_symbols"), lambda t: 10 * t.n_symbols <= t.n_words),
+    "no_shouting": Rule(("n_upper", "n_letters"), lambda t: 10 * t.n_upper <= 3 * t.n_letters),
+    "few_exclamations": Rule(("n_words", "n_exclamations"), lambda t: 10 * t.n_exclamations <= t.n_words),
+    "few_echoes": Rule(("n_words", "n_echoes"), lambda t: 10 * t.n_echoes <= t.n_words),
+    "few_dup_lines": Rule(("full_lines", "n_dup_lines"), lambda t: 2 * t.n_dup_lines <= len(t.full_lines)),
+    "word_length": Rule(("n_words", "word_chars"), lambda t: 2 * t.n_words <= t.word_chars <= 20 * t.n_words),
+    "few_digits": Rule(("word_chars", "n_digits"), lambda t: 2 * t.n_digits <= t.word_chars),
+    "few_bullets": Rule(("full_lines", "n_bullets"), lambda t: 10 * t.n_bullets <= 9 * len(t.full_lines)),
+    "few_trailing": Rule(("full_lines", "n_trailing"), lambda t: 10 * t.n_trailing <= 3 * len(t.full_lines)),
 }
 #: Rules of the base verdict; the others are the cascade's own.
 BASE = ("enough_words", "few_repeats")
+#: Measures in an order in which none needs a later one.
+MEASURES = list(dict.fromkeys(m for r in RULES.values() for m in r.needs))
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text of the sample: seconds of each measure (a batch's, shared out) and the rules that it fails."""
     for batch in batches:
-        raw = as_bytes(batch.column("text"))
-        seconds, rejected = [], []
-        for name in names:
+        texts = [Text(raw) for raw in as_bytes(batch.column("text"))]
+        if not texts:
+            continue
+        seconds = []
+        for name in MEASURES:
             began = time.perf_counter()
-            rejected.append(sum(not RULES[name](Text(t)) for t in raw))
-            seconds.append(time.perf_counter() - began)
-        yield pa.RecordBatch.from_pydict({"rule": names, "seconds": seconds, "rejected": rejected, "n": [len(raw)] * len(names)})
+            for t in texts:
+                getattr(t, name)
+            seconds.append((time.perf_counter() - began) / len(texts))
+        fails = [[not r.passes(t) for r in RULES.values()] for t in texts]
+        yield pa.RecordBatch.from_pydict({"seconds": [seconds] * len(texts), "fails": fails})
 
 
-def measured(docs: DataFrame, names: list[str], sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[dict]:
-    """Rules with seconds and rejections per row on a sample, best rejection per cost first; ties go by the given order."""
+class Step(NamedTuple):
+    rule: str
+    #: Share of the sample's texts that reach the rule and that it rejects.
+    rejects: float
+    #: Seconds a text of what the rule is first to need.
+    seconds: float
+
+
+def ordered(fails: np.ndarray, seconds: dict[str, float]) -> list[Step]:
+    """Rules by falling rejection per cost among the texts that earlier rules let pass, each measure paid for once.
+
+    ``fails`` has a row for each text of the sample and a column for each rule. Ties go by the order of ``RULES``.
+    """
+    left, paid, names, out = np.ones(len(fails), dtype=bool), set(), list(RULES), []
+    while names:
+
+        def step(name: str) -> Step:
+            rejects = fails[left, list(RULES).index(name)].mean() if left.any() else 0.0
+            return Step(name, float(rejects), sum(seconds[m] for m in RULES[name].needs if m not in paid))
+
+        best = max((step(n) for n in names), key=lambda s: s.rejects / max(s.seconds, 1e-9))
+        out.append(best)
+        names.remove(best.rule)
+        paid.update(RULES[best.rule].needs)
+        left &= ~fails[:, list(RULES).index(best.rule)]
+    return out
+
+
+def measured(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[Step]:
+    """The cascade's order, from about ``sample_rows`` rows picked by hash; their results, a few numbers each, are all that reaches the driver.
+
+    A table of fewer rows is measured whole; without any row the order is that of ``RULES``.
+    """
+    share = sample_rows / max(docs.count(), 1)
     text = F.col(text_col).cast("string")
-    sample = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample_rows)
-    rows = sample.mapInArrow(partial(_measure_batches, names=names), "rule string, seconds double, rejected long, n long")
-    found = {r["rule"]: r.asDict() for r in rows.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()}
-    stats = [found.get(n, {"rule": n, "seconds": 0.0, "rejected": 0, "n": 0}) for n in names]
-    return sorted(stats, key=lambda s: -s["rejected"] / max(s["seconds"], 1e-9))
+    picked = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)) if share < 1 else F.lit(True)
+    found = docs.where(picked).select(text.alias("text")).mapInArrow(_measure_batches, "seconds array<double>, fails array<boolean>").toArrow()
+    if not found.num_rows:
+        return [Step(n, 0.0, 0.0) for n in RULES]
+    seconds = np.array(found.column("seconds").to_pylist()).mean(axis=0)
+    return ordered(np.array(found.column("fails").to_pylist()), dict(zip(MEASURES, seconds.tolist(), strict=True)))
+
+
+def cascade(text: Text, order: list[str]) -> str | None:
+    """The first rule in ``order`` that rejects the text; later ones, and what they alone need, are not computed."""
+    return next((n for n in order if not RULES[n].passes(text)), None)
 
 
 _METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -133,42 +218,38 @@ def _report_batches(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iter
     for batch in batches:
         for part in slices(batch, "text"):
             texts = [Text(raw) for raw in as_bytes(part.column("text"))]
-            failed = [not all(RULES[n](t) for n in BASE) for t in texts]
-            verdict = [not f and all(RULES[n](t) for n in order) for f, t in zip(failed, texts, strict=True)]
+            rejected = [cascade(t, order) for t in texts]
+            failed = [not all(RULES[n].passes(t) for n in BASE) for t in texts]
             measures = [pa.array([getattr(t, n) for t in texts], type=pa.int64()) for n in _METRICS]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *measures, pa.array(failed, type=pa.bool_()), pa.array(verdict, type=pa.bool_())], names=["doc_id", *_METRICS, "base_failed", "kept"])
+            columns = [part.column("doc_id"), *measures, pa.array(failed, type=pa.bool_()), pa.array([r is None for r in rejected], type=pa.bool_()), pa.array(rejected, type=pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_METRICS, "base_failed", "kept", "rejected_by"])
 
 
 def report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures and verdict of every row: ``doc_id``, the five measures, ``base_failed`` and ``kept``.
-
-    The base rules and their measures are computed for every row; the other rules run as
-    a cascade on what passes them. A null text counts as empty, fails ``enough_words``
-    and is not kept. Very long texts are measured whole. Repeated rows and ids are rows
-    like any other. An empty table gives an empty result. Other columns are not read.
+    """Verdict and measures of every row: ``doc_id``, five measures, ``base_failed``, ``kept`` and ``rejected_by``.
+
+    All rules run as one cascade; ``rejected_by`` is the first that rejects, so it depends
+    on the measured order, which ``kept`` does not. The measures are output of their own,
+    computed for every row. A null text counts as empty, fails ``enough_words`` and is not
+    kept. Very long texts are measured whole. Repeated rows and ids are rows like any
+    other. An empty table gives an empty result. Other columns are not read but for
+    picking the sample.
     """
-    order = [s["rule"] for s in measured(docs, [n for n in RULES if n not in BASE], sample_rows, text_col)]
+    order = [s.rule for s in measured(docs, sample_rows, text_col)]
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in _METRICS) + ", base_failed boolean, kept boolean"
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in _METRICS) + ", base_failed boolean, kept boolean, rejected_by string"
     return picked.mapInArrow(partial(_report_batches, order=order), schema)
 
 
-def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> str:
-    """The measured order of all rules as JSON, for inspection."""
-    return json.dumps(measured(docs, list(RULES), sample_rows, text_col))
-
-
-def _keep_batches(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[pa.RecordBatch]:
+def _keep_batches(batches: Iterator[pa.RecordBatch], order: list[str], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "__text"):
-            texts = [Text(raw) for raw in as_bytes(part.column("__text"))]
-            alive = np.arange(len(texts))
-            for name in order:
-                alive = alive[[RULES[name](texts[i]) for i in alive]] if len(alive) else alive
-            yield part.take(pa.array(alive)).drop_columns(["__text"])
+        for part in slices(batch, text):
+            keep = [i for i, raw in enumerate(as_bytes(part.column(text))) if cascade(Text(raw), order) is None]
+            yield part.take(pa.array(keep, type=pa.int64())).drop_columns([text])
 
 
 def kept(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass every rule, with the columns of ``docs``; all rules run as a cascade."""
-    order = [s["rule"] for s in measured(docs, list(RULES), sample_rows, text_col)]
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(partial(_keep_batches, order=order), docs.schema)
+    """The rows of ``docs`` that pass every rule, with the columns of ``docs``, whatever their names; all rules run as a cascade."""
+    order = [s.rule for s in measured(docs, sample_rows, text_col)]
+    (text,) = unused(docs, "text")
+    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(partial(_keep_batches, order=order, text=text), docs.schema)

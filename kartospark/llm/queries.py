@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kartospark.llm import decontaminate, language, line_dedup, lm, mixing, quality_model, quality_rules, secrets, sharding, simhash
 from kartospark.llm.common import crc32_mod, table
+from kartospark.sources.shared import shared_dir
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +19,8 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = sharding.shard(table(spark, sf_dir, "documents"), n_shards=16)
+    """The map is stored in the shared folder: round robin as version 0, rebalanced by bytes as version 1."""
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), n_shards=16, map_path=f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.col("version").alias("map_version"))
 
 
@@ -28,7 +31,7 @@ def op3_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.report(table(spark, sf_dir, "documents"))
+    return quality_rules.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rejected_by")
 
 
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,12 +139,16 @@ ORACLES: dict[str, str] = {
                 (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words,
                 length(regexp_replace(text, '[^A-Z]', '', 'g')) upper_n, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) letter_n,
                 length(regexp_replace(text, '[^!]', '', 'g')) bang_n,
-                len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) echo_n
+                len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) echo_n,
+                length(regexp_replace(text, '[^0-9]', '', 'g')) digit_n,
+                len(list_filter(ls, lambda x: regexp_matches(x, '^(- |\* |•)'))) bullet_n,
+                len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)$'))) trailing_n
               from w left join cov using (r)),
         v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from m)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
           not base_failed and 10 * n_symbols <= n_words and 10 * upper_n <= 3 * letter_n and 10 * bang_n <= n_words
-            and 10 * echo_n <= n_words and 2 * n_dup_lines <= len(ls) kept
+            and 10 * echo_n <= n_words and 2 * n_dup_lines <= len(ls) and word_chars between 2 * n_words and 20 * n_words
+            and 2 * digit_n <= word_chars and 10 * bullet_n <= 9 * len(ls) and 10 * trailing_n <= 3 * len(ls) kept
         from v""",
     "op6_source_mix": rf"""
         with q as (select doc_id, case when max(quality) = 1 then 2.0::double else 0.5::double end w from labels where doc_id is not null and quality is not null group by doc_id),

@@ -39,6 +39,8 @@ IDENTIFIERS = ("access", "login")
 SECRETS = ("assign", "hex", "opaque")
 #: Farthest apart that two parts of one credential lie, in code points.
 SCOPE = 200
+#: Matches folded at a time.
+RUN = 256
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -51,14 +53,26 @@ def found(text: Column, kind: str) -> Column:
     pieces = F.split(text, pattern, -1)
     parts = F.arrays_zip(F.transform(pieces, F.char_length).alias("gap"), F.transform(whole, F.char_length).alias("size"), F.transform(told, F.char_length).alias("told"))
     parts = F.filter(parts, lambda x: x["size"].isNotNull())  # there is one more piece than matches
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (begin + x["size"]).alias("end"))
-        return F.struct((begin + x["size"]).alias("at"), F.when(x["told"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    # A fold copies what it has built at every step, so matches are folded in runs of ``RUN``, from where the runs before them end.
+    def length(run: Column) -> Column:
+        return F.aggregate(run, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    def grown(ends: Column, run: Column) -> Column:
+        return F.array_append(ends, F.element_at(ends, -1) + length(run))
+
+    def spans(run: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            begin = acc["at"] + x["gap"]
+            span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (begin + x["size"]).alias("end"))
+            return F.struct((begin + x["size"]).alias("at"), F.when(x["told"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc["out"])
+
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(RUN)), lambda i: F.slice(parts, i, RUN))
+    ends = F.aggregate(runs, F.array(F.lit(0)), grown)
+    found_ = F.flatten(F.transform(runs, lambda run, i: spans(run, F.get(ends, i))))
+    return F.when(text.rlike(pattern), found_).otherwise(F.array().cast(_SPANS))
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Sharding by fixed virtual slots.
 
-Records hash into ``n_slots`` virtual slots, which never change. Bytes are summed per
-slot, and a slot-to-shard map deals the slots out: largest first, each to the shard that
-has the fewest bytes so far. The map is a small versioned table (``n_slots`` rows a
-version, whatever the data's size); rebalancing appends a version that moves as few
-slots as it can, so records move only with their slot.
+Records hash into ``n_slots`` virtual slots, which never change. A slot-to-shard map, a
+small versioned table (``n_slots`` rows a version, whatever the data's size), begins as
+round robin. Bytes are summed per slot, and rebalancing appends a version of the map that
+moves slots from full shards to empty ones, as few as it can; the same edit serves new
+data and a changed number of shards. So records move only with their slot.
 
 A record's slot comes from its id, size, checksum and, where records repeat, the copy's
 number, so repeats of one record, however many, spread over all slots.
@@ -12,16 +12,16 @@ number, so repeats of one record, however many, spread over all slots.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import repeated, written
+from kartospark.llm.common import repeated, unused, written
 
 #: Virtual slots; also the most rows that a version of the map has.
 N_SLOTS = 4096
 
+#: Repeats of a row beyond which ``with_shards`` deals them over the slots.
+HOT_COPIES = 1000
 MAP_SCHEMA = "version int, vslot int, shard int, slot_bytes long"
 
 
@@ -43,15 +43,9 @@ def slot_sizes(spark: SparkSession, recs: DataFrame, n_slots: int = N_SLOTS) ->
     return [found.get(i, 0) for i in range(n_slots)]
 
 
-def first_map(sizes: list[int], n_shards: int) -> list[int]:
-    """The shard of each slot: largest slot first, to the shard with the fewest bytes."""
-    heap = [(0, s) for s in range(n_shards)]
-    shards = [0] * len(sizes)
-    for slot in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        load, s = heapq.heappop(heap)
-        shards[slot] = s
-        heapq.heappush(heap, (load + sizes[slot], s))
-    return shards
+def first_map(n_slots: int, n_shards: int) -> list[int]:
+    """The shard of each slot before any sizes are known."""
+    return [i % n_shards for i in range(n_slots)]
 
 
 def edited_map(shards: list[int], sizes: list[int], n_shards: int) -> list[int]:
@@ -124,34 +118,64 @@ def placed(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(offsets), "vslot").withColumn("slot", (F.col("offset") + F.col("rank")).cast("long")).drop("offset", "rank")
 
 
+def balanced(spark: SparkSession, sizes: list[int], n_shards: int, map_path: str | None = None) -> DataFrame:
+    """The latest map for ``n_shards``: a stored one, or round robin at first, edited for ``sizes``.
+
+    With ``map_path`` both the first version and the edited one are appended there, and
+    the latest is read back.
+    """
+    stored = map_path is not None and _exists(spark, map_path)
+    if stored:
+        rows = load_map(spark, map_path).orderBy("vslot").collect()
+        version, shards = rows[0]["version"], [r["shard"] for r in rows]
+    else:
+        version, shards = 0, first_map(len(sizes), n_shards)
+        if map_path:
+            save_map(map_table(spark, shards, sizes, 0), map_path)
+    edited = map_table(spark, edited_map(shards, sizes, n_shards), sizes, version + 1)
+    if not map_path:
+        return edited
+    save_map(edited, map_path)
+    return load_map(spark, map_path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Shard and place of every row of ``docs``: ``doc_id, size, text_crc32, copy, vslot, shard, version, slot``.
 
     Shards have near equal bytes (of text, plus one a row). With ``map_path`` the map is
-    stored there as version 0. Null ids and texts are values like any other (a null text
-    has size 1); repeated rows are all placed, each on its own. One text longer than a
-    mean shard makes its shard that much larger. An empty table gives an empty result.
-    Other columns are not read.
+    kept there: a run edits the latest version found, or round robin, and appends its
+    own. Null ids and texts are values like any other (a null text has size 1); repeated
+    rows are all placed, each on its own. One text longer than a mean shard makes its
+    shard that much larger. An empty table gives an empty result. Other columns are not
+    read.
     """
-    spark = docs.sparkSession
     recs = written(records(docs, n_slots, id_col, text_col))
-    sizes = slot_sizes(spark, recs, n_slots)
-    slot_map = map_table(spark, first_map(sizes, n_shards), sizes)
-    if map_path:
-        save_map(slot_map, map_path)
-    return placed(recs, slot_map)
+    return placed(recs, balanced(docs.sparkSession, slot_sizes(docs.sparkSession, recs, n_slots), n_shards, map_path))
 
 
-def with_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``shard``; rows are not moved, only the slot map (``n_slots`` rows) is joined to them.
+def with_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
+    """``docs`` with a column ``shard``, the last; rows are not moved, only the slot map (``n_slots`` rows) is joined to them.
 
-    Repeated rows share a slot here; all else is as in ``shard``.
+    Rows that repeat more than ``HOT_COPIES`` times are dealt over the slots by a seeded
+    draw, other repeats share a slot; all else is as in ``shard``. A column ``shard`` of
+    ``docs`` is replaced; other names never clash.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    vslot = F.pmod(F.xxhash64(F.col(id_col).cast("long"), size, F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(0).cast("long")), F.lit(n_slots)).cast("int")
-    sizes = slot_sizes(spark, docs.select(vslot.alias("vslot"), size.alias("size")), n_slots)
-    slot_map = map_table(spark, first_map(sizes, n_shards), sizes).select(F.col("vslot").alias("__vslot"), F.col("shard").alias("__shard"))
-    dealt = docs.drop("shard").withColumn("__slot", vslot).join(F.broadcast(slot_map), F.col("__slot") == F.col("__vslot"))
-    return dealt.withColumn("shard", F.col("__shard")).drop("__slot", "__vslot", "__shard")
+    size, crc, i, n, b, c, slot, v, s = unused(docs, "size", "crc", "i", "n", "b", "c", "slot", "vslot", "shard")
+    keyed = docs.withColumns({size: (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), crc: F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
+    doc_id = F.col(id_col).cast("long")
+    hot = written(keyed.groupBy(doc_id.alias(i), F.col(size).alias(b), F.col(crc).alias(c)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > HOT_COPIES))
+    met = keyed.join(hot, doc_id.eqNullSafe(F.col(i)) & (F.col(size) == F.col(b)) & (F.col(crc) == F.col(c)), "left")
+    copy = F.when(F.col(n).isNull(), F.lit(0)).otherwise(F.floor(F.rand(7) * F.col(n))).cast("long")
+    dealt = met.withColumn(slot, F.pmod(F.xxhash64(doc_id, size, crc, copy), F.lit(n_slots)).cast("int"))
+    sizes = slot_sizes(spark, dealt.select(F.col(slot).alias("vslot"), F.col(size).alias("size")), n_slots)
+    slot_map = balanced(spark, sizes, n_shards, map_path).select(F.col("vslot").alias(v), F.col("shard").alias(s))
+    placed_ = dealt.join(F.broadcast(slot_map), F.col(slot) == F.col(v))
+    rest = [F.col(f"`{x}`") for x in docs.columns if x.lower() != "shard"]
+    return placed_.select(*rest, F.col(s).alias("shard"))

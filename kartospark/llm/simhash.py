@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import as_bytes, checkpointed, connected_components, run_starts, slices, written
+from kartospark.llm.common import as_bytes, checkpointed, connected_components, run_starts, slices, unused, written
 from kartospark.llm.shingle_sets import similar_groups
 
 SEED = 42
@@ -241,7 +241,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     """
     groups = similar_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    stays = groups.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(text_col).cast("string")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key"))
-    return keyed.join(stays, same, "left_semi").dropDuplicates([id_col, "__k"]).drop("__k")
+    i, k, mine = unused(docs, "id", "key", "mine")
+    stays = groups.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.doc_id").alias(i), F.col("first.text_key").alias(k))
+    keyed = docs.withColumn(mine, F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(mine) == F.col(k))
+    return keyed.join(stays, same, "left_semi").dropDuplicates([id_col, mine]).drop(mine)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kartospark.llm import language, lm, quality_model, queries
+from kartospark.llm import language, lm, quality_model, quality_rules, queries
 from kartospark.llm.common import crc32_mod
 from llm_cases import EDGE
 
@@ -60,17 +60,80 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([[g > b for b in bad] for g in good]) > 0.99
 
 
-def test_nonnegative_risk_is_minimised():
+def brute_risk(w, x, positive, prior):
+    g = x @ w
+    loss = lambda z: ((1 - z) ** 2 / 4).mean()
+    return prior * loss(g[positive]) + max(0.0, loss(-g) - prior * loss(-g[positive]))
+
+
+def labelled_rows(n=4000):
     rng = np.random.default_rng(1)
-    d = len(quality_model.FEATURES)
-    x = np.zeros((4000, d))
+    x = np.zeros((n, quality_model.N_FEATURES))
     x[:, 0] = 1
-    junk = rng.random(4000) < 0.3
+    junk = rng.random(n) < 0.3
     x[junk, 1] = rng.uniform(0.5, 1, junk.sum())
-    positive = ~junk & (rng.random(4000) < 0.3)
+    x[:, 20:30] = rng.random((n, 10)) * np.where(junk, 0.5, 1)[:, None]
+    return x, junk, ~junk & (rng.random(n) < 0.3)
+
+
+def test_risk_equals_brute_force():
+    x, _, positive = labelled_rows(300)
+    m_u, m_p = x.T @ x / len(x), x[positive].T @ x[positive] / positive.sum()
+    rng, signs = np.random.default_rng(2), set()
+    for size in (0.1, 0.5, 1.0):
+        for _ in range(10):
+            w = rng.normal(0, size, x.shape[1])
+            value, grad = quality_model.risk(w, m_u, m_p, m_u[0], m_p[0], 0.7)
+            assert value == pytest.approx(brute_risk(w, x, positive, 0.7))
+            g = x @ w
+            loss_n = ((1 + g) ** 2 / 4).mean() - 0.7 * ((1 + g[positive]) ** 2 / 4).mean()
+            signs.add(loss_n >= 0)
+            # Below zero the step goes up the negative part.
+            part = (lambda v: brute_risk(v, x, positive, 0.7)) if loss_n >= 0 else (lambda v: -(((1 + x @ v) ** 2 / 4).mean() - 0.7 * ((1 + (x @ v)[positive]) ** 2 / 4).mean()))
+            for k in rng.choice(x.shape[1], 5):
+                e = np.zeros(len(w))
+                e[k] = 1e-4
+                assert grad[k] == pytest.approx((part(w + e) - part(w - e)) / 2e-4, abs=1e-4)
+    assert True in signs
+
+
+def test_nonnegative_risk_is_minimised():
+    x, junk, positive = labelled_rows()
+    w = quality_model.minimise(np.stack([x.T @ x, x[positive].T @ x[positive]]), 0.7)
+    assert ((x @ w > 0) == ~junk).mean() > 0.99
+    rng, least = np.random.default_rng(3), brute_risk(w, x, positive, 0.7)
+    shape = np.arange(len(w)) < len(quality_model.SHAPE)  # hardly penalised, so the plain risk is least here
+    assert all(brute_risk(w + shape * rng.normal(0, 0.05, len(w)), x, positive, 0.7) > least - 1e-3 for _ in range(20))
+
+
+def test_quality_query_equals_brute_force(spark, documents):
+    """Features, moments, prior, descent and scores of a small table, all recomputed without Spark."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(k)}" for k in rng.integers(0, 50, 40)) if i % 3 else "$$ ## !! BUY NOW " * 8 for i in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (None, "a b c"), (500, "")]
+    trusted = {i for i in range(120) if i % 3 and i % 2}
+    got = quality_model.scored(documents(rows), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+
+    def own(text):
+        x = quality_model.shape(quality_rules.Text((text or "").encode()))
+        n, share = (text or "").lower().split(), [0.0] * quality_model.N_LEXICAL
+        for w in n:
+            share[zlib.crc32(w.encode()) % quality_model.N_LEXICAL] += 1 / len(n)
+        return [*x, *(math.sqrt(v) for v in share)]
+
+    x = np.array([own(t) for _, t in rows], dtype=np.float32).astype(float)
+    positive = np.array([d in trusted for d, _ in rows])
     sums = np.stack([x.T @ x, x[positive].T @ x[positive]])
-    g = x @ quality_model.minimise(sums, 0.7)
-    assert ((g > 0) == ~junk).mean() > 0.99
+    naive = quality_model.naive_weights(sums)
+    g, most = x @ naive, np.abs(naive).sum()
+    cuts = [np.floor((v + most) / (2 * most) * quality_model.BINS) for v in g]
+    ratios = [np.mean([c >= t for c in cuts]) / np.mean([c >= t for c, p in zip(cuts, positive, strict=True) if p]) for t in set(cuts) if np.mean([c >= t for c, p in zip(cuts, positive, strict=True) if p]) >= 0.2]
+    prior = min(0.95, max(0.05, min(ratios)))
+    w = quality_model.minimise(sums, prior)
+    want = [min(1.0, max(0.0, (v + 1) / 2)) for v in x @ w]
+    told = sorted((repr(r.doc_id), r.score) for r in got)
+    for (a, s), (b, v) in zip(told, sorted((repr(d), v) for (d, _), v in zip(rows, want, strict=True)), strict=True):
+        assert a == b and s == pytest.approx(v, abs=1e-3)
 
 
 def test_quality_edge_cases(spark, documents):
