@@ -30,7 +30,7 @@ def nearest_reference(df: DataFrame, refs: DataFrame, axes: list[str], max_dista
 
 
 def sample_references(pixels: DataFrame, samples: DataFrame, patch: int = 5) -> DataFrame:
-    """``(map_id, class_id, r, g, b)``: mean colours, truncated, of patches around clicked points.
+    """``(map_id, class_id, sx, sy, r, g, b)``: mean colours, truncated, of patches around clicked points.
 
     ``samples`` is ``(map_id, class_name, sx, sy)``. Patches are clipped to the map; points
     outside it, unknown names and ``UNKNOWN`` are dropped.
@@ -42,7 +42,7 @@ def sample_references(pixels: DataFrame, samples: DataFrame, patch: int = 5) ->
     good = samples.withColumn("class_id", class_id).where("class_id >= 0").join(size, "map_id").where("sx between 0 and __w and sy between 0 and __h")
     spread = good.select("map_id", "class_id", "sx", "sy", F.explode(F.sequence(F.col("sy") - half, F.col("sy") + half)).alias("y")).withColumn("x", F.explode(F.sequence(F.col("sx") - half, F.col("sx") + half)))
     means = spread.join(pixels.select("map_id", "y", "x", "r", "g", "b"), ["map_id", "y", "x"]).groupBy("map_id", "class_id", "sx", "sy").agg(*[F.floor(F.avg(c)).cast("int").alias(c) for c in "rgb"])
-    return means.select("map_id", "class_id", "r", "g", "b")
+    return means
 
 
 def references(maps: DataFrame, samples: DataFrame | None = None) -> DataFrame:

@@ -3,19 +3,20 @@
 Distances spread tile by tile. A tile is a square of cells; a round gives every tile
 that a neighbour improved its own cells and the rim around it, relaxes them inside one
 small group, and passes improved cells on. Rounds follow the number of tiles that a
-route crosses, not its cells, and no group ever holds more than one tile of one leg.
+route crosses, not its cells, and no group ever holds more than one tile of one leg. A
+leg with a known end stops spreading where it is already dearer than its end.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartospark.sources.shared import checkpointed, written
+from kartospark.sources.shared import discard, written
 
 INF = float("inf")
 TILE = 64
@@ -31,58 +32,75 @@ def to_pixel(r: Column, c: Column, cell_px: int) -> tuple[Column, Column]:
 
 
 def _relax(tile: pd.DataFrame) -> pd.DataFrame:
-    """Settle one tile of one leg from the distances known so far; returns cells of the tile that became nearer."""
-    cost = dict(zip(zip(tile["r"], tile["c"], strict=True), tile["cost"], strict=True))
-    dist = dict(zip(zip(tile["r"], tile["c"], strict=True), tile["d"], strict=True))
-    own = set(zip(tile["r"][tile["own"]], tile["c"][tile["own"]], strict=True))
-    heap = [(d, k) for k, d in dist.items() if d < INF]
-    heapq.heapify(heap)
-    better: dict[tuple[int, int], float] = {}
-    while heap:
-        d, (r, c) = heapq.heappop(heap)
-        if d > dist[r, c]:
-            continue
+    """Settle one tile of one leg from the distances known so far; returns cells of the tile that became nearer.
+
+    All cells relax at once, over shifted copies of the tile, until none changes.
+    """
+    y, x = (tile[k].to_numpy() - tile[k].min() + 1 for k in "rc")
+    size = (y.max() + 2, x.max() + 2)
+    cost, known, own = np.full(size, INF), np.full(size, INF), np.zeros(size, dtype=bool)
+    cost[y, x], known[y, x], own[y, x] = tile["cost"], tile["d"], tile["own"]
+    inner, dist = (slice(1, -1), slice(1, -1)), known.copy()
+    while True:
+        best = dist.copy()
         for dr in (-1, 0, 1):
             for dc in (-1, 0, 1):
-                k = (r + dr, c + dc)
-                if k in own and k != (r, c) and cost[k] < INF:
-                    new = d + math.hypot(dr, dc) * (cost[r, c] + cost[k]) / 2
-                    if new < dist[k]:
-                        dist[k] = better[k] = new
-                        heapq.heappush(heap, (new, k))
-    first = tile.iloc[0]
-    rows = [(first["map_id"], first["leg"], r, c, d) for (r, c), d in better.items()]
-    return pd.DataFrame(rows, columns=["map_id", "leg", "r", "c", "d"])
-
-
-def spread(cells: DataFrame, starts: DataFrame, tile: int = TILE) -> DataFrame:
+                if dr or dc:
+                    there = (slice(1 + dr, size[0] - 1 + dr), slice(1 + dc, size[1] - 1 + dc))
+                    step = dist[there] + math.hypot(dr, dc) * (cost[inner] + cost[there]) / 2
+                    best[inner] = np.where(own[inner], np.minimum(best[inner], step), best[inner])
+        if np.array_equal(best, dist):
+            break
+        dist = best
+    nearer = dist[y, x] < known[y, x]
+    found = tile.loc[nearer, ["map_id", "leg", "r", "c"]]
+    return found.assign(d=dist[y, x][nearer])
+
+
+def spread(cells: DataFrame, starts: DataFrame, tile: int = TILE, ends: DataFrame | None = None) -> DataFrame:
     """``(map_id, leg, r, c, d)``: least cost from each leg's start cell to every cell it reaches.
 
     ``cells`` is ``(map_id, r, c, cost)``, forbidden cells at infinite cost; ``starts``
     is ``(map_id, leg, r, c)``. A step to one of eight neighbours costs its length times
-    the mean of the two cells' costs.
+    the mean of the two cells' costs. With ``ends``, rows like those of ``starts``, a leg
+    is exact at its end and at all cells that are no farther, and may lack others.
+
+    State is written between rounds: plans stay of one round's size, and so do the
+    optimiser's estimates, which would otherwise double with every join of a round with
+    the one before.
     """
     key = cells.schema["map_id"].dataType.simpleString()
     leg = starts.schema["leg"].dataType.simpleString()
     schema = f"map_id {key}, leg {leg}, r int, c int, d double"
     free = written(cells.where(F.col("cost") < INF).select("map_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "cost"))
+
+    def tiles(of: str) -> Column:
+        return F.explode(F.array_distinct(F.array(*[F.floor((F.col(of) + k) / tile).cast("int") for k in (-1, 0, 1)])))
+
+    own = (F.floor(F.col("r") / tile) == F.col("tr")) & (F.floor(F.col("c") / tile) == F.col("tc"))
+    # Each tile's cells and the rim of one cell around it.
+    rim = written(free.withColumn("tr", tiles("r")).withColumn("tc", tiles("c")).withColumn("own", own))
     on = starts.select("map_id", "leg", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0.0).alias("d"))
-    dist = checkpointed(on.join(free.drop("cost"), ["map_id", "r", "c"], "left_semi").select("map_id", "leg", "r", "c", "d"))
+    dist = written(on.join(free.drop("cost"), ["map_id", "r", "c"], "left_semi").select("map_id", "leg", "r", "c", "d"))
+    discard(free)
+    goal = None if ends is None else written(ends.select("map_id", "leg", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")))
     fresh = dist
     while True:
+        front = fresh
+        if goal is not None:
+            at_end = dist.join(goal, ["map_id", "leg", "r", "c"]).groupBy("map_id", "leg").agg(F.min("d").alias("most"))
+            front = fresh.join(at_end, ["map_id", "leg"], "left").where("most is null or d < most")
         # Tiles that an improved cell is in or touches.
-        steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        touched = fresh.select("map_id", "leg", "r", "c", F.explode(steps).alias("dr")).withColumn("dc", F.explode(steps))
-        touched = touched.select("map_id", "leg", F.floor((F.col("r") + F.col("dr")) / tile).alias("tr"), F.floor((F.col("c") + F.col("dc")) / tile).alias("tc")).distinct()
-        # Their cells, and the rim of one cell around each.
-        rim = free.withColumn("tr", F.explode(F.array_distinct(F.array(*[F.floor((F.col("r") + k) / tile) for k in (-1, 0, 1)])))).withColumn("tc", F.explode(F.array_distinct(F.array(*[F.floor((F.col("c") + k) / tile) for k in (-1, 0, 1)]))))
-        asked = touched.join(rim, ["map_id", "tr", "tc"]).join(dist, ["map_id", "leg", "r", "c"], "left")
-        own = (F.floor(F.col("r") / tile) == F.col("tr")) & (F.floor(F.col("c") / tile) == F.col("tc"))
-        rows = asked.select("map_id", "leg", "tr", "tc", "r", "c", "cost", F.coalesce("d", F.lit(INF)).alias("d"), own.alias("own"))
-        fresh = checkpointed(rows.groupBy("map_id", "leg", "tr", "tc").applyInPandas(_relax, schema))
-        if fresh.isEmpty():
+        touched = written(front.select("map_id", "leg", tiles("r").alias("tr"), "c").withColumn("tc", tiles("c")).select("map_id", "leg", "tr", "tc").distinct())
+        if touched.isEmpty():
+            discard(rim, touched, *({fresh} - {dist}), *([] if goal is None else [goal]))
             return dist
-        dist = checkpointed(dist.union(fresh).groupBy("map_id", "leg", "r", "c").agg(F.min("d").alias("d")))
+        asked = touched.join(rim, ["map_id", "tr", "tc"]).join(dist, ["map_id", "leg", "r", "c"], "left")
+        rows = asked.select("map_id", "leg", "tr", "tc", "r", "c", "cost", F.coalesce("d", F.lit(INF)).alias("d"), "own")
+        new = written(rows.groupBy("map_id", "leg", "tr", "tc").applyInPandas(_relax, schema))
+        before, dist = dist, written(dist.union(new).groupBy("map_id", "leg", "r", "c").agg(F.min("d").alias("d")))
+        discard(touched, before, fresh)
+        fresh = new
 
 
 def traced(dist: DataFrame, cells: DataFrame, ends: DataFrame, tolerance: float = 1e-9) -> DataFrame:
@@ -97,17 +115,17 @@ def traced(dist: DataFrame, cells: DataFrame, ends: DataFrame, tolerance: float
     asked = here.select("map_id", "leg", "r", "c", "d", "cost", F.explode(steps).alias("o")).withColumns({"pr": F.col("r") + F.col("o.dr"), "pc": F.col("c") + F.col("o.dc"), "len": F.sqrt((F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).cast("double"))})
     other = here.select("map_id", "leg", F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("d").alias("pd"), F.col("cost").alias("p_cost"))
     met = asked.join(other, ["map_id", "leg", "pr", "pc"]).where(F.abs(F.col("pd") + F.col("len") * (F.col("cost") + F.col("p_cost")) / 2 - F.col("d")) <= tolerance * (1 + F.col("d")))
-    jump = checkpointed(met.groupBy("map_id", "leg", "r", "c").agg(F.min(F.struct("pr", "pc")).alias("p")).select("map_id", "leg", "r", "c", "p.pr", "p.pc"))
-    path = checkpointed(ends.join(dist.drop("d"), ["map_id", "leg", "r", "c"], "left_semi").select("map_id", "leg", F.lit(0).cast("long").alias("n"), "r", "c"))
+    jump = written(met.groupBy("map_id", "leg", "r", "c").agg(F.min(F.struct("pr", "pc")).alias("p")).select("map_id", "leg", "r", "c", "p.pr", "p.pc"))
+    path = written(ends.join(dist.drop("d"), ["map_id", "leg", "r", "c"], "left_semi").select("map_id", "leg", F.lit(0).cast("long").alias("n"), "r", "c"))
     span = 1
     while True:
         longer = path.join(jump, ["map_id", "leg", "r", "c"]).select("map_id", "leg", (F.col("n") + span).alias("n"), F.col("pr").alias("r"), F.col("pc").alias("c"))
         new = longer.where(F.col("n") >= span)
         if new.isEmpty():
             return path
-        path = checkpointed(path.union(new).distinct())
+        path = written(path.union(new).distinct())
         second = jump.select("map_id", "leg", F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("pr").alias("qr"), F.col("pc").alias("qc"))
-        jump = checkpointed(jump.join(second, ["map_id", "leg", "pr", "pc"]).select("map_id", "leg", "r", "c", F.col("qr").alias("pr"), F.col("qc").alias("pc")))
+        jump = written(jump.join(second, ["map_id", "leg", "pr", "pc"]).select("map_id", "leg", "r", "c", F.col("qr").alias("pr"), F.col("qc").alias("pc")))
         span *= 2
 
 
@@ -158,21 +176,62 @@ def turning_points(path: DataFrame, cell_px: int) -> DataFrame:
     return kept.select("map_id", "leg", "n", x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def simplified(points: DataFrame, tolerance: float) -> DataFrame:
+    """The points ``(map_id, leg, n, x, y)`` of each path that a line within ``tolerance`` of all of them needs.
+
+    Rounds of splitting: between two kept neighbours the farthest point off their line is
+    kept too, while it is farther than ``tolerance``. A round is one pass of windows over
+    the paths for all splits of all paths; rounds follow the depth of the splits.
+    """
+    whole = Window.partitionBy("map_id", "leg").orderBy("n")
+    ends = (F.lag("n").over(whole).isNull()) | (F.lead("n").over(whole).isNull())
+    now = written(points.select("map_id", "leg", "n", "x", "y").withColumn("kept", ends))
+    while True:
+        mark = F.when(F.col("kept"), F.struct("n", "x", "y"))
+        a = F.last(mark, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+        b = F.first(mark, ignorenulls=True).over(whole.rowsBetween(0, Window.unboundedFollowing))
+        placed = now.withColumns({"a": a, "b": b})
+        ux, uy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+        px, py = F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
+        along = F.when(ux * ux + uy * uy > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * ux + py * uy) / (ux * ux + uy * uy)))).otherwise(F.lit(0.0))
+        off = placed.where(~F.col("kept")).withColumn("off", F.hypot(px - along * ux, py - along * uy)).where(F.col("off") > tolerance)
+        split = off.groupBy("map_id", "leg", F.col("a.n").alias("an")).agg(F.max_by("n", F.struct("off", -F.col("n"))).alias("n")).select("map_id", "leg", "n", F.lit(True).alias("split"))
+        split = written(split)
+        if split.isEmpty():
+            out = written(now.where("kept").drop("kept"))
+            discard(now, split)
+            return out
+        before, now = now, written(now.join(split, ["map_id", "leg", "n"], "left").select("map_id", "leg", "n", "x", "y", (F.col("kept") | F.col("split").isNotNull()).alias("kept")))
+        discard(before, split)
+
+
+def clear_paths(points: DataFrame, cells: DataFrame, cell_px: int) -> DataFrame:
+    """``(map_id, leg, clear)`` for paths ``(map_id, leg, n, x, y)`` of two points or more: whether no segment crosses a forbidden cell."""
+    w = Window.partitionBy("map_id", "leg").orderBy("n")
+    segments = points.select("map_id", "leg", F.struct("leg", "n").alias("sid"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx is not null")
+    return segments_clear(segments, cells, cell_px).groupBy("map_id", F.col("sid.leg").alias("leg")).agg(F.bool_and("clear").alias("clear"))
+
+
 def legs(controls: DataFrame, cells: DataFrame, snapped: DataFrame, cell_px: int, scale: int = 4000, px_per_mm: float = 6.0, origin: tuple[int, int] = (0, 0)) -> DataFrame:
     """Legs of each map: ``(map_id, from_id, to_id, path, length_px, length_m, cost, ok, message)``.
 
     ``snapped`` is ``(map_id, pid, r, c)``, the cell that each control's id is routed
-    from. Unreachable legs have cost -1 and an empty path; a leg within one cell costs 0.
+    from. Paths are simplified by half a cell where that crosses no forbidden cell, else
+    keep all their turning points. Unreachable legs have cost -1 and an empty path; a leg within one cell costs 0.
     """
     pairs = consecutive(controls).select("map_id", "from_id", "to_id", F.struct("from_id", "to_id").alias("leg"))
     a = snapped.select("map_id", F.col("pid").alias("from_id"), F.col("r").alias("ar"), F.col("c").alias("ac"))
     b = snapped.select("map_id", F.col("pid").alias("to_id"), F.col("r").alias("br"), F.col("c").alias("bc"))
     both = written(pairs.join(a, ["map_id", "from_id"], "left").join(b, ["map_id", "to_id"], "left").withColumn("leg", F.concat_ws(">", "from_id", "to_id")))
     there = both.where("ar is not null and br is not null")
-    dist = spread(cells, there.select("map_id", "leg", F.col("ar").alias("r"), F.col("ac").alias("c")))
     ends = there.select("map_id", "leg", F.col("br").alias("r"), F.col("bc").alias("c"))
+    dist = spread(cells, there.select("map_id", "leg", F.col("ar").alias("r"), F.col("ac").alias("c")), ends=ends)
     total = dist.join(ends, ["map_id", "leg", "r", "c"], "left_semi").select("map_id", "leg", (F.col("d") * cell_px).alias("total"))
-    points = turning_points(traced(dist, cells, ends), cell_px).groupBy("map_id", "leg").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", (F.col("x") + origin[0]).alias("x"), (F.col("y") + origin[1]).alias("y"))))).alias("p"))
+    full = written(turning_points(traced(dist, cells, ends), cell_px))
+    short = simplified(full, 0.5 * cell_px)
+    fine = written(clear_paths(short, cells, cell_px))
+    both_ways = short.join(fine.where("clear"), ["map_id", "leg"], "left_semi").union(full.join(fine.where("clear"), ["map_id", "leg"], "left_anti"))
+    points = both_ways.groupBy("map_id", "leg").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", (F.col("x") + origin[0]).alias("x"), (F.col("y") + origin[1]).alias("y"))))).alias("p"))
     points = points.select("map_id", "leg", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("path"))
     out = both.join(total, ["map_id", "leg"], "left").join(points, ["map_id", "leg"], "left")
     ok = F.col("total").isNotNull()

@@ -1,7 +1,8 @@
 """One query for each relational operator, over rasters, points and texts made of the driver's tables, with its SQL.
 
-The raster is ``embeddings`` unnested: row ``vec_id``, column the position, value the
-component in thousandths. Masks and labels are remainders of the value.
+The rasters are ``embeddings`` unnested, ``HEIGHT`` vectors a map: row and map by
+``vec_id``, column the position, value the component in thousandths. Masks and labels are
+remainders of the value. Points, one a user, lie on the first two maps.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 INF = float("inf")
 
-_RASTER = """
-    with r as (select vec_id::int y, (i - 1)::int x, floor(embedding[i]::double * 1000)::bigint v
+#: Vectors of one map.
+HEIGHT = 250
+
+_RASTER = f"""
+    with r as (select (vec_id // {HEIGHT})::int map_id, (vec_id % {HEIGHT})::int y, (i - 1)::int x, floor(embedding[i]::double * 1000)::bigint v
                from (select *, unnest(range(1, len(embedding) + 1)) i from embeddings)),
     m as (select *, ((v % 11) + 11) % 11 label, v % 2 = 0 m2, v % 3 = 0 m3, v % 4 = 0 m4 from r)"""
 _COLORS = f"""{_RASTER},
-    c as (select a.y, a.x, ((a.v % 256) + 256) % 256 r, ((b.v % 256) + 256) % 256 g, ((d.v % 256) + 256) % 256 b
-          from r a join r b on a.y = b.y and b.x = a.x + 1 join r d on a.y = d.y and d.x = a.x + 2)"""
+    c as (select a.map_id, a.y, a.x, ((a.v % 256) + 256) % 256 r, ((b.v % 256) + 256) % 256 g, ((d.v % 256) + 256) % 256 b
+          from r a join r b on a.map_id = b.map_id and a.y = b.y and b.x = a.x + 1 join r d on a.map_id = d.map_id and a.y = d.y and d.x = a.x + 2)"""
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -45,51 +49,55 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _place() -> tuple[Column, Column]:
+    return F.floor(F.col("vec_id") / HEIGHT).cast("int").alias("map_id"), (F.col("vec_id") % HEIGHT).cast("int").alias("y")
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _table(spark, sf_dir, "embeddings").select(F.lit("m").alias("map_id"), F.col("vec_id").cast("int").alias("y"), F.posexplode("embedding").alias("x", "e"))
+    cells = _table(spark, sf_dir, "embeddings").select(*_place(), F.posexplode("embedding").alias("x", "e"))
     v = cells.select("map_id", "y", "x", F.floor(F.col("e").cast("double") * 1000).cast("long").alias("v"))
     return v.withColumns({"label": F.pmod("v", F.lit(11)).cast("int"), "m2": F.col("v") % 2 == 0, "m3": F.col("v") % 3 == 0, "m4": F.col("v") % 4 == 0})
 
 
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     comps = _table(spark, sf_dir, "embeddings").withColumn("c", F.transform("embedding", lambda e: F.pmod(F.floor(e.cast("double") * 1000), F.lit(256)).cast("int")))
-    at = comps.select(F.lit("m").alias("map_id"), F.col("vec_id").cast("int").alias("y"), "c", F.explode(F.sequence(F.lit(0), F.size("c") - 3)).alias("x"))
+    at = comps.select(*_place(), "c", F.explode(F.sequence(F.lit(0), F.size("c") - 3)).alias("x"))
     return at.select("map_id", "y", "x", *[F.get("c", F.col("x") + i).alias(n) for i, n in enumerate("rgb")])
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One point a user: the largest value across, the number of events down."""
     found = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.floor(F.max("value") / 8).alias("a"), F.count(F.lit(1)).alias("n"), F.max("event_id").alias("e"))
-    return found.select(F.lit("m").alias("map_id"), F.col("user_id").alias("pid"), (F.col("a") % 64).cast("double").alias("px"), (F.col("e") % 500).cast("double").alias("py"), (F.col("n") % 7 + 2).cast("double").alias("pr"))
+    return found.select((F.col("user_id") % 2).cast("int").alias("map_id"), F.col("user_id").alias("pid"), (F.col("a") % 64).cast("double").alias("px"), (F.col("e") % HEIGHT).cast("double").alias("py"), (F.col("n") % 7 + 2).cast("double").alias("pr"))
 
 
-_POINTS = "select user_id pid, (floor(max(value) / 8) % 64)::double px, (max(event_id) % 500)::double py, (count(*) % 7 + 2)::double pr from events group by user_id"
+_POINTS = f"select (user_id % 2)::int map_id, user_id pid, (floor(max(value) / 8) % 64)::double px, (max(event_id) % {HEIGHT})::double py, (count(*) % 7 + 2)::double pr from events group by user_id"
 _REFS = "values " + ", ".join(str((i, CLASS_NAMES.index(n), *rgb)) for i, (n, rgb) in enumerate((n, rgb) for n, every in REFERENCE_COLORS.items() for rgb in every))
 _FINE = "[" + ", ".join(f"{c}::double" for c in Settings().fine_costs()) + "]"
 
 
 @query(f"""{_COLORS}, refs(i, k, rr, rg, rb) as ({_REFS}),
-    s as (select y, x, arg_min(k, d * 100 + i) k, min(d) d from (select y, x, i, k, (r - rr) * (r - rr) + (g - rg) * (g - rg) + (b - rb) * (b - rb) d from c, refs) group by y, x)
-    select y, x, case when d <= 8100 then k else 10 end::int label from s""")
+    s as (select map_id, y, x, arg_min(k, d * 100 + i) k, min(d) d from (select map_id, y, x, i, k, (r - rr) * (r - rr) + (g - rg) * (g - rg) + (b - rb) * (b - rb) d from c, refs) group by map_id, y, x)
+    select map_id, y, x, case when d <= 8100 then k else 10 end::int label from s""")
 def nearest_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = colors(spark, sf_dir)
     refs = classify.references(pixels.select("map_id").distinct())
     refs = refs.withColumn("ref_idx", F.row_number().over(_window("map_id", "ref_idx")) - 1)
-    return classify.nearest_reference(pixels, refs, ["r", "g", "b"], 90.0).select("y", "x", "label")
+    return classify.nearest_reference(pixels, refs, ["r", "g", "b"], 90.0).select("map_id", "y", "x", "label")
 
 
-@query(f"""{_RASTER} select label::int label, ({CLASS_NAMES})[label + 1] as name, count(*) n, round(sum(({_FINE})[label + 1]), 6) total_cost from m group by label""")
+@query(f"""{_RASTER} select map_id, label::int label, ({CLASS_NAMES})[label + 1] as name, count(*) n, round(sum(({_FINE})[label + 1]), 6) total_cost from m group by map_id, label""")
 def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = raster(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(classify.fine_cost(F.col("label"))), 6).alias("total_cost"))
-    return counted.join(terrain_class(spark).select(F.col("id").alias("label"), "name"), "label").select("label", "name", "n", "total_cost")
+    counted = raster(spark, sf_dir).groupBy("map_id", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(classify.fine_cost(F.col("label"))), 6).alias("total_cost"))
+    return counted.join(terrain_class(spark).select(F.col("id").alias("label"), "name"), "label").select("map_id", "label", "name", "n", "total_cost")
 
 
-@query(f"""{_COLORS}, q as (select quantile_cont(0.299::double * r + 0.587::double * g + 0.114::double * b, 0.95) cut from c),
-    w as (select 255.0::double / greatest(avg(r), 1.0::double) fr, 255.0::double / greatest(avg(g), 1.0::double) fg, 255.0::double / greatest(avg(b), 1.0::double) fb, count(*) n
-          from c, q where 0.299::double * r + 0.587::double * g + 0.114::double * b >= cut - 1e-9)
-    select y, x, floor(least(255, greatest(0, r * fr)))::int r, floor(least(255, greatest(0, g * fg)))::int g, floor(least(255, greatest(0, b * fb)))::int b from c, w""")
+@query(f"""{_COLORS}, q as (select map_id, quantile_cont(0.299::double * r + 0.587::double * g + 0.114::double * b, 0.95) cut from c group by map_id),
+    w as (select map_id, 255.0::double / greatest(avg(r), 1.0::double) fr, 255.0::double / greatest(avg(g), 1.0::double) fg, 255.0::double / greatest(avg(b), 1.0::double) fb, count(*) n
+          from c join q using (map_id) where 0.299::double * r + 0.587::double * g + 0.114::double * b >= cut - 1e-9 group by map_id)
+    select map_id, y, x, floor(least(255, greatest(0, r * fr)))::int r, floor(least(255, greatest(0, g * fg)))::int g, floor(least(255, greatest(0, b * fb)))::int b from c join w using (map_id)""")
 def white_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return color.white_balance(colors(spark, sf_dir)).select("y", "x", "r", "g", "b")
+    return color.white_balance(colors(spark, sf_dir)).select("map_id", "y", "x", "r", "g", "b")
 
 
 def _lab_sql() -> str:
@@ -99,47 +107,45 @@ def _lab_sql() -> str:
     def f(t: str) -> str:
         return f"case when {t} > 0.008856 then cbrt({t}) else 7.787::double * {t} + 16.0::double / 116.0::double end"
 
-    return f"""{_COLORS}, l as (select y, {lin("r")} r, {lin("g")} g, {lin("b")} b from c),
-        xyz as (select y, (0.412453::double * r + 0.357580::double * g + 0.180423::double * b) / 0.950456::double xx, 0.212671::double * r + 0.715160::double * g + 0.072169::double * b yy,
+    return f"""{_COLORS}, l as (select map_id, y, {lin("r")} r, {lin("g")} g, {lin("b")} b from c),
+        xyz as (select map_id, y, (0.412453::double * r + 0.357580::double * g + 0.180423::double * b) / 0.950456::double xx, 0.212671::double * r + 0.715160::double * g + 0.072169::double * b yy,
                   (0.019334::double * r + 0.119193::double * g + 0.950227::double * b) / 1.088754::double zz from l),
-        lab as (select y, case when yy > 0.008856 then 116.0::double * cbrt(yy) - 16.0::double else 903.3::double * yy end l, 500.0::double * ({f("xx")} - {f("yy")}) a, 200.0::double * ({f("yy")} - {f("zz")}) b from xyz)
-        select y, round(avg(l), 5) l, round(avg(a), 5) a, round(avg(b), 5) b, round(avg(greatest(0, least(1, (a - 0.5::double * b - 10) / 50))), 5) purple from lab group by y"""
+        lab as (select map_id, y, case when yy > 0.008856 then 116.0::double * cbrt(yy) - 16.0::double else 903.3::double * yy end l, 500.0::double * ({f("xx")} - {f("yy")}) a, 200.0::double * ({f("yy")} - {f("zz")}) b from xyz)
+        select map_id, y, round(avg(l), 5) l, round(avg(a), 5) a, round(avg(b), 5) b, round(avg(greatest(0, least(1, (a - 0.5::double * b - 10) / 50))), 5) purple from lab group by map_id, y"""
 
 
 @query(_lab_sql())
 def lab_and_purple(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = color.with_lab(colors(spark, sf_dir))
     score = color.purple_score(F.col("a"), F.col("lab_b"))
-    return lab.groupBy("y").agg(F.round(F.avg("l"), 5).alias("l"), F.round(F.avg("a"), 5).alias("a"), F.round(F.avg("lab_b"), 5).alias("b"), F.round(F.avg(score), 5).alias("purple"))
+    return lab.groupBy("map_id", "y").agg(F.round(F.avg("l"), 5).alias("l"), F.round(F.avg("a"), 5).alias("a"), F.round(F.avg("lab_b"), 5).alias("b"), F.round(F.avg(score), 5).alias("purple"))
 
 
-_SAMPLES = [("yellow", 3, 4), ("GREEN", 0, 0), ("green", 61, 9), ("PINK", 5, 5), ("BLUE", 900, 1)]
+_SAMPLES = [(0, "yellow", 3, 4), (0, "GREEN", 0, 0), (1, "green", 61, 9), (0, "PINK", 5, 5), (1, "BLUE", 900, 1), (1, "unknown", 7, 7), (1, "Grey", 30, 249)]
 
 
-@query(f"""{_COLORS}, s(n, sx, sy) as (values {", ".join(map(str, _SAMPLES))}), e as (select max(x) w, max(y) h from c)
-    select (list_position({CLASS_NAMES}, upper(n)) - 1)::int class_id, sx::int sx, sy::int sy, floor(avg(r))::int r, floor(avg(g))::int g, floor(avg(b))::int b
-    from s, e, c where list_position({CLASS_NAMES}, upper(n)) is not null and sx between 0 and w and sy between 0 and h and abs(x - sx) <= 2 and abs(y - sy) <= 2 group by n, sx, sy""")
+@query(f"""{_COLORS}, s(map_id, n, sx, sy) as (values {", ".join(map(str, _SAMPLES))}), e as (select map_id, max(x) w, max(y) h from c group by map_id)
+    select map_id, (list_position({CLASS_NAMES[:-1]}, upper(n)) - 1)::int class_id, sx::int sx, sy::int sy, floor(avg(r))::int r, floor(avg(g))::int g, floor(avg(b))::int b
+    from s join e using (map_id) join c using (map_id) where list_position({CLASS_NAMES[:-1]}, upper(n)) is not null and sx between 0 and w and sy between 0 and h and abs(x - sx) <= 2 and abs(y - sy) <= 2 group by map_id, n, sx, sy""")
 def color_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = colors(spark, sf_dir)
-    samples = spark.createDataFrame([("m", *s) for s in _SAMPLES], "map_id string, class_name string, sx int, sy int")
-    one = [classify.sample_references(pixels, samples.where((F.col("sx") == x) & (F.col("sy") == y))).withColumns({"sx": F.lit(x), "sy": F.lit(y)}) for _, x, y in _SAMPLES[:3]]
-    return one[0].union(one[1]).union(one[2]).select(F.col("class_id").cast("int").alias("class_id"), "sx", "sy", "r", "g", "b")
+    samples = spark.createDataFrame(_SAMPLES, "map_id int, class_name string, sx int, sy int")
+    return classify.sample_references(colors(spark, sf_dir), samples).select("map_id", F.col("class_id").cast("int").alias("class_id"), "sx", "sy", "r", "g", "b")
 
 
-@query(f"""{_RASTER}, l as (select y, x, case when v % 7 = 0 then 10 else label end k from m),
-    n as (select a.y, a.x, b.k, count(*) n from l a join l b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 where a.k = 10 and b.k <> 10 group by 1, 2, 3),
-    best as (select y, x, arg_max(k, n * 100 - k) k from n group by y, x)
-    select l.y, l.x, coalesce(best.k, l.k)::int label from l left join best using (y, x)""")
+@query(f"""{_RASTER}, l as (select map_id, y, x, case when v % 7 = 0 then 10 else label end k from m),
+    n as (select a.map_id, a.y, a.x, b.k, count(*) n from l a join l b on a.map_id = b.map_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 where a.k = 10 and b.k <> 10 group by 1, 2, 3, 4),
+    best as (select map_id, y, x, arg_max(k, n * 100 - k) k from n group by map_id, y, x)
+    select l.map_id, l.y, l.x, coalesce(best.k, l.k)::int label from l left join best using (map_id, y, x)""")
 def majority_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = raster(spark, sf_dir).select("map_id", "y", "x", F.when(F.col("v") % 7 == 0, 10).otherwise(F.col("label")).cast("int").alias("label"))
-    return stencil.majority_fill(plane, "label", 10, passes=1).select("y", "x", "label")
+    return stencil.majority_fill(plane, "label", 10, passes=1).select("map_id", "y", "x", "label")
 
 
 _CELLS = f"""{_RASTER}, p as (select *, v % 5 = 0 f, v % 97 = 0 bar from m),
-    g as (select (y // 4)::int r, (x // 4)::int c, avg(({_FINE})[label + 1]) filter (where not f) mean, bool_or(bar) bar from p group by 1, 2),
+    g as (select map_id, (y // 4)::int r, (x // 4)::int c, avg(({_FINE})[label + 1]) filter (where not f) mean, bool_or(bar) bar from p group by 1, 2, 3),
     s as (select *, bar or mean is null shut from g),
-    w as (select *, coalesce(lead(shut) over (partition by r order by c), false) e, coalesce(lag(shut) over (partition by r order by c), false) w, coalesce(lead(shut) over (partition by c order by r), false) d from s),
-    cells as (select r, c, case when shut or (e or w) and d then 'infinity'::double else mean end cost, bar from w)"""
+    w as (select *, coalesce(lead(shut) over (partition by map_id, r order by c), false) e, coalesce(lag(shut) over (partition by map_id, r order by c), false) w, coalesce(lead(shut) over (partition by map_id, c order by r), false) d from s),
+    cells as (select map_id, r, c, case when shut or (e or w) and d then 'infinity'::double else mean end cost, bar from w)"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,113 +153,119 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.cost_cells(plane, 4)
 
 
-@query(f"{_CELLS} select r, c, cost = 'infinity'::double shut, case when cost < 'infinity'::double then round(cost, 6) end cost, bar barrier from cells")
+@query(f"{_CELLS} select map_id, r, c, cost = 'infinity'::double shut, case when cost < 'infinity'::double then round(cost, 6) end cost, bar barrier from cells")
 def block_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark, sf_dir).select("r", "c", (F.col("cost") == INF).alias("shut"), F.when(F.col("cost") < INF, F.round("cost", 6)).alias("cost"), "barrier")
+    return cells(spark, sf_dir).select("map_id", "r", "c", (F.col("cost") == INF).alias("shut"), F.when(F.col("cost") < INF, F.round("cost", 6)).alias("cost"), "barrier")
 
 
-@query(f"""{_RASTER}, w as (select *, coalesce(lead(m3) over (partition by y order by x), false) e, coalesce(lag(m3) over (partition by y order by x), false) w, coalesce(lead(m3) over (partition by x order by y), false) d from m)
-    select y, x, m3 or (e or w) and d closed from w""")
+@query(f"""{_RASTER}, w as (select *, coalesce(lead(m3) over (partition by map_id, y order by x), false) e, coalesce(lag(m3) over (partition by map_id, y order by x), false) w, coalesce(lead(m3) over (partition by map_id, x order by y), false) d from m)
+    select map_id, y, x, m3 or (e or w) and d closed from w""")
 def diag_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stencil.close_diagonals(raster(spark, sf_dir), "m3", "closed").select("y", "x", "closed")
+    return stencil.close_diagonals(raster(spark, sf_dir), "m3", "closed").select("map_id", "y", "x", "closed")
 
 
-@query(f"""{_RASTER}, a as (select *, sum(m3::int) over (partition by y order by x rows between 2 preceding and 2 following) s, count(*) over (partition by y order by x rows between 2 preceding and 2 following) k from m)
-    select y, x, sum(s) over (partition by x order by y rows between 2 preceding and 2 following)::double / sum(k) over (partition by x order by y rows between 2 preceding and 2 following)::double density from a""")
+@query(f"""{_RASTER}, a as (select *, sum(m3::int) over (partition by map_id, y order by x rows between 2 preceding and 2 following) s, count(*) over (partition by map_id, y order by x rows between 2 preceding and 2 following) k from m)
+    select map_id, y, x, sum(s) over (partition by map_id, x order by y rows between 2 preceding and 2 following)::double / sum(k) over (partition by map_id, x order by y rows between 2 preceding and 2 following)::double density from a""")
 def box_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stencil.density(raster(spark, sf_dir), "m3", 2).select("y", "x", "density")
+    return stencil.density(raster(spark, sf_dir), "m3", 2).select("map_id", "y", "x", "density")
 
 
 def _square_sql(source: str, col: str, how: str, name: str) -> str:
     over = "rows between 1 preceding and 1 following"
-    return f"""{name}_r as (select y, x, {how}({col}) over (partition by y order by x {over}) t from {source}),
-        {name} as (select y, x, {how}(t) over (partition by x order by y {over}) t from {name}_r)"""
+    return f"""{name}_r as (select map_id, y, x, {how}({col}) over (partition by map_id, y order by x {over}) t from {source}),
+        {name} as (select map_id, y, x, {how}(t) over (partition by map_id, x order by y {over}) t from {name}_r)"""
 
 
 @query(f"""{_RASTER}, {_square_sql("m", "m3::int", "max", "dil")}, {_square_sql("dil", "t", "min", "clo")}, {_square_sql("m", "(not m3)::int", "min", "ero")}, {_square_sql("ero", "t", "max", "ope")}
-    select y, x, dil.t = 1 dilated, clo.t = 1 closed, ero.t = 1 eroded, ope.t = 1 opened from dil join clo using (y, x) join ero using (y, x) join ope using (y, x)""")
+    select map_id, y, x, dil.t = 1 dilated, clo.t = 1 closed, ero.t = 1 eroded, ope.t = 1 opened from dil join clo using (map_id, y, x) join ero using (map_id, y, x) join ope using (map_id, y, x)""")
 def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = raster(spark, sf_dir).withColumn("n3", ~F.col("m3"))
     plane = stencil.closed(stencil.dilate(plane, "m3", 1, "dilated"), "m3", 1, "closed")
-    return stencil.opened(stencil.erode(plane, "n3", 1, "eroded"), "n3", 1, "opened").select("y", "x", "dilated", "closed", "eroded", "opened")
+    return stencil.opened(stencil.erode(plane, "n3", 1, "eroded"), "n3", 1, "opened").select("map_id", "y", "x", "dilated", "closed", "eroded", "opened")
 
 
 def _spread_sql(mask: str, near: str) -> str:
-    return f"""{_RASTER.replace("with r", "with recursive r")}, p as (select y, x from m where {mask}),
-        t as (select y, x, y ry, x rx from p union select b.y, b.x, t.ry, t.rx from t join p b on {near}),
-        comp as (select y, x, min(ry * 1000 + rx) k from t group by y, x)"""
+    return f"""{_RASTER.replace("with r", "with recursive r")}, p as (select map_id, y, x from m where {mask}),
+        t as (select map_id, y, x, y ry, x rx from p union select b.map_id, b.y, b.x, t.ry, t.rx from t join p b on b.map_id = t.map_id and {near}),
+        comp as (select map_id, y, x, min(ry * 1000 + rx) k from t group by map_id, y, x)"""
+
 
+_NEXT8 = "abs(b.y - t.y) <= 1 and abs(b.x - t.x) <= 1 and (b.y <> t.y or b.x <> t.x)"
 
-@query(f"""{_spread_sql("m4", "abs(b.y - t.y) <= 1 and abs(b.x - t.x) <= 1 and (b.y <> t.y or b.x <> t.x)")}
-    select (k // 1000)::int cy, (k % 1000)::int cx, count(*) area, min(x)::int x0, max(x)::int x1, min(y)::int y0, max(y)::int y1 from comp group by k""")
+
+@query(f"""{_spread_sql("m4", _NEXT8)}
+    select map_id, (k // 1000)::int cy, (k % 1000)::int cx, count(*) area, min(x)::int x0, max(x)::int x1, min(y)::int y0, max(y)::int y1 from comp group by map_id, k""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = graph.component_stats(graph.mask_components(raster(spark, sf_dir).where("m4").select("map_id", "y", "x")))
-    return stats.select(F.col("comp.y").alias("cy"), F.col("comp.x").alias("cx"), "area", "x0", "x1", "y0", "y1")
+    return stats.select("map_id", F.col("comp.y").alias("cy"), F.col("comp.x").alias("cx"), "area", "x0", "x1", "y0", "y1")
 
 
-@query(f"""{_spread_sql("m4", "abs(b.y - t.y) <= 1 and abs(b.x - t.x) <= 1 and (b.y <> t.y or b.x <> t.x)")},
-    b as (select k, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h from comp group by k)
-    select (k // 1000)::int cy, (k % 1000)::int cx from b where greatest(w, h) >= 12 or greatest(w, h) >= 3 * least(w, h) and greatest(w, h) >= 6""")
+@query(f"""{_spread_sql("m4", _NEXT8)},
+    b as (select map_id, k, max(x) - min(x) + 1 w, max(y) - min(y) + 1 h from comp group by map_id, k)
+    select map_id, (k // 1000)::int cy, (k % 1000)::int cx from b where greatest(w, h) >= 12 or greatest(w, h) >= 3 * least(w, h) and greatest(w, h) >= 6""")
 def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = graph.component_stats(graph.mask_components(raster(spark, sf_dir).where("m4").select("map_id", "y", "x")))
-    return graph.line_like(stats, 6.0).select(F.col("comp.y").alias("cy"), F.col("comp.x").alias("cx"))
+    return graph.line_like(stats, 6.0).select("map_id", F.col("comp.y").alias("cy"), F.col("comp.x").alias("cx"))
 
 
-@query(f"""{_spread_sql("m4", "abs(b.y - t.y) + abs(b.x - t.x) = 1")}, e as (select max(y) h, max(x) w from m),
-    outer_k as (select distinct k from comp, e where y = 0 or x = 0 or y = h or x = w)
-    select m.y, m.x, not m4 or (comp.k is not null and comp.k not in (select k from outer_k)) filled from m left join comp using (y, x)""")
+@query(f"""{_spread_sql("m4", "abs(b.y - t.y) + abs(b.x - t.x) = 1")}, e as (select map_id, max(y) h, max(x) w from m group by map_id),
+    outer_k as (select distinct map_id, k from comp join e using (map_id) where y = 0 or x = 0 or y = h or x = w)
+    select m.map_id, m.y, m.x, not m4 or (comp.k is not null and outer_k.k is null) filled from m left join comp using (map_id, y, x) left join outer_k on outer_k.map_id = comp.map_id and outer_k.k = comp.k""")
 def holes_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = raster(spark, sf_dir).select("map_id", "y", "x", (~F.col("m4")).alias("on"))
-    return graph.fill_holes(plane).select("y", "x", F.col("on").alias("filled"))
+    return graph.fill_holes(plane).select("map_id", "y", "x", F.col("on").alias("filled"))
 
 
-@query(f"""{_RASTER}, n as (select a.y, a.x, arg_min(b.label, ((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) * 10000000000 + b.y * 100000 + b.x) k
-        from m a join m b on abs(a.y - b.y) <= 8 and abs(a.x - b.x) <= 8 where a.m3 and not b.m3 group by a.y, a.x)
-    select m.y, m.x, coalesce(k, label)::int label from m left join n using (y, x)""")
+@query(f"""{_RASTER}, n as (select a.map_id, a.y, a.x, arg_min(b.label, ((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) * 10000000000 + b.y * 100000 + b.x) k
+        from m a join m b on a.map_id = b.map_id and abs(a.y - b.y) <= 8 and abs(a.x - b.x) <= 8 where a.m3 and not b.m3 group by a.map_id, a.y, a.x)
+    select m.map_id, m.y, m.x, coalesce(k, label)::int label from m left join n using (map_id, y, x)""")
 def nearest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest.fill_from_nearest(raster(spark, sf_dir), "label", "m3").select("y", "x", "label")
+    return nearest.fill_from_nearest(raster(spark, sf_dir), "label", "m3").select("map_id", "y", "x", "label")
+
 
+_CELL_EDGE = "e as (select map_id, max(r) h, max(c) w from cells group by map_id)"
 
-@query(f"""{_CELLS}, p as ({_POINTS}), e as (select max(r) h, max(c) w from cells),
-    q as (select pid, greatest(0, least(h, floor(py / 4))) r0, greatest(0, least(w, floor(px / 4))) c0 from p, e)
-    select pid, (k // 1000 % 1000)::int r, (k % 1000)::int c from (
-      select pid, min(((r - r0) * (r - r0) + (c - c0) * (c - c0))::bigint * 1000000 + r * 1000 + c) k from q, cells where cost < 'infinity'::double group by pid)""".replace(", p as (select user_id", ", pts as (select user_id").replace("from p, e)", "from pts, e)"))
+
+@query(f"""{_CELLS}, pts as ({_POINTS}), {_CELL_EDGE},
+    q as (select map_id, pid, greatest(0, least(h, floor(py / 4))) r0, greatest(0, least(w, floor(px / 4))) c0 from pts join e using (map_id))
+    select map_id, pid, (k // 1000 % 1000)::int r, (k % 1000)::int c from (
+      select map_id, pid, min(((r - r0) * (r - r0) + (c - c0) * (c - c0))::bigint * 1000000 + r * 1000 + c) k from q join cells using (map_id) where cost < 'infinity'::double group by map_id, pid)""")
 def snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = cells(spark, sf_dir)
     ground = grid.where(F.col("cost") < INF).select("map_id", "r", "c")
-    return nearest.snap(points(spark, sf_dir), grid, ground, 4).select("pid", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    return nearest.snap(points(spark, sf_dir), grid, ground, 4).select("map_id", "pid", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
 
 
-_EDITS = [("e1", "forbid", [(5, 3), (30, 3), (30, 40), (5, 25)]), ("e2", "allow", [(10, 10), (25, 18), (12, 30)]), ("e3", "forbid", [(1, 1), (2, 2)])]
+_EDITS = [(0, "e1", "forbid", [(5, 3), (30, 3), (30, 40), (5, 25)]), (0, "e2", "allow", [(10, 10), (25, 18), (12, 30)]), (0, "e3", "forbid", [(1, 1), (2, 2)]), (1, "e4", "forbid", [(0, 100), (63, 120), (20, 140)])]
 
 
 def edits(spark: SparkSession) -> DataFrame:
-    rows = [("m", i, k, [(float(x), float(y)) for x, y in p]) for i, k, p in _EDITS]
-    return spark.createDataFrame(rows, "map_id string, edit_id string, kind string, points array<struct<x:double,y:double>>")
+    rows = [(m, i, k, [(float(x), float(y)) for x, y in p]) for m, i, k, p in _EDITS]
+    return spark.createDataFrame(rows, "map_id int, edit_id string, kind string, points array<struct<x:double,y:double>>")
 
 
 def _polygon_sql() -> str:
-    edges = ", ".join(str((i, k, *a, *b)) for i, k, p in _EDITS if len(p) >= 3 for a, b in zip(p, p[1:] + p[:1], strict=True))
-    return f"""{_RASTER}, e(id, kind, ax, ay, bx, dy) as (values {edges}),
-        t as (select id, kind, y, x, bool_or((bx - ax) * (y - ay) = (x - ax) * (dy - ay) and x between least(ax, bx) and greatest(ax, bx) and y between least(ay, dy) and greatest(ay, dy)) on_edge,
+    edges = ", ".join(str((m, i, k, *a, *b)) for m, i, k, p in _EDITS if len(p) >= 3 for a, b in zip(p, p[1:] + p[:1], strict=True))
+    return f"""{_RASTER}, e(map_id, id, kind, ax, ay, bx, dy) as (values {edges}),
+        t as (select map_id, id, kind, y, x, bool_or((bx - ax) * (y - ay) = (x - ax) * (dy - ay) and x between least(ax, bx) and greatest(ax, bx) and y between least(ay, dy) and greatest(ay, dy)) on_edge,
                 count(*) filter (where (ay > y) <> (dy > y) and case when dy > ay then (bx - ax) * (y - ay) - (x - ax) * (dy - ay) > 0 else (bx - ax) * (y - ay) - (x - ax) * (dy - ay) < 0 end) n
-              from m, e group by 1, 2, 3, 4),
-        inside as (select id, kind, y, x from t where on_edge or n % 2 = 1)"""
+              from m join e using (map_id) group by 1, 2, 3, 4, 5),
+        inside as (select map_id, id, kind, y, x from t where on_edge or n % 2 = 1)"""
 
 
-@query(f"{_polygon_sql()} select id edit_id, kind, y, x from inside")
+@query(f"{_polygon_sql()} select map_id, id edit_id, kind, y, x from inside")
 def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.polygon_pixels(raster(spark, sf_dir), edits(spark)).select("edit_id", "kind", "y", "x")
+    return terrain.polygon_pixels(raster(spark, sf_dir), edits(spark)).select("map_id", "edit_id", "kind", "y", "x")
 
 
 @query(f"""{_polygon_sql()}, f as (select *, label in (5, 4) or v % 13 = 0 or v % 17 = 0 or v % 19 = 0 or v % 23 = 0 or v % 29 = 0 bad, v % 29 = 0 bar from m),
-    s as (select y, x, bool_or(kind = 'forbid') f, bool_or(kind = 'allow') a from inside group by y, x)
-    select f.y, f.x, (bad or coalesce(s.f, false)) and not coalesce(a, false) forbidden, bar and not coalesce(a, false) barrier from f left join s using (y, x)""")
+    s as (select map_id, y, x, bool_or(kind = 'forbid') f, bool_or(kind = 'allow') a from inside group by map_id, y, x)
+    select f.map_id, f.y, f.x, (bad or coalesce(s.f, false)) and not coalesce(a, false) forbidden, bar and not coalesce(a, false) barrier from f left join s using (map_id, y, x)""")
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = {n: F.col("v") % k == 0 for n, k in (("hatch", 13), ("outside", 17), ("outline", 19), ("water", 23), ("barrier", 29))}
     plane = raster(spark, sf_dir).withColumns(flags).withColumn("forbidden", terrain.forbidden())
     masks = terrain.polygon_pixels(plane, edits(spark))
-    return terrain.apply_edits(plane, masks, ["forbidden", "barrier"]).select("y", "x", "forbidden", "barrier")
+    return terrain.apply_edits(plane, masks, ["forbidden", "barrier"]).select("map_id", "y", "x", "forbidden", "barrier")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,10 +333,14 @@ def leg_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("map_id", "from_kind", "to_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-_RING = f"""{_RASTER}, c as ({_POINTS}), a as (select pid, px, py, pr, k, o from c, (select unnest(range(0, 72)) k), (select unnest([-1.0::double, -0.5::double, 0.0::double, 0.5::double, 1.0::double]) o)),
-    h as (select pid, k, bool_or(m3 is not null) hit from (select a.*, m.m3 from a left join (select y, x, m3 from m where m3) m
-            on m.x = round_even(px + (pr + o) * cos(k * (2 * pi() / 72)), 0)::int and m.y = round_even(py + (pr + o) * sin(k * (2 * pi() / 72)), 0)::int) group by pid, k),
-    s as (select pid, k // 9 sec, sum(hit::int) n from h group by 1, 2)"""
+def _ring_sql(offsets: str, name: str = "h") -> str:
+    """Whether each angle of each circle ``(map_id, pid, px, py, pr)`` of ``c`` hits the mask at one of the radial offsets."""
+    return f"""a_{name} as (select c.*, k, o from c, (select unnest(range(0, 72)) k), (select unnest({offsets}) o)),
+        {name} as (select map_id, pid, pr, k, bool_or(m3 is not null) hit from (select a.*, m.m3 from a_{name} a left join (select map_id, y, x, m3 from m where m3) m on m.map_id = a.map_id
+            and m.x = round_even(px + (pr + o) * cos(k * (2 * pi() / 72)), 0)::int and m.y = round_even(py + (pr + o) * sin(k * (2 * pi() / 72)), 0)::int) group by map_id, pid, pr, k)"""
+
+
+_TIGHT = "[-1.0::double, -0.5::double, 0.0::double, 0.5::double, 1.0::double]"
 
 
 def _circles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,81 +351,119 @@ def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster(spark, sf_dir).where("m3").select("map_id", "y", "x")
 
 
-@query(f"{_RING} select pid cid, round(sum(n) / 72.0::double, 6) support, round(avg((n >= 2.25)::int), 6) coverage from s group by pid")
+@query(f"""{_RASTER}, c as ({_POINTS}), {_ring_sql(_TIGHT)}, s as (select map_id, pid, k // 9 sec, sum(hit::int) n from h group by 1, 2, 3)
+    select map_id, pid cid, round(sum(n) / 72.0::double, 6) support, round(avg((n >= 2.25)::int), 6) coverage from s group by map_id, pid""")
 def ring_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rings.ring_support(_circles(spark, sf_dir), _mask(spark, sf_dir), F.lit(1.0))
-    return found.select("cid", F.round("support", 6).alias("support"), F.round("coverage", 6).alias("coverage"))
+    return found.select("map_id", "cid", F.round("support", 6).alias("support"), F.round("coverage", 6).alias("coverage"))
 
 
-@query(f"""{_RASTER}, c as ({_POINTS}), e as (select max(y) h, max(x) w from m)
-    select pid cid, round(avg(m3::int), 6) fill from c, m where (x - px) * (x - px) + (y - py) * (y - py) <= (pr * 0.6::double) * (pr * 0.6::double) group by pid""")
+@query(f"""{_RASTER}, c as ({_POINTS})
+    select map_id, pid cid, round(avg(m3::int), 6) fill from c join m using (map_id) where (x - px) * (x - px) + (y - py) * (y - py) <= (pr * 0.6::double) * (pr * 0.6::double) group by map_id, pid""")
 def interior_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = raster(spark, sf_dir).groupBy("map_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
     found = rings.interior_fill(_circles(spark, sf_dir), _mask(spark, sf_dir), size)
-    return found.select("cid", F.round("fill", 6).alias("fill"))
+    return found.select("map_id", "cid", F.round("fill", 6).alias("fill"))
 
 
-@query(f"""with c as ({_POINTS}), n as (select a.pid, sum(b.px + 1) score, count(*) n, sum(b.pr * (b.px + 1)) / sum(b.px + 1) mean from c a join c b on abs(b.pr - a.pr) <= 0.08::double * a.pr group by a.pid)
-    select round(arg_max(mean, score * 1000000 - pid), 6) r0, arg_max(n, score * 1000000 - pid) n from n""")
+@query(f"""with c as ({_POINTS}), n as (select a.map_id, a.pid, sum(b.px + 1) score, count(*) n, sum(b.pr * (b.px + 1)) / sum(b.px + 1) mean from c a join c b on a.map_id = b.map_id and abs(b.pr - a.pr) <= 0.08::double * a.pr group by a.map_id, a.pid)
+    select map_id, round(arg_max(mean, score * 1000000 - pid), 6) r0, arg_max(n, score * 1000000 - pid) n from n group by map_id""")
 def radius_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     circles = _circles(spark, sf_dir).withColumn("support", F.col("cx") + 1)
-    return rings.radius_consensus(circles).select(F.round("r0", 6).alias("r0"), "n")
+    return rings.radius_consensus(circles).select("map_id", F.round("r0", 6).alias("r0"), "n")
 
 
-@query()
+@query(f"""with recursive c as (select *, row_number() over (partition by map_id order by px desc, pr desc, pid) n from ({_POINTS})),
+    t as (select map_id, 0::bigint n, []::bigint[] ids, []::double[] xs, []::double[] ys from (select distinct map_id from c)
+      union all select c.map_id, c.n, case when far then list_append(ids, c.pid) else ids end, case when far then list_append(xs, c.px) else xs end, case when far then list_append(ys, c.py) else ys end
+      from (select t.map_id m, t.n k, ids, xs, ys, c.*, len(list_filter(range(1, len(xs) + 1), lambda i: sqrt((xs[i] - c.px) * (xs[i] - c.px) + (ys[i] - c.py) * (ys[i] - c.py)) < 12)) = 0 far
+            from t join c on c.map_id = t.map_id and c.n = t.n + 1) c),
+    last as (select map_id, arg_max(ids, n) ids from t group by map_id)
+    select c.map_id, pid cid, px cx, py cy, pr cr from c join last using (map_id) where list_contains(ids, pid)""")
 def circles_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     circles = _circles(spark, sf_dir).withColumn("support", F.col("cx") + 1)
-    return rings.suppressed(circles, F.lit(12.0)).select("cid", "cx", "cy", "cr")
+    return rings.suppressed(circles, F.lit(12.0)).select("map_id", "cid", "cx", "cy", "cr")
+
+
+_CANDIDATES = f"""c as ({_POINTS}), b as (select map_id, pid lid, px + 3 x0, py - 2 y0, px + 9 x1, py + 2 y1 from c),
+    cand as (select * from (select b.map_id, lid, pid node, sqrt(pow(greatest(x0 - px, 0, px - x1), 2) + pow(greatest(y0 - py, 0, py - y1), 2)) dist from b join c using (map_id)) where dist <= 9)"""
 
 
-@query(f"""with c as ({_POINTS}), b as (select pid lid, px + 3 x0, py - 2 y0, px + 9 x1, py + 2 y1 from c where pid % 2 = 0)
-    select lid, pid node, round(sqrt(pow(greatest(x0 - px, 0, px - x1), 2) + pow(greatest(y0 - py, 0, py - y1), 2)), 6) dist from b, c
-    where sqrt(pow(greatest(x0 - px, 0, px - x1), 2) + pow(greatest(y0 - py, 0, py - y1), 2)) <= 9""")
+@query(f"with {_CANDIDATES} select map_id, lid, node, round(dist, 6) dist from cand")
 def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("lid", "node", F.round("dist", 6).alias("dist"))
+    """Every point has a label to its right, which may lie nearer to other points."""
+    return _candidates(spark, sf_dir).select("map_id", "lid", "node", F.round("dist", 6).alias("dist"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = points(spark, sf_dir)
-    boxes = at.where("pid % 2 = 0").select("map_id", F.col("pid").alias("lid"), (F.col("px") + 3).alias("x0"), (F.col("py") - 2).alias("y0"), (F.col("px") + 9).alias("x1"), (F.col("py") + 2).alias("y1"))
+    boxes = at.select("map_id", F.col("pid").alias("lid"), (F.col("px") + 3).alias("x0"), (F.col("py") - 2).alias("y0"), (F.col("px") + 9).alias("x1"), (F.col("py") + 2).alias("y1"))
     circles = at.select("map_id", F.col("pid").alias("node"), F.col("px").alias("cx"), F.col("py").alias("cy"))
     return course.label_candidates(boxes, circles, F.lit(3.0))
 
 
-@query()
+@query(f"""with recursive {_CANDIDATES}, o as (select *, row_number() over (partition by map_id order by dist, lid, node) n from cand),
+    t as (select map_id, 0::bigint n, []::bigint[] ls, []::bigint[] ns from (select distinct map_id from o)
+      union all select map_id, k, case when free then list_append(ls, lid) else ls end, case when free then list_append(ns, node) else ns end
+      from (select t.map_id, o.n k, ls, ns, lid, node, not list_contains(ls, lid) and not list_contains(ns, node) free from t join o on o.map_id = t.map_id and o.n = t.n + 1)),
+    last as (select map_id, arg_max(ls, n) ls, arg_max(ns, n) ns from t group by map_id)
+    select map_id, unnest(ls) lid, unnest(ns) node from last""")
 def labels_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return course.matched(_candidates(spark, sf_dir)).select("lid", "node")
+    return course.matched(_candidates(spark, sf_dir)).select("map_id", "lid", "node")
 
 
-_START = "select r, c from cells where cost < 'infinity'::double order by r, c limit 1"
+def _distance_sql(start: str) -> str:
+    """Least costs ``d(map_id, leg, r, c, d)`` over ``grid`` from the cells ``s0(map_id, leg, r, c)`` that ``start`` selects."""
+    step = "d.d + sqrt(((g.r - d.r) * (g.r - d.r) + (g.c - d.c) * (g.c - d.c))::double) * (g.cost + o.cost) / 2"
+    return f"""{_CELLS.replace("with r as", "with recursive r as")}, grid as (select map_id, r, c, cost from cells where cost < 'infinity'::double), {start},
+    d(map_id, leg, r, c, d) using key (map_id, leg, r, c) as (select map_id, leg, r, c, 0.0::double from s0
+      union all select d.map_id, d.leg, g.r, g.c, min({step}) n
+      from d join grid o on o.map_id = d.map_id and o.r = d.r and o.c = d.c join grid g on g.map_id = d.map_id and abs(g.r - d.r) <= 1 and abs(g.c - d.c) <= 1 and (g.r <> d.r or g.c <> d.c)
+        left join recurring.d k on k.map_id = d.map_id and k.leg = d.leg and k.r = g.r and k.c = g.c
+      where k.d is null or {step} < k.d - 1e-12 group by d.map_id, d.leg, g.r, g.c)"""
 
 
-@query(f"""{_CELLS.replace("with r as", "with recursive r as")}, grid as (select r, c, cost from cells where cost < 'infinity'::double), s0 as ({_START}),
-    d(r, c, d) using key (r, c) as (select r, c, 0.0::double from s0
-      union all select g.r, g.c, min(d.d + sqrt(((g.r - d.r) * (g.r - d.r) + (g.c - d.c) * (g.c - d.c))::double) * (g.cost + o.cost) / 2) n
-      from d join grid o on o.r = d.r and o.c = d.c join grid g on abs(g.r - d.r) <= 1 and abs(g.c - d.c) <= 1 and (g.r <> d.r or g.c <> d.c)
-        left join recurring.d k on k.r = g.r and k.c = g.c
-      where k.d is null or d.d + sqrt(((g.r - d.r) * (g.r - d.r) + (g.c - d.c) * (g.c - d.c))::double) * (g.cost + o.cost) / 2 < k.d - 1e-12 group by g.r, g.c)
-    select r, c, round(d, 6) d from d""")
+@query(f"""{_distance_sql("s0 as (select map_id, 'a' leg, k // 1000 r, k % 1000 c from (select map_id, min(r * 1000 + c) k from grid group by map_id))")}
+    select map_id, r::int r, c::int c, round(d, 6) d from d""")
 def least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = cells(spark, sf_dir)
     start = grid.where(F.col("cost") < INF).groupBy("map_id").agg(F.min(F.struct("r", "c")).alias("s")).select("map_id", F.lit("a").alias("leg"), "s.r", "s.c")
-    return routing.spread(grid, start, tile=16).select("r", "c", F.round("d", 6).alias("d"))
+    return routing.spread(grid, start, tile=16).select("map_id", "r", "c", F.round("d", 6).alias("d"))
 
 
-@query(f"""{_CELLS}, e as (select min(cost) lo, max(cost) hi from cells where cost < 'infinity'::double)
-    select r, c, case when cost < 'infinity'::double then floor(255 * ((cost - lo) / (hi - lo)))::int else 40 end red, case when cost < 'infinity'::double then floor(255 * (1 - (cost - lo) / (hi - lo)))::int else 0 end green,
-      case when cost < 'infinity'::double then 0 else 40 end blue from cells, e""")
+@query(f"""{_CELLS}, e as (select map_id, min(cost) lo, max(cost) hi from cells where cost < 'infinity'::double group by map_id)
+    select map_id, r, c, case when cost < 'infinity'::double then floor(255 * ((cost - lo) / (hi - lo)))::int else 40 end red, case when cost < 'infinity'::double then floor(255 * (1 - (cost - lo) / (hi - lo)))::int else 0 end green,
+      case when cost < 'infinity'::double then 0 else 40 end blue from cells join e using (map_id)""")
 def cost_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     ramp = classify.cost_ramp(cells(spark, sf_dir).withColumnRenamed("r", "row"))
-    return ramp.select(F.col("row").alias("r"), "c", F.col("r").alias("red"), F.col("g").alias("green"), F.col("b").alias("blue"))
+    return ramp.select("map_id", F.col("row").alias("r"), "c", F.col("r").alias("red"), F.col("g").alias("green"), F.col("b").alias("blue"))
+
 
+_PALETTE = ", ".join(f"({[DISPLAY_COLORS[n][i] for n in CLASS_NAMES]})[label + 1]::int {c}" for i, c in enumerate("rgb"))
 
-@query(f"""{_RASTER} select y + 7 y, x + 5 x, ({[DISPLAY_COLORS[n][0] for n in CLASS_NAMES]})[label + 1]::int r, ({[DISPLAY_COLORS[n][1] for n in CLASS_NAMES]})[label + 1]::int g, ({[DISPLAY_COLORS[n][2] for n in CLASS_NAMES]})[label + 1]::int b from m where x between 8 and 39 and y between 10 and 399""".replace("y + 7 y, x + 5 x", "y - 10 + 7 y, x - 8 + 5 x"))
+
+@query(f"{_RASTER} select map_id, y, x, {_PALETTE} from m")
 def palette_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = classify.crop(raster(spark, sf_dir), (8, 10, 40, 400))
-    shown = classify.placed(cut.withColumns({k: v for k, v in classify.palette(F.col("label")).items() if k != "alpha"}), 5, 7)
-    return shown.select("y", "x", "r", "g", "b")
+    shown = raster(spark, sf_dir).withColumns({k: v for k, v in classify.palette(F.col("label")).items() if k != "alpha"})
+    return shown.select("map_id", "y", "x", "r", "g", "b")
+
+
+@query(f"{_RASTER} select map_id, y - 10 + 7 y, x - 8 + 5 x, label::int label from m where x between 8 and 39 and y between 10 and 199")
+def cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crop, and its layer placed in another picture."""
+    return classify.placed(classify.crop(raster(spark, sf_dir), (8, 10, 40, 200)), 5, 7).select("map_id", "y", "x", "label")
+
+
+@query(f"{_RASTER} select map_id, y, x, case when m3 then 10 else 0 end r, case when m3 then 20 else 0 end g, case when m3 then 30 else 0 end b, case when m3 then 40 else 0 end alpha from m")
+def mask_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster(spark, sf_dir).withColumns(classify.mask_rgba(F.col("m3"), (10, 20, 30, 40))).select("map_id", "y", "x", "r", "g", "b", "alpha")
+
+
+@query(f"""{_CELLS}, e as (select map_id, max(y) h, max(x) w from m group by map_id)
+    select map_id, (r * 4 + i)::int y, (c * 4 + j)::int x, barrier from (select map_id, r, c, bar barrier, unnest(range(0, 4)) i from cells), (select unnest(range(0, 4)) j) join e using (map_id) where r * 4 + i <= h and c * 4 + j <= w""".replace("join e using (map_id)", "").replace("), (select unnest(range(0, 4)) j)", ") q cross join (select unnest(range(0, 4)) j) join e using (map_id)"))
+def cells_enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = raster(spark, sf_dir).groupBy("map_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    return classify.enlarged(cells(spark, sf_dir), 4, size).select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "barrier")
 
 
 @query("select user_id project_id, event_id version, event_type kind from (select *, row_number() over (partition by user_id order by event_id desc) k from events) where k = 1")
@@ -429,22 +483,22 @@ def content_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-@query(f"""{_RASTER} select a.y, a.x, (count(b.x) - 1)::bigint n8 from m a join m b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and b.m3 where a.m3 group by 1, 2 having count(b.x) - 1 >= 3""")
+@query(f"""{_RASTER} select a.map_id, a.y, a.x, (count(b.x) - 1)::bigint n8 from m a join m b on a.map_id = b.map_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and b.m3 where a.m3 group by 1, 2, 3 having count(b.x) - 1 >= 3""")
 def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stencil.neighbours8(raster(spark, sf_dir), "m3").where("m3 and n8 >= 3").select("y", "x", "n8")
+    return stencil.neighbours8(raster(spark, sf_dir), "m3").where("m3 and n8 >= 3").select("map_id", "y", "x", "n8")
 
 
-@query(f"""{_RASTER}, c as ({_POINTS}), a as (select pid, px, py, pr, k, unnest(range(0, floor((pr + 0.01) * 2)::int + 1)) i from c, (select unnest(range(0, 72)) k)),
+@query(f"""{_RASTER}, c as ({_POINTS}), a as (select map_id, pid, px, py, pr, k, unnest(range(0, floor((pr + 0.01) * 2)::int + 1)) i from c, (select unnest(range(0, 72)) k)),
     b as (select *, pr + (i * 0.5::double - 0.5::double * pr) rr from a),
-    h as (select pid, k, pr, bool_or(y is not null and rr < 0.7::double * pr) inn, bool_or(y is not null and rr > 1.3::double * pr) ou, count(y) * 0.5::double ink
-          from b left join (select y, x from m where m3) m on m.x = round_even(px + rr * cos(k * (2 * pi() / 72)), 0)::int and m.y = round_even(py + rr * sin(k * (2 * pi() / 72)), 0)::int group by pid, k, pr)
-    select pid cid, round(avg(inn::int), 6) "inner", round(avg(ou::int), 6) "outer", round(quantile_cont(ink, 0.5) / pr, 6) thickness from h group by pid, pr""")
+    h as (select b.map_id, pid, k, pr, bool_or(y is not null and rr < 0.7::double * pr) inn, bool_or(y is not null and rr > 1.3::double * pr) ou, count(y) * 0.5::double ink
+          from b left join (select map_id, y, x from m where m3) m on m.map_id = b.map_id and m.x = round_even(px + rr * cos(k * (2 * pi() / 72)), 0)::int and m.y = round_even(py + rr * sin(k * (2 * pi() / 72)), 0)::int group by b.map_id, pid, k, pr)
+    select map_id, pid cid, round(avg(inn::int), 6) "inner", round(avg(ou::int), 6) "outer", round(quantile_cont(ink, 0.5) / pr, 6) thickness from h group by map_id, pid, pr""")
 def ring_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rings.band_stats(_circles(spark, sf_dir), _mask(spark, sf_dir))
-    return found.select("cid", *[F.round(c, 6).alias(c) for c in ("inner", "outer", "thickness")])
+    return found.select("map_id", "cid", *[F.round(c, 6).alias(c) for c in ("inner", "outer", "thickness")])
 
 
-_PAIRS = f"pt as ({_POINTS}), pairs as (select * from (select pid i, px ax, py ay, pr ar, lead(pid) over (order by pid) j, lead(px) over (order by pid) bx, lead(py) over (order by pid) \"by\", lead(pr) over (order by pid) br from pt) where j is not null)"
+_PAIRS = f"pt as ({_POINTS}), pairs as (select * from (select map_id, pid i, px ax, py ay, pr ar, lead(pid) over w j, lead(px) over w bx, lead(py) over w \"by\", lead(pr) over w br from pt window w as (partition by map_id order by pid)) where j is not null)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,35 +509,43 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_RASTER}, {_PAIRS}, d as (select *, sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) d from pairs), t as (select *, ar + 0.15::double * 4 t0, d - br - 0.15::double * 4 t1 from d),
     s as (select *, unnest(range(0, ceil(t1 - t0)::int)) st from t where t1 - t0 >= 3), o as (select *, unnest([-1.5::double, -0.75::double, 0.0::double, 0.75::double, 1.5::double]) o from s),
-    h as (select i, st, bool_or(m.y is not null) hit from o left join (select y, x from m where m3) m
-          on m.x = round_even(ax + (bx - ax) / d * (t0 + st) - ("by" - ay) / d * o, 0)::int and m.y = round_even(ay + ("by" - ay) / d * (t0 + st) + (bx - ax) / d * o, 0)::int group by i, st)
-    select pairs.i, pairs.j, round(coalesce(x.s, 0), 6) support from pairs left join (select i, avg(hit::int) s from h group by i) x on x.i = pairs.i""")
+    h as (select o.map_id, i, st, bool_or(m.y is not null) hit from o left join (select map_id, y, x from m where m3) m
+          on m.map_id = o.map_id and m.x = round_even(ax + (bx - ax) / d * (t0 + st) - ("by" - ay) / d * o, 0)::int and m.y = round_even(ay + ("by" - ay) / d * (t0 + st) + (bx - ax) / d * o, 0)::int group by o.map_id, i, st)
+    select pairs.map_id, pairs.i, pairs.j, round(coalesce(x.s, 0), 6) support from pairs left join (select map_id, i, avg(hit::int) s from h group by map_id, i) x on x.map_id = pairs.map_id and x.i = pairs.i""")
 def line_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rings.line_support(_pairs(spark, sf_dir), _mask(spark, sf_dir), F.lit(4.0))
-    return found.select("i", "j", F.round("support", 6).alias("support"))
+    return found.select("map_id", "i", "j", F.round("support", 6).alias("support"))
 
 
-@query(f"""{_CELLS.replace(", p as (select *, v % 5", ", q as (select *, v % 5").replace("from p group by 1, 2", "from q group by 1, 2")}, {_PAIRS}, e as (select max(r) h, max(c) w from cells),
-    n as (select *, greatest(2, ceil(sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) / 1.0)::int + 1) n from pairs, e), k as (select *, unnest(range(0, n)) k from n),
-    hits as (select i, greatest(0, least(h, floor((ay + ("by" - ay) * (k / (n - 1)::double)) / 4)))::int r, greatest(0, least(w, floor((ax + (bx - ax) * (k / (n - 1)::double)) / 4)))::int c from k)
-    select i sid, not bool_or(cost = 'infinity'::double) clear from hits join cells using (r, c) group by i""")
+@query(f"""{_CELLS}, {_PAIRS}, {_CELL_EDGE},
+    n as (select *, greatest(2, ceil(sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) / 1.0)::int + 1) n from pairs join e using (map_id)), k as (select *, unnest(range(0, n)) k from n),
+    hits as (select map_id, i, greatest(0, least(h, floor((ay + ("by" - ay) * (k / (n - 1)::double)) / 4)))::int r, greatest(0, least(w, floor((ax + (bx - ax) * (k / (n - 1)::double)) / 4)))::int c from k)
+    select map_id, i sid, not bool_or(cost = 'infinity'::double) clear from hits join cells using (map_id, r, c) group by map_id, i""")
 def segments_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = _pairs(spark, sf_dir).withColumnRenamed("i", "sid")
-    return routing.segments_clear(segments, cells(spark, sf_dir), 4).select("sid", "clear")
+    return routing.segments_clear(segments, cells(spark, sf_dir), 4).select("map_id", "sid", "clear")
 
 
-@query(f"with p as ({_POINTS}) select pid cid from p a where not exists (select 1 from p b where b.pid % 9 = 0 and sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) < 10)")
+@query(f"with p as ({_POINTS}) select map_id, pid cid from p a where not exists (select 1 from p b where a.map_id = b.map_id and a.pid <> b.pid and b.pr >= 7 and sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) < 10) and pr < 7")
 def circles_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small circles that no large one is near to."""
     circles = _circles(spark, sf_dir)
-    others = circles.where("cid % 9 = 0").select("map_id", F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    return rings.away_from(circles, others, F.lit(10.0)).select("cid")
+    others = circles.where("cr >= 7").select("map_id", F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    return rings.away_from(circles.where("cr < 7"), others, F.lit(10.0)).select("map_id", "cid")
 
 
-@query()
-def finish_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+_PROFILE = f"""{_RASTER}, pts as ({_POINTS}), c as (select map_id, pid, px, py, unnest([4.0::double + i * 0.5::double for i in range(0, 21)]) pr from pts),
+    {_ring_sql("[-0.75::double, -0.25::double, 0.25::double, 0.75::double]")}, prof as (select map_id, pid, pr, avg(hit::int) s from h group by map_id, pid, pr)"""
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     radii = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: 4.0 + i * 0.5)
-    profile = rings.radial_profile(_circles(spark, sf_dir), _mask(spark, sf_dir), radii)
-    return profile.select("cid", "radius", F.round("support", 6).alias("support"))
+    return rings.radial_profile(_circles(spark, sf_dir), _mask(spark, sf_dir), radii)
+
+
+@query(f"{_PROFILE} select map_id, pid cid, pr radius, round(s, 6) support from prof")
+def finish_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile(spark, sf_dir).select("map_id", "cid", "radius", F.round("support", 6).alias("support"))
 
 
 @query()
@@ -491,28 +553,36 @@ def skeleton_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = stencil.opened(raster(spark, sf_dir).withColumn("on", ~F.col("m3")), "on", 1, "__o").select("map_id", "y", "x", F.col("__o").alias("on"))
     plane = written(stencil.dilate(plane, "on", 1, "wide"))
     segments = written(lines.stroke_segments(lines.skeleton(plane, "wide")))
-    return lines.segment_widths(plane, "wide", segments).select(F.col("seg.y").alias("sy"), F.col("seg.x").alias("sx"), "area", "length", "width")
+    return lines.segment_widths(plane, "wide", segments).select("map_id", F.col("seg.y").alias("sy"), F.col("seg.x").alias("sx"), "area", "length", "width")
 
 
 @query()
 def overprint_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = raster(spark, sf_dir).select("map_id", "y", "x", "label", F.col("m3").alias("purple"))
-    return areas.outside_map(areas.hatched(plane, 2.0), 1.0).select("y", "x", "hatch", "outside")
+    return areas.outside_map(areas.hatched(plane, 2.0), 1.0).select("map_id", "y", "x", "hatch", "outside")
 
 
-@query()
+_COURSE_LEGS = f"""pts as ({_POINTS}), {_CELL_EDGE},
+    q as (select map_id, pid, greatest(0, least(h, floor(py / 4))) r0, greatest(0, least(w, floor(px / 4))) c0 from pts join e using (map_id)),
+    spot as (select map_id, pid, (k // 1000 % 1000)::int r, (k % 1000)::int c from (select map_id, pid, min(((r - r0) * (r - r0) + (c - c0) * (c - c0))::bigint * 1000000 + r * 1000 + c) k from q join grid using (map_id) group by map_id, pid)),
+    legs as (select map_id, pid from_id, r, c, lead(pid) over w to_id, lead(r) over w er, lead(c) over w ec from spot window w as (partition by map_id order by pid)),
+    s0 as (select map_id, from_id::varchar || '>' || to_id leg, r, c from legs where to_id is not null)"""
+
+
+@query(f"""{_distance_sql(_COURSE_LEGS)}
+    select l.map_id, from_id, to_id, d is not null ok, coalesce(round(d * 4, 5), -1.0::double) cost from legs l left join d on d.map_id = l.map_id and d.leg = from_id::varchar || '>' || to_id and d.r = er and d.c = ec where to_id is not null""")
 def leg_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A course through all points of each map, routed; paths may differ where costs are equal."""
     grid = written(cells(spark, sf_dir))
-    kinds = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("event_id").alias("e"), F.count(F.lit(1)).alias("n"))
-    controls = kinds.select(F.lit("m").alias("map_id"), F.col("e").alias("id"), F.col("e").alias("order"), (F.col("n") % 64).cast("double").alias("x"), (F.col("e") * 37 % 500).cast("double").alias("y"))
-    at = nearest.snap(controls.select("map_id", F.col("id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py")), grid, grid.where(F.col("cost") < INF).select("map_id", "r", "c"), 4)
-    legs = routing.legs(controls, grid, written(at.select("map_id", "pid", "r", "c")), 4)
-    return legs.select("from_id", "to_id", "ok", F.round("cost", 5).alias("cost"), F.round("length_px", 5).alias("length_px"), F.size("path").alias("n_points"))
+    at = written(nearest.snap(points(spark, sf_dir), grid, grid.where(F.col("cost") < INF).select("map_id", "r", "c"), 4).select("map_id", "pid", "r", "c"))
+    controls = points(spark, sf_dir).select("map_id", F.col("pid").alias("id"), F.col("pid").alias("order"), F.col("px").alias("x"), F.col("py").alias("y"))
+    return routing.legs(controls, grid, at, 4).select("map_id", "from_id", "to_id", "ok", F.round("cost", 5).alias("cost"))
 
 
-@query()
+@query(f"""{_RASTER}, p as (select map_id, y, x, {_PALETTE} from m)
+    select map_id::varchar "name", y, (max(x) + 1)::int width, '00' || string_agg(format('{{:02X}}{{:02X}}{{:02X}}FF', r, g, b), '' order by x) line from p group by map_id, y""")
 def layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = raster(spark, sf_dir)
-    layer = base.select(F.lit("labels").alias("name"), "y", "x", *[c.alias(n) for n, c in classify.palette(F.col("label")).items()])
-    size = base.groupBy(F.lit("labels").alias("name")).agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    return images.layer_rows(layer, size)
+    base = raster(spark, sf_dir).withColumn("name", F.col("map_id").cast("string"))
+    layer = base.select("name", "y", "x", *[c.alias(n) for n, c in classify.palette(F.col("label")).items()])
+    size = base.groupBy("name").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    return images.layer_rows(layer, size).select("name", "y", "width", F.hex("line").alias("line"))

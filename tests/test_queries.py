@@ -8,7 +8,7 @@ import pytest
 from kartospark.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ["embeddings", "events", "lineitem", "documents"]
+TABLES = ["embeddings", "events", "lineitem", "documents", "orders", "supplier"]
 
 
 def plain(v):
