@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartospark.llm.common import as_bytes, run_starts, slices, unused, written
-from kartospark.sources.shared import forget
+from kartospark.sources.shared import discard, forget
 
 THRESHOLD = 0.8
 N_CELLS = 1 << 21
@@ -473,7 +473,10 @@ def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[Da
     texts = rows.join(by_text, _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key"))).dropDuplicates(["doc_id", "text_key"])
     sets = texts.select("text", "wanted").mapInArrow(partial(_set_batches, level=level), "rank_id long, rank_line long, class long, parity binary, words array<long>").withColumnRenamed("class", "c")
     met = found.join(sets, F.col("class") == F.col("c")).drop("c").repartition("key").sortWithinPartitions("key")
-    links = met.mapInArrow(_verify_batches, "class long, n_links long, beaten boolean").groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten"))
+    links = written(met.mapInArrow(_verify_batches, "class long, n_links long, beaten boolean").groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten")))
+    discard(found)
+    del found, wanted, by_text, texts, sets, met
+    forget(docs.sparkSession)
     told = classes.join(links, "class", "left").select(F.col("class").alias("c"), F.col("uid").alias("first_uid"), F.col("line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("beaten", F.lit(False)).alias("beaten"))
     joined = each.join(told, F.col("class") == F.col("c"))
     first = (F.col("uid") == F.col("first_uid")) & (F.col("line") == F.col("first_line"))
