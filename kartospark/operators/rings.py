@@ -101,19 +101,19 @@ def verified(circles: DataFrame, mask: DataFrame, size: DataFrame, cfg: Settings
     return passing(band_stats(left, mask), bands).join(tight.select("map_id", "cid", "support"), ["map_id", "cid"])
 
 
-def proposals(mask: DataFrame, radii: range, least_votes: float = 0.35) -> DataFrame:
-    """Candidate circles by voting: every set pixel votes for centres at each radius; local maxima of the votes are proposed.
+def proposals(mask: DataFrame, radii: range | Column, least_votes: float = 0.35) -> DataFrame:
+    """Candidate circles by voting: every set pixel votes for centres at each radius; every well-voted place is proposed.
 
-    Votes are counted on a grid of two pixels by a map-side combined aggregate.
+    Votes are counted on a grid of two pixels by a map-side combined aggregate. ``radii``
+    may be a column of ``mask``, an array.
     """
     turn = 2 * math.pi / N_ANGLES
-    votes = mask.withColumn("cr", F.explode(F.array(*map(F.lit, radii)))).withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(N_ANGLES - 1))))
+    every = F.array(*map(F.lit, radii)) if isinstance(radii, range) else radii
+    votes = mask.withColumn("cr", F.explode(every)).withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(N_ANGLES - 1))))
     votes = votes.select("map_id", "cr", F.floor((F.col("x") + F.col("cr") * F.cos(F.col("angle") * turn)) / 2).alias("gx"), F.floor((F.col("y") + F.col("cr") * F.sin(F.col("angle") * turn)) / 2).alias("gy"))
     counted = votes.groupBy("map_id", "cr", "gx", "gy").count().where(F.col("count") >= least_votes * N_ANGLES)
-    best = Window.partitionBy("map_id", F.floor(F.col("gx") / 2), F.floor(F.col("gy") / 2)).orderBy(F.desc("count"), "cr", "gx", "gy")
-    top = counted.withColumn("n", F.row_number().over(best)).where("n <= 3")
     # Ids are made of the place, so that they do not depend on partitions.
-    return top.select("map_id", F.xxhash64("gx", "gy", "cr").alias("cid"), (F.col("gx") * 2 + 1.0).alias("cx"), (F.col("gy") * 2 + 1.0).alias("cy"), F.col("cr").cast("double").alias("cr"))
+    return counted.select("map_id", F.xxhash64("gx", "gy", "cr").alias("cid"), (F.col("gx") * 2 + 1.0).alias("cx"), (F.col("gy") * 2 + 1.0).alias("cy"), F.col("cr").cast("double").alias("cr"))
 
 
 def line_support(pairs: DataFrame, mask: DataFrame, r0: Column) -> DataFrame:
@@ -184,6 +184,84 @@ def radial_profile(circles: DataFrame, mask: DataFrame, radii: Column, tol: floa
     return found.select("map_id", F.col("cid.own").alias("cid"), F.col("cid.cr").alias("radius"), "support")
 
 
+def relative(circles: DataFrame, least: float) -> DataFrame:
+    """Circles whose support is at least ``least`` times their map's median."""
+    median = circles.groupBy("map_id").agg(F.percentile("support", F.lit(0.5)).alias("__median"))
+    return circles.join(median, "map_id").where(F.col("support") >= least * F.col("__median")).drop("__median")
+
+
+# Moves of centre and radius that are tried, in steps of a twentieth of the radius, at least a pixel.
+POLISH_CENTRE, POLISH_RADIUS = (-2, -1, 0, 1, 2), (-2, -1, -0.5, 0, 0.5, 1, 2)
+
+
+def polished(circles: DataFrame, mask: DataFrame) -> DataFrame:
+    """``(map_id, cid, cx, cy, cr, support)``: each circle moved to where its tight support is best; it stays where nothing is better."""
+    tries = F.array(*[F.struct(F.lit(float(a)).alias("dx"), F.lit(float(b)).alias("dy"), F.lit(float(c)).alias("dr")) for a in POLISH_CENTRE for b in POLISH_CENTRE for c in POLISH_RADIUS])
+    step = F.greatest(F.lit(1.0), 0.05 * F.col("cr"))
+    each = circles.select("map_id", F.col("cid").alias("own"), "cx", "cy", "cr", step.alias("step"), F.posexplode(tries).alias("at", "t"))
+    moved = each.select("map_id", F.struct("own", "at").alias("cid"), (F.col("cx") + F.col("t.dx") * F.col("step")).alias("cx"), (F.col("cy") + F.col("t.dy") * F.col("step")).alias("cy"), F.greatest(F.lit(1.0), F.col("cr") + F.col("t.dr") * F.col("step")).alias("cr"))
+    found = ring_support(moved, mask, F.lit(1.0), n=36).select("map_id", "cid", F.round("support", 9).alias("support"))
+    still = len(POLISH_CENTRE) ** 2 * len(POLISH_RADIUS) // 2
+    key = F.struct("support", (F.col("cid.at") == still).cast("int").alias("still"), -F.col("cid.at"))
+    best = moved.join(found, ["map_id", "cid"]).groupBy("map_id", F.col("cid.own").alias("cid")).agg(F.max_by(F.struct("cx", "cy", "cr", "support"), key).alias("s"))
+    return best.select("map_id", "cid", "s.*")
+
+
+def finish_radii(r0: Column, cfg: Settings) -> tuple[Column, Column]:
+    """Nominal radii of the finish's rings where a control's is ``r0``."""
+    ppm = 2 * r0 / cfg.control_diameter_mm
+    return cfg.finish_inner_diameter_mm / 2 * ppm, cfg.finish_outer_diameter_mm / 2 * ppm
+
+
+def steps_between(low: Column, high: Column, step: float = 0.5) -> Column:
+    """Radii from ``low`` to below ``high``."""
+    n = F.greatest(F.lit(0), F.ceil((high - low) / step - 1e-9).cast("int"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: low + i * step)).otherwise(F.array().cast("array<double>"))
+
+
+def empty_around(rings_: DataFrame, circles: DataFrame, mask: DataFrame, cfg: Settings | None = None) -> DataFrame:
+    """Rows ``(map_id, cid, score, inner, outer)`` whose surroundings, inside the inner and outside the outer ring, hold little ink."""
+    cfg = cfg or Settings()
+    at = rings_.join(circles.select("map_id", "cid", "cx", "cy"), ["map_id", "cid"])
+
+    def most(low: Column, high: Column, out: str) -> DataFrame:
+        return radial_profile(at, mask, steps_between(low, high)).groupBy("map_id", "cid").agg(F.max("support").alias(out))
+
+    inside = most(0.4 * F.col("inner"), 0.75 * F.col("inner"), "__in")
+    outside = most(1.25 * F.col("outer"), 1.45 * F.col("outer"), "__out")
+    both = rings_.join(inside, ["map_id", "cid"], "left").join(outside, ["map_id", "cid"], "left").fillna(0.0, ["__in", "__out"])
+    return both.where((F.col("__in") <= cfg.ring_inner_max_ratio) & (F.col("__out") <= cfg.ring_outer_max_ratio)).drop("__in", "__out")
+
+
+def finishes(centres: DataFrame, mask: DataFrame, size: DataFrame, r0: DataFrame, cfg: Settings | None = None) -> DataFrame:
+    """``(map_id, cx, cy, cr, score)``: the best finish of each map near its ``centres`` (``map_id, rank, cx, cy``).
+
+    ``r0`` is ``(map_id, r0)``. Cheap evidence first: centres in one cell of two pixels
+    count once, those with ink in the middle or without both rings go. Around the others
+    every pixel within a tenth of ``r0`` is scored; of equal scores the first centre's,
+    then row by row, is taken.
+    """
+    cfg = cfg or Settings()
+    r_in, r_out = finish_radii(F.col("r0"), cfg)
+    tol = cfg.finish_radius_tol_ratio
+    once = Window.partitionBy("map_id", F.floor(F.col("cx") / 2), F.floor(F.col("cy") / 2)).orderBy("rank")
+    left = centres.select("map_id", "rank", "cx", "cy").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n").join(r0.select("map_id", "r0"), "map_id")
+    left = left.withColumns({"cid": F.col("rank"), "cr": 0.75 * r_in})
+    hollow = interior_fill(left, mask, size, 1.0).where("fill <= 0.1").select("map_id", "cid")
+    left = checkpointed(left.join(hollow, ["map_id", "cid"], "left_semi"))
+    for radius in (r_in, r_out):
+        ring = left.select("map_id", F.col("cid").alias("own"), "cx", "cy", F.explode(steps_between(radius * (1 - tol), radius * (1 + tol), 1.0)).alias("cr")).withColumn("cid", F.struct("own", "cr"))
+        seen = ring_support(ring, mask, F.lit(1.0), n=36).where(F.col("support") >= 0.8 * cfg.ring_support_min_ratio).select("map_id", F.col("cid.own").alias("cid")).distinct()
+        left = checkpointed(left.join(seen, ["map_id", "cid"], "left_semi"))
+    reach = F.greatest(F.lit(2), F.bround(cfg.finish_center_tol_ratio * F.col("r0") / 2).cast("int"))
+    grid = left.withColumn("dy", F.explode(F.sequence(-reach, reach))).withColumn("dx", F.explode(F.sequence(-reach, reach)))
+    grid = checkpointed(grid.select("map_id", F.struct("rank", "dy", "dx").alias("cid"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "r0"))
+    profile = radial_profile(grid, mask, steps_between(r_in * (1 - tol), r_out * (1 + tol) + 0.5)).join(r0.select("map_id", "r0"), "map_id")
+    good = checkpointed(empty_around(finish_score(profile, F.col("r0"), cfg), grid, mask, cfg))
+    best = good.join(grid.select("map_id", "cid", "cx", "cy"), ["map_id", "cid"]).groupBy("map_id").agg(F.max_by(F.struct("cx", "cy", "outer", "score"), F.struct("score", -F.col("cid.rank"), -F.col("cid.dy"), -F.col("cid.dx"))).alias("s"))
+    return best.select("map_id", "s.cx", "s.cy", F.col("s.outer").alias("cr"), "s.score")
+
+
 def finish_score(profile: DataFrame, r0: Column, cfg: Settings | None = None) -> DataFrame:
     """``(map_id, cid, score, inner, outer)`` of centres with two concentric rings of the finish's proportions.
 

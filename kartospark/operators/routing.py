@@ -245,3 +245,8 @@ def legs(controls: DataFrame, cells: DataFrame, snapped: DataFrame, cell_px: int
 def rescaled(legs_: DataFrame, scale: int, px_per_mm: float) -> DataFrame:
     """Legs in metres of another scale; routes stay."""
     return legs_.withColumn("length_m", F.col("length_px") * metres_per_pixel(F.lit(scale), F.lit(px_per_mm)))
+
+
+def leg_totals(legs_: DataFrame) -> DataFrame:
+    """``(map_id, length_m, n_ok, n_unreachable)``: length of each map's routed legs, and how many have no route."""
+    return legs_.groupBy("map_id").agg(F.coalesce(F.sum(F.when(F.col("ok"), F.col("length_m"))), F.lit(0.0)).alias("length_m"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_unreachable"))

@@ -120,3 +120,46 @@ def majority_fill(df: DataFrame, label: str, unknown: int, passes: int = 3, refl
         best = votes.groupBy("map_id", F.col("y0").alias("y"), F.col("x0").alias("x")).agg(F.max_by("__l", F.struct("count", -F.col("__l"))).alias("__best"))
         df = df.join(best, ["map_id", "y", "x"], "left").withColumn(label, F.coalesce("__best", label)).drop("__best")
     return df
+
+
+def window_mean(df: DataFrame, value: str, valid: str, half: int, out: str) -> DataFrame:
+    """Mean of ``value`` over the pixels of the square window where ``valid`` holds; null without any."""
+    counted = df.withColumns({"__v": F.when(F.col(valid), F.col(value)).otherwise(F.lit(0)), "__k": F.col(valid).cast("int")})
+    counted = box(box(counted, "__v", half, "__sum"), "__k", half, "__n")
+    return counted.withColumn(out, F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n"))).drop("__v", "__k", "__sum", "__n")
+
+
+def bilateral(df: DataFrame, space: float = 5.0, color: float = 25.0) -> DataFrame:
+    """``r, g, b`` smoothed over the thirteen pixels within two of each, weighted by distance and by likeness of colour.
+
+    Weights are Gaussian in the distance and in the sum of absolute differences of the
+    channels. Pixels beyond the border mirror those inside, without the border itself.
+    Two passes of windows bring the neighbours, so a task holds rows and columns only;
+    planes must be three pixels wide and high at least.
+    """
+
+    def around(c: Column, over: WindowSpec) -> list[Column]:
+        """``c`` at -2, -1, 0, 1, 2."""
+        back, ahead = ([f(c, k).over(over) for k in (1, 2)] for f in (F.lag, F.lead))
+
+        def mirrored(side: list[Column], other: list[Column]) -> Column:
+            """The pixel two away; one step from the border that is the pixel itself, on the border the one two away on the other side."""
+            return F.coalesce(side[1], F.when(side[0].isNull(), other[1]).otherwise(c))
+
+        return [mirrored(back, ahead), F.coalesce(back[0], ahead[0]), c, F.coalesce(ahead[0], back[0]), mirrored(ahead, back)]
+
+    rows = df.withColumn("__row", F.array(*around(F.struct("r", "g", "b"), by_row())))
+    grid = rows.withColumn("__grid", F.array(*around(F.col("__row"), by_column()))).drop("__row")
+    near = F.array(*[F.struct(F.get(F.get("__grid", F.lit(dy + 2)), F.lit(dx + 2)).alias("p"), F.lit(math.exp(-(dy * dy + dx * dx) / (2 * space * space))).alias("w")) for dy in range(-2, 3) for dx in range(-2, 3) if dy * dy + dx * dx <= 4])
+
+    def weighed(x: Column) -> Column:
+        d = sum((F.abs(x["p"][c] - F.col(c)) for c in "gb"), F.abs(x["p"]["r"] - F.col("r"))).cast("double")
+        return F.struct(x["p"].alias("p"), (x["w"] * F.exp(-d * d / (2 * color * color))).alias("w"))
+
+    found = grid.withColumn("__near", F.transform(near, weighed)).drop("__grid")
+    total = F.aggregate("__near", F.lit(0.0), lambda t, x: t + x["w"])
+
+    def mean(c: str) -> Column:
+        return F.rint(F.aggregate("__near", F.lit(0.0), lambda t, x: t + x["w"] * x["p"][c]) / total).cast("int")
+
+    return found.withColumns({f"__{c}": mean(c) for c in "rgb"}).withColumns({c: F.col(f"__{c}") for c in "rgb"}).drop("__near", "__r", "__g", "__b")

@@ -59,6 +59,11 @@ def polygon_pixels(pixels: DataFrame, edits: DataFrame, origin: tuple[int, int]
     return met.where(inside_polygon(F.col("x"), F.col("y"), F.col("points"))).select("map_id", "edit_id", "kind", "y", "x")
 
 
+def edit_counts(edits: DataFrame) -> DataFrame:
+    """``(map_id, n_forbid, n_allow)``: edits of each map by kind."""
+    return edits.groupBy("map_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("forbid", "allow")])
+
+
 def apply_edits(plane: DataFrame, masks: DataFrame, columns: list[str]) -> DataFrame:
     """Forbid polygons are added to the first column; allow polygons, last, clear all columns."""
     said = masks.groupBy("map_id", "y", "x").agg(F.bool_or(F.col("kind") == "forbid").alias("__f"), F.bool_or(F.col("kind") == "allow").alias("__a"))

@@ -7,6 +7,7 @@ remainders of the value. Points, one a user, lie on the first two maps.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from kartospark.functions import color
 from kartospark.operators import areas, classify, course, graph, lines, nearest, rings, routing, stencil, terrain
 from kartospark.settings import CLASS_NAMES, DISPLAY_COLORS, REFERENCE_COLORS, Settings, terrain_class
 from kartospark.sources import images, projects
-from kartospark.sources.shared import written
+from kartospark.sources.shared import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,11 +334,11 @@ def leg_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("map_id", "from_kind", "to_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ring_sql(offsets: str, name: str = "h") -> str:
+def _ring_sql(offsets: str, name: str = "h", n: int = 72) -> str:
     """Whether each angle of each circle ``(map_id, pid, px, py, pr)`` of ``c`` hits the mask at one of the radial offsets."""
-    return f"""a_{name} as (select c.*, k, o from c, (select unnest(range(0, 72)) k), (select unnest({offsets}) o)),
+    return f"""a_{name} as (select c.*, k, o from c, (select unnest(range(0, {n})) k), (select unnest({offsets}) o)),
         {name} as (select map_id, pid, pr, k, bool_or(m3 is not null) hit from (select a.*, m.m3 from a_{name} a left join (select map_id, y, x, m3 from m where m3) m on m.map_id = a.map_id
-            and m.x = round_even(px + (pr + o) * cos(k * (2 * pi() / 72)), 0)::int and m.y = round_even(py + (pr + o) * sin(k * (2 * pi() / 72)), 0)::int) group by map_id, pid, pr, k)"""
+            and m.x = round_even(px + (pr + o) * cos(k * (2 * pi() / {n})), 0)::int and m.y = round_even(py + (pr + o) * sin(k * (2 * pi() / {n})), 0)::int) group by map_id, pid, pr, k)"""
 
 
 _TIGHT = "[-1.0::double, -0.5::double, 0.0::double, 0.5::double, 1.0::double]"
@@ -538,9 +539,9 @@ _PROFILE = f"""{_RASTER}, pts as ({_POINTS}), c as (select map_id, pid, px, py,
     {_ring_sql("[-0.75::double, -0.25::double, 0.25::double, 0.75::double]")}, prof as (select map_id, pid, pr, avg(hit::int) s from h group by map_id, pid, pr)"""
 
 
-def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _profile(spark: SparkSession, sf_dir: str, mask: DataFrame | None = None) -> DataFrame:
     radii = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: 4.0 + i * 0.5)
-    return rings.radial_profile(_circles(spark, sf_dir), _mask(spark, sf_dir), radii)
+    return rings.radial_profile(_circles(spark, sf_dir), _mask(spark, sf_dir) if mask is None else mask, radii)
 
 
 @query(f"{_PROFILE} select map_id, pid cid, pr radius, round(s, 6) support from prof")
@@ -586,3 +587,215 @@ def layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = base.select("name", "y", "x", *[c.alias(n) for n, c in classify.palette(F.col("label")).items()])
     size = base.groupBy("name").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
     return images.layer_rows(layer, size).select("name", "y", "width", F.hex("line").alias("line"))
+
+
+@query(f"{_PROFILE}, med as (select map_id, quantile_cont(s, 0.5) q from prof where pr = 6.0 group by map_id) select map_id, pid cid, round(s, 6) support from prof join med using (map_id) where pr = 6.0 and s >= 1.05::double * q")
+def relative_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _profile(spark, sf_dir).where("radius = 6.0").select("map_id", "cid", "support")
+    return rings.relative(found, 1.05).select("map_id", "cid", F.round("support", 6).alias("support"))
+
+
+@query(f"""{_RASTER}, pts as ({_POINTS}), t as (select map_id, pid own, px + dx * greatest(1.0::double, 0.05::double * pr) px, py + dy * greatest(1.0::double, 0.05::double * pr) py, greatest(1.0::double, pr + dr * greatest(1.0::double, 0.05::double * pr)) pr,
+        (dx + 2) * 35 + (dy + 2) * 7 + list_position([-2.0::double, -1, -0.5, 0, 0.5, 1, 2], dr) - 1 n
+      from pts, (select unnest([-2, -1, 0, 1, 2]) dx), (select unnest([-2, -1, 0, 1, 2]) dy), (select unnest([-2.0::double, -1, -0.5, 0, 0.5, 1, 2]) dr)),
+    c as (select map_id, own * 1000 + n pid, px, py, pr from t), {_ring_sql(_TIGHT, n=36)},
+    b as (select map_id, pid, round(avg(hit::int), 9) s from h group by map_id, pid),
+    w as (select map_id, own, arg_max(struct_pack(px, py, pr, s), s * 100000 + case when n = 87 then 500 else 0 end - n) x from t join b on b.map_id = t.map_id and b.pid = own * 1000 + n group by t.map_id, own)
+    select map_id, own cid, x.px cx, x.py cy, x.pr cr, round(x.s, 6) support from w""".replace("select map_id, own, arg_max", "select t.map_id, own, arg_max"))
+def circles_polished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rings.polished(_circles(spark, sf_dir), _mask(spark, sf_dir))
+    return found.select("map_id", "cid", "cx", "cy", "cr", F.round("support", 6).alias("support"))
+
+
+_FINISH_R0, _FINISH_LEAST = 6.0, 0.1
+
+
+@query(f"""{_PROFILE.replace("where m3", "where v % 13 = 0")}, p as (select *, pr between {_FINISH_R0} / 6 * 5 * 0.8::double and {_FINISH_R0} / 6 * 5 * 1.2::double wi, pr between {_FINISH_R0} / 6 * 7 * 0.8::double and {_FINISH_R0} / 6 * 7 * 1.2::double wo from prof),
+    b as (select map_id, pid, arg_max(pr, s * 1000000 - pr) filter (where wi) ri, max(s) filter (where wi) si, arg_max(pr, s * 1000000 - pr) filter (where wo) ro, max(s) filter (where wo) so from p group by map_id, pid),
+    g as (select *, least(si, so) sc from b where ro / ri between 1.4::double * 0.8::double and 1.4::double * 1.2::double and ro - ri >= 0.2::double * {_FINISH_R0} and least(si, so) >= {_FINISH_LEAST})
+    select g.map_id, g.pid cid, round(sc, 6) score, ri "inner", ro "outer" from g join p on p.map_id = g.map_id and p.pid = g.pid and p.pr > ri + 1 and p.pr < ro - 1 group by g.map_id, g.pid, sc, ri, ro having min(p.s) <= 0.75::double * sc""")
+def finish_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = raster(spark, sf_dir).where("v % 13 = 0").select("map_id", "y", "x")
+    found = rings.finish_score(_profile(spark, sf_dir, mask), F.lit(_FINISH_R0), Settings(ring_support_min_ratio=_FINISH_LEAST))
+    return found.select("map_id", "cid", F.round("score", 6).alias("score"), "inner", "outer")
+
+
+@query(f"""{_COLORS}, e as (select map_id, max(y) h, max(x) w from c group by map_id), o as (select dy, dx, exp(-(dy * dy + dx * dx) / 50.0::double) w0 from (select unnest([-2, -1, 0, 1, 2]) dy), (select unnest([-2, -1, 0, 1, 2]) dx) where dy * dy + dx * dx <= 4),
+    n as (select c.map_id, c.y, c.x, c.r, c.g, c.b, w0, abs(c.y + dy) ny, abs(c.x + dx) nx, h, e.w from c join e using (map_id), o),
+    f as (select n.map_id, n.y, n.x, p.r, p.g, p.b, w0 * exp(-((abs(p.r - n.r) + abs(p.g - n.g) + abs(p.b - n.b))::double * (abs(p.r - n.r) + abs(p.g - n.g) + abs(p.b - n.b))::double) / 1250.0::double) wt
+          from n join c p on p.map_id = n.map_id and p.y = case when ny > h then 2 * h - ny else ny end and p.x = case when nx > w then 2 * w - nx else nx end)
+    select map_id, y, x, round_even(sum(wt * r) / sum(wt), 0)::int r, round_even(sum(wt * g) / sum(wt), 0)::int g, round_even(sum(wt * b) / sum(wt), 0)::int b from f group by map_id, y, x""")
+def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.bilateral(colors(spark, sf_dir)).select("map_id", "y", "x", "r", "g", "b")
+
+
+@query(f"""{_RASTER} select a.map_id, a.y, a.x, round(sum(b.v) filter (where b.m3)::double / nullif(count(*) filter (where b.m3), 0), 6) mean
+    from m a join m b on a.map_id = b.map_id and abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 group by 1, 2, 3""")
+def local_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.window_mean(raster(spark, sf_dir), "v", "m3", 2, "mean").select("map_id", "y", "x", F.round("mean", 6).alias("mean"))
+
+
+_PARTS = f"""pt as ({_POINTS}), part as (select map_id, pid part, (pid % 5)::bigint area, px::int x0, py::int y0, (px + pr)::int x1, (py + 1 + pid % 7)::int y1, (1 + pid % 7)::int h from pt)"""
+
+
+@query(f"""with recursive {_PARTS}, fit as (select * from part where area >= 3 and greatest(x1 - x0, y1 - y0) <= 15),
+    e as (select a.map_id, a.part p, b.part q from fit a join fit b on a.map_id = b.map_id and a.part <> b.part and greatest(a.h, b.h) >= 2.4::double
+          and least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 0.4::double * least(a.h, b.h) and greatest(b.x0 - a.x1, a.x0 - b.x1) <= 0.45::double * greatest(a.h, b.h)),
+    t as (select map_id, part p, part q from fit union select t.map_id, t.p, e.q from t join e on e.map_id = t.map_id and e.p = t.q),
+    g as (select map_id, p, min(q) line from t group by map_id, p)
+    select g.map_id, line, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1, count(*) n from g join fit s on s.map_id = g.map_id and s.part = g.p group by g.map_id, line having max(h) >= 3""")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, i = F.col("px").cast("int"), F.col("py").cast("int"), F.col("pid")
+    parts = points(spark, sf_dir).select("map_id", i.alias("part"), (i % 5).alias("area"), x.alias("x0"), y.alias("y0"), (x + F.col("pr").cast("int")).alias("x1"), (y + 1 + (i % 7).cast("int")).alias("y1"))
+    return course.text_lines(parts, F.lit(6.0)).select("map_id", "line", "x0", "y0", "x1", "y1", "n")
+
+
+@query(f"""with q as (select user_id map_id, event_id edit_id, case event_type when 'click' then 'forbid' when 'view' then 'allow' else 'other' end kind from events)
+    select map_id, count(*) filter (where kind = 'forbid') n_forbid, count(*) filter (where kind = 'allow') n_allow from q group by map_id""")
+def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "forbid").when(F.col("event_type") == "view", "allow").otherwise("other")
+    return terrain.edit_counts(_table(spark, sf_dir, "events").select(F.col("user_id").alias("map_id"), kind.alias("kind")))
+
+
+@query("""with l as (select user_id map_id, event_id % 3 <> 0 ok, value length_m from events)
+    select map_id, round(coalesce(sum(length_m) filter (where ok), 0.0::double), 4) length_m, count(*) filter (where ok) n_ok, count(*) filter (where not ok) n_unreachable from l group by map_id""")
+def leg_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = _table(spark, sf_dir, "events").select(F.col("user_id").alias("map_id"), (F.col("event_id") % 3 != 0).alias("ok"), F.col("value").alias("length_m"))
+    return routing.leg_totals(legs).withColumn("length_m", F.round("length_m", 4))
+
+
+@query("""select event_id, round(value * (scale / 1000.0::double / ppm), 6) length_m from (select *, 1000 + event_id % 7000 scale, 2.0::double + event_id % 9 ppm from events) where scale = 4000 or true""".replace("1000 + event_id % 7000 scale, 2.0::double + event_id % 9 ppm", "7500 scale, 3.5::double ppm").replace(" where scale = 4000 or true", ""))
+def legs_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = _table(spark, sf_dir, "events").select("event_id", F.col("value").alias("length_px"))
+    return routing.rescaled(legs, 7500, 3.5).select("event_id", F.round("length_m", 6).alias("length_m"))
+
+
+_BOXES = "select event_id, (event_id * 7 % 1300 - 100)::int a, (event_id * 13 % 900 - 50)::int b, (event_id * 11 % 1300 - 100)::int c, (event_id * 17 % 900 - 50)::int d from events"
+
+
+@query(f"""with q as ({_BOXES}), k as (select event_id, greatest(0, least(1100, least(a, c))) x0, greatest(0, least(800, least(b, d))) y0, greatest(0, least(1100, greatest(a, c))) x1, greatest(0, least(800, greatest(b, d))) y1 from q)
+    select * from k where x1 - x0 >= 10 and y1 - y0 >= 10""")
+def crops_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops drawn in any direction, inside their picture; those too small would fail, so they are left out first."""
+    i = F.col("event_id")
+    drawn = _table(spark, sf_dir, "events").select("event_id", *[(i * a % m - b).cast("int").alias(n) for n, a, m, b in (("x0", 7, 1300, 100), ("y0", 13, 900, 50), ("x1", 11, 1300, 100), ("y1", 17, 900, 50))], F.lit(1100).alias("width"), F.lit(800).alias("height"))
+    sized = drawn.select("event_id", *[F.greatest(F.lit(0), F.least(F.col(c), F.lit(m))).alias(c) for c, m in (("x0", 1100), ("x1", 1100), ("y0", 800), ("y1", 800))])
+    large = sized.where((F.abs(F.col("x1") - F.col("x0")) >= 10) & (F.abs(F.col("y1") - F.col("y0")) >= 10)).select("event_id")
+    return projects.clamped_crop(written(drawn.join(large, "event_id", "left_semi"))).select("event_id", "x0", "y0", "x1", "y1")
+
+
+@query("""with q as (select event_id, case when event_id % 4 = 0 then (event_id % 40)::double end r0, (event_id % 9000 - 5)::int scale, case when event_id % 3 = 0 then 0.0::double end x1, 0.0::double y1, case when event_id % 6 = 0 then (event_id % 50)::double end x2, 3.0::double y2, case when event_id % 3 = 0 then value end meters, case when event_id % 5 <> 0 then 5.0::double end px_per_mm from events),
+    p as (select *, case when r0 > 1 then 2 * r0 / 6.0::double else coalesce(px_per_mm, 6.0::double) end ppm, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) dist, x1 is not null or x2 is not null or meters is not null any_given from q),
+    f as (select *, coalesce(x1 is not null and x2 is not null and meters > 0 and dist >= 1, false) is_full from p)
+    select event_id, ppm px_per_mm, (case when is_full then greatest(1, round_even(meters / dist * ppm * 1000, 0)::int) else scale end)::int scale,
+      case when r0 <= 1 then 'radius is too small' when any_given and not is_full then 'measurement is incomplete' when not any_given and scale < 1 then 'scale is not positive' end problem from f""")
+def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    asked = _table(spark, sf_dir, "events").select(
+        "event_id", F.when(i % 4 == 0, (i % 40).cast("double")).alias("r0"), (i % 9000 - 5).cast("int").alias("scale"), F.when(i % 3 == 0, 0.0).alias("x1"), F.lit(0.0).alias("y1"),
+        F.when(i % 6 == 0, (i % 50).cast("double")).alias("x2"), F.lit(3.0).alias("y2"), F.when(i % 3 == 0, F.col("value")).alias("meters"), F.when(i % 5 != 0, 5.0).alias("px_per_mm"),
+    )
+    return projects.calibrated(asked).select("event_id", "px_per_mm", "scale", "problem")
+
+
+@query("select user_id project_id, max(event_id) \"version\", row_number() over (order by arg_max(ts, event_id) desc, user_id) place from events group by user_id")
+def projects_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects by last change; the place is numbered here so that the order shows in the result."""
+    versions = _table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("version"), F.col("ts").alias("modified"))
+    newest = projects.listed(versions)
+    return newest.select("project_id", "version", F.row_number().over(Window.orderBy(F.desc("modified"), "project_id")).cast("long").alias("place"))
+
+
+@query("select user_id, sum(value) total from events group by user_id")
+def stage_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's result by the key of what it depends on: made at the first call, read at the second."""
+    sums = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("total"))
+    key = spark.range(1).select(projects.stage_key(F.lit(sf_dir).alias("input"), F.lit("sums").alias("stage"))).first()[0]
+    base = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+    projects.stored(spark, base, key, lambda: sums)
+    return projects.stored(spark, base, key, lambda: sums.limit(0))
+
+
+@query(f"{_RASTER} select map_id, y, x, {_PALETTE} from m")
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers rendered to PNG files and read again as pixels."""
+    base = raster(spark, sf_dir).withColumn("name", F.concat(F.lit("map-"), F.col("map_id")))
+    layer = base.select("name", "y", "x", *[c.alias(n) for n, c in classify.palette(F.col("label")).items()])
+    size = base.groupBy("name").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    folder = f"{shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    images.write_pngs(images.png_files(layer, size), folder)
+    name = r"(map-\d+)\.png$"
+    found = images.scan_files(spark, folder).select(F.regexp_extract("path", name, 1).alias("scan"))
+    pixels = images.read_pixels(spark, folder).join(found, F.regexp_extract("origin", name, 1) == F.col("scan"))
+    return pixels.select(F.regexp_extract("origin", r"map-(\d+)", 1).cast("int").alias("map_id"), "y", F.col("x").cast("int").alias("x"), "r", "g", "b")
+
+
+_NODES = "n as (select distinct l_suppkey::int map_id, l_linenumber::int node, case l_linenumber when 1 then 'start' when 7 then 'finish' else 'control' end kind from lineitem)"
+_LINES = f"""{_NODES}, s as (select a.map_id, a.node i, b.node j, ((a.map_id * 31 + a.node * b.node * (a.node + 2 * b.node) * 37) * 7919 % 9973) / 9973.0::double support from n a join n b on a.map_id = b.map_id and a.node < b.node),
+    e as (select map_id, i, j, support from s union all select map_id, j, i, support from s)"""
+
+
+def _course(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Seven course symbols a supplier, and made-up line support of their pairs."""
+    node = F.col("l_linenumber").cast("int")
+    nodes = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("int").alias("map_id"), node.alias("node"), F.when(node == 1, "start").when(node == 7, "finish").otherwise("control").alias("kind")).distinct()
+    a, b = nodes.select("map_id", F.col("node").alias("i")), nodes.select("map_id", F.col("node").alias("j"))
+    strength = ((F.col("map_id") * 31 + F.col("i") * F.col("j") * (F.col("i") + 2 * F.col("j")) * 37) * 7919 % 9973) / 9973.0
+    return nodes, a.join(b, "map_id").where("i < j").withColumn("support", strength)
+
+
+@query(f"""with recursive {_LINES}, h as (select unnest([1.0::double, 0.75, 0.5]) share), k as (select map_id, count(*) k, max(node) filter (where kind = 'finish') f, max(node) filter (where kind = 'start') st from n group by map_id),
+    t as (select k.map_id, share, [st] path, 0.0::double w from k, h where st is not null
+      union all select t.map_id, share, list_append(path, e.j), w + e.support from t join e on e.map_id = t.map_id and e.i = path[-1] and e.support >= 0.6::double * share and not list_contains(path, e.j) join k on k.map_id = t.map_id where e.j is distinct from k.f or len(path) = k.k - 1),
+    whole as (select t.map_id, arg_max(path, share * 1000 + w) path from t join k on k.map_id = t.map_id where len(path) = k.k and (f is null or path[-1] = f) group by t.map_id)
+    select map_id, array_to_string(path, ',') path from whole""")
+def courses_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete courses along supported lines."""
+    nodes, support = _course(spark, sf_dir)
+    found = course.ordered_by_lines(nodes, support).where("complete")
+    return found.select("map_id", F.array_join(F.col("order").cast("array<string>"), ",").alias("path"))
+
+
+@query(f"""with recursive {_LINES}, lab as (select map_id, node, node - 1 num from n where kind = 'control' and (map_id + node) % 4 <> 0), ctl as (select map_id, count(*) n, list(node order by node) nodes from n where kind = 'control' group by map_id),
+    rd as (select map_id, list(num) nums, list(node) told, max(num) top from lab where num <= (select c.n from ctl c where c.map_id = lab.map_id) group by map_id),
+    f as (select map_id, list_filter(nodes, lambda x: not list_contains(told, x)) free, nums, told, top from rd join ctl using (map_id)),
+    g as (select *, greatest(top, len(nums) + len(free)) total from f),
+    mi as (select *, list_filter(range(1, total + 1), lambda x: not list_contains(nums, x)) missing from g),
+    ok as (select * from mi where len(missing) = 0 or len(missing) = len(free) and len(missing) <= 3),
+    w as (select map_id, []::int[] way from ok union all select w.map_id, list_append(way, u) from w join (select map_id, missing, unnest(free) u from ok) o on o.map_id = w.map_id where len(way) < len(missing) and not list_contains(way, u)),
+    fw as (select w.map_id, way, missing, nums, told, total from w join ok using (map_id) where len(way) = len(missing)),
+    seq as (select map_id, way, unnest(range(1, total + 1)) v, missing, nums, told from fw),
+    st as (select map_id, way, v, case when list_contains(missing, v) then way[list_position(missing, v)] else told[list_position(nums, v)] end node, list_contains(missing, v) filled from seq
+      union all select fw.map_id, way, case kind when 'start' then 0 else 1000 end, node, false from fw join n on n.map_id = fw.map_id and kind <> 'control'),
+    nx as (select *, lead(node) over z t, lead(filled) over z tf from st window z as (partition by map_id, way order by v)),
+    sc as (select nx.map_id, way, round(sum(case when t is not null then coalesce(support, 0.0::double) end), 9) score, min(case when t is not null and (filled or tf) then coalesce(support, 0.0::double) end) weakest, string_agg(node::varchar, ',' order by v) path from nx left join s on s.map_id = nx.map_id and s.i = least(node, t) and s.j = greatest(node, t) group by nx.map_id, way),
+    best as (select *, row_number() over (partition by map_id order by score desc, way) z from sc)
+    select map_id, path from best where z = 1 and coalesce(weakest, 1) >= 0.3""")
+def courses_by_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses from printed numbers, of which some could not be read."""
+    nodes, support = _course(spark, sf_dir)
+    labels = nodes.where("kind = 'control' and (map_id + node) % 4 <> 0").select("map_id", "node", F.array(F.col("node") - 1).alias("orders"))
+    found = course.ordered_by_labels(nodes, labels, support).where("order is not null")
+    return found.select("map_id", F.array_join(F.col("order").cast("array<string>"), ",").alias("path"))
+
+
+@query("""with e as (select user_id map_id, (event_id % 6)::int node, row_number() over (partition by user_id order by ts, event_id) - 1 pos from events),
+    v as (select *, row_number() over (partition by map_id, node order by pos) nth from e), x as (select *, sum((nth > 1)::int) over (partition by map_id order by pos) more from v),
+    n as (select distinct user_id map_id, unnest(range(0, 8))::int node from events)
+    select n.map_id, (case when pos is null or nth = 1 then node else 7 + more end)::int id, pos::int ord from n left join x using (map_id, node)""")
+def course_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of courses that come by some symbols again and leave others out."""
+    events = _table(spark, sf_dir, "events")
+    nodes = events.select(F.col("user_id").alias("map_id")).distinct().withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("map_id", "node", F.lit("control").alias("kind"), *[F.lit(0.0).alias(c) for c in "xyr"])
+    order = events.groupBy(F.col("user_id").alias("map_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda e: (e["event_id"] % 6).cast("int")).alias("order"))
+    return course.visits(nodes, order).select("map_id", F.col("id").cast("int").alias("id"), F.col("order").alias("ord"))
+
+
+@query(f"""{_RASTER}, c as (select *, case pid % 3 when 0 then 'start' when 1 then 'control' else 'finish' end kind from ({_POINTS})),
+    d as (select m.map_id, m.y, m.x, c.*, sqrt((m.x - round_even(px, 0)) * (m.x - round_even(px, 0)) + (m.y - round_even(py, 0)) * (m.y - round_even(py, 0))) d from m join c on c.map_id = m.map_id where m.m3),
+    gone as (select distinct map_id, y, x from d where kind = 'start' and d <= round_even(1.1::double * pr, 0) or kind <> 'start' and abs(d - round_even(pr, 0)) <= 1.5 or kind = 'finish' and abs(d - round_even(pr * 5 / 7, 0)) <= 1.5)
+    select m.map_id, m.y, m.x from m where m3 and not exists (select 1 from gone g where g.map_id = m.map_id and g.y = m.y and g.x = m.x)""".replace("select m.map_id, m.y, m.x, c.*,", "select m.map_id, m.y, m.x, pr, kind,"))
+def symbols_erased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("pid") % 3 == 0, "start").when(F.col("pid") % 3 == 1, "control").otherwise("finish")
+    nodes = points(spark, sf_dir).select("map_id", F.col("pid").alias("node"), kind.alias("kind"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pr").alias("r"))
+    return course.erased(_mask(spark, sf_dir), nodes, F.lit(6.0)).select("map_id", "y", "x")

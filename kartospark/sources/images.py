@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +81,28 @@ def png_files(layer: DataFrame, size: DataFrame) -> DataFrame:
         return pd.DataFrame({"name": [rows["name"].iloc[0]], "content": [png((int(rows["width"].iloc[0]), len(rows)), list(rows["line"]))]})
 
     return layer_rows(layer, size).groupBy("name").applyInPandas(put_together, "name string, content binary")
+
+
+def _store_batches(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    files, base = fs.FileSystem.from_uri(folder)
+    for batch in batches:
+        names = batch.column("name").to_pylist()
+        for name, content in zip(names, batch.column("content").to_pylist(), strict=True):
+            aside = f"{base}/_{uuid.uuid4().hex}"
+            with files.open_output_stream(aside) as out:
+                out.write(content)
+            files.move(aside, f"{base}/{name}.png")
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names, type=pa.string())})
+
+
+def write_pngs(files: DataFrame, folder: str) -> int:
+    """Store ``(name, content)`` as ``folder/<name>.png`` and return how many.
+
+    The tasks that hold the pictures write them, aside first and then moved into place,
+    so a task that runs again leaves the same files. ``folder`` is a URI of a store that
+    all executors share and that Arrow can reach.
+    """
+    uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    where, base = fs.FileSystem.from_uri(uri)
+    where.create_dir(base)
+    return files.select("name", "content").mapInArrow(partial(_store_batches, folder=uri), "name string").count()
