@@ -91,7 +91,7 @@ def cost_ramp(cells: DataFrame) -> DataFrame:
         return F.when(bad, F.lit(forbidden)).otherwise(F.floor(value).cast("int"))
 
     ramp = cells.join(ends, "map_id", "left")
-    return ramp.withColumns({"r": channel(40, 255 * t), "g": channel(0, 255 * (1 - t)), "b": channel(40, F.lit(0.0)), "alpha": F.lit(255)}).drop("__lo", "__hi")
+    return ramp.withColumns({"r": channel(40, 255 * t), "g": channel(0, 255 * (1 - t)), "b": F.lit(40), "alpha": F.lit(255)}).drop("__lo", "__hi")
 
 
 def enlarged(cells: DataFrame, cell_px: int, size: DataFrame) -> DataFrame:

@@ -81,19 +81,23 @@ def band_stats(circles: DataFrame, mask: DataFrame, n: int = N_ANGLES) -> DataFr
 
 
 def verified(circles: DataFrame, mask: DataFrame, size: DataFrame, cfg: Settings | None = None) -> DataFrame:
-    """Circles that look like printed rings, with their tight support; cheap evidence is asked for first.
+    """Circles that look like printed rings, polished, with their tight support; cheap evidence is asked for first.
 
-    Repeats (equal when rounded) count once, the first by ``cid``.
+    Repeats (equal when rounded, before or after the polish) count once, the first by ``cid``.
     """
     cfg = cfg or Settings()
-    once = Window.partitionBy("map_id", F.rint("cx"), F.rint("cy"), F.rint("cr")).orderBy("cid")
-    left = circles.select("map_id", "cid", "cx", "cy", "cr").withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+
+    def once(found: DataFrame) -> DataFrame:
+        same = Window.partitionBy("map_id", F.rint("cx"), F.rint("cy"), F.rint("cr")).orderBy("cid")
+        return found.select("map_id", "cid", "cx", "cy", "cr").withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
+
+    left = once(circles)
 
     def passing(found: DataFrame, condition: Column) -> DataFrame:
         return left.join(found.where(condition).select("map_id", "cid"), ["map_id", "cid"], "left_semi")
 
     wide = ring_support(left, mask, ring_tolerance(F.col("cr"), cfg.ring_tolerance_ratio, cfg.ring_tolerance_min_px))
-    left = checkpointed(passing(wide, F.col("support") >= cfg.ring_support_min_ratio))
+    left = checkpointed(once(polished(passing(wide, F.col("support") >= cfg.ring_support_min_ratio), mask)))
     tight = checkpointed(ring_support(left, mask, ring_tolerance(F.col("cr"), cfg.ring_tight_tolerance_ratio, 1.0), sectors=cfg.ring_sectors))
     left = passing(tight, (F.col("support") >= cfg.ring_support_min_ratio) & (F.col("coverage") >= cfg.ring_sector_min_ratio))
     left = checkpointed(passing(interior_fill(left, mask, size), F.col("fill") <= cfg.filled_interior_max_ratio))
@@ -102,18 +106,24 @@ def verified(circles: DataFrame, mask: DataFrame, size: DataFrame, cfg: Settings
 
 
 def proposals(mask: DataFrame, radii: range | Column, least_votes: float = 0.35) -> DataFrame:
-    """Candidate circles by voting: every set pixel votes for centres at each radius; every well-voted place is proposed.
+    """Candidate circles by voting: every set pixel votes for centres at each radius; the peaks of the votes are proposed.
 
-    Votes are counted on a grid of two pixels by a map-side combined aggregate. ``radii``
-    may be a column of ``mask``, an array.
+    Votes are counted on a grid of two pixels by a map-side combined aggregate. A peak is
+    a place with votes enough that no neighbour, in place and radius, has more (of equal
+    ones the first by radius, column and row). ``radii`` may be a column of ``mask``, an array.
     """
     turn = 2 * math.pi / N_ANGLES
     every = F.array(*map(F.lit, radii)) if isinstance(radii, range) else radii
     votes = mask.withColumn("cr", F.explode(every)).withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(N_ANGLES - 1))))
     votes = votes.select("map_id", "cr", F.floor((F.col("x") + F.col("cr") * F.cos(F.col("angle") * turn)) / 2).alias("gx"), F.floor((F.col("y") + F.col("cr") * F.sin(F.col("angle") * turn)) / 2).alias("gy"))
-    counted = votes.groupBy("map_id", "cr", "gx", "gy").count().where(F.col("count") >= least_votes * N_ANGLES)
+    counted = checkpointed(votes.groupBy("map_id", "cr", "gx", "gy").count().where(F.col("count") >= least_votes * N_ANGLES))
+    steps = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("x"), F.lit(c).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if a or b or c])
+    rank = F.struct(-F.col("count"), "cr", "gx", "gy")
+    claims = counted.select("map_id", rank.alias("by"), F.explode(steps).alias("s"), "cr", "gx", "gy")
+    claims = claims.groupBy("map_id", (F.col("cr") + F.col("s.r")).alias("cr"), (F.col("gx") + F.col("s.x")).alias("gx"), (F.col("gy") + F.col("s.y")).alias("gy")).agg(F.min("by").alias("by"))
+    peaks = counted.join(claims, ["map_id", "cr", "gx", "gy"], "left").where(F.col("by").isNull() | (rank < F.col("by")))
     # Ids are made of the place, so that they do not depend on partitions.
-    return counted.select("map_id", F.xxhash64("gx", "gy", "cr").alias("cid"), (F.col("gx") * 2 + 1.0).alias("cx"), (F.col("gy") * 2 + 1.0).alias("cy"), F.col("cr").cast("double").alias("cr"))
+    return peaks.select("map_id", F.xxhash64("gx", "gy", "cr").alias("cid"), (F.col("gx") * 2 + 1.0).alias("cx"), (F.col("gy") * 2 + 1.0).alias("cy"), F.col("cr").cast("double").alias("cr"))
 
 
 def line_support(pairs: DataFrame, mask: DataFrame, r0: Column) -> DataFrame:
@@ -263,7 +273,7 @@ def finishes(centres: DataFrame, mask: DataFrame, size: DataFrame, r0: DataFrame
 
 
 def finish_score(profile: DataFrame, r0: Column, cfg: Settings | None = None) -> DataFrame:
-    """``(map_id, cid, score, inner, outer)`` of centres with two concentric rings of the finish's proportions.
+    """``(map_id, cid, score, inner, outer)`` of centres (whose radius is ``r0``, a column of ``profile``) with two concentric rings of the finish's proportions.
 
     The best-supported radius in the window of either ring is taken; the rings must be in
     proportion and apart, with a gap of little ink between them. Others have no row.
@@ -276,11 +286,11 @@ def finish_score(profile: DataFrame, r0: Column, cfg: Settings | None = None) ->
         return F.col("radius").between(r * (1 - tol), r * (1 + tol))
 
     key = F.struct("support", -F.col("radius"))
-    best = profile.groupBy("map_id", "cid").agg(F.max(F.when(window(r_in), key)).alias("i"), F.max(F.when(window(r_out), key)).alias("o"))
-    rings_ = best.select("map_id", "cid", (-F.col("i")["col2"]).alias("inner"), (-F.col("o")["col2"]).alias("outer"), F.least(F.col("i")["support"], F.col("o")["support"]).alias("score"))
+    best = profile.groupBy("map_id", "cid").agg(F.max(F.when(window(r_in), key)).alias("i"), F.max(F.when(window(r_out), key)).alias("o"), F.first(r0).alias("__r0"))
+    rings_ = best.select("map_id", "cid", "__r0", (-F.col("i")["col2"]).alias("inner"), (-F.col("o")["col2"]).alias("outer"), F.least(F.col("i")["support"], F.col("o")["support"]).alias("score"))
     nominal = cfg.finish_outer_diameter_mm / cfg.finish_inner_diameter_mm
     ratio = F.col("outer") / F.col("inner")
-    good = rings_.where(ratio.between(nominal * (1 - tol), nominal * (1 + tol)) & (F.col("outer") - F.col("inner") >= 0.2 * r0) & (F.col("score") >= cfg.ring_support_min_ratio))
+    good = rings_.where(ratio.between(nominal * (1 - tol), nominal * (1 + tol)) & (F.col("outer") - F.col("inner") >= 0.2 * F.col("__r0")) & (F.col("score") >= cfg.ring_support_min_ratio))
     between = profile.join(good, ["map_id", "cid"]).where((F.col("radius") > F.col("inner") + 1) & (F.col("radius") < F.col("outer") - 1))
     gap = between.groupBy("map_id", "cid").agg(F.min("support").alias("least"))
     return good.join(gap, ["map_id", "cid"]).where(F.col("least") <= 0.75 * F.col("score")).select("map_id", "cid", "score", "inner", "outer")

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kartospark.functions.color import white_balance
 from kartospark.operators import areas, classify, course, graph, lines, nearest, rings, routing, stencil, terrain
 from kartospark.settings import PURPLE, UNKNOWN, Settings
+from kartospark.sources import images
 from kartospark.sources.shared import written
 
+# Layers of single masks, by name: the mask's column and its colour.
+MASK_LAYERS = {
+    "forbidden": ("forbidden", (230, 0, 0, 170)),
+    "outside": ("outside", (90, 90, 90, 170)),
+    "purple": ("purple", (200, 0, 200, 255)),
+    "hatch": ("hatch", (255, 120, 0, 200)),
+    "barriers": ("barrier", (0, 60, 255, 255)),
+}
+LAYERS = ("labels", *MASK_LAYERS, "cost")
+
 
 def segmentation(pixels: DataFrame, cfg: Settings | None = None, samples: DataFrame | None = None) -> DataFrame:
     """``(map_id, y, x, label)`` from ``(map_id, y, x, r, g, b)``: white balance, nearest reference colour, gaps filled.
@@ -46,29 +59,126 @@ def cost_grid(planes: DataFrame, px_per_mm: float, edits: DataFrame | None = Non
     return written(terrain.cost_cells(planes, terrain.cell_size(px_per_mm, cfg), cfg))
 
 
-def course_circles(labels: DataFrame, radii: range, cfg: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verified circles of the overprint after suppression, and each map's radius ``(map_id, r0, n)``."""
+def course_order(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: DataFrame, cfg: Settings | None = None) -> DataFrame:
+    """Controls in course order ``(map_id, id, order, kind, x, y, r)``: by printed numbers or by lines.
+
+    ``nodes`` is ``(map_id, node, kind, x, y, r)``; ``labels`` ``(map_id, node, orders)``;
+    ``r0`` ``(map_id, r0)``. Where both tell a whole course and differ, that with the
+    stronger lines is taken, the numbers' if they are equal.
+    """
     cfg = cfg or Settings()
-    dense = labels.withColumn("__p", F.col("label") == PURPLE)
-    mask = written(stencil.closed(dense, "__p", 1, "__m").where("__m").select("map_id", "y", "x"))
-    size = labels.groupBy("map_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    found = written(rings.verified(rings.proposals(mask, radii), mask, size, cfg))
-    kept = written(rings.suppressed(found))
-    return kept, rings.radius_consensus(kept, least=cfg.min_circles_for_r0)
+    sized = nodes.join(r0.select("map_id", "r0"), "map_id")
+    clean = written(course.erased(mask.join(r0.select("map_id", "r0"), "map_id"), nodes, F.col("r0")).select("map_id", "y", "x"))
+    pairs = course.node_pairs(nodes).join(r0.select("map_id", "r0"), "map_id")
+    support = written(rings.line_support(pairs, clean, F.col("r0")))
+    by_lines = course.ordered_by_lines(nodes, support, cfg.leg_support_min_ratio)
+    by_labels = course.ordered_by_labels(nodes, labels, support).withColumnRenamed("order", "told")
+    both = written(by_lines.join(by_labels, "map_id", "left"))
+    w = Window.partitionBy("map_id").orderBy("pos")
+    i, j = F.col("node"), F.lead("node").over(w)
+
+    def strength(order: str, out: str) -> DataFrame:
+        steps = both.where(f"{order} is not null").select("map_id", F.posexplode(order).alias("pos", "node")).select("map_id", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), j.alias("next")).where("next is not null")
+        return steps.join(support, ["map_id", "i", "j"], "left").groupBy("map_id").agg(F.round(F.coalesce(F.sum("support"), F.lit(0.0)), 9).alias(out))
 
+    strong = both.join(strength("order", "__l"), "map_id", "left").join(strength("told", "__n"), "map_id", "left")
+    lines_win = F.col("complete") & (F.coalesce("__l", F.lit(0.0)) > F.coalesce("__n", F.lit(0.0)))
+    chosen = strong.select("map_id", F.when(F.col("told").isNull() | lines_win, F.col("order")).otherwise(F.col("told")).alias("order"))
+    return course.visits(sized.drop("r0"), chosen)
 
-def course_order(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: float, cfg: Settings | None = None) -> DataFrame:
-    """Controls in course order ``(map_id, id, order, kind, x, y, r)``: by printed numbers where they tell, else by lines.
 
-    ``nodes`` is ``(map_id, node, kind, x, y, r)``; ``labels`` ``(map_id, node, orders)``.
+class Detection(NamedTuple):
+    """``r0``: ``(map_id, r0)``; ``nodes``: ``(map_id, node, kind, x, y, r)``; ``controls``: nodes in course order, one row a visit; ``px_per_mm``: ``(map_id, px_per_mm)``."""
+
+    r0: DataFrame
+    nodes: DataFrame
+    controls: DataFrame
+    px_per_mm: DataFrame
+
+
+def detection(labels: DataFrame, texts: DataFrame | None = None, cfg: Settings | None = None, starts: DataFrame | None = None) -> Detection:
+    """The course of every map from its classes ``(map_id, y, x, label)``: circles, finish and order, at whatever scale it was scanned.
+
+    The radius of a control follows from the circles that agree on one; the search is
+    then repeated near it. ``texts`` are label boxes ``(map_id, lid, x0, y0, x1, y1,
+    text)`` as some reader gave them, ``starts`` ``(map_id, cx, cy, r)``. Maps without
+    enough circles have no rows.
     """
     cfg = cfg or Settings()
-    clean = course.erased(mask, nodes, F.lit(r0))
-    support = written(rings.line_support(course.node_pairs(nodes), clean, F.lit(r0)))
-    by_lines = course.ordered_by_lines(nodes, support, cfg.leg_support_min_ratio)
-    by_labels = course.ordered_by_labels(nodes, labels, support).withColumnRenamed("order", "told")
-    both = by_lines.join(by_labels, "map_id", "left").select("map_id", F.coalesce("told", "order").alias("order"))
-    return course.visits(nodes, both)
+    size = written(labels.groupBy("map_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")))
+    raw = written(labels.where(F.col("label") == PURPLE).select("map_id", "y", "x"))
+    mask = written(stencil.closed(labels.withColumn("__p", F.col("label") == PURPLE), "__p", 1, "__m").where("__m").select("map_id", "y", "x"))
+
+    def search(low: Column, high: Column, scale: DataFrame) -> DataFrame:
+        """Candidates of radii from ``low`` to ``high``, columns of ``scale``."""
+        of = scale.select("map_id", F.sequence(low.cast("int"), high.cast("int")).alias("radii"))
+        return rings.proposals(mask.join(of, "map_id"), F.col("radii"))
+
+    least = F.lit(cfg.search_min_radius_px)
+    most = F.greatest(least + 1, F.floor(F.least("height", "width") * cfg.search_max_radius_ratio))
+    wide = written(rings.suppressed(written(rings.verified(search(least, most, size), mask, size, cfg))))
+    r0 = written(rings.radius_consensus(wide, least=cfg.min_circles_for_r0).where("r0 is not null").select("map_id", "r0"))
+
+    low, high = F.greatest(F.lit(1), F.floor((1 - cfg.refine_radius_ratio) * F.col("r0"))), F.ceil((1 + cfg.refine_radius_ratio) * F.col("r0"))
+    near = wide.join(r0, "map_id").where(F.col("cr").between(low, high)).select("map_id", "cid", "cx", "cy", "cr")
+    found = written(rings.verified(search(low, high, r0).unionByName(near), mask, size, cfg).join(r0, "map_id"))
+    circles = rings.suppressed(found, F.col("r0")).where(F.col("cr").between(low - 1, high + 1))
+    circles = written(rings.relative(circles.select("map_id", "cid", "cx", "cy", "cr", "support"), cfg.relative_support_min_ratio))
+
+    every = search(F.greatest(F.lit(1), F.floor(0.6 * F.col("r0"))), F.floor(1.5 * F.col("r0")) + 1, r0)
+    sources = [c.select("map_id", "cx", "cy", "cr", F.lit(i).alias("source")) for i, c in enumerate((circles, wide, every))]
+    rank = F.row_number().over(Window.partitionBy("map_id").orderBy("source", "cy", "cx", "cr"))
+    centres = sources[0].unionByName(sources[1]).unionByName(sources[2]).withColumn("rank", rank)
+    # The gap between the finish's rings is narrow, so the mask as it was is asked.
+    finish = written(rings.finishes(centres, raw, size, r0, cfg))
+    keep = rings.away_from(circles.join(r0, "map_id"), finish.select("map_id", F.col("cx").alias("ox"), F.col("cy").alias("oy")), 0.5 * F.col("r0")).drop("r0")
+    columns = ["map_id", "kind", "x", "y", "r"]
+    parts = [c.select("map_id", F.lit(kind).alias("kind"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cr").alias("r")) for kind, c in (("control", keep), ("finish", finish))]
+    if starts is not None:
+        o = starts.select(F.col("map_id").alias("om"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("r").alias("o_r"))
+        inside = (F.col("map_id") == F.col("om")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= F.col("o_r") + 0.5 * F.col("r"))
+        parts = [parts[0].join(o, inside, "left_anti"), parts[1], starts.join(r0, "map_id", "left_semi").select("map_id", F.lit("start").alias("kind"), F.col("cx").alias("x"), F.col("cy").alias("y"), "r")]
+    nodes = parts[0].select(columns)
+    for more in parts[1:]:
+        nodes = nodes.unionByName(more.select(columns))
+    turn = F.when(F.col("kind") == "start", 0).when(F.col("kind") == "control", 1).otherwise(2)
+    nodes = written(nodes.withColumn("node", F.row_number().over(Window.partitionBy("map_id").orderBy(turn, "y", "x")) - 1))
+    if texts is None:
+        told = nodes.select("map_id", "node", F.array(F.lit(1)).alias("orders")).limit(0)
+    else:
+        numbers, _ = course.parsed_label(F.col("text"))
+        boxes = texts.withColumn("orders", numbers).where("orders is not null").join(r0, "map_id")
+        there = nodes.where("kind = 'control'").select("map_id", "node", F.col("x").alias("cx"), F.col("y").alias("cy"))
+        pairs = course.matched(written(course.label_candidates(boxes.drop("r0"), there.join(r0, "map_id"), F.col("r0"), cfg.label_max_distance_ratio)))
+        told = pairs.join(boxes.select("map_id", "lid", "orders"), ["map_id", "lid"]).select("map_id", "node", "orders")
+    controls = written(course_order(nodes, mask, written(told), r0, cfg))
+    return Detection(r0, nodes, controls, r0.select("map_id", (2 * F.col("r0") / cfg.control_diameter_mm).alias("px_per_mm")))
+
+
+def layers(planes: DataFrame, cells: DataFrame, cell_px: int, size: DataFrame) -> DataFrame:
+    """``(name, y, x, r, g, b, alpha)`` of all rendered layers, named ``<map>-<layer>``."""
+
+    def shown(kind: str, df: DataFrame, colors: dict[str, Column]) -> DataFrame:
+        return df.select(F.concat_ws("-", F.col("map_id").cast("string"), F.lit(kind)).alias("name"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[c.cast("int").alias(n) for n, c in colors.items()])
+
+    out = shown("labels", planes, classify.palette(F.col("label")))
+    for kind, (column, rgba) in MASK_LAYERS.items():
+        out = out.unionByName(shown(kind, planes.where(F.col(column)), classify.mask_rgba(F.col(column), rgba)))
+    ramp = classify.enlarged(classify.cost_ramp(cells.withColumnRenamed("r", "row")).withColumnsRenamed({"r": "red", "row": "r"}), cell_px, size)
+    return out.unionByName(shown("cost", ramp, {"r": F.col("red"), "g": F.col("g"), "b": F.col("b"), "alpha": F.col("alpha")}))
+
+
+def analysed(pixels: DataFrame, folder: str, px_per_mm: float, samples: DataFrame | None = None, edits: DataFrame | None = None, cfg: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """Analyse maps from pixels to stored layers: returns planes and cost cells, and writes every layer as a PNG file to ``folder``."""
+    cfg = cfg or Settings()
+    planes = terrain_planes(segmentation(stencil.bilateral(pixels, cfg.bilateral_sigma_space, cfg.bilateral_sigma_color), cfg, samples), px_per_mm, cfg)
+    cells = cost_grid(planes, px_per_mm, edits, cfg)
+    size = planes.groupBy("map_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    drawn = layers(planes, cells, terrain.cell_size(px_per_mm, cfg), size)
+    kinds = F.explode(F.array(*map(F.lit, LAYERS)))
+    canvas = size.select("map_id", "height", "width", kinds.alias("kind")).select(F.concat_ws("-", F.col("map_id").cast("string"), "kind").alias("name"), "height", "width")
+    images.write_pngs(images.png_files(drawn, canvas), folder)
+    return planes, cells
 
 
 def routes(controls: DataFrame, cells: DataFrame, cell_px: int, px_per_mm: float, scale: int = 4000, cfg: Settings | None = None) -> DataFrame:

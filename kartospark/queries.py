@@ -434,7 +434,7 @@ def least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_CELLS}, e as (select map_id, min(cost) lo, max(cost) hi from cells where cost < 'infinity'::double group by map_id)
     select map_id, r, c, case when cost < 'infinity'::double then floor(255 * ((cost - lo) / (hi - lo)))::int else 40 end red, case when cost < 'infinity'::double then floor(255 * (1 - (cost - lo) / (hi - lo)))::int else 0 end green,
-      case when cost < 'infinity'::double then 0 else 40 end blue from cells join e using (map_id)""")
+      40 blue from cells join e using (map_id)""")
 def cost_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     ramp = classify.cost_ramp(cells(spark, sf_dir).withColumnRenamed("r", "row"))
     return ramp.select("map_id", F.col("row").alias("r"), "c", F.col("r").alias("red"), F.col("g").alias("green"), F.col("b").alias("blue"))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kartospark.plans import analysis
-from kartospark.settings import BEIGE, GREY, REFERENCE_COLORS, WHITE, Settings
+from kartospark.settings import BEIGE, GREY, PURPLE, REFERENCE_COLORS, WHITE, Settings
 from kartospark.sources import images, projects
 from kartospark.streaming import scans
 
@@ -88,3 +88,53 @@ def test_settings_from_environment(monkeypatch):
     monkeypatch.setenv("KARTO_HATCH_ENABLED", "false")
     cfg = Settings.from_env()
     assert cfg.cell_mm == 0.5 and cfg.hatch_enabled is False
+
+
+def drawn_course(seed=0):
+    """A synthetic overprint: circles of one size joined by lines, a finish of two rings, and two labels; with its truth."""
+    labels = np.full((200, 260), WHITE)
+    yy, xx = np.mgrid[:200, :260]
+    points = [(40, 45), (95, 40), (150, 60), (205, 45), (210, 120), (140, 130)]
+    finish, r = (60, 140), 15
+
+    def ring(x, y, radius):
+        labels[np.abs(np.hypot(xx - x, yy - y) - radius) <= 1.2] = PURPLE
+
+    for x, y in points:
+        ring(x, y, r)
+    ring(*finish, r * 5 / 6)
+    ring(*finish, r * 7 / 6)
+    for (ax, ay), (bx, by) in zip(points, [*points[1:], finish], strict=True):
+        d = np.hypot(bx - ax, by - ay)
+        last = d - r * (7 / 6 if (bx, by) == finish else 1) - 3
+        for t in np.arange(r + 3, last, 0.5):
+            x, y = ax + (bx - ax) * t / d, ay + (by - ay) * t / d
+            labels[round(y), round(x)] = labels[round(y) + 1, round(x)] = PURPLE
+    return labels, points, finish, r
+
+
+def test_course_is_detected(spark):
+    labels, points, finish, r = drawn_course()
+    other = np.full((60, 60), WHITE)  # a map without a course has no rows
+    rows = [(m, y, x, int(a[y, x])) for m, a in (("m", labels), ("n", other)) for y in range(a.shape[0]) for x in range(a.shape[1])]
+    df = spark.createDataFrame(rows, "map_id string, y int, x int, label int")
+    texts = spark.createDataFrame([("m", i, x + 20, y - 6, x + 30, y + 6, f"{i + 1}") for i, (x, y) in enumerate(points) if i != 2], "map_id string, lid int, x0 int, y0 int, x1 int, y1 int, text string")
+    found = analysis.detection(df, texts)
+    (row,) = found.r0.collect()
+    assert row.map_id == "m" and abs(row.r0 - r) < 0.1 * r
+    nodes = found.nodes.collect()
+    controls = [n for n in nodes if n.kind == "control"]
+    near = [min(np.hypot(n.x - x, n.y - y) for n in controls) for x, y in points]
+    assert sum(d < 3 for d in near) >= 0.9 * len(points) and len(controls) <= len(points) + 1
+    (end,) = [n for n in nodes if n.kind == "finish"]
+    assert np.hypot(end.x - finish[0], end.y - finish[1]) < 3
+    order = sorted((c.order, c.x, c.y) for c in found.controls.collect() if c.order is not None)
+    assert len(order) == 7 and all(np.hypot(x - px, y - py) < 3 for (_, x, y), (px, py) in zip(order, [*points, finish], strict=True))
+
+
+def test_maps_are_analysed_to_layers(spark, tmp_path):
+    cfg = Settings(outside_map_enabled=False, hatch_enabled=False)
+    planes, cells = analysis.analysed(pixels(spark, small_map()[:24, :40]), str(tmp_path), 4.0, cfg=cfg)
+    assert {p.name for p in tmp_path.glob("*.png")} == {f"m-{n}.png" for n in analysis.LAYERS}
+    shown = images.read_pixels(spark, str(tmp_path / "m-labels.png"))
+    assert shown.count() == planes.count() == 960 and cells.count() > 0
