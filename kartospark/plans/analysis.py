@@ -68,7 +68,7 @@ def course_order(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: DataF
     """
     cfg = cfg or Settings()
     sized = nodes.join(r0.select("map_id", "r0"), "map_id")
-    clean = written(course.erased(mask.join(r0.select("map_id", "r0"), "map_id"), nodes, F.col("r0")).select("map_id", "y", "x"))
+    clean = written(course.erased(mask, sized, F.col("r0")).select("map_id", "y", "x"))
     pairs = course.node_pairs(nodes).join(r0.select("map_id", "r0"), "map_id")
     support = written(rings.line_support(pairs, clean, F.col("r0")))
     by_lines = course.ordered_by_lines(nodes, support, cfg.leg_support_min_ratio)
