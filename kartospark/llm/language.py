@@ -3,7 +3,9 @@
 A word's script, told by code point ranges, narrows the languages it can be of to those
 that were seen in that script; hashed byte n-grams score it under each of them. Viterbi
 over a text's words, with a penalty for switching languages, labels spans; the language
-with most words is the text's, or the one it opens in where that has nearly as many.
+with most words is the text's. How well it fits is the mean log probability of its
+n-grams, less what text of those languages has on average: far below for languages that
+were never learnt and for random letters.
 
 The model is trained here: counts of n-grams per language over all training texts,
 summed by Spark into ``N_BUCKETS`` buckets a language. That table (a few hundred
@@ -37,10 +39,9 @@ SMOOTH = 0.5
 #: A language is a candidate for a script that at least this share of its letters' words is in.
 SCRIPT_SHARE = 0.01
 UNDETERMINED = "und"
-#: The language that a text opens in is the text's if it has this share of the words of the commonest one.
-OPENING_SHARE = 0.5
-#: Texts less of one language than this share are rejected by a filter.
+#: Texts less of one language than this share, or that fit worse than this (nats an n-gram), are rejected by a filter.
 LEAST_SHARE = 0.25
+LEAST_FIT = -4.5
 _EXCLUDED = -1e3
 _CACHE_WORDS = 400_000
 _SLICE = 6 << 20
@@ -151,6 +152,10 @@ class Model(NamedTuple):
     score: np.ndarray  # N_BUCKETS x languages: log probability of an n-gram
     allowed: np.ndarray  # scripts x languages
 
+    def expected(self) -> np.ndarray:
+        """Mean log probability of an n-gram of each language's text."""
+        return (np.exp(self.score) * self.score).sum(axis=0)
+
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from every row of ``docs`` that has a text and a language."""
@@ -168,8 +173,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(langs, score.astype(np.float32), allowed)
 
 
-def word_scores(model: Model, distinct: list[bytes]) -> np.ndarray:
-    """Scores of words by language: 0 for words without letters, far below where the script rules a language out."""
+def word_scores(model: Model, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of words by language, and their numbers of n-grams; 0 for words without letters, scores far below where the script rules a language out."""
     bucket, owner = grams(distinct)
     order = np.argsort(owner, kind="stable")
     at = np.searchsorted(owner[order], np.arange(len(distinct)))
@@ -178,7 +183,7 @@ def word_scores(model: Model, distinct: list[bytes]) -> np.ndarray:
     allowed = model.allowed[scripts]
     scores = np.where(allowed | ~allowed.any(axis=1, keepdims=True), scores, _EXCLUDED)
     scores[scripts < 0] = 0
-    return scores.astype(np.float32)
+    return scores.astype(np.float32), np.where(scripts < 0, 0, np.bincount(owner, minlength=len(distinct)))
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -219,34 +224,37 @@ def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, span
     seen: dict[bytes, int] = {}
     scores = np.zeros((0, n_langs), dtype=np.float32)
     lettered = np.zeros(0, dtype=bool)
+    n_grams = np.zeros(0, dtype=np.int64)
+    expected = model.expected()
     for batch in batches:
         for part in slices(batch, text, _SLICE):
             split = [words(t) for t in part.column(text).to_pylist()]
             if len(seen) > _CACHE_WORDS:
-                seen, scores, lettered = {}, scores[:0], lettered[:0]
+                seen, scores, lettered, n_grams = {}, scores[:0], lettered[:0], n_grams[:0]
             known = len(seen)
             counts = np.array([len(w) for w in split], dtype=np.int64)
             ids = np.fromiter((seen.setdefault(w, len(seen)) for w in chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
             if len(seen) > known:
                 new = list(seen)[known:]
-                scores = np.concatenate([scores, word_scores(model, new)]) if n_langs else np.zeros((len(seen), 0), dtype=np.float32)
+                more, n = word_scores(model, new) if n_langs else (np.zeros((len(new), 0), dtype=np.float32), np.zeros(len(new), dtype=np.int64))
+                scores, n_grams = np.concatenate([scores, more]), np.concatenate([n_grams, n])
                 lettered = np.concatenate([lettered, np.array([script(w) >= 0 for w in new])])
             starts = np.cumsum(counts) - counts
             text_of = np.repeat(np.arange(len(counts)), counts)
             has = lettered[ids]
             pred: list[str] = [UNDETERMINED] * len(split)
-            score = np.zeros(len(split))
+            score, fit = np.zeros(len(split)), np.zeros(len(split))
             found: list[list[dict]] = [[] for _ in split]
             if n_langs and len(ids):
                 label = viterbi(scores[ids], starts, counts, switch)
                 votes = np.bincount(text_of[has] * n_langs + label[has], minlength=len(split) * n_langs).reshape(-1, n_langs)
                 total = votes.sum(axis=1)
                 top = votes.argmax(axis=1)
-                opening = np.full(len(split), -1)
-                at = np.flatnonzero(has)[::-1]
-                opening[text_of[at]] = label[at]
-                rows = np.arange(len(split))
-                top = np.where((opening >= 0) & (votes[rows, opening] >= OPENING_SHARE * votes[rows, top]), opening, top)
+                # Words that their script rules out of all but other languages tell nothing.
+                own = scores[ids, label]
+                told = has & (own > _EXCLUDED)
+                excess = np.bincount(text_of[told], weights=(own / SCALE - n_grams[ids] * expected[label])[told], minlength=len(split))
+                fit = excess / np.maximum(np.bincount(text_of[told], weights=n_grams[ids][told], minlength=len(split)), 1)
                 for i in np.flatnonzero(total):
                     pred[i] = model.langs[top[i]]
                     score[i] = votes[i, top[i]] / total[i]
@@ -259,7 +267,7 @@ def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, span
                     if total[i]:
                         found[i].append({"lang": model.langs[label[a]], "start": int(a - starts[i]), "end": int(b - starts[i])})
             rest = part.drop_columns([text])
-            extra = [pa.array(pred), pa.array(score), pa.array(found, type=_SPAN)]
+            extra = [pa.array(pred), pa.array(score), pa.array(found, type=_SPAN), pa.array(fit)]
             yield pa.RecordBatch.from_arrays([*rest.columns, *extra], names=[*rest.schema.names, *names])
 
 
@@ -267,15 +275,15 @@ _SPAN = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end"
 
 
 #: Columns that ``identify`` adds.
-ADDED = ("lang_pred", "lang_score", "lang_spans")
+ADDED = ("lang_pred", "lang_score", "lang_spans", "lang_fit")
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text_col: str = "text", spans: bool = True, names: tuple[str, ...] | list[str] = ADDED) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score`` (share of lettered words in that language) and ``lang_spans``.
+    """``docs`` with ``lang_pred``, ``lang_score`` (share of lettered words in that language), ``lang_spans`` and ``lang_fit``.
 
     Spans are word ranges ``(lang, start, end)``, end exclusive, where words are runs of
     letters and non-ASCII characters. Texts that are null or have no letter, and all
-    texts under a model without languages, are ``und`` with score 0 and no spans. Texts
+    texts under a model without languages, are ``und`` with score and fit 0 and no spans. Texts
     are labelled whole, row by row: repeated rows have equal results, an empty table an
     empty one. Of languages with equally many words the first by name is taken. ``names``
     are the new columns' names; columns of ``docs`` that have them are replaced.
@@ -288,11 +296,11 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text_col: st
     return rows.mapInArrow(partial(_label_batches, model=sent, switch=switch, spans=spans, text=text, names=list(names)), schema)
 
 
-_TYPES = (StringType(), DoubleType(), ArrayType(StructType([StructField("lang", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
+_TYPES = (StringType(), DoubleType(), ArrayType(StructType([StructField("lang", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])), DoubleType())
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which a language was found that has a fair share of the words, with the columns of ``docs``."""
-    pred, score, spans = names = unused(docs, *ADDED)
+    """The rows of ``docs`` in which a language was found that has a fair share of the words and fits them, with the columns of ``docs``."""
+    pred, score, _, fit = names = unused(docs, *ADDED)
     found = identify(docs, model, text_col=text_col, spans=False, names=names)
-    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SHARE)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SHARE) & (F.col(fit) >= LEAST_FIT)).select(*(F.col(f"`{c}`") for c in docs.columns))

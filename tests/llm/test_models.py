@@ -29,6 +29,31 @@ def test_scripts_and_spans(spark, documents):
     assert [got[i].lang_pred for i in (22, 23, 24, 25, 1, 2, 3)] == ["und", "und", "ru", "und", "und", "und", "und"]
 
 
+def test_mixed_texts_are_in_the_language_of_most_words(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null and length(text) > 600")
+    model = language.train(docs)
+    some = {r.lang: r.text for r in docs.where("doc_id % 3 = 1").collect()}
+    for a, b in [("en", "de"), ("de", "es"), ("fr", "en"), ("es", "fr")]:
+        # Opens and ends in b, but has twice as many words of a.
+        x, y = (some[k].split()[:60] for k in (a, b))
+        text = " ".join(y[:15] + x[:60] + y[15:30])
+        (got,) = language.identify(spark.createDataFrame([(text,)], "text string"), model).collect()
+        spans = [s for s in got.lang_spans if s.end - s.start > 5]
+        assert got.lang_pred == a and spans[0].lang == spans[-1].lang == b
+
+
+def test_texts_of_no_learnt_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null")
+    model = language.train(docs)
+    rng = np.random.default_rng(11)
+    letters = [" ".join("".join(chr(97 + int(k)) for k in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(40)) for _ in range(20)]
+    strange = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"]
+    df = spark.createDataFrame([(t,) for t in letters + strange], "text string")
+    assert language.kept(df, model).count() == 0
+    clean = docs.where("length(text) > 200")
+    assert language.kept(clean, model).count() == clean.count()
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(0)
     counts = np.array([3, 0, 5, 1])
