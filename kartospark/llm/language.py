@@ -43,8 +43,8 @@ UNDETERMINED = "und"
 LEAST_SHARE = 0.25
 LEAST_FIT = -4.5
 _EXCLUDED = -1e3
-_CACHE_WORDS = 400_000
-_SLICE = 6 << 20
+_CACHE_WORDS = 200_000
+_SLICE = 3 << 20
 
 #: First code points of script ranges, by the Unicode block charts; each lasts until the next.
 SCRIPTS = [

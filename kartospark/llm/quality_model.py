@@ -229,8 +229,8 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     never trusted. An empty table gives an empty result. Other columns are not read.
     """
     ids = trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
-    rows = featurised(docs, id_col, text_col)
-    # Rows without an id join nothing and would meet in one task.
-    known = rows.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "x", F.col("t_id").isNotNull().alias("positive"))
-    marked = written(known.union(rows.where("doc_id is null").select("doc_id", "x", F.lit(False))))
+    # Rows without an id join nothing and would meet in one task; they are set apart before anything is computed.
+    has_id = F.col(id_col).cast("long").isNotNull()
+    known = written(featurised(docs.where(has_id), id_col, text_col)).join(ids, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "x", F.col("t_id").isNotNull().alias("positive"))
+    marked = written(known.union(featurised(docs.where(~has_id), id_col, text_col).select("doc_id", "x", F.lit(False))))
     return marked.select("doc_id", "x").mapInArrow(partial(_score_batches, weights=train(marked).weights), "doc_id long, score double")
