@@ -9,6 +9,8 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that drops the shuffles of a finished execution.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the tables that ``written`` returned and that are still referred to.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -25,10 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    Nothing reads the shuffles behind a written table again, so they leave the disk with the write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     made = spark.read.schema(df.schema).parquet(path)
     _PATHS[made] = path
     return made
