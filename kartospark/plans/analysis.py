@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kartospark.functions.color import white_balance
-from kartospark.operators import areas, classify, course, graph, lines, nearest, rings, routing, stencil, terrain
+from kartospark.operators import areas, classify, course, graph, lines, nearest, rings, routing, stencil, terrain, triangles
 from kartospark.settings import PURPLE, UNKNOWN, Settings
 from kartospark.sources import images
 from kartospark.sources.shared import written
@@ -97,12 +97,12 @@ class Detection(NamedTuple):
 
 
 def detection(labels: DataFrame, texts: DataFrame | None = None, cfg: Settings | None = None, starts: DataFrame | None = None) -> Detection:
-    """The course of every map from its classes ``(map_id, y, x, label)``: circles, finish and order, at whatever scale it was scanned.
+    """The course of every map from its classes ``(map_id, y, x, label)``: circles, finish, start and order, at whatever scale it was scanned.
 
     The radius of a control follows from the circles that agree on one; the search is
     then repeated near it. ``texts`` are label boxes ``(map_id, lid, x0, y0, x1, y1,
-    text)`` as some reader gave them, ``starts`` ``(map_id, cx, cy, r)``. Maps without
-    enough circles have no rows.
+    text)`` as some reader gave them; ``starts`` (``map_id, cx, cy, r``) are searched for
+    where they are not given. Maps without enough circles have no rows.
     """
     cfg = cfg or Settings()
     size = written(labels.groupBy("map_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")))
@@ -132,12 +132,15 @@ def detection(labels: DataFrame, texts: DataFrame | None = None, cfg: Settings |
     # The gap between the finish's rings is narrow, so the mask as it was is asked.
     finish = written(rings.finishes(centres, raw, size, r0, cfg))
     keep = rings.away_from(circles.join(r0, "map_id"), finish.select("map_id", F.col("cx").alias("ox"), F.col("cy").alias("oy")), 0.5 * F.col("r0")).drop("r0")
+    if starts is None:
+        # A circle at the rim of the window may be one that fits into the triangle; such circles go below.
+        sure = keep.join(r0, "map_id").where(F.col("cr").between(low, high)).drop("r0")
+        starts = written(triangles.starts(mask, size, r0, sure, cfg))
     columns = ["map_id", "kind", "x", "y", "r"]
     parts = [c.select("map_id", F.lit(kind).alias("kind"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cr").alias("r")) for kind, c in (("control", keep), ("finish", finish))]
-    if starts is not None:
-        o = starts.select(F.col("map_id").alias("om"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("r").alias("o_r"))
-        inside = (F.col("map_id") == F.col("om")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= F.col("o_r") + 0.5 * F.col("r"))
-        parts = [parts[0].join(o, inside, "left_anti"), parts[1], starts.join(r0, "map_id", "left_semi").select("map_id", F.lit("start").alias("kind"), F.col("cx").alias("x"), F.col("cy").alias("y"), "r")]
+    o = starts.select(F.col("map_id").alias("om"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("r").alias("o_r"))
+    inside = (F.col("map_id") == F.col("om")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= F.col("o_r") + 0.5 * F.col("r"))
+    parts = [parts[0].join(o, inside, "left_anti"), parts[1], starts.join(r0, "map_id", "left_semi").select("map_id", F.lit("start").alias("kind"), F.col("cx").alias("x"), F.col("cy").alias("y"), "r")]
     nodes = parts[0].select(columns)
     for more in parts[1:]:
         nodes = nodes.unionByName(more.select(columns))

@@ -601,10 +601,10 @@ def relative_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     c as (select map_id, own * 1000 + n pid, px, py, pr from t), {_ring_sql(_TIGHT, n=36)},
     b as (select map_id, pid, round(avg(hit::int), 9) s from h group by map_id, pid),
     w as (select map_id, own, arg_max(struct_pack(px, py, pr, s), s * 100000 + case when n = 87 then 500 else 0 end - n) x from t join b on b.map_id = t.map_id and b.pid = own * 1000 + n group by t.map_id, own)
-    select map_id, own cid, x.px cx, x.py cy, x.pr cr, round(x.s, 6) support from w""".replace("select map_id, own, arg_max", "select t.map_id, own, arg_max"))
+    select map_id, own cid, round(x.px, 6) cx, round(x.py, 6) cy, round(x.pr, 6) cr, round(x.s, 6) support from w""".replace("select map_id, own, arg_max", "select t.map_id, own, arg_max"))
 def circles_polished(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rings.polished(_circles(spark, sf_dir), _mask(spark, sf_dir))
-    return found.select("map_id", "cid", "cx", "cy", "cr", F.round("support", 6).alias("support"))
+    return found.select("map_id", "cid", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cr", "support")])
 
 
 _FINISH_R0, _FINISH_LEAST = 6.0, 0.1
@@ -706,10 +706,10 @@ def projects_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("project_id", "version", F.row_number().over(Window.orderBy(F.desc("modified"), "project_id")).cast("long").alias("place"))
 
 
-@query("select user_id, sum(value) total from events group by user_id")
+@query("select user_id, round(sum(value), 4) total from events group by user_id")
 def stage_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stage's result by the key of what it depends on: made at the first call, read at the second."""
-    sums = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("total"))
+    sums = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"))
     key = spark.range(1).select(projects.stage_key(F.lit(sf_dir).alias("input"), F.lit("sums").alias("stage"))).first()[0]
     base = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
     projects.stored(spark, base, key, lambda: sums)

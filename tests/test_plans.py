@@ -90,7 +90,10 @@ def test_settings_from_environment(monkeypatch):
     assert cfg.cell_mm == 0.5 and cfg.hatch_enabled is False
 
 
-def drawn_course(seed=0):
+START = (220, 175)
+
+
+def drawn_course():
     """A synthetic overprint: circles of one size joined by lines, a finish of two rings, and two labels; with its truth."""
     labels = np.full((200, 260), WHITE)
     yy, xx = np.mgrid[:200, :260]
@@ -102,6 +105,12 @@ def drawn_course(seed=0):
 
     for x, y in points:
         ring(x, y, r)
+    side, (sx, sy) = r * 7 / 3, START
+    corners = [(sx + side / 3**0.5 * np.cos(np.deg2rad(a)), sy + side / 3**0.5 * np.sin(np.deg2rad(a))) for a in (-60, 60, 180)]
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        for t in np.linspace(0, 1, 200):
+            x, y = round(ax + (bx - ax) * t), round(ay + (by - ay) * t)
+            labels[y : y + 2, x : x + 2] = PURPLE
     ring(*finish, r * 5 / 6)
     ring(*finish, r * 7 / 6)
     for (ax, ay), (bx, by) in zip(points, [*points[1:], finish], strict=True):
@@ -128,7 +137,9 @@ def test_course_is_detected(spark):
     assert sum(d < 3 for d in near) >= 0.9 * len(points) and len(controls) <= len(points) + 1
     (end,) = [n for n in nodes if n.kind == "finish"]
     assert np.hypot(end.x - finish[0], end.y - finish[1]) < 3
-    order = sorted((c.order, c.x, c.y) for c in found.controls.collect() if c.order is not None)
+    (begin,) = [n for n in nodes if n.kind == "start"]
+    assert np.hypot(begin.x - START[0], begin.y - START[1]) < 3 and abs(begin.r - r * 7 / 3 / 3**0.5) < 4
+    order = sorted((c.order, c.x, c.y) for c in found.controls.collect() if c.order is not None and c.kind != "start")
     assert len(order) == 7 and all(np.hypot(x - px, y - py) < 3 for (_, x, y), (px, py) in zip(order, [*points, finish], strict=True))
 
 
