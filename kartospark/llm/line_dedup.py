@@ -23,7 +23,7 @@ Links are counted in place; pairs are never emitted.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ N_CELLS = 1 << 21
 CHUNK = 4096
 #: Rows of one prefix word compared inside one task; a longer run is cut into pairs of blocks.
 BLOCK = 4096
+#: Rounds in which runs meet, each those of its share of the words, so that only a part of all rows is on disk at once.
+ROUNDS = 2
 #: Text handled at once; its words' dictionary stays small.
 _SLICE = 1 << 20
 _FOUR = 4  # smaller sets have no similar set but themselves
@@ -458,15 +460,16 @@ def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[Da
     lines = written(rows.mapInArrow(partial(_line_batches, level=level, block=block), _DOC).withColumn("uid", F.monotonically_increasing_id()))
     each = lines.select("uid", "doc_id", "text_key", F.explode("lines").alias("x")).select("uid", "doc_id", "text_key", "x.line", "x.class")
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "line", "uid", "doc_id", "text_key")
-    classes = written(each.groupBy("class").agg(F.min(rank).alias("first")).select("class", "first.*"))
 
     listed = lines.select(F.explode("lines").alias("x")).where(F.size("x.words") > 0)
     hot = _hot(listed.select(F.explode("x.hot").alias("key")), block)
     packed = F.shiftleft(F.col("x.size").cast("long"), 32) + F.shiftleft(F.col("x.single"), 2)
     postings = listed.select("x.class", "x.parity", packed.alias("packed"), F.posexplode("x.words").alias("place", "key")).select("key", "class", "parity", (F.col("packed") + F.shiftleft("place", 2)).alias("packed"))
-    found = written(_dealt(postings, hot).mapInArrow(_candidate_batches, "key long, class long, packed long"))
+    parts = [written(_dealt(postings.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == i), hot).mapInArrow(_candidate_batches, "key long, class long, packed long")) for i in range(ROUNDS)]
+    found = reduce(DataFrame.unionByName, parts)
     del listed, hot, postings
     forget(docs.sparkSession)
+    classes = written(each.groupBy("class").agg(F.min(rank).alias("first")).select("class", "first.*"))
 
     wanted = classes.join(found.select("class").distinct(), "class", "left_semi")
     by_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("line", F.col("id").alias("rank_id"))).alias("wanted"))
@@ -474,8 +477,8 @@ def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[Da
     sets = texts.select("text", "wanted").mapInArrow(partial(_set_batches, level=level), "rank_id long, rank_line long, class long, parity binary, words array<long>").withColumnRenamed("class", "c")
     met = found.join(sets, F.col("class") == F.col("c")).drop("c").repartition("key").sortWithinPartitions("key")
     links = written(met.mapInArrow(_verify_batches, "class long, n_links long, beaten boolean").groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten")))
-    discard(found)
-    del found, wanted, by_text, texts, sets, met
+    discard(*parts)
+    del found, parts, wanted, by_text, texts, sets, met
     forget(docs.sparkSession)
     told = classes.join(links, "class", "left").select(F.col("class").alias("c"), F.col("uid").alias("first_uid"), F.col("line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("beaten", F.lit(False)).alias("beaten"))
     joined = each.join(told, F.col("class") == F.col("c"))
