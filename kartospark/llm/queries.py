@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import decontaminate, language, line_dedup, lm, mixing, quality_model, quality_rules, secrets, sharding, simhash
+from kartospark.llm import decontaminate, fill_middle, language, line_dedup, lm, mixing, quality_model, quality_rules, secrets, sharding, simhash
 from kartospark.llm.common import crc32_mod, table
 from kartospark.sources.shared import shared_dir
 
@@ -77,6 +77,12 @@ def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near")
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restored(fill_middle.transformed(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_slot_shards": op2_slot_shards,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_spans": op8_language_spans,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_passages": op10_benchmark_passages,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -192,4 +199,15 @@ ORACLES: dict[str, str] = {
         select doc_id, coalesce(len(ws), 0)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
           sha256(coalesce(l, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0) n_near
         from d left join cov using (r) left join its using (r) left join near using (r)""",
+    "op12_fill_middle": rf"""
+        with d as (select doc_id, coalesce(text, '') text, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
+        u as (select *, length(text)::bigint n, ('0x' || substr(h, 1, 8))::bigint h1, ('0x' || substr(h, 9, 8))::bigint h2,
+                ('0x' || substr(h, 17, 8))::bigint h3, ('0x' || substr(h, 25, 8))::bigint h4 from d),
+        c as (select *, least(h1 % (n + 1), h2 % (n + 1)) p, greatest(h1 % (n + 1), h2 % (n + 1)) q,
+                case when text = '' or contains(text, '{fill_middle.PREFIX}') or contains(text, '{fill_middle.SUFFIX}') or contains(text, '{fill_middle.MIDDLE}')
+                  or h3 % 100 >= {fill_middle.RATE} then 'plain' when h4 % 100 < {fill_middle.SPM_RATE} then 'spm' else 'psm' end form from u),
+        o as (select *, '{fill_middle.PREFIX}' || substr(text, 1, p) a, '{fill_middle.SUFFIX}' || substr(text, q + 1) b, '{fill_middle.MIDDLE}' || substr(text, p + 1, q - p) c from c)
+        select doc_id, n, form, case when form <> 'plain' then p end prefix_chars, case when form <> 'plain' then q - p end middle_chars,
+          sha256(case form when 'plain' then text when 'psm' then a || b || c else b || a || c end) output_sha256, sha256(text) restored_sha256
+        from o""",
 }
