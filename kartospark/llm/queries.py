@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import decontaminate, fill_middle, language, line_dedup, lm, mixing, quality_model, quality_rules, secrets, sharding, simhash
+from kartospark.llm import decontaminate, fill_middle, language, line_dedup, lm, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash
 from kartospark.llm.common import crc32_mod, table
 from kartospark.sources.shared import shared_dir
 
@@ -83,6 +84,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_slot_shards": op2_slot_shards,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_passages": op10_benchmark_passages,
     "op12_fill_middle": op12_fill_middle,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
