@@ -12,9 +12,10 @@ a linked one.
 3. Rows of one prefix word meet in one place. Length and positional filters and a
    parity map of about a bit a word (two sets differ in at least as many words as bits)
    discard pairs exactly, without the sets. Rows of a pair that is left stay in the run.
-4. Only classes that stayed somewhere are fetched, with their sets. They meet again in the
-   same runs, and the pairs that are left there are verified: no others are ever tried.
-   A pair counts in the run of the first word that it shares, so once.
+4. Only classes that stayed somewhere are fetched, with their sets, which are written once.
+   They meet again in the same runs, in the same rounds, and the pairs that are left there
+   are verified: no others are ever tried. A pair counts in the run of the first word that
+   it shares, so once.
 
 Runs of one word longer than ``block`` are cut into pairs of blocks over many tasks.
 Links are counted in place; pairs are never emitted.
@@ -474,12 +475,18 @@ def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[Da
     wanted = classes.join(found.select("class").distinct(), "class", "left_semi")
     by_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("line", F.col("id").alias("rank_id"))).alias("wanted"))
     texts = rows.join(by_text, _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key"))).dropDuplicates(["doc_id", "text_key"])
-    sets = texts.select("text", "wanted").mapInArrow(partial(_set_batches, level=level), "rank_id long, rank_line long, class long, parity binary, words array<long>").withColumnRenamed("class", "c")
-    met = found.join(sets, F.col("class") == F.col("c")).drop("c").repartition("key").sortWithinPartitions("key")
-    links = written(met.mapInArrow(_verify_batches, "class long, n_links long, beaten boolean").groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten")))
-    discard(*parts)
-    del found, parts, wanted, by_text, texts, sets, met
+    sets = written(texts.select("text", "wanted").mapInArrow(partial(_set_batches, level=level), "rank_id long, rank_line long, class long, parity binary, words array<long>").withColumnRenamed("class", "c"))
+    del found, wanted, by_text, texts
     forget(docs.sparkSession)
+    verified = []
+    for part in parts:
+        met = part.join(sets, F.col("class") == F.col("c")).drop("c").repartition("key").sortWithinPartitions("key")
+        verified.append(written(met.mapInArrow(_verify_batches, "class long, n_links long, beaten boolean")))
+        del met
+        forget(docs.sparkSession)
+    discard(sets, *parts)
+    links = written(reduce(DataFrame.unionByName, verified).groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten")))
+    discard(*verified)
     told = classes.join(links, "class", "left").select(F.col("class").alias("c"), F.col("uid").alias("first_uid"), F.col("line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("beaten", F.lit(False)).alias("beaten"))
     joined = each.join(told, F.col("class") == F.col("c"))
     first = (F.col("uid") == F.col("first_uid")) & (F.col("line") == F.col("first_line"))
