@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartospark.llm import decontaminate, fill_middle, language, line_dedup, lm, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash
+from kartospark.llm import decontaminate, fill_middle, language, line_dedup, lm, mixing, packing, quality_model, quality_rules, secrets, sharding, simhash, spelling
 from kartospark.llm.common import crc32_mod, table
 from kartospark.sources.shared import shared_dir
 
@@ -78,6 +78,11 @@ def op10_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "n_near")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents"), slip=spelling.SLIP)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.restored(fill_middle.transformed(table(spark, sf_dir, "documents")))
     digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_spans": op8_language_spans,
     "op9_line_dedup": op9_line_dedup,
     "op10_benchmark_passages": op10_benchmark_passages,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_fill_middle": op12_fill_middle,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
@@ -138,6 +144,32 @@ def _secret_sql() -> str:
         from d left join t using (r) group by r, doc_id"""
 
 
+def _spelling_sql() -> str:
+    """Counts with crc32 by its table, one byte of UTF-8 after the other; near words meet by what a lost letter leaves, without keys."""
+    step = "case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end"
+    table = "range(0, 256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda c: {step})"
+    crc = "xor(list_reduce(list_transform(range(1, length(hex(encode(s))) // 2 + 1), lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::bigint), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::bigint), 4294967295::bigint)"
+    return rf"""
+        with recursive d as (select coalesce(doc_id::varchar, '') id, {_FOLDED} text from documents),
+        runs as (select id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) run from d),
+        by_doc as (select id, run, count(*) times, id || ':' || run s from runs group by id, run),
+        tab as (select {table} t),
+        hashed as (select run, times, {crc} h from by_doc, tab),
+        spelt as (select case when h % {spelling.SLIP} = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end word, times from hashed),
+        v as materialized (select word, sum(times)::bigint n from spelt where length(word) >= {spelling.LEAST_LENGTH} group by word having sum(times) >= {spelling.LEAST_COUNT}),
+        gone as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) rest from (select word, n, unnest(range(1, length(word) + 1)) i from v)),
+        near as (
+          select a.word, b.word other, b.n m from gone a join gone b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+          union select g.word, v.word, v.n from gone g join v on g.rest = v.word
+          union select v.word, g.word, g.n from gone g join v on g.rest = v.word),
+        best as (select word, count(*) n_near, min({{'m': -m, 'w': other}}) b from near group by word),
+        f as materialized (select v.word, v.n, coalesce(n_near, 0)::bigint n_near, case when -b.m >= {spelling.RATIO} * v.n then b.w end form, case when -b.m >= {spelling.RATIO} * v.n then -b.m end form_n from v left join best using (word)),
+        chain as (select word, word root, form ahead from f union all select c.word, f.word, f.form from chain c join f on f.word = c.ahead)
+        select f.word, f.form, root, n, n_near, form_n::bigint form_n from f join chain on f.word = chain.word and ahead is null"""
+
+
 ORACLES: dict[str, str] = {
     "op3_linked_secrets": _secret_sql(),
     "op4_rule_cascade": rf"""
@@ -205,6 +237,7 @@ ORACLES: dict[str, str] = {
         select doc_id, coalesce(len(ws), 0)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
           sha256(coalesce(l, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0) n_near
         from d left join cov using (r) left join its using (r) left join near using (r)""",
+    "op11_spelling_variants": _spelling_sql(),
     "op12_fill_middle": rf"""
         with d as (select doc_id, coalesce(text, '') text, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
         u as (select *, length(text)::bigint n, ('0x' || substr(h, 1, 8))::bigint h1, ('0x' || substr(h, 9, 8))::bigint h2,
