@@ -29,6 +29,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts apart, in 64 bits; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def sampling_key(id_text: Column, weight: Column) -> Column:
     """Exponential key with rate ``weight``: minus the logarithm of a uniform number drawn by md5 from ``id_text``."""
     uniform = (F.conv(F.substring(F.md5(id_text.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
@@ -91,25 +96,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, quality: DataFrame
     not read.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("doc_id"), n_words(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"))
-    groups = rows.groupBy("source", "doc_id", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("doc_id"), n_words(text).alias("size"), text_key(text).alias("key_text"))
+    groups = rows.groupBy("source", "doc_id", "size", "key_text").agg(F.count(F.lit(1)).alias("n"))
     if quality is not None:
         q = quality.select(F.col("doc_id").alias("q_id"), F.col("weight").cast("double").alias("weight"))
         groups = groups.join(q, F.col("doc_id") == F.col("q_id"), "left").drop("q_id")
     else:
         groups = groups.withColumn("weight", F.lit(None).cast("double"))
-    drawn = groups.withColumn("key", sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("crc "), F.col("crc"))), F.coalesce("weight", F.lit(1.0))))
+    drawn = groups.withColumn("key", sampling_key(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("key_text"))), F.coalesce("weight", F.lit(1.0))))
     groups = written(drawn.withColumn("bucket", _bucket()).drop("weight"))
     planned = _with_plan(groups, weights)
     sure = planned.where("bucket <> end").withColumn("m", F.when(F.col("bucket") < F.col("end"), F.col("n")).otherwise(0))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "key_text").rowsBetween(Window.unboundedPreceding, -1)
     last = planned.where("bucket = end").withColumn("before", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
     fits = F.ceil((F.col("rest") - F.col("before") - F.col("size") / 2) / F.col("size"))
     last = last.withColumn("m", F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(fits, F.col("n")))).otherwise(0))
-    columns = ["source", "doc_id", "size", "crc", "key", "source_size", "target", "epochs", "n", "m"]
+    columns = ["source", "doc_id", "size", "key_text", "key", "source_size", "target", "epochs", "n", "m"]
     each = repeated(sure.select(columns).union(last.select(columns)))
     taken = F.col("size") * (F.col("epochs") + F.when(F.col("copy") < F.col("m"), 1).otherwise(0))
-    return each.select("source", "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "crc", "copy")
+    return each.select("source", "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "key_text", "copy")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -120,10 +125,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, quality: DataFram
     takes them in all.
     """
     took = mix(docs, weights, quality, id_col, text_col, source_col).where("size > 0 and taken > 0")
-    s, i, c, n, rows, copy = unused(docs, "s", "id", "crc", "n", "rows", "copy")
-    times = took.groupBy(F.col("source").alias(s), F.col("doc_id").alias(i), F.col("crc").alias(c)).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias(n), (F.max("copy") + 1).alias(rows))
+    s, i, c, n, rows, copy = unused(docs, "s", "id", "key", "n", "rows", "copy")
+    times = took.groupBy(F.col("source").alias(s), F.col("doc_id").alias(i), F.col("key_text").alias(c)).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias(n), (F.max("copy") + 1).alias(rows))
     text = F.col(text_col).cast("string")
-    same = F.col(source_col).cast("string").eqNullSafe(F.col(s)) & F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.crc32(F.coalesce(text, F.lit("")).cast("binary")) == F.col(c))
+    same = F.col(source_col).cast("string").eqNullSafe(F.col(s)) & F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (text_key(text) == F.col(c))
     joined = docs.join(times, same)
     one = joined.where(F.col(rows) == 1).drop(s, i, c, rows)
     many = joined.where(F.col(rows) > 1).dropDuplicates([s, i, c]).drop(s, i, c, rows)

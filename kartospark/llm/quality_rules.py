@@ -11,6 +11,7 @@ a pass costs, never which rows it keeps.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property, partial
 from typing import NamedTuple
@@ -148,19 +149,19 @@ MEASURES = list(dict.fromkeys(m for r in RULES.values() for m in r.needs))
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text of the sample: seconds of each measure (a batch's, shared out) and the rules that it fails."""
+    """Of the sample's texts, those that fail the same rules together: the rules as bits, texts, and seconds of each measure."""
     for batch in batches:
-        texts = [Text(raw) for raw in as_bytes(batch.column("text"))]
-        if not texts:
-            continue
-        seconds = []
-        for name in MEASURES:
-            began = time.perf_counter()
-            for t in texts:
-                getattr(t, name)
-            seconds.append((time.perf_counter() - began) / len(texts))
-        fails = [[not r.passes(t) for r in RULES.values()] for t in texts]
-        yield pa.RecordBatch.from_pydict({"seconds": [seconds] * len(texts), "fails": fails})
+        for part in slices(batch, "text"):
+            texts = [Text(raw) for raw in as_bytes(part.column("text"))]
+            seconds = []
+            for name in MEASURES:
+                began = time.perf_counter()
+                for t in texts:
+                    getattr(t, name)
+                seconds.append(time.perf_counter() - began)
+            fails = Counter(sum(1 << i for i, r in enumerate(RULES.values()) if not r.passes(t)) for t in texts)
+            shares = [[x * n / len(texts) for x in seconds] for n in fails.values()]
+            yield pa.RecordBatch.from_pydict({"fails": pa.array(fails, type=pa.int32()), "n": pa.array(fails.values(), type=pa.int64()), "seconds": pa.array(shares, type=pa.list_(pa.float64()))})
 
 
 class Step(NamedTuple):
@@ -171,16 +172,17 @@ class Step(NamedTuple):
     seconds: float
 
 
-def ordered(fails: np.ndarray, seconds: dict[str, float]) -> list[Step]:
+def ordered(fails: np.ndarray, seconds: dict[str, float], n: np.ndarray | None = None) -> list[Step]:
     """Rules by falling rejection per cost among the texts that earlier rules let pass, each measure paid for once.
 
-    ``fails`` has a row for each text of the sample and a column for each rule. Ties go by the order of ``RULES``.
+    ``fails`` has a row for each text of the sample, or for ``n`` texts alike, and a column for each rule. Ties go by the order of ``RULES``.
     """
+    n = np.ones(len(fails)) if n is None else n
     left, paid, names, out = np.ones(len(fails), dtype=bool), set(), list(RULES), []
     while names:
 
         def step(name: str) -> Step:
-            rejects = fails[left, list(RULES).index(name)].mean() if left.any() else 0.0
+            rejects = np.average(fails[left, list(RULES).index(name)], weights=n[left]) if left.any() else 0.0
             return Step(name, float(rejects), sum(seconds[m] for m in RULES[name].needs if m not in paid))
 
         best = max((step(n) for n in names), key=lambda s: s.rejects / max(s.seconds, 1e-9))
@@ -192,18 +194,22 @@ def ordered(fails: np.ndarray, seconds: dict[str, float]) -> list[Step]:
 
 
 def measured(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[Step]:
-    """The cascade's order, from about ``sample_rows`` rows picked by hash; their results, a few numbers each, are all that reaches the driver.
+    """The cascade's order, from about ``sample_rows`` rows, each drawn on its own, so that copies of one row are drawn as any others.
 
-    A table of fewer rows is measured whole; without any row the order is that of ``RULES``.
+    The tasks sum what they find by the rules that a text fails; these sums, at most one for each set of rules, are
+    all that reaches the driver. A table of fewer rows is measured whole; without any row the order is that of ``RULES``.
     """
-    share = sample_rows / max(docs.count(), 1)
-    text = F.col(text_col).cast("string")
-    picked = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)) if share < 1 else F.lit(True)
-    found = docs.where(picked).select(text.alias("text")).mapInArrow(_measure_batches, "seconds array<double>, fails array<boolean>").toArrow()
-    if not found.num_rows:
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    picked = docs.select(F.col(text_col).cast("string").alias("text"))
+    if share < 1:
+        picked = picked.where(F.rand(11) < share)
+    sums = [F.sum(F.get("seconds", F.lit(i))).alias(m) for i, m in enumerate(MEASURES)]
+    found = picked.mapInArrow(_measure_batches, "fails int, n long, seconds array<double>").groupBy("fails").agg(F.sum("n").alias("n"), *sums).collect()
+    if not found:
         return [Step(n, 0.0, 0.0) for n in RULES]
-    seconds = np.array(found.column("seconds").to_pylist()).mean(axis=0)
-    return ordered(np.array(found.column("fails").to_pylist()), dict(zip(MEASURES, seconds.tolist(), strict=True)))
+    n = np.array([r["n"] for r in found])
+    fails = np.array([[r["fails"] >> i & 1 for i in range(len(RULES))] for r in found], dtype=bool)
+    return ordered(fails, {m: sum(r[m] for r in found) / n.sum() for m in MEASURES}, n)
 
 
 def cascade(text: Text, order: list[str]) -> str | None:
@@ -232,8 +238,7 @@ def report(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_i
     on the measured order, which ``kept`` does not. The measures are output of their own,
     computed for every row. A null text counts as empty, fails ``enough_words`` and is not
     kept. Very long texts are measured whole. Repeated rows and ids are rows like any
-    other. An empty table gives an empty result. Other columns are not read but for
-    picking the sample.
+    other. An empty table gives an empty result. Other columns are not read.
     """
     order = [s.rule for s in measured(docs, sample_rows, text_col)]
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -12,7 +12,7 @@ number, so repeats of one record, however many, spread over all slots.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kartospark.llm.common import repeated, unused, written
@@ -20,8 +20,6 @@ from kartospark.llm.common import repeated, unused, written
 #: Virtual slots; also the most rows that a version of the map has.
 N_SLOTS = 4096
 
-#: Repeats of a row beyond which ``with_shards`` deals them over the slots.
-HOT_COPIES = 1000
 MAP_SCHEMA = "version int, vslot int, shard int, slot_bytes long"
 
 
@@ -30,11 +28,17 @@ def _key(docs: DataFrame, id_col: str, text_col: str):
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
 
 
+def _slot(key: list[Column], n_slots: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n_slots)).cast("int")
+
+
+def _numbered(counted: DataFrame, n_slots: int) -> DataFrame:
+    return repeated(counted).withColumn("vslot", _slot([F.col(c) for c in ("doc_id", "size", "text_crc32", "copy")], n_slots))
+
+
 def records(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, size, text_crc32, copy, vslot)`` for every row; equal rows are counted before they are shuffled."""
-    counted = _key(docs, id_col, text_col).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    each = repeated(counted)
-    return each.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "copy"), F.lit(n_slots)).cast("int"))
+    return _numbered(_key(docs, id_col, text_col).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), n_slots)
 
 
 def slot_sizes(spark: SparkSession, recs: DataFrame, n_slots: int = N_SLOTS) -> list[int]:
@@ -159,23 +163,28 @@ def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: s
 
 
 def with_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
-    """``docs`` with a column ``shard``, the last; rows are not moved, only the slot map (``n_slots`` rows) is joined to them.
+    """``docs`` with a column ``shard``, the last: that of ``shard``, repeats numbered and dealt out as there.
 
-    Rows that repeat more than ``HOT_COPIES`` times are dealt over the slots by a seeded
-    draw, other repeats share a slot; all else is as in ``shard``. A column ``shard`` of
-    ``docs`` is replaced; other names never clash.
+    The rows are written first, with the partition that they are of: repeats are counted
+    in each partition, and a copy's number is its place there behind those of earlier
+    partitions. So no task holds more of a row's repeats than one partition has, and
+    sizes and places agree. A column ``shard`` of ``docs`` is replaced; other names never
+    clash.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    size, crc, i, n, b, c, slot, v, s = unused(docs, "size", "crc", "i", "n", "b", "c", "slot", "vslot", "shard")
-    keyed = docs.withColumns({size: (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), crc: F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
-    doc_id = F.col(id_col).cast("long")
-    hot = written(keyed.groupBy(doc_id.alias(i), F.col(size).alias(b), F.col(crc).alias(c)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > HOT_COPIES))
-    met = keyed.join(hot, doc_id.eqNullSafe(F.col(i)) & (F.col(size) == F.col(b)) & (F.col(crc) == F.col(c)), "left")
-    copy = F.when(F.col(n).isNull(), F.lit(0)).otherwise(F.floor(F.rand(7) * F.col(n))).cast("long")
-    dealt = met.withColumn(slot, F.pmod(F.xxhash64(doc_id, size, crc, copy), F.lit(n_slots)).cast("int"))
-    sizes = slot_sizes(spark, dealt.select(F.col(slot).alias("vslot"), F.col(size).alias("size")), n_slots)
+    size, crc, i, part, ahead, copy, slot, v, s = unused(docs, "size", "crc", "i", "part", "ahead", "copy", "slot", "vslot", "shard")
+    key = [i, size, crc]
+    rows = written(docs.withColumns({i: F.col(id_col).cast("long"), size: (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), crc: F.crc32(F.coalesce(text, F.lit("")).cast("binary")), part: F.spark_partition_id()}))
+    counts = rows.groupBy(*key, part).agg(F.count(F.lit(1)).alias(ahead))
+    named = [F.col(c).alias(n) for c, n in zip(key, ("doc_id", "size", "text_crc32"), strict=True)]
+    sizes = slot_sizes(spark, _numbered(counts.groupBy(*named).agg(F.sum(ahead).alias("n")), n_slots), n_slots)
     slot_map = balanced(spark, sizes, n_shards, map_path).select(F.col("vslot").alias(v), F.col("shard").alias(s))
-    placed_ = dealt.join(F.broadcast(slot_map), F.col(slot) == F.col(v))
+    earlier = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    k = dict(zip([*key, part], unused(rows, *[f"k{n}" for n in range(4)]), strict=True))
+    before = counts.withColumn(ahead, F.coalesce(F.sum(ahead).over(earlier), F.lit(0))).where(F.col(ahead) > 0).withColumnsRenamed(k)
+    placed_ = rows.withColumn(copy, F.row_number().over(Window.partitionBy(*key, part).orderBy(part)) - 1)
+    met = placed_.join(before, [*(F.col(c).eqNullSafe(F.col(k[c])) for c in [*key, part])], "left")
+    dealt = met.withColumn(slot, _slot([F.col(i), F.col(size), F.col(crc), (F.col(copy) + F.coalesce(ahead, F.lit(0))).cast("long")], n_slots))
     rest = [F.col(f"`{x}`") for x in docs.columns if x.lower() != "shard"]
-    return placed_.select(*rest, F.col(s).alias("shard"))
+    return dealt.join(F.broadcast(slot_map), F.col(slot) == F.col(v)).select(*rest, F.col(s).alias("shard"))

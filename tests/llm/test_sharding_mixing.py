@@ -66,11 +66,17 @@ def test_shard_query_equals_its_law(spark):
     assert all(len(s) == 1 for s in slots.values())
 
 
-def test_repeated_rows_are_dealt_out(spark, documents, monkeypatch):
-    monkeypatch.setattr(sharding, "HOT_COPIES", 50)
-    df = documents([(1, "the same row")] * 2000 + [(2 + i, f"row {i}") for i in range(200)])
-    load = Counter(r.shard for r in sharding.with_shards(df, 4, 256).collect())
-    assert sum(load.values()) == 2200 and max(load.values()) < 1.3 * min(load.values())
+@pytest.mark.parametrize("copies", [2, 1000, 1001])
+def test_repeated_rows_are_dealt_out(spark, documents, copies):
+    """Rows go where ``shard`` puts their records, however often they repeat and however they lie in partitions."""
+    rows = [(1, "the same row")] * copies + [(None, None)] * 7 + [(2 + i, f"row {i}") for i in range(200)]
+    want = Counter((r.doc_id, r.size, r.shard) for r in sharding.shard(documents(rows), 4, 256).collect())
+    for parts in (1, 5):
+        out = sharding.with_shards(documents(rows).repartition(parts), 4, 256).collect()
+        assert Counter((r.doc_id, len((r.text or "").encode()) + 1, r.shard) for r in out) == want
+    if copies > 2:
+        load = Counter(r.shard for r in out)
+        assert max(load.values()) < 1.3 * min(load.values())
 
 
 def test_shard_column(spark, documents):
@@ -145,6 +151,15 @@ def test_mixed_documents_repeat(spark, documents):
     assert Counter((r.doc_id, r.source, len(r.text.split())) for r in out.collect()) == +taken
 
 
+def test_texts_of_one_checksum_are_told_apart(spark, documents):
+    """Two texts of equal crc32 without ids: each comes as often as it is taken, and no other in its place."""
+    pairs = ("plumless", "buckeroo")
+    assert len({zlib.crc32(t.encode()) for t in pairs}) == 1
+    df = documents([(None, t, None, "a", 0) for t in pairs] + [(i, "one two", None, "b", 0) for i in range(20)])
+    out = Counter(r.text for r in mixing.mixed(df, (1, 1)).where("source = 'a'").collect())
+    assert set(out) == set(pairs)
+
+
 def test_empty_tables(spark, documents):
     assert sharding.shard(documents([])).collect() == []
     assert sharding.with_shards(documents([])).collect() == []

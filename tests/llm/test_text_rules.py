@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kartospark.llm import decontaminate, line_dedup, quality_rules, secrets
 from llm_cases import EDGE
@@ -87,6 +88,26 @@ def test_rules_look_at_their_measures_only():
         assert set(vars(text)) == known, name
 
 
+def test_sample_is_bounded_however_rows_repeat(spark, documents):
+    """Copies of one row are drawn one by one, and only sums of them are returned."""
+    rows = documents([(i, f"text {i} of a few words") for i in range(500)], extra=False).union(documents([(7, "the same row again")], extra=False).crossJoin(spark.range(20_000)).drop("id"))
+    seen = []
+    original = quality_rules.ordered
+
+    def ordered(fails, seconds, n):
+        seen.append((len(fails), int(n.sum())))
+        return original(fails, seconds, n)
+
+    quality_rules.ordered = ordered
+    try:
+        steps = quality_rules.measured(rows.withColumn("a map", F.create_map(F.lit("k"), "doc_id")), 1000)
+    finally:
+        quality_rules.ordered = original
+    ((patterns, n),) = seen
+    assert patterns <= 5 and 800 < n < 1200
+    assert sorted(s.rule for s in steps) == sorted(quality_rules.RULES)
+
+
 def test_order_is_measured_on_a_sample(spark, documents):
     rows = [(i, "LOUD " * 20 if i % 2 else "plain words that say a thing and then another thing, ten or more") for i in range(400)]
     steps = quality_rules.measured(documents(rows), 100)
