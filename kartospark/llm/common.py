@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kartospark.operators.graph import connected_components
 from kartospark.sources.shared import checkpointed, written
 
-__all__ = ["SLICE_BYTES", "WORD", "as_bytes", "checkpointed", "connected_components", "crc32_mod", "repeated", "run_starts", "slices", "table", "unused", "written"]
+__all__ = ["SLICE_BYTES", "WORD", "as_bytes", "checkpointed", "connected_components", "crc32_mod", "plain_names", "repeated", "run_starts", "slices", "table", "unused", "written"]
 
 #: Words of every operator but benchmark decontamination: runs of anything but these six blanks,
 #: which are also the bytes that ``bytes.split()`` splits on.
@@ -36,6 +36,13 @@ def unused(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def plain_names(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns numbered, and the new names of ``cols``: names with dots or quotes in them need no care then."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    new = {c.lower(): n for c, n in zip(df.columns, names, strict=True)}
+    return df.toDF(*names), [new[c.lower()] for c in cols]
+
+
 def repeated(counted: DataFrame, n: str = "n", copy: str = "copy", chunk: int = 10_000) -> DataFrame:
     """``n`` rows for each row, numbered from 0 in ``copy``; made in chunks, so a huge ``n`` never is one array."""
     (low,) = unused(counted, "low")

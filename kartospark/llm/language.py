@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from kartospark.llm.common import slices, unused
+from kartospark.llm.common import plain_names, slices, unused
 
 N_BUCKETS = 1 << 16
 #: Lengths of n-grams, in bytes, word boundaries included.
@@ -301,6 +301,7 @@ _TYPES = (StringType(), DoubleType(), ArrayType(StructType([StructField("lang",
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which a language was found that has a fair share of the words and fits them, with the columns of ``docs``."""
-    pred, score, _, fit = names = unused(docs, *ADDED)
-    found = identify(docs, model, text_col=text_col, spans=False, names=names)
-    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SHARE) & (F.col(fit) >= LEAST_FIT)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, (text,) = plain_names(docs, text_col)
+    pred, score, _, fit = names = unused(rows, *ADDED)
+    found = identify(rows, model, text_col=text, spans=False, names=names)
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SHARE) & (F.col(fit) >= LEAST_FIT)).select(*rows.columns).toDF(*docs.columns)

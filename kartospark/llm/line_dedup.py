@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import as_bytes, run_starts, slices, unused, written
+from kartospark.llm.common import as_bytes, plain_names, run_starts, slices, written
 from kartospark.sources.shared import discard, forget
 
 THRESHOLD = 0.8
@@ -515,12 +515,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of repeated rows all get the text that is left of the first.
     """
-    i, k, keep = unused(docs, "id", "key", "keep")
-    found = by_document(docs, block, id_col, text_col).where("n_removed > 0")
-    best = found.groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(k)).agg(F.max_by("kept", F.size("kept")).alias(keep))
+    rows, (id_col, text_col) = plain_names(docs, id_col, text_col)
+    found = by_document(rows, block, id_col, text_col).where("n_removed > 0")
+    best = found.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.max_by("kept", F.size("kept")).alias("keep"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(best, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(k)), "left")
+    joined = rows.join(best, F.col(id_col).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("key")), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     blank = F.lit(r"^[\x20\x09-\x0D]*$")
-    kept = F.array_join(F.filter(lines, lambda x, n: F.array_contains(keep, n) | F.regexp_like(x, blank)), "\n")
-    return joined.withColumn(text_col, F.when(F.col(keep).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(lines, lambda x, n: F.array_contains("keep", n) | F.regexp_like(x, blank)), "\n")
+    return joined.withColumn(text_col, F.when(F.col("keep").isNull(), F.col(text_col)).otherwise(kept)).select(*rows.columns).toDF(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import as_bytes, slices, unused
+from kartospark.llm.common import as_bytes, plain_names, slices
 
 #: Rows, on average, on which costs and rejection rates are measured.
 SAMPLE_ROWS = 2000
@@ -255,6 +255,6 @@ def _keep_batches(batches: Iterator[pa.RecordBatch], order: list[str], text: str
 
 def kept(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass every rule, with the columns of ``docs``, whatever their names; all rules run as a cascade."""
-    order = [s.rule for s in measured(docs, sample_rows, text_col)]
-    (text,) = unused(docs, "text")
-    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(partial(_keep_batches, order=order, text=text), docs.schema)
+    rows, (col,) = plain_names(docs, text_col)
+    order = [s.rule for s in measured(rows, sample_rows, col)]
+    return rows.withColumn("text", F.col(col).cast("string")).mapInArrow(partial(_keep_batches, order=order, text="text"), rows.schema).toDF(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kartospark.llm.common import repeated, unused, written
+from kartospark.llm.common import plain_names, repeated, written
 
 #: Virtual slots; also the most rows that a version of the map has.
 N_SLOTS = 4096
@@ -172,19 +172,19 @@ def with_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_
     clash.
     """
     spark = docs.sparkSession
+    plain, (id_col, text_col) = plain_names(docs, id_col, text_col)
     text = F.col(text_col).cast("string")
-    size, crc, i, part, ahead, copy, slot, v, s = unused(docs, "size", "crc", "i", "part", "ahead", "copy", "slot", "vslot", "shard")
-    key = [i, size, crc]
-    rows = written(docs.withColumns({i: F.col(id_col).cast("long"), size: (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), crc: F.crc32(F.coalesce(text, F.lit("")).cast("binary")), part: F.spark_partition_id()}))
-    counts = rows.groupBy(*key, part).agg(F.count(F.lit(1)).alias(ahead))
+    key = ["i", "size", "crc"]
+    rows = written(plain.withColumns({"i": F.col(id_col).cast("long"), "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), "part": F.spark_partition_id()}))
+    counts = rows.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("ahead"))
     named = [F.col(c).alias(n) for c, n in zip(key, ("doc_id", "size", "text_crc32"), strict=True)]
-    sizes = slot_sizes(spark, _numbered(counts.groupBy(*named).agg(F.sum(ahead).alias("n")), n_slots), n_slots)
-    slot_map = balanced(spark, sizes, n_shards, map_path).select(F.col("vslot").alias(v), F.col("shard").alias(s))
-    earlier = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    k = dict(zip([*key, part], unused(rows, *[f"k{n}" for n in range(4)]), strict=True))
-    before = counts.withColumn(ahead, F.coalesce(F.sum(ahead).over(earlier), F.lit(0))).where(F.col(ahead) > 0).withColumnsRenamed(k)
-    placed_ = rows.withColumn(copy, F.row_number().over(Window.partitionBy(*key, part).orderBy(part)) - 1)
-    met = placed_.join(before, [*(F.col(c).eqNullSafe(F.col(k[c])) for c in [*key, part])], "left")
-    dealt = met.withColumn(slot, _slot([F.col(i), F.col(size), F.col(crc), (F.col(copy) + F.coalesce(ahead, F.lit(0))).cast("long")], n_slots))
-    rest = [F.col(f"`{x}`") for x in docs.columns if x.lower() != "shard"]
-    return dealt.join(F.broadcast(slot_map), F.col(slot) == F.col(v)).select(*rest, F.col(s).alias("shard"))
+    sizes = slot_sizes(spark, _numbered(counts.groupBy(*named).agg(F.sum("ahead").alias("n")), n_slots), n_slots)
+    slot_map = balanced(spark, sizes, n_shards, map_path).select(F.col("vslot").alias("v"), F.col("shard").alias("s"))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    k = {c: f"k_{c}" for c in [*key, "part"]}
+    before = counts.withColumn("ahead", F.coalesce(F.sum("ahead").over(earlier), F.lit(0))).where(F.col("ahead") > 0).withColumnsRenamed(k)
+    placed_ = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key, "part").orderBy("part")) - 1)
+    met = placed_.join(before, [*(F.col(c).eqNullSafe(F.col(k[c])) for c in [*key, "part"])], "left")
+    dealt = met.withColumn("slot", _slot([F.col("i"), F.col("size"), F.col("crc"), (F.col("copy") + F.coalesce("ahead", F.lit(0))).cast("long")], n_slots))
+    rest = {n: c for n, c in zip(plain.columns, docs.columns, strict=True) if c.lower() != "shard"}
+    return dealt.join(F.broadcast(slot_map), F.col("slot") == F.col("v")).select(*rest, "s").toDF(*rest.values(), "shard")

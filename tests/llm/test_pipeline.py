@@ -36,11 +36,15 @@ def test_decisions_take_effect(spark, stages):
     assert stages["shards"][1].select("shard").distinct().count() == 16
 
 
-CLASHES = ("lang_pred", "lang_score", "lang_spans", "lang_pred_0", "id", "id_0", "key", "key_0", "mine_0", "text_0", "TEXT_1", "root", "class", "__id", "__key", "__k", "__text", "__n", "n_0", "rows_0", "copy_0", "s_0", "vslot", "slot_0", "size_0")
+CLASHES = ("lang_pred", "lang_score", "lang_spans", "lang_pred_0", "id", "id_0", "key", "key_0", "mine_0", "text_0", "TEXT_1", "root", "class", "__id", "__key", "__k", "__text", "__n", "n_0", "rows_0", "copy_0", "s_0", "vslot", "slot_0", "size_0", "a.b", "c`d")
+
+
+def quoted(name):
+    return "`" + name.replace("`", "``") + "`"
 
 
 def clashing(df):
-    return df.selectExpr("*", *(f"concat('mine ', coalesce(cast(doc_id as string), 'x')) as `{n}`" for n in CLASHES if n.lower() not in [c.lower() for c in df.columns]))
+    return df.selectExpr("*", *(f"concat('mine ', coalesce(cast(doc_id as string), 'x')) as `{n.replace(chr(96), chr(96) * 2)}`" for n in CLASHES if n.lower() not in [c.lower() for c in df.columns]))
 
 
 def test_edge_rows_pass_every_stage(spark, documents):
@@ -53,7 +57,7 @@ def test_edge_rows_pass_every_stage(spark, documents):
         before, docs = docs, written(stage(spark, docs, SMALL))
         kept = columns if name != "shards" else [c for c in columns if c != "shard"]
         assert docs.columns == kept + ["shard"] * (name == "shards"), name
-        old, new = (Counter(map(repr, df.select([f"`{c}`" for c in kept]).collect())) for df in (before, docs))
+        old, new = (Counter(map(repr, df.select([quoted(c) for c in kept]).collect())) for df in (before, docs))
         assert set(new) <= set(old), name
         if name in ("language_id", "decontamination"):
             assert all(new[r] == old[r] for r in new), name

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -93,3 +94,17 @@ def test_isolated_pairs_are_found(spark, documents):
     got, want = groups_of(spark, documents, texts)
     assert len(set(want)) < 70
     assert got == want
+
+
+def test_long_chain_of_excerpts(spark, documents):
+    """20 000 excerpts of one text, each like the next at 0.82 and like the one after at 0.68, are one group; a gap of three steps splits it."""
+    rng = random.Random(9)
+    n, step, length = 20_000, 10, 104
+    text = words(rng, n * step + length)
+    starts = [k * step + (30 if k >= n // 2 else 0) for k in range(n)]
+    rows = [(i, " ".join(text[a : a + length])) for i, a in enumerate(starts) if a + length <= len(text)]
+    began = time.monotonic()
+    roots = [r.root for r in shingle_sets.similar_groups(documents(rows, extra=False)).orderBy("doc_id").collect()]
+    assert time.monotonic() - began < 240
+    half = n // 2
+    assert len(set(roots[:half])) == 1 and len(set(roots[half:])) == 1 and roots[0] != roots[-1]

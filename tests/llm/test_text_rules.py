@@ -302,3 +302,11 @@ def test_repeated_and_long_rows(spark, documents):
     out = line_dedup.without_repeats(df)
     assert out.columns == df.columns and out.count() == df.count()
     assert line_dedup.marked_lines(documents([])).collect() == []
+
+
+def test_any_column_names(spark, documents):
+    rows = documents([(1, "a line of some words\na line of some words\nanother"), (2, None)]).selectExpr("*", "1 as `a.b`", "2 as `c``d`", "map('k', 1) as m")
+    for out in (quality_rules.kept(rows), line_dedup.without_repeats(rows)):
+        assert out.columns == rows.columns
+        out.collect()
+    assert line_dedup.without_repeats(rows).where("doc_id = 1").first().text == "a line of some words\nanother"
