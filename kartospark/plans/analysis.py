@@ -59,12 +59,20 @@ def cost_grid(planes: DataFrame, px_per_mm: float, edits: DataFrame | None = Non
     return written(terrain.cost_cells(planes, terrain.cell_size(px_per_mm, cfg), cfg))
 
 
+def strength(order: DataFrame, support: DataFrame, out: str = "strength") -> DataFrame:
+    """``(map_id, strength)``: mean line support of the steps of ``(map_id, order)``; a step without a line counts as 0, a course without steps has no row."""
+    w = Window.partitionBy("map_id").orderBy("pos")
+    i, j = F.col("node"), F.lead("node").over(w)
+    steps = order.where("order is not null").select("map_id", F.posexplode("order").alias("pos", "node")).select("map_id", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), j.alias("next")).where("next is not null")
+    return steps.join(support, ["map_id", "i", "j"], "left").groupBy("map_id").agg(F.round(F.avg(F.coalesce("support", F.lit(0.0))), 9).alias(out))
+
+
 def course_order(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """Controls in course order ``(map_id, id, order, kind, x, y, r)``: by printed numbers or by lines.
 
     ``nodes`` is ``(map_id, node, kind, x, y, r)``; ``labels`` ``(map_id, node, orders)``;
-    ``r0`` ``(map_id, r0)``. Where both tell a whole course and differ, that with the
-    stronger lines is taken, the numbers' if they are equal.
+    ``r0`` ``(map_id, r0)``. Where both tell a whole course and differ, that whose lines
+    are stronger in the mean is taken, the numbers' if they are equal.
     """
     cfg = cfg or Settings()
     sized = nodes.join(r0.select("map_id", "r0"), "map_id")
@@ -74,14 +82,7 @@ def course_order(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: DataF
     by_lines = course.ordered_by_lines(nodes, support, cfg.leg_support_min_ratio)
     by_labels = course.ordered_by_labels(nodes, labels, support).withColumnRenamed("order", "told")
     both = written(by_lines.join(by_labels, "map_id", "left"))
-    w = Window.partitionBy("map_id").orderBy("pos")
-    i, j = F.col("node"), F.lead("node").over(w)
-
-    def strength(order: str, out: str) -> DataFrame:
-        steps = both.where(f"{order} is not null").select("map_id", F.posexplode(order).alias("pos", "node")).select("map_id", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), j.alias("next")).where("next is not null")
-        return steps.join(support, ["map_id", "i", "j"], "left").groupBy("map_id").agg(F.round(F.coalesce(F.sum("support"), F.lit(0.0)), 9).alias(out))
-
-    strong = both.join(strength("order", "__l"), "map_id", "left").join(strength("told", "__n"), "map_id", "left")
+    strong = both.join(strength(both.select("map_id", "order"), support, "__l"), "map_id", "left").join(strength(both.select("map_id", F.col("told").alias("order")), support, "__n"), "map_id", "left")
     lines_win = F.col("complete") & (F.coalesce("__l", F.lit(0.0)) > F.coalesce("__n", F.lit(0.0)))
     chosen = strong.select("map_id", F.when(F.col("told").isNull() | lines_win, F.col("order")).otherwise(F.col("told")).alias("order"))
     return course.visits(sized.drop("r0"), chosen)

@@ -744,13 +744,13 @@ def _course(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, a.join(b, "map_id").where("i < j").withColumn("support", strength)
 
 
-@query(f"""with recursive {_LINES}, h as (select unnest([1.0::double, 0.75, 0.5]) share), k as (select map_id, count(*) k, max(node) filter (where kind = 'finish') f, max(node) filter (where kind = 'start') st from n group by map_id),
-    t as (select k.map_id, share, [st] path, 0.0::double w from k, h where st is not null
-      union all select t.map_id, share, list_append(path, e.j), w + e.support from t join e on e.map_id = t.map_id and e.i = path[-1] and e.support >= 0.6::double * share and not list_contains(path, e.j) join k on k.map_id = t.map_id where e.j is distinct from k.f or len(path) = k.k - 1),
-    whole as (select t.map_id, arg_max(path, share * 1000 + w) path from t join k on k.map_id = t.map_id where len(path) = k.k and (f is null or path[-1] = f) group by t.map_id)
+@query(f"""with recursive {_LINES}, rk as (select *, row_number() over (partition by map_id, i order by support desc, j) rank from e), h as (select unnest([1.0::double, 0.75, 0.5]) share), k as (select map_id, count(*) k, max(node) filter (where kind = 'finish') f, max(node) filter (where kind = 'start') st from n group by map_id),
+    t as (select k.map_id, share, [st] path, []::bigint[] ranks from k, h where st is not null
+      union all select t.map_id, share, list_append(path, e.j), list_append(ranks, e.rank) from t join rk e on e.map_id = t.map_id and e.i = path[-1] and e.support >= 0.6::double * share and not list_contains(path, e.j) join k on k.map_id = t.map_id where e.j is distinct from k.f or len(path) = k.k - 1),
+    whole as (select t.map_id, arg_min(path, {{'weak': -share, 'ranks': ranks}}) path from t join k on k.map_id = t.map_id where len(path) = k.k and (f is null or path[-1] = f) group by t.map_id)
     select map_id, array_to_string(path, ',') path from whole""")
 def courses_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete courses along supported lines."""
+    """Complete courses along supported lines, of several the first by falling strength of its lines."""
     nodes, support = _course(spark, sf_dir)
     found = course.ordered_by_lines(nodes, support).where("complete")
     return found.select("map_id", F.array_join(F.col("order").cast("array<string>"), ",").alias("path"))
