@@ -122,11 +122,38 @@ def majority_fill(df: DataFrame, label: str, unknown: int, passes: int = 3, refl
     return df
 
 
-def window_mean(df: DataFrame, value: str, valid: str, half: int, out: str) -> DataFrame:
-    """Mean of ``value`` over the pixels of the square window where ``valid`` holds; null without any."""
+def mirrored(pixels: DataFrame, size: DataFrame, half: int) -> DataFrame:
+    """``pixels`` and those up to ``half`` beyond the border that mirror them, without the border itself; ``py, px`` are where each was.
+
+    ``size`` is ``(map_id, ey, ex)``, the last row and column. A plane of fewer pixels is mirrored once.
+    """
+
+    def also(c: str, end: str) -> Column:
+        here, last = F.col(c), F.col(end)
+        return F.explode(F.filter(F.array(here, F.when((here > 0) & (here <= half), -here), F.when((here < last) & (here >= last - half), 2 * last - here)), lambda v: v.isNotNull()))
+
+    at = pixels.withColumnsRenamed({"y": "py", "x": "px"}).join(F.broadcast(size), "map_id")
+    return at.withColumn("y", also("py", "ey")).withColumn("x", also("px", "ex")).drop("ey", "ex")
+
+
+def extent(plane: DataFrame) -> DataFrame:
+    """``(map_id, ey, ex)``: last row and column of each map."""
+    return plane.groupBy("map_id").agg(F.max("y").alias("ey"), F.max("x").alias("ex"))
+
+
+def window_mean(df: DataFrame, value: str, valid: str, half: int, out: str, count: str | None = None, size: DataFrame | None = None) -> DataFrame:
+    """Mean of ``value`` over the pixels of the square window where ``valid`` holds; null without any. ``count`` names a column for their number.
+
+    Pixels beyond the border are no pixels, or with ``size`` mirror those inside.
+    """
     counted = df.withColumns({"__v": F.when(F.col(valid), F.col(value)).otherwise(F.lit(0)), "__k": F.col(valid).cast("int")})
+    if size is not None:
+        counted = mirrored(counted, size, half)
     counted = box(box(counted, "__v", half, "__sum"), "__k", half, "__n")
-    return counted.withColumn(out, F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n"))).drop("__v", "__k", "__sum", "__n")
+    if size is not None:
+        counted = counted.where((F.col("y") == F.col("py")) & (F.col("x") == F.col("px"))).drop("py", "px")
+    counted = counted.withColumn(out, F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n")))
+    return (counted if count is None else counted.withColumn(count, F.col("__n"))).drop("__v", "__k", "__sum", "__n")
 
 
 def bilateral(df: DataFrame, space: float = 5.0, color: float = 25.0) -> DataFrame:

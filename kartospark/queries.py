@@ -553,8 +553,9 @@ def finish_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skeleton_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = stencil.opened(raster(spark, sf_dir).withColumn("on", ~F.col("m3")), "on", 1, "__o").select("map_id", "y", "x", F.col("__o").alias("on"))
     plane = written(stencil.dilate(plane, "on", 1, "wide"))
-    segments = written(lines.stroke_segments(lines.skeleton(plane, "wide")))
-    return lines.segment_widths(plane, "wide", segments).select("map_id", F.col("seg.y").alias("sy"), F.col("seg.x").alias("sx"), "area", "length", "width")
+    thin = lines.skeleton(plane, "wide")
+    segments = written(lines.stroke_segments(thin))
+    return lines.segment_widths(lines.owners(thin, "wide", "skel", segments), segments).select("map_id", F.col("seg.y").alias("sy"), F.col("seg.x").alias("sx"), "area", "length", "width")
 
 
 @query()
@@ -635,6 +636,39 @@ def local_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencil.window_mean(raster(spark, sf_dir), "v", "m3", 2, "mean").select("map_id", "y", "x", F.round("mean", 6).alias("mean"))
 
 
+_AXES = f"""{_RASTER}, z as (select map_id, max(y) ey, max(x) ex from m group by map_id), k as (select map_id, y, x from m where v % 16 = 0),
+    win as (select k.map_id, k.y, k.x, abs(case when k.y + dy > ey then 2 * ey - k.y - dy else k.y + dy end) qy, abs(case when k.x + dx > ex then 2 * ex - k.x - dx else k.x + dx end) qx from k join z using (map_id), (select unnest(range(-3, 4)) dy), (select unnest(range(-3, 4)) dx)),
+    mo as (select w.map_id, w.y, w.x, count(*) n, sum(qx - w.x) sx, sum(qy - w.y) sy, sum((qx - w.x) * (qx - w.x)) xx, sum((qy - w.y) * (qy - w.y)) yy, sum((qx - w.x) * (qy - w.y)) xy from win w join k on k.map_id = w.map_id and k.y = qy and k.x = qx group by 1, 2, 3),
+    ax as (select map_id, y, x, 0.5::double * atan2((2 * (n * xy - sx * sy))::double, ((n * xx - sx * sx) - (n * yy - sy * sy))::double) t from mo)"""
+
+
+@query(f"""{_AXES},
+    li as (select map_id, y, x, (((v % 100) + 100) % 100)::double l from m),
+    sp as (select map_id, y, x, i, least(greatest(y + cos(t) * (i * 0.25::double - 4), 0), ey) sy, least(greatest(x - sin(t) * (i * 0.25::double - 4), 0), ex) sx, ey, ex from ax join z using (map_id), (select unnest(range(0, 33)) i)),
+    co as (select map_id, y, x, i, floor(sy + 0.0::double)::int y0, floor(sx + 0.0::double)::int x0, least(floor(sy)::int + 1, ey) y1, least(floor(sx)::int + 1, ex) x1, sy - floor(sy) fy, sx - floor(sx) fx from sp),
+    va as (select co.map_id, co.y, co.x, i, round(a.l * (1 - fy) * (1 - fx) + b.l * (1 - fy) * fx + c.l * fy * (1 - fx) + d.l * fy * fx, 6) p from co
+           join li a on a.map_id = co.map_id and a.y = y0 and a.x = x0 join li b on b.map_id = co.map_id and b.y = y0 and b.x = x1
+           join li c on c.map_id = co.map_id and c.y = y1 and c.x = x0 join li d on d.map_id = co.map_id and d.y = y1 and d.x = x1),
+    gr as (select map_id, y, x, min(p) filter (where i between 14 and 18) line, greatest(max(p) filter (where i < 4), max(p) filter (where i > 28)) ground from va group by 1, 2, 3),
+    br as (select map_id, y, x, line, ground, coalesce(max(i) filter (where i <= 16 and p > round((line + ground) / 2, 6)), -1) l, coalesce(min(i) filter (where i >= 16 and p > round((line + ground) / 2, 6)), 33) r from va join gr using (map_id, y, x) group by 1, 2, 3, 4, 5)
+    select map_id, y, x, case when l < 16 and ground - line > 10 then (r - l - 1) * 0.25::double else 0 end width from br""")
+def stroke_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths at half depth across the local axis of a thin mask's pixels, on a plane of values as lightness."""
+    plane = written(raster(spark, sf_dir).select("map_id", "y", "x", "v", F.pmod("v", F.lit(100)).cast("double").alias("l")))
+    return lines.profile_widths(plane.where("v % 16 = 0"), plane)
+
+
+@query(f"""{_RASTER}, z as (select map_id, max(y) ey, max(x) ex from m group by map_id), o as (select unnest(range(-5, 6)) d),
+    g as (select m.map_id, m.y, m.x, abs(case when m.y + a.d > ey then 2 * ey - m.y - a.d else m.y + a.d end) qy, abs(case when m.x + b.d > ex then 2 * ex - m.x - b.d else m.x + b.d end) qx from m join z using (map_id), o a, o b where m.m4)
+    select g.map_id, g.y, g.x, round(avg((m.v % 9 + 9) % 9), 6) mean, count(*) n from g join m on m.map_id = g.map_id and m.y = qy and m.x = qx where m.m3 and m.v % 9 <> 0 group by 1, 2, 3
+    having round(avg((m.v % 9 + 9) % 9), 6) >= 4.5::double and count(*) >= 4""")
+def mirrored_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of measured pixels around each pixel of a mask, the border mirrored, where they are large and enough."""
+    plane = raster(spark, sf_dir).withColumns({"width": F.pmod("v", F.lit(9)), "ok": F.col("m3") & (F.col("v") % 9 != 0)})
+    found = stencil.window_mean(plane, "width", "ok", 5, "mean", "n", stencil.extent(plane)).where("m4").withColumn("mean", F.round("mean", 6))
+    return found.where("mean >= 4.5 and n >= 4").select("map_id", "y", "x", "mean", "n")
+
+
 _PARTS = f"""pt as ({_POINTS}), part as (select map_id, pid part, (pid % 5)::bigint area, px::int x0, py::int y0, (px + pr)::int x1, (py + 1 + pid % 7)::int y1, (1 + pid % 7)::int h from pt)"""
 
 

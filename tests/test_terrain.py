@@ -97,6 +97,50 @@ def test_paper_outside_the_map(spark):
     assert out[5, 5] and out[60, 80] and not out[28:42, 30:60].any()
 
 
+@pytest.mark.parametrize("angle", [0, 30, 45, 90])
+@pytest.mark.parametrize("width", [2.0, 4.0])
+def test_profile_widths_of_drawn_bars(spark, angle, width):
+    """A soft-edged bar at any angle measures its width within half a pixel."""
+    yy, xx = np.mgrid[:60, :60]
+    turn = np.deg2rad(angle)
+    across = (yy - 30) * np.cos(turn) - (xx - 30) * np.sin(turn)
+    light = 90 - 80 * np.clip(width / 2 + 0.5 - np.abs(across), 0, 1)
+    t = np.arange(-22, 22.1, 0.5)
+    spots = sorted({(round(30 + k * np.sin(turn)), round(30 + k * np.cos(turn))) for k in t})
+    skel = spark.createDataFrame([("m", int(y), int(x)) for y, x in spots], "map_id string, y int, x int")
+    plane_ = spark.createDataFrame([("m", y, x, float(light[y, x])) for y in range(60) for x in range(60)], "map_id string, y int, x int, l double")
+    got = [r.width for r in lines.profile_widths(skel, plane_).collect()]
+    assert len(got) == len(spots) and abs(np.median(got) - width) <= 0.5
+
+
+def test_blurred_wall_is_a_barrier_by_its_profile(spark):
+    """A wall whose soft edges are not black is too thin by area; its lightness tells."""
+    labels = np.full((40, 60), WHITE)
+    labels[20, 5:55] = BLACK
+    labels[32, 5:55] = BLACK
+    light = np.full((40, 60), 90.0)
+    light[18:23, 5:55] = 40
+    light[20, 5:55] = 10
+    light[32, 5:55] = 10
+    base = plane(spark, labels, building=np.zeros(labels.shape, bool))
+    soft = spark.createDataFrame([("m", y, x, float(light[y, x])) for y in range(40) for x in range(60)], "map_id string, y int, x int, l double")
+    assert not grid(lines.barriers(base, 6.0), "barrier", labels.shape).any()
+    got = grid(lines.barriers(base, 6.0, light=soft), "barrier", labels.shape).astype(bool)
+    assert got[20, 8:52].all() and not got[32].any()
+
+
+def test_junction_pixels_go_to_the_nearest_segment(spark):
+    """Pixels nearest to a junction belong to a segment all the same; areas add up to the mask."""
+    on = np.zeros((31, 31), bool)
+    on[13:18, 3:28] = True
+    on[3:28, 13:18] = True
+    thin = lines.skeleton(plane(spark, on.astype(int), on=on), "on")
+    segments = lines.stroke_segments(thin)
+    owner = lines.owners(thin, "on", "skel", segments)
+    assert owner.where("seg is null").count() == 0 and owner.count() == on.sum()
+    assert sum(r.area for r in lines.segment_widths(owner, segments).collect()) == on.sum()
+
+
 def test_skeleton_of_a_bar(spark):
     on = np.zeros((15, 40), bool)
     on[5:10, 4:36] = True
