@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kartospark.operators.graph import component_stats, fill_holes, mask_components
 from kartospark.operators.nearest import fill_from_nearest
-from kartospark.operators.stencil import density, dilate, dilate_by, ellipse, erode, erode_by, opened_by
+from kartospark.operators.stencil import beside, density, dilate, dilate_by, ellipse, erode, erode_by, opened_by
 from kartospark.settings import BLUE, GREEN, PURPLE, WHITE, Settings
 from kartospark.sources.shared import written
 
@@ -26,8 +28,8 @@ def _sided(stats: DataFrame, least: float) -> DataFrame:
     return stats.where((F.col("x1") - F.col("x0") + 1 >= least) & (F.col("y1") - F.col("y0") + 1 >= least))
 
 
-def hatched(plane: DataFrame, px_per_mm: float, cfg: Settings | None = None) -> DataFrame:
-    """Adds ``hatch`` to ``plane`` (``purple``): dense overprint regions that enclose many small gaps.
+def hatched_by_density(plane: DataFrame, px_per_mm: float, cfg: Settings | None = None) -> DataFrame:
+    """``(map_id, y, x)`` of dense overprint regions that enclose many small gaps.
 
     A region is an opened area of high overprint density, large enough on both sides; its
     gaps are counted if small and nowhere on the region's rim.
@@ -44,8 +46,81 @@ def hatched(plane: DataFrame, px_per_mm: float, cfg: Settings | None = None) ->
     gaps = mask_components(open_px.select("map_id", "y", "x"), diagonal=False).join(open_px, ["map_id", "y", "x"])
     sized = gaps.groupBy("map_id", "region", "comp").agg(F.count(F.lit(1)).alias("area"), F.bool_and("__inner").alias("inner"))
     many = sized.where(F.col("inner") & (F.col("area") <= (cfg.hatch_hole_max_mm * px_per_mm) ** 2)).groupBy("map_id", "region").count().where(F.col("count") >= cfg.hatch_min_holes)
-    there = region.join(many.select("map_id", "region"), ["map_id", "region"], "left_semi").select("map_id", "y", "x", F.lit(True).alias("__h"))
-    return plane.join(there, ["map_id", "y", "x"], "left").withColumn("hatch", F.col("__h").isNotNull()).drop("__h")
+    return region.join(many.select("map_id", "region"), ["map_id", "region"], "left_semi").select("map_id", "y", "x")
+
+
+class Enclosed(NamedTuple):
+    """Large components of a mask, each a map of its own (``map_id`` is ``(map_id, comp)``), and what they enclose.
+
+    ``own``: their pixels ``(map_id, y, x)``; ``pixels``: pixels of their holes, with the
+    hole's ``comp``; ``holes``: ``(map_id, comp, size)``.
+    """
+
+    own: DataFrame
+    pixels: DataFrame
+    holes: DataFrame
+
+
+def enclosed(mask: DataFrame, least: float) -> Enclosed:
+    """Holes of each component of ``mask`` (``map_id, y, x``) that is ``least`` pixels wide and high, whatever else lies in them.
+
+    A component is looked at in its box, a pixel wider: what is not of it falls into
+    4-connected parts, and all but the part around it are holes. A hole's size is the area
+    within the line through the pixels around it: by Pick's theorem its pixels, and half
+    of those around, less one.
+    """
+    comp = written(mask_components(mask))
+    box = _sided(component_stats(comp), least)
+    region = F.struct("map_id", "comp").alias("map_id")
+    own = written(comp.join(box.select("map_id", "comp"), ["map_id", "comp"], "left_semi").select(region, "y", "x"))
+    frame = box.select(region, "x0", "x1", F.explode(F.sequence(F.col("y0") - 1, F.col("y1") + 1)).alias("y")).select("map_id", "y", F.explode(F.sequence(F.col("x0") - 1, F.col("x1") + 1)).alias("x"))
+    off = mask_components(frame.join(own, ["map_id", "y", "x"], "left_anti"), diagonal=False)
+    # A component's name is its first pixel; the part around has the row above it.
+    pixels = written(off.where(F.col("comp.y") >= F.col("map_id.comp.y")))
+    rim = beside(pixels).join(pixels.select("map_id", F.col("y").alias("oy"), F.col("x").alias("ox"), "comp"), ["map_id", "oy", "ox"]).join(own, ["map_id", "y", "x"], "left_semi")
+    around = rim.groupBy("map_id", "comp").agg(F.count_distinct("y", "x").alias("around"))
+    holes = pixels.groupBy("map_id", "comp").agg(F.count(F.lit(1)).alias("n")).join(around, ["map_id", "comp"])
+    return Enclosed(own, pixels, holes.select("map_id", "comp", (F.col("n") + F.col("around") / 2 - 1).alias("size")))
+
+
+def _opened_each(filled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Opening of each map's pixels by an ellipse of its own size ``(map_id, k)``.
+
+    Only clear pixels beside set ones take part in the erosion, and of what is left only
+    pixels beside cleared ones in the dilation, as an ellipse has no gaps.
+    """
+    spark = filled.sparkSession
+    elements = [(k, dy, dx) for (k,) in sizes.select("k").distinct().collect() for dy, dx in ellipse(k)]
+    element = F.broadcast(sizes.join(spark.createDataFrame(elements, "k int, dy int, dx int"), "k").drop("k"))
+    clear = beside(filled).select("map_id", "y", "x").distinct().join(filled, ["map_id", "y", "x"], "left_anti")
+    gone = clear.join(element, "map_id").select("map_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"))
+    left = written(filled.join(gone, ["map_id", "y", "x"], "left_anti"))
+    edge = beside(left).join(left, ["map_id", "y", "x"], "left_anti").select("map_id", F.col("oy").alias("y"), F.col("ox").alias("x")).distinct()
+    grown = edge.join(element, "map_id").select("map_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    return left.union(grown).distinct()
+
+
+def hatched_by_components(plane: DataFrame, px_per_mm: float, cfg: Settings | None = None) -> DataFrame:
+    """``(map_id, y, x)`` of overprint components that enclose many holes of a hatch cell's size, filled, without the lines that touch them.
+
+    Cells are filled, other holes, such as a circle on a line, are not; an opening as wide
+    as the median cell, at least, leaves the solid block.
+    """
+    cfg = cfg or Settings()
+    found = enclosed(plane.where("purple").select("map_id", "y", "x"), cfg.hatch_min_size_mm * px_per_mm)
+    cells = written(found.holes.where(F.col("size").between((cfg.hatch_hole_min_mm * px_per_mm) ** 2, (cfg.hatch_hole_max_mm * px_per_mm) ** 2)))
+    k = F.greatest(F.lit(max(3, _odd(cfg.hatch_open_mm * px_per_mm))), F.rint(2 * F.sqrt(F.percentile("size", F.lit(0.5)))).cast("int"))
+    many = written(cells.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), k.alias("k")).where(F.col("n") >= cfg.hatch_min_holes).select("map_id", "k"))
+    fill = found.pixels.join(cells.select("map_id", "comp"), ["map_id", "comp"], "left_semi").select("map_id", "y", "x")
+    filled = written(found.own.union(fill).join(many.select("map_id"), "map_id", "left_semi"))
+    return _opened_each(filled, many).select("map_id.map_id", "y", "x").distinct()
+
+
+def hatched(plane: DataFrame, px_per_mm: float, cfg: Settings | None = None) -> DataFrame:
+    """Adds ``hatch`` to ``plane`` (``purple``): what either detector finds, by density or by components."""
+    cfg = cfg or Settings()
+    either = hatched_by_density(plane, px_per_mm, cfg).union(hatched_by_components(plane, px_per_mm, cfg)).distinct()
+    return plane.join(either.withColumn("__h", F.lit(True)), ["map_id", "y", "x"], "left").withColumn("hatch", F.col("__h").isNotNull()).drop("__h")
 
 
 def outside_map(plane: DataFrame, px_per_mm: float, cfg: Settings | None = None) -> DataFrame:

@@ -59,16 +59,32 @@ def ellipse(k: int) -> list[tuple[int, int]]:
     return out
 
 
-def dilate_by(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Pixels ``(map_id, y, x)`` reached from those of a sparse mask by any of the offsets."""
+def beside(pixels: DataFrame) -> DataFrame:
+    """``(map_id, y, x, oy, ox)``: the four pixels beside each pixel ``(oy, ox)``."""
+    sides = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    return pixels.select("map_id", F.col("y").alias("oy"), F.col("x").alias("ox"), F.explode(sides).alias("o")).select("map_id", (F.col("oy") + F.col("o.dy")).alias("y"), (F.col("ox") + F.col("o.dx")).alias("x"), "oy", "ox")
+
+
+def _moved(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     moves = F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx")) for dy, dx in offsets])
-    return pixels.select("map_id", "y", "x", F.explode(moves).alias("o")).select("map_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
+    return pixels.select("map_id", "y", "x", F.explode(moves).alias("o")).select("map_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+
+
+def dilate_by(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Pixels ``(map_id, y, x)`` reached from those of a sparse mask by any of the offsets, those of an ellipse: the origin is one, and there are no gaps.
+
+    So whatever an inner pixel reaches, it or one of the mask's edge does; only edges spread.
+    """
+    own = pixels.select("map_id", "y", "x")
+    edge = beside(own).join(own, ["map_id", "y", "x"], "left_anti").select("map_id", F.col("oy").alias("y"), F.col("ox").alias("x")).distinct()
+    return own.union(_moved(edge, offsets)).distinct()
 
 
 def erode_by(plane: DataFrame, mask: str, offsets: list[tuple[int, int]], out: str) -> DataFrame:
-    """Set where the mask is set at all offsets that lie in the plane: what the clear pixels do not reach."""
-    clear = dilate_by(plane.where(~F.col(mask)).select("map_id", "y", "x"), offsets).withColumn("__clear", F.lit(True))
-    return plane.join(clear, ["map_id", "y", "x"], "left").withColumn(out, F.col("__clear").isNull()).drop("__clear")
+    """Set where the mask is set at all offsets (those of an ellipse) that lie in the plane: what the clear pixels beside the mask do not reach."""
+    clear = beside(plane.where(mask)).select("map_id", "y", "x").distinct().join(plane.where(~F.col(mask)).select("map_id", "y", "x"), ["map_id", "y", "x"], "left_semi")
+    reached = _moved(clear, offsets).distinct().withColumn("__clear", F.lit(True))
+    return plane.join(reached, ["map_id", "y", "x"], "left").withColumn(out, F.col(mask) & F.col("__clear").isNull()).drop("__clear")
 
 
 def opened_by(plane: DataFrame, mask: str, k: int, out: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -564,6 +565,37 @@ def overprint_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.outside_map(areas.hatched(plane, 2.0), 1.0).select("map_id", "y", "x", "hatch", "outside")
 
 
+_HATCH = replace(Settings(), hatch_min_holes=1, hatch_min_size_mm=3.0, hatch_open_mm=1.0)
+_ENCLOSED = f"""{_spread_sql("m4", _NEXT8)},
+    bx as (select map_id, k, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from comp group by map_id, k having max(x) - min(x) >= 2 and max(y) - min(y) >= 2),
+    own as (select comp.* from comp join bx using (map_id, k)),
+    fr as (select map_id, k, y0, y, unnest(range(x0 - 1, x1 + 2)) x from (select *, unnest(range(y0 - 1, y1 + 2)) y from bx)),
+    off as (select fr.* from fr left join own using (map_id, k, y, x) where own.y is null),
+    part as (select map_id, k, y, x, y ry, x rx, y0 from off union select b.map_id, b.k, b.y, b.x, t.ry, t.rx, t.y0 from part t join off b on b.map_id = t.map_id and b.k = t.k and abs(b.y - t.y) + abs(b.x - t.x) = 1),
+    hp as (select map_id, k, y, x, min((ry + 1) * 1000 + rx + 1) h from part group by map_id, k, y, x, y0 having min(ry) >= y0),
+    rim as (select hp.map_id, hp.k, h, count(distinct own.y * 1000 + own.x) around from hp join own on own.map_id = hp.map_id and own.k = hp.k and abs(own.y - hp.y) + abs(own.x - hp.x) = 1 group by 1, 2, 3),
+    ho as (select map_id, k, h, count(*) + any_value(around) / 2.0::double - 1 size from hp join rim using (map_id, k, h) group by 1, 2, 3)"""
+
+
+@query(f"""{_ENCLOSED} select map_id, (k // 1000)::int cy, (k % 1000)::int cx, count(*) holes, round(median(size), 6) median_size, round(sum(size), 6) total_size from ho group by map_id, k""")
+def enclosed_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes of each large component, with their sizes."""
+    found = areas.enclosed(raster(spark, sf_dir).where("m4").select("map_id", "y", "x"), 3)
+    per = found.holes.groupBy("map_id").agg(F.count(F.lit(1)).alias("holes"), F.round(F.percentile("size", F.lit(0.5)), 6).alias("median_size"), F.round(F.sum("size"), 6).alias("total_size"))
+    return per.select("map_id.map_id", F.col("map_id.comp.y").alias("cy"), F.col("map_id.comp.x").alias("cx"), "holes", "median_size", "total_size")
+
+
+@query(f"""{_ENCLOSED}, ce as (select * from ho where size between 0.0625::double and 6.25::double), mk as (select map_id, k, greatest(3, round(2 * sqrt(median(size))))::int e from ce group by map_id, k),
+    fi as (select map_id, k, y, x from own join mk using (map_id, k) union select map_id, k, y, x from hp join ce using (map_id, k, h)),
+    el as (select e, dy, unnest(range(e // 2 - c, least(e // 2 + c + 1, e))) - e // 2 dx from (select e, i - e // 2 dy, round((e // 2) * sqrt(greatest(0.0::double, ((e // 2) * (e // 2) - (i - e // 2) * (i - e // 2)) / ((e // 2) * (e // 2))::double)))::int c from (select e, unnest(range(0, e)) i from (select distinct e from mk)))),
+    er as (select fi.map_id, fi.k, fi.y, fi.x, e from fi join mk using (map_id, k) where not exists (select 1 from el left join fi g on g.map_id = fi.map_id and g.k = fi.k and g.y = fi.y + el.dy and g.x = fi.x + el.dx where el.e = mk.e and g.y is null))
+    select distinct map_id, (y + dy)::int y, (x + dx)::int x from er join el using (e)""")
+def hatch_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with holes of a cell's size, filled and opened by their own ellipse."""
+    plane = raster(spark, sf_dir).select("map_id", "y", "x", F.col("m4").alias("purple"))
+    return areas.hatched_by_components(plane, 1.0, _HATCH)
+
+
 _COURSE_LEGS = f"""pts as ({_POINTS}), {_CELL_EDGE},
     q as (select map_id, pid, greatest(0, least(h, floor(py / 4))) r0, greatest(0, least(w, floor(px / 4))) c0 from pts join e using (map_id)),
     spot as (select map_id, pid, (k // 1000 % 1000)::int r, (k % 1000)::int c from (select map_id, pid, min(((r - r0) * (r - r0) + (c - c0) * (c - c0))::bigint * 1000000 + r * 1000 + c) k from q join grid using (map_id) group by map_id, pid)),

@@ -72,6 +72,55 @@ def test_specks_and_outlines_are_no_barriers(spark):
     assert not barrier_of(spark, labels).any()
 
 
+def hatch_on_a_course(spacing):
+    """A lattice at 6 px to the mm in a box, a circle on a line that touches it, and a digit with two holes."""
+    purple = np.zeros((150, 230), bool)
+    yy, xx = np.mgrid[:150, :230]
+    step = max(4, round(spacing * 6))
+    box = (slice(20, 121), slice(110, 211))
+    for sign in (1, -1):
+        purple[box] |= ((xx - sign * yy) % step < 2)[box]
+    purple[np.abs(np.hypot(xx - 40, yy - 60) - 18) <= 1] = True
+    purple[59:61, 58:112] = True
+    purple[120:140, 30:34] = purple[120:140, 44:48] = True
+    for y in (120, 129, 138):
+        purple[y : y + 2, 30:48] = True
+    truth = np.zeros(purple.shape, bool)
+    truth[box] = True
+    return purple, truth
+
+
+@pytest.mark.parametrize("spacing", [1.0, 1.6, 2.4])
+def test_hatch_of_any_spacing_is_found_by_its_components(spark, spacing):
+    purple, truth = hatch_on_a_course(spacing)
+    base = plane(spark, np.zeros(purple.shape, int), purple=purple)
+    for least, found in ((0.75, areas.hatched_by_components(base, 6.0)), (0.8, areas.hatched(base, 6.0).where("hatch"))):
+        out = np.zeros(purple.shape, bool)
+        for r in found.select("y", "x").collect():
+            out[r.y, r.x] = True
+        assert (out & truth).sum() / (out | truth).sum() >= least
+        assert not out[:, :95].any()
+
+
+def test_no_hatch_on_a_plain_course(spark):
+    purple, truth = hatch_on_a_course(1.6)
+    purple &= ~truth
+    base = plane(spark, np.zeros(purple.shape, int), purple=purple)
+    assert areas.hatched(base, 6.0).where("hatch").count() == 0
+
+
+def test_holes_are_those_of_one_component(spark):
+    """A ring around another: the island counts as part of the outer one's hole, which has the area within its inner line."""
+    mask = np.zeros((30, 30), bool)
+    mask[2:20, 2:20] = True
+    mask[4:18, 4:18] = False
+    mask[8:13, 8:13] = True
+    mask[10, 10] = False
+    ys, xs = np.nonzero(mask)
+    found = areas.enclosed(spark.createDataFrame([("m", int(y), int(x)) for y, x in zip(ys, xs, strict=True)], "map_id string, y int, x int"), 3)
+    assert sorted(r["size"] for r in found.holes.collect()) == [2.0, 15.0**2 - 2]
+
+
 def test_hatching_is_found(spark):
     purple = np.zeros((110, 130), bool)
     for k in range(-80, 200, 10):
