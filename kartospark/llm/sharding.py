@@ -174,17 +174,19 @@ def with_shards(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_
     spark = docs.sparkSession
     plain, (id_col, text_col) = plain_names(docs, id_col, text_col)
     text = F.col(text_col).cast("string")
-    key = ["i", "size", "crc"]
-    rows = written(plain.withColumns({"i": F.col(id_col).cast("long"), "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), "part": F.spark_partition_id()}))
+    key = ["none", "i", "size", "crc"]
+    doc_id = F.col(id_col).cast("long")
+    columns = {"none": doc_id.isNull(), "i": F.coalesce(doc_id, F.lit(0)), "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), "part": F.spark_partition_id()}
+    rows = written(plain.withColumns(columns))
     counts = rows.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("ahead"))
-    named = [F.col(c).alias(n) for c, n in zip(key, ("doc_id", "size", "text_crc32"), strict=True)]
-    sizes = slot_sizes(spark, _numbered(counts.groupBy(*named).agg(F.sum("ahead").alias("n")), n_slots), n_slots)
+    own = F.when(~F.col("none"), F.col("i"))
+    sizes = slot_sizes(spark, _numbered(counts.groupBy(own.alias("doc_id"), "size", F.col("crc").alias("text_crc32")).agg(F.sum("ahead").alias("n")), n_slots), n_slots)
     slot_map = balanced(spark, sizes, n_shards, map_path).select(F.col("vslot").alias("v"), F.col("shard").alias("s"))
     earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    k = {c: f"k_{c}" for c in [*key, "part"]}
-    before = counts.withColumn("ahead", F.coalesce(F.sum("ahead").over(earlier), F.lit(0))).where(F.col("ahead") > 0).withColumnsRenamed(k)
+    before = counts.withColumn("ahead", F.coalesce(F.sum("ahead").over(earlier), F.lit(0))).where(F.col("ahead") > 0)
+    # The keys are never null, so that the join needs no other partitioning than the window: the rows are shuffled once.
     placed_ = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key, "part").orderBy("part")) - 1)
-    met = placed_.join(before, [*(F.col(c).eqNullSafe(F.col(k[c])) for c in [*key, "part"])], "left")
-    dealt = met.withColumn("slot", _slot([F.col("i"), F.col("size"), F.col("crc"), (F.col("copy") + F.coalesce("ahead", F.lit(0))).cast("long")], n_slots))
+    met = placed_.join(before, [*key, "part"], "left")
+    dealt = met.withColumn("slot", _slot([own, F.col("size"), F.col("crc"), (F.col("copy") + F.coalesce("ahead", F.lit(0))).cast("long")], n_slots))
     rest = {n: c for n, c in zip(plain.columns, docs.columns, strict=True) if c.lower() != "shard"}
     return dealt.join(F.broadcast(slot_map), F.col("slot") == F.col("v")).select(*rest, "s").toDF(*rest.values(), "shard")
