@@ -105,18 +105,44 @@ def verified(circles: DataFrame, mask: DataFrame, size: DataFrame, cfg: Settings
     return passing(band_stats(left, mask), bands).join(tight.select("map_id", "cid", "support"), ["map_id", "cid"])
 
 
-def proposals(mask: DataFrame, radii: range | Column, least_votes: float = 0.35) -> DataFrame:
-    """Candidate circles by voting: every set pixel votes for centres at each radius; the peaks of the votes are proposed.
+def _convolved(a: tuple[int, ...], b: tuple[int, ...]) -> list[int]:
+    return [sum(a[k] * b[n - k] for k in range(len(a)) if 0 <= n - k < len(b)) for n in range(len(a) + len(b) - 1)]
 
-    Votes are counted on a grid of two pixels by a map-side combined aggregate. A peak is
-    a place with votes enough that no neighbour, in place and radius, has more (of equal
-    ones the first by radius, column and row). ``radii`` may be a column of ``mask``, an array.
+
+#: Weights of a smoothed mask's slope along an axis, by distance: along it and across it.
+ALONG, ACROSS = _convolved((1, 4, 6, 4, 1), (-1, 0, 1)), _convolved((1, 4, 6, 4, 1), (1, 2, 1))
+#: Least votes for a circle, as a share of its circumference in pixels, and whatever its size.
+VOTE_SHARE, LEAST_VOTES = 0.12, 6
+
+
+def gradients(mask: DataFrame) -> DataFrame:
+    """``(map_id, y, x, gx, gy)`` at the pixels of a mask: how the smoothed mask rises, in whole numbers. Pixels where it does not are left out.
+
+    Each pixel adds to those within three of it.
+    """
+    half = len(ALONG) // 2
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(-ALONG[dx + half] * ACROSS[dy + half]).alias("wx"), F.lit(-ALONG[dy + half] * ACROSS[dx + half]).alias("wy")) for dy in range(-half, half + 1) for dx in range(-half, half + 1)])
+    own = mask.select("map_id", "y", "x")
+    spread = own.select("map_id", "y", "x", F.explode(steps).alias("o")).select("map_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o.wx", "o.wy")
+    summed = spread.groupBy("map_id", "y", "x").agg(F.sum("wx").alias("gx"), F.sum("wy").alias("gy")).where("gx <> 0 or gy <> 0")
+    return summed.join(own, ["map_id", "y", "x"], "left_semi")
+
+
+def proposals(mask: DataFrame, radii: range | Column, share: float = VOTE_SHARE) -> DataFrame:
+    """Candidate circles by directed voting: a pixel of a ring sees the centre along the slope of the mask, ahead or behind.
+
+    So a pixel has two votes at each radius, counted on a grid of two pixels by a map-side
+    combined aggregate. A peak is a place with votes enough that no neighbour, in place and
+    radius, has more (of equal ones the first by radius, column and row). ``radii`` may be
+    a column of ``mask``, an array.
     """
-    turn = 2 * math.pi / N_ANGLES
-    every = F.array(*map(F.lit, radii)) if isinstance(radii, range) else radii
-    votes = mask.withColumn("cr", F.explode(every)).withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(N_ANGLES - 1))))
-    votes = votes.select("map_id", "cr", F.floor((F.col("x") + F.col("cr") * F.cos(F.col("angle") * turn)) / 2).alias("gx"), F.floor((F.col("y") + F.col("cr") * F.sin(F.col("angle") * turn)) / 2).alias("gy"))
-    counted = checkpointed(votes.groupBy("map_id", "cr", "gx", "gy").count().where(F.col("count") >= least_votes * N_ANGLES))
+    rows = mask.withColumn("__radii", F.array(*map(F.lit, radii)) if isinstance(radii, range) else radii)
+    slope = gradients(mask).join(rows.select("map_id", "y", "x", "__radii"), ["map_id", "y", "x"])
+    length = F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double"))
+    aimed = slope.select("map_id", "y", "x", (F.col("gx") / length).alias("ux"), (F.col("gy") / length).alias("uy"), F.explode("__radii").alias("cr"))
+    votes = aimed.withColumn("way", F.explode(F.array(F.lit(-1), F.lit(1))))
+    votes = votes.select("map_id", "cr", F.floor((F.col("x") + F.col("way") * F.col("cr") * F.col("ux")) / 2).alias("gx"), F.floor((F.col("y") + F.col("way") * F.col("cr") * F.col("uy")) / 2).alias("gy"))
+    counted = checkpointed(votes.groupBy("map_id", "cr", "gx", "gy").count().where(F.col("count") >= F.greatest(F.lit(float(LEAST_VOTES)), share * 2 * math.pi * F.col("cr"))))
     steps = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("x"), F.lit(c).alias("y")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if a or b or c])
     rank = F.struct(-F.col("count"), "cr", "gx", "gy")
     claims = counted.select("map_id", rank.alias("by"), F.explode(steps).alias("s"), "cr", "gx", "gy")

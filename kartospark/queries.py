@@ -7,6 +7,7 @@ remainders of the value. Points, one a user, lie on the first two maps.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -565,6 +566,22 @@ def overprint_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.outside_map(areas.hatched(plane, 2.0), 1.0).select("map_id", "y", "x", "hatch", "outside")
 
 
+_VOTES = f"""{_RASTER}, p as (select map_id, y, x from m where m4),
+    sl as (select t.map_id, t.y, t.x, -sum({rings.ALONG}[t.x - b.x + 4] * {rings.ACROSS}[t.y - b.y + 4]) gx, -sum({rings.ALONG}[t.y - b.y + 4] * {rings.ACROSS}[t.x - b.x + 4]) gy
+      from p t join p b on b.map_id = t.map_id and abs(b.y - t.y) <= 3 and abs(b.x - t.x) <= 3 group by 1, 2, 3),
+    un as (select map_id, y, x, gx::double / sqrt((gx * gx + gy * gy)::double) ux, gy::double / sqrt((gx * gx + gy * gy)::double) uy from sl where gx <> 0 or gy <> 0),
+    vo as (select map_id, cr, floor((x + way * cr * ux) / 2)::bigint gx, floor((y + way * cr * uy) / 2)::bigint gy, count(*) n from un, (select unnest(range(3, 8)) cr), (select unnest([-1, 1]) way) group by 1, 2, 3, 4
+      having count(*) >= greatest({float(rings.LEAST_VOTES)}::double, {rings.VOTE_SHARE}::double * 2 * {math.pi}::double * cr))"""
+
+
+@query(f"""{_VOTES} select map_id, gx * 2 + 1.0::double cx, gy * 2 + 1.0::double cy, cr::double cr from vo a where not exists (
+    select 1 from vo b where b.map_id = a.map_id and abs(b.cr - a.cr) <= 1 and abs(b.gx - a.gx) <= 1 and abs(b.gy - a.gy) <= 1 and (-b.n, b.cr, b.gx, b.gy) < (-a.n, a.cr, a.gx, a.gy))""")
+def circles_proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate circles by votes along the slopes of a mask."""
+    mask = raster(spark, sf_dir).where("m4").select("map_id", "y", "x")
+    return rings.proposals(mask, range(3, 8)).select("map_id", "cx", "cy", "cr")
+
+
 _HATCH = replace(Settings(), hatch_min_holes=1, hatch_min_size_mm=3.0, hatch_open_mm=1.0)
 _ENCLOSED = f"""{_spread_sql("m4", _NEXT8)},
     bx as (select map_id, k, min(y) y0, max(y) y1, min(x) x0, max(x) x1 from comp group by map_id, k having max(x) - min(x) >= 2 and max(y) - min(y) >= 2),
