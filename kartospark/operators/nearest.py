@@ -1,14 +1,61 @@
-"""Nearest set pixel of a mask, exactly, by two passes of windows and a bounded join.
+"""Nearest set pixel of a mask, exactly, in two passes of linear work.
 
-First each pixel learns the nearest set pixel of its column. A set pixel elsewhere can
-only be nearer if its column is nearer than that, so the second pass looks at columns
-within the distance known so far, and no farther.
+First each pixel learns the nearest set pixel of its column, by windows. Then each row of
+a map, a group as wide as the map, is one lower envelope of parabolas (Felzenszwalb and
+Huttenlocher 2012), of which every pixel reads its nearest column.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+
+def nearest_along(sites: list[tuple[int, int, int]], asked: list[int]) -> list[tuple[int, int, int]]:
+    """``(d2, row, x)`` of the nearest site for each place in ``asked``, in order; ties go by ``(d2, row, x)``.
+
+    A site ``(x, g, row)`` stands for a pixel ``g`` rows away in column ``x``: a parabola
+    over the row of pixels. Sites come by ``x``, and so do the places; the parabolas that
+    are lowest somewhere, if only level with others, are kept in one pass, so work is
+    linear. Where one takes over from the last is a fraction, compared exactly.
+    """
+    kept: list[tuple[int, int, int]] = []
+    start: list[tuple[int, int]] = []
+    for x, g, row in sites:
+        while True:
+            if not kept:
+                from_ = (-1, 0)
+                break
+            x0, g0, _ = kept[-1]
+            from_ = (g * g + x * x - g0 * g0 - x0 * x0, 2 * (x - x0))
+            if len(kept) == 1 or from_[0] * start[-1][1] >= start[-1][0] * from_[1]:
+                break
+            kept.pop()
+            start.pop()
+        kept.append((x, g, row))
+        start.append(from_)
+    out, k = [], 0
+    for x in asked:
+        while k + 1 < len(kept) and start[k + 1][0] < x * start[k + 1][1]:
+            k += 1
+        last = k
+        while last + 1 < len(kept) and start[last + 1][0] == x * start[last + 1][1]:
+            last += 1
+        out.append(min(((x - x0) ** 2 + g * g, row, x0) for x0, g, row in kept[k : last + 1]))
+    return out
+
+
+def _nearest_in_row(key: tuple, rows: pa.Table) -> pa.Table:
+    """One row of one map: where its wanted pixels find the nearest target."""
+    rows = rows.sort_by("x")
+    x, g, cy, wanted = (rows.column(c).to_pylist() for c in ("x", "g", "cy", "wanted"))
+    sites = [s for s in zip(x, g, cy, strict=True) if s[1] is not None]
+    asked = [a for a, w in zip(x, wanted, strict=True) if w] if sites else []
+    found = nearest_along(sites, asked)
+    columns = [pa.array([key[0].as_py()] * len(asked), type=rows.schema.field("map_id").type), pa.array([key[1].as_py()] * len(asked), type=pa.int32()), pa.array(asked, type=pa.int32())]
+    return pa.Table.from_arrays([*columns, *(pa.array([f[k] for f in found], type=t) for k, t in ((1, pa.int32()), (2, pa.int32()), (0, pa.int64())))], names=["map_id", "y", "x", "ny", "nx", "d2"])
 
 
 def nearest_set(plane: DataFrame, target: str, wanted: str | None = None) -> DataFrame:
@@ -22,25 +69,10 @@ def nearest_set(plane: DataFrame, target: str, wanted: str | None = None) -> Dat
     side = F.when(F.col(target), F.col("y"))
     column = plane.withColumn("__a", F.last(side, ignorenulls=True).over(up)).withColumn("__b", F.first(side, ignorenulls=True).over(down))
     a, b = F.col("y") - F.col("__a"), F.col("__b") - F.col("y")
-    column = column.withColumn("cy", F.when(b.isNull() | (a <= b), F.col("__a")).otherwise(F.col("__b")))
-    column = column.withColumn("g", F.abs(F.col("y") - F.col("cy")))
-    # A first bound for every pixel: the best of what its row's nearest columns with a target offer.
-    left = Window.partitionBy("map_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    right = Window.partitionBy("map_id", "y").orderBy("x").rowsBetween(0, Window.unboundedFollowing)
-    offer = F.when(F.col("g").isNotNull(), F.struct("x", "g"))
-    column = column.withColumn("__l", F.last(offer, ignorenulls=True).over(left)).withColumn("__r", F.first(offer, ignorenulls=True).over(right))
-
-    def reach(s: str):
-        return F.greatest(F.abs(F.col("x") - F.col(f"{s}.x")), F.lit(0)) + F.col(f"{s}.g")
-
-    bound = F.least(reach("__l"), reach("__r"))
-    asked = column.where(F.col(wanted) if wanted else F.lit(True)).where(bound.isNotNull())
-    asked = asked.select("map_id", "y", F.col("x").alias("x0"), F.explode(F.sequence(F.col("x") - bound, F.col("x") + bound)).alias("x"))
-    offers = column.where("g is not null").select("map_id", "y", "x", "cy", "g")
-    met = asked.join(offers, ["map_id", "y", "x"])
-    d2 = (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + F.col("g") * F.col("g")
-    best = met.groupBy("map_id", "y", F.col("x0").alias("x")).agg(F.min(F.struct(d2.alias("d2"), F.col("cy").alias("ny"), F.col("x").alias("nx"))).alias("s"))
-    return best.select("map_id", "y", "x", "s.ny", "s.nx", "s.d2")
+    cy = F.when(b.isNull() | (a <= b), F.col("__a")).otherwise(F.col("__b"))
+    rows = column.select("map_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.abs(F.col("y") - cy).cast("int").alias("g"), cy.cast("int").alias("cy"), (F.col(wanted) if wanted else F.lit(True)).alias("wanted"))
+    schema = StructType([plane.schema["map_id"], *(StructField(n, IntegerType()) for n in ("y", "x", "ny", "nx")), StructField("d2", LongType())])
+    return rows.where("wanted or g is not null").groupBy("map_id", "y").applyInArrow(_nearest_in_row, schema)
 
 
 def fill_from_nearest(plane: DataFrame, value: str, hole: str) -> DataFrame:
