@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kartospark.operators.bins import within
 from kartospark.settings import Settings
 from kartospark.sources.shared import checkpointed
 
@@ -172,13 +173,17 @@ def line_support(pairs: DataFrame, mask: DataFrame, r0: Column) -> DataFrame:
 def radius_consensus(circles: DataFrame, spread: float = 0.08, least: int = 3) -> DataFrame:
     """``(map_id, r0, n)``: support-weighted mean of the radii near the best-supported one; null with fewer than ``least``.
 
-    For each radius the supports of radii within ``spread`` of it are summed by a range
-    join; the first circle (by ``cid``) of the highest sum wins.
+    For each radius the supports of radii within ``spread`` of it are summed; the first
+    circle (by ``cid``) of the highest sum wins. Circles of one radius count together,
+    and radii meet in bins of their logarithm.
     """
-    a = circles.select("map_id", F.col("cid").alias("a_id"), F.col("cr").alias("a_r"))
-    b = circles.select("map_id", F.col("cr").alias("b_r"), "support")
-    near = a.join(b, "map_id").where(F.abs(F.col("b_r") - F.col("a_r")) <= spread * F.col("a_r"))
-    sums = near.groupBy("map_id", "a_id").agg(F.sum("support").alias("score"), F.count(F.lit(1)).alias("n"), (F.sum(F.col("b_r") * F.col("support")) / F.sum("support")).alias("mean"))
+    radii = circles.groupBy("map_id", "cr").agg(F.sum("support").alias("s"), F.count(F.lit(1)).alias("k"), F.min("cid").alias("first"))
+    wide = math.log1p(spread)
+    low, high = (F.floor(F.log(F.col("a_r") * w) / wide).cast("long") for w in (1 - spread - 1e-9, 1 + spread + 1e-9))
+    a = radii.select("map_id", F.col("first").alias("a_id"), F.col("cr").alias("a_r")).where("a_r > 0").withColumn("bin", F.explode(F.sequence(low, high)))
+    b = radii.select("map_id", F.col("cr").alias("b_r"), "s", "k").where("b_r > 0").withColumn("bin", F.floor(F.log("b_r") / wide).cast("long"))
+    near = a.join(b, ["map_id", "bin"]).where(F.abs(F.col("b_r") - F.col("a_r")) <= spread * F.col("a_r"))
+    sums = near.groupBy("map_id", "a_id").agg(F.round(F.sum("s"), 9).alias("score"), F.sum("k").alias("n"), (F.sum(F.col("b_r") * F.col("s")) / F.sum("s")).alias("mean"))
     best = sums.groupBy("map_id").agg(F.max_by(F.struct("mean", "n"), F.struct("score", -F.col("a_id"))).alias("s"))
     return best.select("map_id", F.when(F.col("s.n") >= least, F.col("s.mean")).alias("r0"), F.col("s.n").alias("n"))
 
@@ -187,30 +192,36 @@ def suppressed(circles: DataFrame, dist: Column | None = None) -> DataFrame:
     """Non-maximum suppression of ``(map_id, cid, cx, cy, cr, support)``: best support, then larger radius, then ``cid`` first.
 
     A circle stays unless one that stays is closer than ``dist`` (default its own
-    radius). Rounds settle all circles whose better neighbours are settled: a circle
-    with none left stays, its worse neighbours go.
+    radius). Pairs that are so close are found once, on a grid. Rounds then settle all
+    circles whose better neighbours are settled: a circle with none left stays, its worse
+    neighbours go.
     """
     rank = F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("support"), F.desc("cr"), "cid"))
-    left = circles.withColumn("rank", rank).withColumn("lim", F.col("cr") if dist is None else dist)
+    left = checkpointed(circles.withColumn("rank", rank).withColumn("lim", F.col("cr") if dist is None else dist))
+    better = left.select("map_id", "cid", "cx", "cy", "rank")
+    worse = left.select("map_id", F.col("cid").alias("w_id"), F.col("cx").alias("wx"), F.col("cy").alias("wy"), F.col("rank").alias("w_rank"), F.col("lim").alias("w_lim"))
+    met = within(better, worse, ("cx", "cy"), (F.col("wx"), F.col("wx")), (F.col("wy"), F.col("wy")), F.col("w_lim"))
+    close = (F.col("rank") < F.col("w_rank")) & (F.hypot(F.col("cx") - F.col("wx"), F.col("cy") - F.col("wy")) < F.col("w_lim"))
+    near = checkpointed(met.where(close).select("map_id", "cid", "w_id"))
     kept = None
     while True:
-        worse = left.select("map_id", F.col("cid").alias("w_id"), F.col("cx").alias("wx"), F.col("cy").alias("wy"), F.col("rank").alias("w_rank"), F.col("lim").alias("w_lim"))
-        near = left.join(worse, "map_id").where((F.col("rank") < F.col("w_rank")) & (F.hypot(F.col("cx") - F.col("wx"), F.col("cy") - F.col("wy")) < F.col("w_lim")))
         beaten = near.select("map_id", F.col("w_id").alias("cid")).distinct()
         stay = left.join(beaten, ["map_id", "cid"], "left_anti")
         kept = stay if kept is None else kept.unionByName(stay)
         gone = near.join(stay.select("map_id", "cid"), ["map_id", "cid"], "left_semi").select("map_id", F.col("w_id").alias("cid")).distinct()
-        rest = left.join(stay.select("map_id", "cid"), ["map_id", "cid"], "left_anti").join(gone, ["map_id", "cid"], "left_anti")
-        left = checkpointed(rest)
+        left = checkpointed(left.join(beaten, ["map_id", "cid"], "left_semi").join(gone, ["map_id", "cid"], "left_anti"))
         if left.isEmpty():
             return kept.drop("rank", "lim")
+        rest = left.select("map_id", "cid")
+        near = checkpointed(near.join(rest, ["map_id", "cid"], "left_semi").join(rest.withColumnRenamed("cid", "w_id"), ["map_id", "w_id"], "left_semi"))
 
 
 def away_from(circles: DataFrame, others: DataFrame, dist: Column) -> DataFrame:
-    """Circles that have none of ``others`` (``map_id, ox, oy``) closer than ``dist``; a course has few of these."""
-    o = others.select(F.col("map_id").alias("om"), "ox", "oy")
-    close = (F.col("map_id") == F.col("om")) & (F.hypot(F.col("cx") - F.col("ox"), F.col("cy") - F.col("oy")) < dist)
-    return circles.join(o, close, "left_anti")
+    """Circles that have none of ``others`` (``map_id, ox, oy``) closer than ``dist``, an expression of the circle."""
+    boxes = circles.select("map_id", "cid", F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), dist.alias("__d"))
+    met = within(others.select("map_id", "ox", "oy"), boxes, ("ox", "oy"), (F.col("__cx"), F.col("__cx")), (F.col("__cy"), F.col("__cy")), F.col("__d"))
+    close = met.where(F.hypot(F.col("__cx") - F.col("ox"), F.col("__cy") - F.col("oy")) < F.col("__d")).select("map_id", "cid").distinct()
+    return circles.join(close, ["map_id", "cid"], "left_anti")
 
 
 def radial_profile(circles: DataFrame, mask: DataFrame, radii: Column, tol: float = 0.75) -> DataFrame:
