@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartospark.functions.color import white_balance
+from kartospark.functions.color import purple_score, white_balance, with_lab
 from kartospark.operators import areas, classify, course, graph, lines, nearest, rings, routing, stencil, terrain, triangles
 from kartospark.settings import PURPLE, UNKNOWN, Settings
 from kartospark.sources import images
@@ -38,14 +38,23 @@ def segmentation(pixels: DataFrame, cfg: Settings | None = None, samples: DataFr
     return written(stencil.majority_fill(labelled, "label", UNKNOWN, cfg.unknown_fill_iterations, reflect=True))
 
 
-def terrain_planes(labels: DataFrame, px_per_mm: float, cfg: Settings | None = None) -> DataFrame:
-    """``(map_id, y, x, label, purple, hatch, outside, outline, water, barrier, forbidden)``."""
+def segmented(pixels: DataFrame, cfg: Settings | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """``(map_id, y, x, label, l, purple_score)``: classes of smoothed and balanced pixels, with their lightness and how purple they are."""
     cfg = cfg or Settings()
-    plane = labels.withColumn("purple", F.col("label") == PURPLE)
+    smooth = written(stencil.bilateral(pixels, cfg.bilateral_sigma_space, cfg.bilateral_sigma_color))
+    lab = with_lab(white_balance(smooth, cfg.white_percentile))
+    shown = lab.select("map_id", "y", "x", F.col("l").cast("float").alias("l"), purple_score(F.col("a"), F.col("lab_b")).cast("float").alias("purple_score"))
+    return segmentation(smooth, cfg, samples).join(shown, ["map_id", "y", "x"])
+
+
+def terrain_planes(labels: DataFrame, px_per_mm: float, cfg: Settings | None = None, light: DataFrame | None = None) -> DataFrame:
+    """``(map_id, y, x, label, purple, hatch, outside, outline, water, barrier, forbidden)``; with ``light`` (``map_id, y, x, l``) strokes are measured by their profiles too."""
+    cfg = cfg or Settings()
+    plane = labels.select("map_id", "y", "x", "label").withColumn("purple", F.col("label") == PURPLE)
     plane = written(areas.without_purple(plane, cfg.purple_dilate_px))
     plane = areas.hatched(plane, px_per_mm, cfg) if cfg.hatch_enabled else plane.withColumn("hatch", F.lit(False))
     plane = written(terrain.buildings(written(plane), px_per_mm, cfg))
-    plane = written(lines.barriers(plane, px_per_mm, cfg))
+    plane = written(lines.barriers(plane, px_per_mm, cfg, light))
     plane = areas.outside_map(plane, px_per_mm, cfg) if cfg.outside_map_enabled else plane.withColumn("outside", F.lit(False))
     plane = terrain.water(terrain.outlines(written(plane)), px_per_mm, cfg)
     return written(plane.withColumn("forbidden", terrain.forbidden()).select("map_id", "y", "x", "label", "purple", "hatch", "outside", "outline", "water", "barrier", "forbidden"))
@@ -175,7 +184,8 @@ def layers(planes: DataFrame, cells: DataFrame, cell_px: int, size: DataFrame) -
 def analysed(pixels: DataFrame, folder: str, px_per_mm: float, samples: DataFrame | None = None, edits: DataFrame | None = None, cfg: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """Analyse maps from pixels to stored layers: returns planes and cost cells, and writes every layer as a PNG file to ``folder``."""
     cfg = cfg or Settings()
-    planes = terrain_planes(segmentation(stencil.bilateral(pixels, cfg.bilateral_sigma_space, cfg.bilateral_sigma_color), cfg, samples), px_per_mm, cfg)
+    labels = written(segmented(pixels, cfg, samples))
+    planes = terrain_planes(labels, px_per_mm, cfg, labels)
     cells = cost_grid(planes, px_per_mm, edits, cfg)
     size = planes.groupBy("map_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
     drawn = layers(planes, cells, terrain.cell_size(px_per_mm, cfg), size)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kartospark.functions import color
 from kartospark.operators import areas, classify, course, graph, lines, nearest, rings, routing, stencil, terrain
+from kartospark.plans import stages
 from kartospark.settings import CLASS_NAMES, DISPLAY_COLORS, REFERENCE_COLORS, Settings, terrain_class
 from kartospark.sources import images, projects
 from kartospark.sources.shared import shared_dir, written
@@ -799,6 +800,20 @@ def stage_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.stored(spark, base, key, lambda: sums.limit(0))
 
 
+@query("select user_id map_id, round(sum(value), 4) total, (case when user_id % 2 = 0 then 1 else 2 end)::int made from events group by user_id")
+def stages_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage kept for each user: half are made by a first call; a second one, for all, makes the others only."""
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("map_id"), "event_id", "value")
+    store = stages.Store(spark, f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}")
+
+    def totals(rows: DataFrame, call: int) -> DataFrame:
+        keys = stages.next_keys(stages.content_keys(rows, "event_id", "value"), "totals", {"digits": 4})
+        return store.result("totals", keys, lambda maps: rows.join(maps, "map_id", "left_semi").groupBy("map_id").agg(F.round(F.sum("value"), 4).alias("total"), F.lit(call).alias("made")))
+
+    totals(events.where("map_id % 2 = 0"), 1)
+    return totals(events, 2)
+
+
 @query(f"{_RASTER} select map_id, y, x, {_PALETTE} from m")
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers rendered to PNG files and read again as pixels."""
