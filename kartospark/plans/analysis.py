@@ -76,8 +76,21 @@ def strength(order: DataFrame, support: DataFrame, out: str = "strength") -> Dat
     return steps.join(support, ["map_id", "i", "j"], "left").groupBy("map_id").agg(F.round(F.avg(F.coalesce("support", F.lit(0.0))), 9).alias(out))
 
 
-def course_order(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: DataFrame, cfg: Settings | None = None) -> DataFrame:
-    """Controls in course order ``(map_id, id, order, kind, x, y, r)``: by printed numbers or by lines.
+# What a detection may have to tell of a map, by the name that its message goes by.
+MESSAGES = {
+    "no_scale": "no circles agree on a size; the default resolution is used until a circle is marked by hand",
+    "no_start": "no start triangle was found",
+    "no_finish": "no finish of two rings was found",
+    "lines_taken": "numbers and lines tell different courses; the lines are stronger and were followed",
+    "numbers_taken": "numbers and lines tell different courses; the numbers were followed",
+    "numbers_inferred": "some numbers could not be read and were filled in from the lines",
+    "numbers_unclear": "the numbers that were read do not tell the course",
+    "incomplete": "the lines do not join all symbols; the rest must be ordered by hand",
+}
+
+
+def course_choice(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: DataFrame, cfg: Settings | None = None) -> DataFrame:
+    """``(map_id, order, notes)``: each map's course as an array of nodes, by printed numbers or by lines, and names of ``MESSAGES`` on how it came about.
 
     ``nodes`` is ``(map_id, node, kind, x, y, r)``; ``labels`` ``(map_id, node, orders)``;
     ``r0`` ``(map_id, r0)``. Where both tell a whole course and differ, that whose lines
@@ -90,29 +103,49 @@ def course_order(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: DataF
     support = written(rings.line_support(pairs, clean, F.col("r0")))
     by_lines = course.ordered_by_lines(nodes, support, cfg.leg_support_min_ratio)
     by_labels = course.ordered_by_labels(nodes, labels, support).withColumnRenamed("order", "told")
-    both = written(by_lines.join(by_labels, "map_id", "left"))
+    read = labels.groupBy("map_id").agg(F.count(F.lit(1)).alias("__read"))
+    both = written(by_lines.join(by_labels, "map_id", "left").join(read, "map_id", "left"))
     strong = both.join(strength(both.select("map_id", "order"), support, "__l"), "map_id", "left").join(strength(both.select("map_id", F.col("told").alias("order")), support, "__n"), "map_id", "left")
     lines_win = F.col("complete") & (F.coalesce("__l", F.lit(0.0)) > F.coalesce("__n", F.lit(0.0)))
-    chosen = strong.select("map_id", F.when(F.col("told").isNull() | lines_win, F.col("order")).otherwise(F.col("told")).alias("order"))
-    return course.visits(sized.drop("r0"), chosen)
+    told, agree = F.col("told").isNotNull(), F.col("told").eqNullSafe(F.col("order"))
+    notes = F.array_compact(F.array(
+        F.when(told & F.col("complete") & ~agree, F.when(lines_win, "lines_taken").otherwise("numbers_taken")),
+        F.when(told & ~lines_win & ~(F.col("complete") & agree) & (F.size("inferred") > 0), "numbers_inferred"),
+        F.when(~told & ~F.col("complete") & F.col("__read").isNotNull(), "numbers_unclear"),
+        F.when(~told & ~F.col("complete"), "incomplete"),
+    ))
+    return strong.select("map_id", F.when(~told | lines_win, F.col("order")).otherwise(F.col("told")).alias("order"), notes.alias("notes"))
+
+
+def course_order(nodes: DataFrame, mask: DataFrame, labels: DataFrame, r0: DataFrame, cfg: Settings | None = None) -> DataFrame:
+    """Controls in course order ``(map_id, id, order, kind, x, y, r)``, one row a visit, as ``course_choice`` tells it."""
+    return course.visits(nodes, course_choice(nodes, mask, labels, r0, cfg))
 
 
 class Detection(NamedTuple):
-    """``r0``: ``(map_id, r0)``; ``nodes``: ``(map_id, node, kind, x, y, r)``; ``controls``: nodes in course order, one row a visit; ``px_per_mm``: ``(map_id, px_per_mm)``."""
+    """``r0``: ``(map_id, r0)`` of maps whose size is known or was found; ``nodes``: ``(map_id, node, kind, x, y, r)``.
+
+    ``controls``: nodes in course order, one row a visit, with the control ``code`` printed
+    at them; ``px_per_mm``: ``(map_id, px_per_mm, source)`` of every map, the source being
+    ``user``, ``auto`` or ``default``; ``messages``: ``(map_id, name, text)``.
+    """
 
     r0: DataFrame
     nodes: DataFrame
     controls: DataFrame
     px_per_mm: DataFrame
+    messages: DataFrame
 
 
-def detection(labels: DataFrame, texts: DataFrame | None = None, cfg: Settings | None = None, starts: DataFrame | None = None) -> Detection:
+def detection(labels: DataFrame, texts: DataFrame | None = None, cfg: Settings | None = None, starts: DataFrame | None = None, known: DataFrame | None = None) -> Detection:
     """The course of every map from its classes ``(map_id, y, x, label)``: circles, finish, start and order, at whatever scale it was scanned.
 
     The radius of a control follows from the circles that agree on one; the search is
     then repeated near it. ``texts`` are label boxes ``(map_id, lid, x0, y0, x1, y1,
     text)`` as some reader gave them; ``starts`` (``map_id, cx, cy, r``) are searched for
-    where they are not given. Maps without enough circles have no rows.
+    where they are not given; ``known`` (``map_id, r0``) are radii that a user has marked,
+    which go before what is found. Maps of no known size have no nodes, the default
+    resolution and a message.
     """
     cfg = cfg or Settings()
     size = written(labels.groupBy("map_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")))
@@ -127,7 +160,10 @@ def detection(labels: DataFrame, texts: DataFrame | None = None, cfg: Settings |
     least = F.lit(cfg.search_min_radius_px)
     most = F.greatest(least + 1, F.floor(F.least("height", "width") * cfg.search_max_radius_ratio))
     wide = written(rings.suppressed(written(rings.verified(search(least, most, size), mask, size, cfg))))
-    r0 = written(rings.radius_consensus(wide, least=cfg.min_circles_for_r0).where("r0 is not null").select("map_id", "r0"))
+    found_r0 = rings.radius_consensus(wide, least=cfg.min_circles_for_r0).select("map_id", F.col("r0").alias("__found"))
+    marked = found_r0.select("map_id", F.lit(None).cast("double").alias("__known")).limit(0) if known is None else known.select("map_id", F.col("r0").cast("double").alias("__known"))
+    scales = written(size.select("map_id").join(found_r0, "map_id", "left").join(marked, "map_id", "left").select("map_id", F.coalesce("__known", "__found").alias("r0"), F.when(F.col("__known").isNotNull(), "user").when(F.col("__found").isNotNull(), "auto").otherwise("default").alias("source")))
+    r0 = written(scales.where("r0 is not null").select("map_id", "r0"))
 
     low, high = F.greatest(F.lit(1), F.floor((1 - cfg.refine_radius_ratio) * F.col("r0"))), F.ceil((1 + cfg.refine_radius_ratio) * F.col("r0"))
     near = wide.join(r0, "map_id").where(F.col("cr").between(low, high)).select("map_id", "cid", "cx", "cy", "cr")
@@ -157,15 +193,26 @@ def detection(labels: DataFrame, texts: DataFrame | None = None, cfg: Settings |
     turn = F.when(F.col("kind") == "start", 0).when(F.col("kind") == "control", 1).otherwise(2)
     nodes = written(nodes.withColumn("node", F.row_number().over(Window.partitionBy("map_id").orderBy(turn, "y", "x")) - 1))
     if texts is None:
-        told = nodes.select("map_id", "node", F.array(F.lit(1)).alias("orders")).limit(0)
+        told = nodes.select("map_id", "node", F.array(F.lit(1)).alias("orders"), F.lit(None).cast("int").alias("code")).limit(0)
     else:
-        numbers, _ = course.parsed_label(F.col("text"))
-        boxes = texts.withColumn("orders", numbers).where("orders is not null").join(r0, "map_id")
+        numbers, code = course.parsed_label(F.col("text"))
+        boxes = texts.withColumns({"orders": numbers, "code": code}).where("orders is not null").join(r0, "map_id")
         there = nodes.where("kind = 'control'").select("map_id", "node", F.col("x").alias("cx"), F.col("y").alias("cy"))
         pairs = course.matched(written(course.label_candidates(boxes.drop("r0"), there.join(r0, "map_id"), F.col("r0"), cfg.label_max_distance_ratio)))
-        told = pairs.join(boxes.select("map_id", "lid", "orders"), ["map_id", "lid"]).select("map_id", "node", "orders")
-    controls = written(course_order(nodes, mask, written(told), r0, cfg))
-    return Detection(r0, nodes, controls, r0.select("map_id", (2 * F.col("r0") / cfg.control_diameter_mm).alias("px_per_mm")))
+        told = pairs.join(boxes.select("map_id", "lid", "orders", "code"), ["map_id", "lid"]).select("map_id", "node", "orders", "code")
+    told = written(told)
+    choice = written(course_choice(nodes, mask, told.select("map_id", "node", "orders"), r0, cfg))
+    codes = told.where("code is not null").select("map_id", "node", "code")
+    controls = written(course.visits(nodes.join(codes, ["map_id", "node"], "left"), choice, ["code"]))
+    kinds = nodes.groupBy("map_id").agg(F.collect_set("kind").alias("kinds"))
+    state = scales.join(kinds, "map_id", "left").join(choice.select("map_id", "notes"), "map_id", "left")
+    known_size = F.col("r0").isNotNull()
+    lacks = [F.when(known_size & ~F.coalesce(F.array_contains("kinds", kind), F.lit(False)), f"no_{kind}") for kind in ("start", "finish")]
+    names = F.concat(F.array_compact(F.array(F.when(~known_size, "no_scale"), *lacks)), F.coalesce("notes", F.array().cast("array<string>")))
+    text = F.element_at(F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair]), F.col("name"))
+    messages = written(state.select("map_id", F.explode(names).alias("name")).withColumn("text", text))
+    ppm = F.coalesce(2 * F.col("r0") / cfg.control_diameter_mm, F.lit(cfg.default_px_per_mm))
+    return Detection(r0, nodes, controls, scales.select("map_id", ppm.alias("px_per_mm"), "source"), messages)
 
 
 def layers(planes: DataFrame, cells: DataFrame, cell_px: int, size: DataFrame) -> DataFrame:

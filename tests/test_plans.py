@@ -127,8 +127,8 @@ def test_course_is_detected(spark):
     other = np.full((60, 60), WHITE)  # a map without a course has no rows
     rows = [(m, y, x, int(a[y, x])) for m, a in (("m", labels), ("n", other)) for y in range(a.shape[0]) for x in range(a.shape[1])]
     df = spark.createDataFrame(rows, "map_id string, y int, x int, label int")
-    texts = spark.createDataFrame([("m", i, x + 20, y - 6, x + 30, y + 6, f"{i + 1}") for i, (x, y) in enumerate(points) if i != 2], "map_id string, lid int, x0 int, y0 int, x1 int, y1 int, text string")
-    found = analysis.detection(df, texts)
+    texts = spark.createDataFrame([("m", i, x + 20, y - 6, x + 30, y + 6, f"{i + 1}-{101 + i}") for i, (x, y) in enumerate(points) if i != 2], "map_id string, lid int, x0 int, y0 int, x1 int, y1 int, text string")
+    found = analysis.detection(df, texts, known=spark.createDataFrame([("k", 9.0)], "map_id string, r0 double"))
     (row,) = found.r0.collect()
     assert row.map_id == "m" and abs(row.r0 - r) < 0.1 * r
     nodes = found.nodes.collect()
@@ -139,10 +139,30 @@ def test_course_is_detected(spark):
     assert np.hypot(end.x - finish[0], end.y - finish[1]) < 3
     (begin,) = [n for n in nodes if n.kind == "start"]
     assert np.hypot(begin.x - START[0], begin.y - START[1]) < 3 and abs(begin.r - r * 7 / 3 / 3**0.5) < 4
-    order = sorted((c.order, c.x, c.y) for c in found.controls.collect() if c.order is not None and c.kind != "start")
+    controls = found.controls.collect()
+    assert sorted(c.code for c in controls if c.code is not None) == [101, 102, 104, 105, 106]
+    told = {(m.map_id, m.name) for m in found.messages.collect()}
+    assert ("n", "no_scale") in told and not {n for m, n in told if m == "m"} & {"no_scale", "no_start", "no_finish", "incomplete", "numbers_unclear"}
+    scales = {s.map_id: (s.px_per_mm, s.source) for s in found.px_per_mm.collect()}
+    assert scales["n"] == (6.0, "default") and scales["m"] == (pytest.approx(2 * row.r0 / 6), "auto")
+    order = sorted((c.order, c.x, c.y) for c in controls if c.order is not None and c.kind != "start")
     assert len(order) == 7 and all(np.hypot(x - px, y - py) < 3 for (_, x, y), (px, py) in zip(order, [*points, finish], strict=True))
 
 
+def test_known_radius_goes_first(spark):
+    """A map whose radius a user has marked is searched at that size, though too few circles agree on one."""
+    labels = np.full((110, 130), WHITE)
+    yy, xx = np.mgrid[:110, :130]
+    for x, y in ((35, 40), (90, 60)):
+        labels[np.abs(np.hypot(xx - x, yy - y) - 14) <= 1.2] = PURPLE
+    df = spark.createDataFrame([("k", y, x, int(labels[y, x])) for y in range(110) for x in range(130)], "map_id string, y int, x int, label int")
+    starts = spark.createDataFrame([], "map_id string, cx double, cy double, r double")
+    found = analysis.detection(df, starts=starts, known=spark.createDataFrame([("k", 14.0)], "map_id string, r0 double"))
+    assert [(r.px_per_mm, r.source) for r in found.px_per_mm.collect()] == [(pytest.approx(28 / 6), "user")]
+    assert sorted(round(n.x / 5) * 5 for n in found.nodes.collect() if n.kind == "control") == [35, 90]
+    assert {m.name for m in found.messages.collect()} >= {"no_start", "no_finish", "incomplete"}
+
+
 def test_maps_are_analysed_to_layers(spark, tmp_path):
     cfg = Settings(outside_map_enabled=False, hatch_enabled=False)
     planes, cells = analysis.analysed(pixels(spark, small_map()[:24, :40]), str(tmp_path), 4.0, cfg=cfg)
