@@ -828,6 +828,34 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.select(F.regexp_extract("origin", r"map-(\d+)", 1).cast("int").alias("map_id"), "y", F.col("x").cast("int").alias("x"), "r", "g", "b")
 
 
+@query(f"""{_RASTER}, z as (select map_id, max(y) + 1 h, max(x) + 1 w from m group by map_id)
+    select 'map-' || map_id as name, 'taken' as told, w::int width, h::int height from z union all select 'map-' || map_id || '-cut', 'could not be decoded', null, null from z
+    union all select 'map-' || map_id || '-text', 'could not be decoded', null, null from z""")
+def pictures_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered pictures, the same cut in half, text under a picture's name: what is taken and what is told apart."""
+    base = raster(spark, sf_dir).withColumn("name", F.concat(F.lit("map-"), F.col("map_id")))
+    layer = base.select("name", "y", "x", *[c.alias(n) for n, c in classify.palette(F.col("label")).items()])
+    files = written(images.png_files(layer, base.groupBy("name").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))))
+    variants = {"": F.col("content"), "-cut": F.substring("content", F.lit(1), (F.length("content") / 2).cast("int")), "-text": F.col("name").cast("binary")}
+    every = files.select(F.explode(F.array(*[F.struct(F.concat("name", F.lit(n)).alias("name"), c.alias("content")) for n, c in variants.items()])).alias("f")).select("f.*")
+    folder = f"{shared_dir(spark)}/scans-{uuid.uuid4().hex}"
+    images.write_pngs(every, folder)
+    good, bad = images.ingested(spark, folder)
+    name = F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("name")
+    return good.select(name, F.lit("taken").alias("told"), "width", "height").union(bad.select(name, "reason", F.lit(None).cast("int"), F.lit(None).cast("int")))
+
+
+@query("""select case when event_id % 5 = 0 then 'malformed document' when event_id % 7 = 0 then 'no project id' when event_id % 11 = 0 then 'no version' else 'taken' end told, count(*) n, max(event_id) last from events group by 1""")
+def documents_told_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project documents of which some are cut off, have no id or no version."""
+    whole = F.to_json(F.struct(F.when(F.col("event_id") % 7 == 0, "?").otherwise(F.substring(F.md5(F.col("user_id").cast("string")), 1, 12)).alias("project_id"), F.when(F.col("event_id") % 11 != 0, F.col("event_id")).alias("version"), F.concat(F.lit("map "), F.col("user_id")).alias("name")))
+    body = F.when(F.col("event_id") % 5 == 0, F.substring(whole, F.lit(1), (F.length(whole) / 2).cast("int"))).otherwise(whole)
+    made = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), "event_id", body.alias("body"))
+    good, bad = projects.documents(made.select("path", "body"))
+    every = good.select(F.lit("taken").alias("told"), F.col("version").alias("event_id")).union(bad.select("reason", F.col("path").cast("long")))
+    return every.groupBy("told").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
 _NODES = "n as (select distinct l_suppkey::int map_id, l_linenumber::int node, case l_linenumber when 1 then 'start' when 7 then 'finish' else 'control' end kind from lineitem)"
 _LINES = f"""{_NODES}, s as (select a.map_id, a.node i, b.node j, ((a.map_id * 31 + a.node * b.node * (a.node + 2 * b.node) * 37) * 7919 % 9973) / 9973.0::double support from n a join n b on a.map_id = b.map_id and a.node < b.node),
     e as (select map_id, i, j, support from s union all select map_id, j, i, support from s)"""

@@ -44,6 +44,30 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     return pixels.select("origin", "y", "x", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
 
 
+def ingested(spark: SparkSession, path: str, scale: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """New projects of the pictures below ``path``, and the files that are none.
+
+    Projects are ``(project_id, version, image_file, path, sha, width, height, scale,
+    modified)``, the id twelve digits of the content's sha256, version 1. Rejects are
+    ``(path, sha, reason)``: a type that is no scan's, or a file that does not decode, such
+    as a truncated one. Every file is in one of the two, but for files without a byte,
+    which Spark's file sources do not list. Pictures are decoded in the tasks; of their
+    content only the hash and the size are passed on.
+    """
+    kind = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha"), F.col("modificationTime").alias("modified"), kind.alias("kind"))
+    sizes = spark.read.format("image").option("dropInvalid", False).load(path).select(F.col("image.origin").alias("origin"), "image.width", "image.height", "image.nChannels")
+    reason = F.when(~F.col("kind").isin(list(EXTENSIONS)), "unsupported type").when(F.coalesce("nChannels", F.lit(-1)) < 1, "could not be decoded")
+
+    def plain(c: str):
+        """The sources write the slashes after a scheme differently."""
+        return F.regexp_replace(c, r"^([a-z0-9]+:)/+", "$1/")
+
+    told = files.join(sizes, plain("path") == plain("origin"), "left").withColumn("reason", reason)
+    good = told.where("reason is null").select(F.substring("sha", 1, 12).alias("project_id"), F.lit(1).cast("long").alias("version"), F.concat(F.lit("original"), F.col("kind")).alias("image_file"), "path", "sha", "width", "height", F.lit(scale).alias("scale"), "modified")
+    return good, told.where("reason is not null").select("path", "sha", "reason")
+
+
 def _png_rows(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Filtered scan lines of PNG files, one for each row of pixels."""
     for row in rows:

@@ -36,6 +36,22 @@ def listed(versions: DataFrame) -> DataFrame:
     return latest(versions).orderBy(F.desc("modified"), "project_id")
 
 
+def documents(bodies: DataFrame, schema: str = "project_id string, version long, name string, modified timestamp") -> tuple[DataFrame, DataFrame]:
+    """Project documents of ``(path, body)``, JSON texts, and those that are none: ``(path, reason)``.
+
+    A document that does not parse, or lacks an id of the right form or a version, is told
+    apart and skipped; it does not fail the others.
+    """
+    found = bodies.select("path", F.from_json("body", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("d"))
+    reason = (
+        F.when(F.col("d").isNull() | F.col("d.__bad").isNotNull(), "malformed document")
+        .when(~F.coalesce(F.col("d.project_id").rlike(ID), F.lit(False)), "no project id")
+        .when(F.col("d.version").isNull(), "no version")
+    )
+    told = found.withColumn("reason", reason)
+    return told.where("reason is null").select("d.*").drop("__bad"), told.where("reason is not null").select("path", "reason")
+
+
 def stage_key(*parts: Column) -> Column:
     """sha256 of the JSON of everything that a stage's result depends on."""
     return F.sha2(F.to_json(F.struct(*parts)).cast("binary"), 256)

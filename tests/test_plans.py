@@ -53,6 +53,20 @@ def test_png_round_trip(spark, tmp_path):
     assert images.scan_files(spark, str(tmp_path)).count() == 2
 
 
+def test_ingest_tells_bad_files_apart(spark, tmp_path):
+    shown = pixels(spark, small_map()[:12, :40]).select(F.lit("a").alias("name"), "y", "x", "r", "g", "b", F.lit(255).alias("alpha"))
+    (row,) = images.png_files(shown, spark.createDataFrame([("a", 12, 40)], "name string, height int, width int")).collect()
+    for name, content in {"a.png": row.content, "b.PNG": row.content, "cut.png": row.content[:60], "text.jpg": b"no picture", "notes.txt": b"words"}.items():
+        (tmp_path / name).write_bytes(content)
+    good, bad = images.ingested(spark, str(tmp_path))
+    assert sorted((r.path.rsplit("/", 1)[1], r.width, r.height, r.image_file, len(r.project_id)) for r in good.collect()) == [("a.png", 40, 12, "original.png", 12), ("b.PNG", 40, 12, "original.png", 12)]
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in bad.collect()} == {"cut.png": "could not be decoded", "text.jpg": "could not be decoded", "notes.txt": "unsupported type"}
+    bodies = [("1", '{"project_id": "abcdef12", "version": 2, "name": "x"}'), ("2", '{"project_id": "abcdef12", "version": 3'), ("3", "[]"), ("4", '{"version": 1}'), ("5", '{"project_id": "abcdef13"}'), ("6", None), ("7", "")]
+    good, bad = projects.documents(spark.createDataFrame(bodies, "path string, body string"))
+    assert [(r.project_id, r.version) for r in projects.latest(good).collect()] == [("abcdef12", 2)]
+    assert sorted(r.path for r in bad.collect()) == ["2", "3", "4", "5", "6", "7"]
+
+
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "projects")
     for version, name in ((1, "old"), (2, "new")):
