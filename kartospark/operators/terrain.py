@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kartospark.operators.classify import fine_cost
 from kartospark.operators.stencil import close_diagonals, dilate, opened_by
 from kartospark.settings import BLACK, BLUE, GREY, OLIVE, Settings
+from kartospark.sources.shared import written
 
 INF = float("inf")
 
@@ -110,3 +111,34 @@ def cost_cells(plane: DataFrame, cell_px: int, cfg: Settings | None = None) -> D
     dense = shut.withColumnsRenamed({"r": "y", "c": "x"})
     closed = close_diagonals(dense, "shut", "closed").withColumnsRenamed({"y": "r", "x": "c"})
     return closed.select("map_id", "r", "c", F.when(F.col("closed"), F.lit(INF)).otherwise(F.col("mean")).alias("cost"), "barrier")
+
+
+def edited_cells(planes: DataFrame, cells: DataFrame, before: DataFrame, after: DataFrame, cell_px: int, cfg: Settings | None = None, origin: tuple[int, int] = (0, 0)) -> DataFrame:
+    """``cells`` of ``planes`` under the edits ``before``, brought to the edits ``after``: equal to a full run, but made of few pixels.
+
+    Edits ``(map_id, edit_id, kind, points)`` that only one side has make the cells that
+    their boxes cover dirty. A cell can also be closed or opened by one beside it, so
+    those around dirty ones are made anew too, from the pixels of one more cell around.
+    Only rows of pixels between the first and the last of these are read.
+    """
+    columns = ["map_id", "edit_id", "kind", "points"]
+    a, b = before.select(columns), after.select(columns)
+    changed = a.subtract(b).union(b.subtract(a)).where(F.size("points") >= 3)
+
+    def span(axis: str, start: int) -> Column:
+        values = F.transform("points", lambda p: F.floor((F.rint(p[axis]) - start) / cell_px).cast("int"))
+        return F.sequence(F.array_min(values) - 2, F.array_max(values) + 2)
+
+    boxes = changed.select("map_id", span("y", origin[1]).alias("rs"), span("x", origin[0]).alias("cs"))
+    inner = F.col("i").between(1, F.size("rs") - 2) & F.col("j").between(1, F.size("cs") - 2)
+    blocks = boxes.select("map_id", "rs", "cs", F.posexplode("rs").alias("i", "r")).select("map_id", "rs", "cs", "i", "r", F.posexplode("cs").alias("j", "c"))
+    needed = written(blocks.groupBy("map_id", "r", "c").agg(F.bool_or(inner).alias("anew")))
+    low, high = needed.agg(F.min("r"), F.max("r")).first()
+    if low is None:
+        return cells
+    here = planes.where(F.col("y").between(low * cell_px, (high + 1) * cell_px - 1)).withColumns({"__r": F.floor(F.col("y") / cell_px).cast("int"), "__c": F.floor(F.col("x") / cell_px).cast("int")})
+    asked = needed.select("map_id", F.col("r").alias("__r"), F.col("c").alias("__c"))
+    pixels = written(here.join(asked, ["map_id", "__r", "__c"], "left_semi").drop("__r", "__c"))
+    made = cost_cells(apply_edits(pixels, polygon_pixels(pixels, after, origin), ["forbidden", "barrier"]), cell_px, cfg)
+    anew = needed.where("anew").select("map_id", "r", "c")
+    return cells.join(anew, ["map_id", "r", "c"], "left_anti").unionByName(made.join(anew, ["map_id", "r", "c"], "left_semi"))

@@ -272,6 +272,19 @@ def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.apply_edits(plane, masks, ["forbidden", "barrier"]).select("map_id", "y", "x", "forbidden", "barrier")
 
 
+@query(f"""{_polygon_sql()}, said as (select map_id, y, x, bool_or(kind = 'forbid') f, bool_or(kind = 'allow') a from inside group by map_id, y, x),
+    p as (select m.map_id, m.y, m.x, label, (v % 5 = 0 or coalesce(said.f, false)) and not coalesce(said.a, false) f, v % 97 = 0 and not coalesce(said.a, false) bar from m left join said using (map_id, y, x)),
+    {_CELLS[_CELLS.index("g as (select map_id, (y // 4)"):]} select map_id, r, c, cost = 'infinity'::double shut, case when cost < 'infinity'::double then round(cost, 6) end cost, bar barrier from cells""")
+def cells_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost cells brought from every other edit to all of them, only cells near changed ones made anew."""
+    plane = raster(spark, sf_dir).withColumns({"forbidden": F.col("v") % 5 == 0, "barrier": F.col("v") % 97 == 0})
+    every = edits(spark)
+    before = every.where(F.pmod(F.xxhash64("edit_id"), F.lit(2)) == 0)
+    start = terrain.cost_cells(terrain.apply_edits(plane, terrain.polygon_pixels(plane, before), ["forbidden", "barrier"]), 4)
+    found = terrain.edited_cells(plane, start, before, every, 4)
+    return found.select("map_id", "r", "c", (F.col("cost") == INF).alias("shut"), F.when(F.col("cost") < INF, F.round("cost", 6)).alias("cost"), "barrier")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c = F.col("l_linenumber"), F.col("l_suppkey") % 15, F.col("l_partkey") % 12000
     text = F.when(F.col("l_orderkey") % 4 == 0, F.concat_ws("/", a, b)).when(F.col("l_orderkey") % 4 == 1, F.concat(a, F.lit("/"), b, F.lit("-"), c)).when(F.col("l_orderkey") % 4 == 2, F.concat(F.lit(" "), b, F.lit("-"), c)).otherwise(F.concat(F.lit("-"), a))

@@ -219,3 +219,25 @@ def test_allow_wins_over_forbid(spark):
     out = terrain.apply_edits(df, terrain.polygon_pixels(df, edits), ["forbidden", "barrier"])
     forbidden, barrier = grid(out, "forbidden", (20, 20)), grid(out, "barrier", (20, 20))
     assert forbidden.sum() == 121 - 9 and not forbidden[4:7, 4:7].any() and not barrier[4:7, 4:7].any() and barrier.sum() == 400 - 9
+
+
+def test_edited_cells_equal_a_full_run(spark):
+    """Edits added, moved, changed in kind and taken away, next to each other, at the border and beyond it."""
+    rng = np.random.default_rng(11)
+    labels = rng.choice([BEIGE, WHITE, BROWN], (50, 60))
+    base = plane(spark, labels, forbidden=rng.random(labels.shape) < 0.2, barrier=rng.random(labels.shape) < 0.01)
+    schema = "map_id string, edit_id string, kind string, points array<struct<x:double,y:double>>"
+
+    def box(i, kind, x, y, w, h):
+        return ("m", i, kind, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+
+    stays = box("a", "forbid", 5.0, 5.0, 8.0, 8.0)
+    before = spark.createDataFrame([stays, box("b", "allow", 20.0, 30.0, 6.0, 5.0), box("c", "forbid", 40.0, 10.0, 3.0, 3.0), ("m", "d", "forbid", [(1.0, 1.0), (2.0, 2.0)])], schema)
+    after = spark.createDataFrame([stays, box("b", "forbid", 20.0, 30.0, 6.0, 5.0), box("e", "allow", 55.0, 44.0, 30.0, 30.0), box("f", "forbid", 28.0, 30.0, 2.0, 2.0)], schema)
+
+    def full(edits):
+        return terrain.cost_cells(terrain.apply_edits(base, terrain.polygon_pixels(base, edits), ["forbidden", "barrier"]), 3)
+
+    got = terrain.edited_cells(base, full(before), before, after, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full(after).collect()))
+    assert terrain.edited_cells(base, full(before), before, before, 3).count() == 17 * 20
