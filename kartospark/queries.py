@@ -565,7 +565,35 @@ def finish_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(spark, sf_dir).select("map_id", "cid", "radius", F.round("support", 6).alias("support"))
 
 
-@query()
+def _skeleton_sql() -> str:
+    """Thinning by rounds over the whole plane, more of them than half its width; then segments by spreading, owners by comparing all pairs."""
+    row, column = "partition by map_id, y order by x", "partition by map_id, x order by y"
+    near = "rows between 1 preceding and 1 following"
+
+    def around(how: str, c: str, source: str) -> str:
+        return f"select map_id, y, x, {how}(h) over ({column} {near}) {c} from (select map_id, y, x, {how}({c}) over ({row} {near}) h from {source})"
+
+    ring = ["nn", "ne", "ee", "se", "ss", "sw", "ww", "nw"]
+    turns = " + ".join(f"({a} = 0 and {b} = 1)::int" for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+    step = f"""select k + 1, map_id, y, x, (o = 1 and not ({" + ".join(ring)} between 2 and 6 and {turns} = 1 and case when k % 2 = 0 then nn * ee * ss = 0 and ee * ss * ww = 0 else nn * ee * ww = 0 and nn * ss * ww = 0 end))::int
+        from (select k, map_id, y, x, o, ww, ee, coalesce(lag(o) over c, 0) nn, coalesce(lead(o) over c, 0) ss, coalesce(lag(ee) over c, 0) ne, coalesce(lag(ww) over c, 0) nw, coalesce(lead(ee) over c, 0) se, coalesce(lead(ww) over c, 0) sw
+          from (select *, coalesce(lag(o) over r, 0) ww, coalesce(lead(o) over r, 0) ee from thin where k < 70 window r as ({row})) window c as ({column}))"""
+    return f"""{_RASTER.replace("with r", "with recursive r")},
+        e1 as ({around("min", "o", "(select map_id, y, x, (not m3)::int o from m)")}), e2 as ({around("max", "o", "e1")}), pl as ({around("max", "o", "e2")}),
+        thin(k, map_id, y, x, o) as (select 0, map_id, y, x, o from pl union all {step}),
+        sk as materialized (select map_id, y, x from thin where k = 70 and o = 1),
+        p as materialized (select a.map_id, a.y, a.x from sk a join sk b on b.map_id = a.map_id and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 group by 1, 2, 3 having count(*) - 1 < 3),
+        t as (select map_id, y, x, y ry, x rx from p union select b.map_id, b.y, b.x, t.ry, t.rx from t join p b on b.map_id = t.map_id and {_NEXT8}),
+        sg as materialized (select map_id, y, x, min(ry * 1000 + rx) k from t group by map_id, y, x),
+        n1 as (select a.map_id, a.y, a.x, min(((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))::bigint * 1000000 + b.y * 1000 + b.x) d from pl a join sk b on b.map_id = a.map_id where a.o = 1 group by 1, 2, 3),
+        o1 as (select n1.map_id, n1.y, n1.x, k from n1 left join sg on sg.map_id = n1.map_id and sg.y = d // 1000 % 1000 and sg.x = d % 1000),
+        n2 as (select a.map_id, a.y, a.x, min(((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))::bigint * 1000000 + b.y * 1000 + b.x) d from o1 a join sg b on b.map_id = a.map_id where a.k is null group by 1, 2, 3),
+        ow as (select map_id, y, x, k from o1 where k is not null union all select n2.map_id, n2.y, n2.x, sg.k from n2 join sg on sg.map_id = n2.map_id and sg.y = d // 1000 % 1000 and sg.x = d % 1000),
+        le as (select map_id, k, count(*) length from sg group by map_id, k)
+        select map_id, (k // 1000)::int sy, (k % 1000)::int sx, count(*) area, any_value(length) length, count(*)::double / any_value(length) width from ow join le using (map_id, k) group by map_id, k"""
+
+
+@query(_skeleton_sql())
 def skeleton_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = stencil.opened(raster(spark, sf_dir).withColumn("on", ~F.col("m3")), "on", 1, "__o").select("map_id", "y", "x", F.col("__o").alias("on"))
     plane = written(stencil.dilate(plane, "on", 1, "wide"))
@@ -574,12 +602,6 @@ def skeleton_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.segment_widths(lines.owners(thin, "wide", "skel", segments), segments).select("map_id", F.col("seg.y").alias("sy"), F.col("seg.x").alias("sx"), "area", "length", "width")
 
 
-@query()
-def overprint_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plane = raster(spark, sf_dir).select("map_id", "y", "x", "label", F.col("m3").alias("purple"))
-    return areas.outside_map(areas.hatched(plane, 2.0), 1.0).select("map_id", "y", "x", "hatch", "outside")
-
-
 _VOTES = f"""{_RASTER}, p as (select map_id, y, x from m where m4),
     sl as (select t.map_id, t.y, t.x, -sum({rings.ALONG}[t.x - b.x + 4] * {rings.ACROSS}[t.y - b.y + 4]) gx, -sum({rings.ALONG}[t.y - b.y + 4] * {rings.ACROSS}[t.x - b.x + 4]) gy
       from p t join p b on b.map_id = t.map_id and abs(b.y - t.y) <= 3 and abs(b.x - t.x) <= 3 group by 1, 2, 3),
@@ -627,6 +649,12 @@ def hatch_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.hatched_by_components(plane, 1.0, _HATCH)
 
 
+@query()
+def overprint_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plane = raster(spark, sf_dir).select("map_id", "y", "x", "label", F.col("m3").alias("purple"))
+    return areas.outside_map(areas.hatched(plane, 2.0), 1.0).select("map_id", "y", "x", "hatch", "outside")
+
+
 _COURSE_LEGS = f"""pts as ({_POINTS}), {_CELL_EDGE},
     q as (select map_id, pid, greatest(0, least(h, floor(py / 4))) r0, greatest(0, least(w, floor(px / 4))) c0 from pts join e using (map_id)),
     spot as (select map_id, pid, (k // 1000 % 1000)::int r, (k % 1000)::int c from (select map_id, pid, min(((r - r0) * (r - r0) + (c - c0) * (c - c0))::bigint * 1000000 + r * 1000 + c) k from q join grid using (map_id) group by map_id, pid)),
