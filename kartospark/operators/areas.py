@@ -138,8 +138,9 @@ def outside_map(plane: DataFrame, px_per_mm: float, cfg: Settings | None = None)
     k = max(3, _odd(cfg.map_gap_mm * px_per_mm))
     size = plane.groupBy("map_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     canvas = size.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") + 2 * k))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") + 2 * k))).drop("h", "w")
-    grown = dilate_by(content.where("__on").select("map_id", (F.col("y") + k).alias("y"), (F.col("x") + k).alias("x")), ellipse(k)).withColumn("__d", F.lit(True))
-    dilated = canvas.join(grown, ["map_id", "y", "x"], "left").withColumn("__m", F.col("__d").isNotNull()).drop("__d")
+    shown = written(content.where("__on").select("map_id", (F.col("y") + k).alias("y"), (F.col("x") + k).alias("x")))
+    grown = dilate_by(shown, ellipse(k)).withColumn("__d", F.lit(True))
+    dilated = written(canvas.join(grown, ["map_id", "y", "x"], "left").withColumn("__m", F.col("__d").isNotNull()).drop("__d"))
     closed = written(erode_by(dilated, "__m", ellipse(k), "on").select("map_id", "y", "x", "on"))
     mapped = fill_holes(closed).where("on").select("map_id", (F.col("y") - k).alias("y"), (F.col("x") - k).alias("x"), F.lit(True).alias("__mapped"))
     return plane.join(mapped, ["map_id", "y", "x"], "left").withColumn("outside", (F.col("label") == WHITE) & F.col("__mapped").isNull()).drop("__mapped")

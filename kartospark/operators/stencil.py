@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kartospark.sources.shared import written
+
 
 def by_row() -> WindowSpec:
     return Window.partitionBy("map_id", "y").orderBy("x")
@@ -88,10 +90,11 @@ def erode_by(plane: DataFrame, mask: str, offsets: list[tuple[int, int]], out: s
 
 
 def opened_by(plane: DataFrame, mask: str, k: int, out: str) -> DataFrame:
-    """Opening by an ellipse of size k; even sizes are allowed."""
+    """Opening by an ellipse of size k; even sizes are allowed. The mask and what is left of it are written, as each is read several times."""
     offsets = ellipse(k)
-    left = erode_by(plane, mask, offsets, "__e")
-    grown = dilate_by(left.where("__e").select("map_id", "y", "x"), [(-dy, -dx) for dy, dx in offsets]).withColumn("__d", F.lit(True))
+    own = written(plane.select("map_id", "y", "x", mask))
+    left = written(erode_by(own, mask, offsets, "__e").where("__e").select("map_id", "y", "x"))
+    grown = dilate_by(left, [(-dy, -dx) for dy, dx in offsets]).withColumn("__d", F.lit(True))
     return plane.join(grown, ["map_id", "y", "x"], "left").withColumn(out, F.col("__d").isNotNull()).drop("__d")
 
 
