@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kartospark.functions.maps import with_map_values
+
 
 def gray(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
@@ -48,7 +50,7 @@ def white_balance(df: DataFrame, percentile: float = 95.0, least_pixels: int = 1
     """
     g = gray(F.col("r"), F.col("g"), F.col("b"))
     cut = df.groupBy("map_id").agg(F.percentile(g, F.lit(percentile / 100.0)).alias("__cut"))
-    bright = df.join(cut, "map_id").where(g >= F.col("__cut") - 1e-9)  # interpolation may round up
+    bright = with_map_values(df, cut).where(g >= F.col("__cut") - 1e-9)  # interpolation may round up
     mean = bright.groupBy("map_id").agg(F.avg("r").alias("__r"), F.avg("g").alias("__g"), F.avg("b").alias("__b"), F.count(F.lit(1)).alias("__n"))
 
     def balanced(c: str) -> Column:
@@ -56,4 +58,4 @@ def white_balance(df: DataFrame, percentile: float = 95.0, least_pixels: int = 1
         scaled = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(c) * gain)))
         return F.when(F.col("__n") >= least_pixels, scaled).otherwise(F.col(c)).cast("int")
 
-    return df.join(mean, "map_id").withColumns({c: balanced(c) for c in "rgb"}).drop("__r", "__g", "__b", "__n")
+    return with_map_values(df, mean).withColumns({c: balanced(c) for c in "rgb"}).drop("__r", "__g", "__b", "__n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartospark.functions.color import with_lab
+from kartospark.functions.maps import with_map_values
 from kartospark.settings import CLASS_NAMES, DISPLAY_COLORS, REFERENCE_COLORS, UNKNOWN, Settings
 
 
@@ -13,8 +14,8 @@ def nearest_reference(df: DataFrame, refs: DataFrame, axes: list[str], max_dista
     """The class of the nearest reference for each row; the first reference wins ties, none within reach is ``UNKNOWN``.
 
     ``refs`` is ``(map_id, ref_idx, class_id, <axes>)``: a few dozen rows a map, folded to
-    one array row a map, so pixels meet their references in an equi-join on the map and
-    never multiply.
+    one array row a map, so pixels meet their references in an equi-join on the map, dealt
+    into parts, and never multiply.
     """
     folded = refs.groupBy("map_id").agg(F.collect_list(F.struct("ref_idx", "class_id", *axes)).alias("__refs"))
 
@@ -22,24 +23,36 @@ def nearest_reference(df: DataFrame, refs: DataFrame, axes: list[str], max_dista
         d2 = sum(((F.col(a) - ref[a]) * (F.col(a) - ref[a]) for a in axes), F.lit(0))
         return F.struct(d2.alias("d2"), ref["ref_idx"].alias("ref_idx"), ref["class_id"].alias("class_id"))
 
-    best = df.join(folded, "map_id").withColumn("__best", F.array_min(F.transform("__refs", scored)))
+    best = with_map_values(df, folded).withColumn("__best", F.array_min(F.transform("__refs", scored)))
     label = F.col("__best.class_id")
     if max_distance is not None:
         label = F.when(F.col("__best.d2") <= max_distance * max_distance, label).otherwise(F.lit(UNKNOWN))
     return best.withColumn(out, label.cast("int")).drop("__refs", "__best")
 
 
+def checked_samples(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clicked points ``(map_id, class_name, sx, sy)`` with their class, in upper case as ``class_name`` and by number as ``class_id``, and those of no class.
+
+    Rejects are ``(map_id, class_name, n, reason)``, one row a map and name as it was
+    given; ``UNKNOWN`` and null are no class. A name without points has no rows, so it is
+    in neither.
+    """
+    names = F.array(*map(F.lit, CLASS_NAMES[:UNKNOWN]))
+    named = samples.withColumn("class_id", F.coalesce(F.array_position(names, F.upper("class_name")), F.lit(0)) - 1)
+    good = named.where("class_id >= 0").withColumn("class_name", F.upper("class_name"))
+    bad = named.where("class_id < 0").groupBy("map_id", "class_name").agg(F.count(F.lit(1)).alias("n"))
+    return good, bad.withColumn("reason", F.lit("unknown class"))
+
+
 def sample_references(pixels: DataFrame, samples: DataFrame, patch: int = 5) -> DataFrame:
     """``(map_id, class_id, sx, sy, r, g, b)``: mean colours, truncated, of patches around clicked points.
 
     ``samples`` is ``(map_id, class_name, sx, sy)``. Patches are clipped to the map; points
-    outside it, unknown names and ``UNKNOWN`` are dropped.
+    outside it are dropped, as are those that ``checked_samples`` rejects.
     """
-    names = F.array(*map(F.lit, CLASS_NAMES[:UNKNOWN]))
     half = patch // 2
-    class_id = F.array_position(names, F.upper("class_name")) - 1
     size = pixels.groupBy("map_id").agg(F.max("x").alias("__w"), F.max("y").alias("__h"))
-    good = samples.withColumn("class_id", class_id).where("class_id >= 0").join(size, "map_id").where("sx between 0 and __w and sy between 0 and __h")
+    good = checked_samples(samples)[0].join(size, "map_id").where("sx between 0 and __w and sy between 0 and __h")
     spread = good.select("map_id", "class_id", "sx", "sy", F.explode(F.sequence(F.col("sy") - half, F.col("sy") + half)).alias("y")).withColumn("x", F.explode(F.sequence(F.col("sx") - half, F.col("sx") + half)))
     means = spread.join(pixels.select("map_id", "y", "x", "r", "g", "b"), ["map_id", "y", "x"]).groupBy("map_id", "class_id", "sx", "sy").agg(*[F.floor(F.avg(c)).cast("int").alias(c) for c in "rgb"])
     return means
@@ -90,14 +103,14 @@ def cost_ramp(cells: DataFrame) -> DataFrame:
     def channel(forbidden: int, value: Column) -> Column:
         return F.when(bad, F.lit(forbidden)).otherwise(F.floor(value).cast("int"))
 
-    ramp = cells.join(ends, "map_id", "left")
+    ramp = with_map_values(cells, ends, "c", "left")
     return ramp.withColumns({"r": channel(40, 255 * t), "g": channel(0, 255 * (1 - t)), "b": F.lit(40), "alpha": F.lit(255)}).drop("__lo", "__hi")
 
 
 def enlarged(cells: DataFrame, cell_px: int, size: DataFrame) -> DataFrame:
     """Each cell as ``cell_px`` squared pixels, trimmed to the map's ``(map_id, height, width)``."""
     grown = cells.withColumn("y", F.explode(F.sequence(F.col("r") * cell_px, F.col("r") * cell_px + cell_px - 1))).withColumn("x", F.explode(F.sequence(F.col("c") * cell_px, F.col("c") * cell_px + cell_px - 1)))
-    return grown.join(size, "map_id").where("y < height and x < width").drop("height", "width")
+    return with_map_values(grown, size).where("y < height and x < width").drop("height", "width")
 
 
 def placed(layer: DataFrame, x0: int, y0: int) -> DataFrame:

@@ -14,36 +14,43 @@ from kartospark.settings import BLACK, Settings
 from kartospark.sources.shared import written
 
 
+def _half_pass(df: DataFrame, out: str, half: int) -> DataFrame:
+    """One half of a thinning step on rows that hold every set pixel's eight neighbours; rows with nothing set around go."""
+
+    def at(c: str, over: WindowSpec, step: int):
+        col = F.lead(c).over(over) if step > 0 else F.lag(c).over(over)
+        return F.coalesce(col, F.lit(0))
+
+    rows = df.withColumn("__o", F.col(out).cast("int"))
+    rows = rows.withColumns({"__w": at("__o", by_row(), -1), "__e": at("__o", by_row(), 1)})
+    n8 = rows.withColumns({f"__{v}{h}": at(f"__{h}", by_column(), s) for v, s in (("n", -1), ("s", 1)) for h in "owe"})
+    ring = [F.col(c) for c in ("__no", "__ne", "__e", "__se", "__so", "__sw", "__w", "__nw")]
+    count = sum(ring[1:], ring[0])
+    turns = sum(((ring[i] == 0) & (ring[(i + 1) % 8] == 1)).cast("int") for i in range(8))
+    n, e, s, w = ring[0], ring[2], ring[4], ring[6]
+    ends = ((n * e * s == 0) & (e * s * w == 0)) if half == 0 else ((n * e * w == 0) & (n * s * w == 0))
+    drop = F.col(out) & count.between(2, 6) & (turns == 1) & ends
+    return n8.where(F.col(out) | (count > 0)).select("map_id", "y", "x", (F.col(out) & ~drop).alias(out), (F.col("__fell") | drop).alias("__fell"))
+
+
 def skeleton(plane: DataFrame, mask: str, out: str = "skel") -> DataFrame:
     """Zhang-Suen thinning of a dense plane's mask.
 
     Each of the two half passes reads the eight neighbours by windows along rows and
     columns and clears border pixels; passes repeat until none changes, about half the
-    widest stroke's width.
+    widest stroke's width. Only set pixels and those beside them are kept between passes:
+    what a set pixel reads is then still there and next to it, and what others read does
+    not matter.
     """
-    df = plane.withColumn(out, F.col(mask))
+    band = dilate(plane.select("map_id", "y", "x", F.col(mask).alias(out)), out, 1, "__near").where("__near")
+    df = written(band.select("map_id", "y", "x", out))
     while True:
-        changed = 0
-        for half in (0, 1):
-
-            def at(c: str, over: WindowSpec, step: int):
-                col = F.lead(c).over(over) if step > 0 else F.lag(c).over(over)
-                return F.coalesce(col, F.lit(0))
-
-            rows = df.withColumn("__o", F.col(out).cast("int"))
-            rows = rows.withColumns({"__w": at("__o", by_row(), -1), "__e": at("__o", by_row(), 1)})
-            n8 = rows.withColumns({f"__{v}{h}": at(f"__{h}", by_column(), s) for v, s in (("n", -1), ("s", 1)) for h in "owe"})
-            ring = [F.col(c) for c in ("__no", "__ne", "__e", "__se", "__so", "__sw", "__w", "__nw")]
-            count = sum(ring[1:], ring[0])
-            turns = sum(((ring[i] == 0) & (ring[(i + 1) % 8] == 1)).cast("int") for i in range(8))
-            n, e, s, w = ring[0], ring[2], ring[4], ring[6]
-            ends = ((n * e * s == 0) & (e * s * w == 0)) if half == 0 else ((n * e * w == 0) & (n * s * w == 0))
-            drop = F.col(out) & count.between(2, 6) & (turns == 1) & ends
-            df = written(n8.withColumn("__drop", drop).withColumn(out, F.col(out) & ~drop).select(*plane.columns, out, "__drop"))
-            changed += df.where("__drop").count()
-            df = df.drop("__drop")
-        if not changed:
-            return df
+        df = written(_half_pass(_half_pass(df.withColumn("__fell", F.lit(False)), out, 0), out, 1))
+        if df.where("__fell").isEmpty():
+            break
+        df = df.drop("__fell")
+    left = df.where(out).select("map_id", "y", "x", F.lit(True).alias(out))
+    return written(plane.join(left, ["map_id", "y", "x"], "left").withColumn(out, F.coalesce(out, F.lit(False))))
 
 
 def stroke_segments(plane: DataFrame, skel: str = "skel") -> DataFrame:

@@ -27,21 +27,46 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(wanted).select(F.substring(sha, 1, 12).alias("map_id"), "path", F.col("modificationTime").alias("modified"), sha.alias("sha"), "content")
 
 
+#: Pixels that a task passes on at once.
+_AT_ONCE = 1 << 18
+
+
+def _pixel_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixels of rows ``(origin, y, channels, line)``, many rows together."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("origin", "y", "channels", "line")), strict=True)
+        origins, ys, xs, colors, size = [], [], [], [], 0
+        for origin, y, channels, line in rows:
+            there = np.frombuffer(line, dtype=np.uint8).reshape(-1, channels)[:, 2::-1]
+            origins.append(origin)
+            ys.append(y)
+            xs.append(len(there))
+            colors.append(there)
+            size += len(there)
+            if size >= _AT_ONCE:
+                yield _pixel_batch(origins, ys, xs, colors)
+                origins, ys, xs, colors, size = [], [], [], [], 0
+        if size:
+            yield _pixel_batch(origins, ys, xs, colors)
+
+
+def _pixel_batch(origins: list[str], ys: list[int], widths: list[int], colors: list[np.ndarray]) -> pa.RecordBatch:
+    row, every = np.repeat(np.arange(len(ys)), widths), np.concatenate(colors).astype(np.int32)
+    x = np.concatenate([np.arange(w, dtype=np.int32) for w in widths])
+    parts = [pa.array(origins, type=pa.string()).take(pa.array(row)), pa.array(np.array(ys, dtype=np.int32)[row]), pa.array(x), *[pa.array(np.ascontiguousarray(every[:, i])) for i in range(3)]]
+    return pa.RecordBatch.from_arrays(parts, names=["origin", "y", "x", "r", "g", "b"])
+
+
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     """``(origin, y, x, r, g, b)`` of every pixel of decodable images below ``path``; others are skipped.
 
-    Bytes are blue, green, red (and alpha), row by row; a row of pixels is cut out first,
-    so no array is larger than an image row.
+    Bytes are blue, green, red (and alpha), row by row; rows of pixels are cut out and
+    each is decoded once, as an array.
     """
     images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where("nChannels >= 3")
     width = F.col("width") * F.col("nChannels")
-    rows = images.select("origin", "width", "nChannels", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", y * width + 1, width))).alias("y", "line"))
-    pixels = rows.select("origin", "y", "nChannels", F.hex("line").alias("hex"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-
-    def channel(i: int):
-        return F.conv(F.substring("hex", (F.col("x") * F.col("nChannels") + i) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-
-    return pixels.select("origin", "y", "x", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
+    rows = images.select("origin", F.col("nChannels").alias("channels"), F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", y * width + 1, width))).alias("y", "line"))
+    return rows.mapInArrow(_pixel_batches, "origin string, y int, x int, r int, g int, b int")
 
 
 def ingested(spark: SparkSession, path: str, scale: int = 4000) -> tuple[DataFrame, DataFrame]:
