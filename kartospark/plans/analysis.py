@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -215,6 +216,52 @@ def detection(labels: DataFrame, texts: DataFrame | None = None, cfg: Settings |
     return Detection(r0, nodes, controls, scales.select("map_id", ppm.alias("px_per_mm"), "source"), messages)
 
 
+def label_boxes(found: Detection, labels: DataFrame, cfg: Settings | None = None) -> DataFrame:
+    """``(map_id, lid, x0, y0, x1, y1, n)``: boxes of lines of text on detected maps, ends exclusive, for a reader of labels.
+
+    ``labels`` is ``(map_id, y, x, label)``, with a ``purple_score`` if there is one, which
+    holds digits together where the classes break them apart. Symbols and legs are erased,
+    the rest is grouped to lines of ``n`` components. What a reader makes of the boxes are
+    the ``texts`` of ``detection``; ``lid`` is made of a line's place.
+    """
+    cfg = cfg or Settings()
+    ink = F.col("label") == PURPLE
+    if "purple_score" in labels.columns:
+        ink = ink | (F.col("purple_score") >= cfg.label_score_min_ratio)
+    mask = written(labels.where(ink).join(found.r0, "map_id", "left_semi").select("map_id", "y", "x"))
+    sized = found.nodes.join(found.r0, "map_id")
+    clean = course.erased(mask, sized, F.col("r0")).select("map_id", "y", "x")
+    pairs = course.node_pairs(found.nodes).join(found.r0, "map_id")
+    legs = rings.line_support(pairs, clean, F.col("r0")).where(F.col("support") >= course.LEG_SUPPORT)
+    text = written(course.text_ink(mask, sized, pairs.join(legs, ["map_id", "i", "j"], "left_semi"), F.col("r0")).select("map_id", "y", "x"))
+    parts = graph.component_stats(graph.mask_components(text)).join(found.r0, "map_id")
+    place = F.col("comp.y").cast("long") * (1 << 32) + F.col("comp.x")
+    parts = written(parts.select("map_id", place.alias("part"), "area", "x0", "y0", (F.col("x1") + 1).alias("x1"), (F.col("y1") + 1).alias("y1"), "r0"))
+    return course.text_lines(parts, F.col("r0")).withColumnRenamed("line", "lid")
+
+
+#: Resolutions are told apart by this much, in pixels a millimetre: less than 1 % of any scan's that can be read.
+SCALE_STEP = 0.05
+
+
+def at_own_scale(px_per_mm: DataFrame, run: Callable[[DataFrame, float], DataFrame], step: float = SCALE_STEP) -> DataFrame:
+    """What ``run(maps, px_per_mm)`` gives for all maps, each at its own resolution, as ``detection`` tells them.
+
+    ``px_per_mm`` is ``(map_id, px_per_mm)``. Widths of windows are part of a plan, so
+    there is one run for each resolution that occurs, to the nearest ``step``: a few
+    hundred at most, however many maps there are. ``maps`` are the ``map_id`` of a run,
+    to be semi-joined with what it reads. Maps without a resolution, or one that is not
+    above zero, have no rows; without any map the result is that of ``run`` on none.
+    """
+    own = written(px_per_mm.where("px_per_mm > 0").select("map_id", F.greatest(F.lit(1), F.rint(F.col("px_per_mm") / step)).cast("int").alias("__step")).distinct())
+    scales = sorted(r[0] for r in own.select("__step").distinct().collect())
+    runs = [run(own.where(F.col("__step") == k).select("map_id"), k * step) for k in scales] or [run(own.select("map_id"), 1.0)]
+    out = runs[0]
+    for more in runs[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def layers(planes: DataFrame, cells: DataFrame, cell_px: int, size: DataFrame) -> DataFrame:
     """``(name, y, x, r, g, b, alpha)`` of all rendered layers, named ``<map>-<layer>``."""
 

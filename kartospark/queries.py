@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kartospark.functions import color
 from kartospark.operators import areas, classify, course, graph, lines, nearest, rings, routing, stencil, terrain
-from kartospark.plans import stages
+from kartospark.plans import analysis, stages
 from kartospark.settings import CLASS_NAMES, DISPLAY_COLORS, REFERENCE_COLORS, Settings, terrain_class
 from kartospark.sources import images, projects
 from kartospark.sources.shared import shared_dir, written
@@ -162,6 +162,19 @@ def block_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("map_id", "r", "c", (F.col("cost") == INF).alias("shut"), F.when(F.col("cost") < INF, F.round("cost", 6)).alias("cost"), "barrier")
 
 
+@query(f"""{_CELLS.replace("y // 4", "y // sz").replace("x // 4", "x // sz").replace("p as (select *,", "p as (select *, 2 + map_id % 3 sz,")} select map_id, r, c, cost = 'infinity'::double shut, case when cost < 'infinity'::double then round(cost, 6) end cost, bar barrier from cells""")
+def cells_by_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost cells of maps that were scanned at different resolutions, cells being equally large on paper."""
+    plane = written(raster(spark, sf_dir).withColumns({"forbidden": F.col("v") % 5 == 0, "barrier": F.col("v") % 97 == 0}))
+    scales = plane.select("map_id").distinct().withColumn("px_per_mm", (2 + F.col("map_id") % 3) / F.lit(Settings().cell_mm))
+
+    def made(maps: DataFrame, px_per_mm: float) -> DataFrame:
+        return terrain.cost_cells(plane.join(maps, "map_id", "left_semi"), terrain.cell_size(px_per_mm))
+
+    found = analysis.at_own_scale(scales, made)
+    return found.select("map_id", "r", "c", (F.col("cost") == INF).alias("shut"), F.when(F.col("cost") < INF, F.round("cost", 6)).alias("cost"), "barrier")
+
+
 @query(f"""{_RASTER}, w as (select *, coalesce(lead(m3) over (partition by map_id, y order by x), false) e, coalesce(lag(m3) over (partition by map_id, y order by x), false) w, coalesce(lead(m3) over (partition by map_id, x order by y), false) d from m)
     select map_id, y, x, m3 or (e or w) and d closed from w""")
 def diag_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -958,11 +971,40 @@ def course_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course.visits(nodes, order).select("map_id", F.col("id").cast("int").alias("id"), F.col("order").alias("ord"))
 
 
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("pid") % 3 == 0, "start").when(F.col("pid") % 3 == 1, "control").otherwise("finish")
+    return points(spark, sf_dir).select("map_id", F.col("pid").alias("node"), kind.alias("kind"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pr").alias("r"))
+
+
 @query(f"""{_RASTER}, c as (select *, case pid % 3 when 0 then 'start' when 1 then 'control' else 'finish' end kind from ({_POINTS})),
     d as (select m.map_id, m.y, m.x, c.*, sqrt((m.x - round_even(px, 0)) * (m.x - round_even(px, 0)) + (m.y - round_even(py, 0)) * (m.y - round_even(py, 0))) d from m join c on c.map_id = m.map_id where m.m3),
     gone as (select distinct map_id, y, x from d where kind = 'start' and d <= round_even(1.1::double * pr, 0) or kind <> 'start' and abs(d - round_even(pr, 0)) <= 1.5 or kind = 'finish' and abs(d - round_even(pr * 5 / 7, 0)) <= 1.5)
     select m.map_id, m.y, m.x from m where m3 and not exists (select 1 from gone g where g.map_id = m.map_id and g.y = m.y and g.x = m.x)""".replace("select m.map_id, m.y, m.x, c.*,", "select m.map_id, m.y, m.x, pr, kind,"))
 def symbols_erased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("pid") % 3 == 0, "start").when(F.col("pid") % 3 == 1, "control").otherwise("finish")
-    nodes = points(spark, sf_dir).select("map_id", F.col("pid").alias("node"), kind.alias("kind"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pr").alias("r"))
-    return course.erased(_mask(spark, sf_dir), nodes, F.lit(6.0)).select("map_id", "y", "x")
+    return course.erased(_mask(spark, sf_dir), _symbols(spark, sf_dir), F.lit(6.0)).select("map_id", "y", "x")
+
+
+@query(f"""{_RASTER}, {_PAIRS}, c as (select *, case pid % 3 when 0 then 'start' when 1 then 'control' else 'finish' end kind from ({_POINTS})),
+    d as (select m.map_id, m.y, m.x, pr, kind, sqrt((m.x - round_even(px, 0)) * (m.x - round_even(px, 0)) + (m.y - round_even(py, 0)) * (m.y - round_even(py, 0))) d from m join c on c.map_id = m.map_id where m.m3),
+    le as (select *, sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) d from pairs where i % 5 = 0),
+    en as (select map_id, round_even(ax + (bx - ax) / d * ar, 0) ax, round_even(ay + ("by" - ay) / d * ar, 0) ay, round_even(bx - (bx - ax) / d * br, 0) bx, round_even("by" - ("by" - ay) / d * br, 0) b_y from le where d > 0),
+    pr as (select m.map_id, m.y, m.x, ax, ay, bx - ax vx, b_y - ay vy, case when bx = ax and b_y = ay then 0 else greatest(0, least(1, ((m.x - ax) * (bx - ax) + (m.y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) end t from m join en on en.map_id = m.map_id where m.m3),
+    gone as (select distinct map_id, y, x from d where kind = 'start' and d <= round_even(1.1::double * pr, 0) or kind = 'control' and abs(d - round_even(pr, 0)) <= 2.5 or kind = 'finish' and (abs(d - round_even(pr, 0)) <= 1.5 or abs(d - round_even(pr * 5 / 7, 0)) <= 1.5)
+      union select map_id, y, x from pr where (x - ax - t * vx) * (x - ax - t * vx) + (y - ay - t * vy) * (y - ay - t * vy) <= 2.25 + 1e-9)
+    select m.map_id, m.y, m.x from m where m3 and not exists (select 1 from gone g where g.map_id = m.map_id and g.y = m.y and g.x = m.x)""")
+def text_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask without symbols and without every fifth leg between them, at a scale where rings around text are wider."""
+    legs = _pairs(spark, sf_dir).where("i % 5 = 0")
+    return course.text_ink(_mask(spark, sf_dir), _symbols(spark, sf_dir), legs, F.lit(12.0)).select("map_id", "y", "x")
+
+
+@query(f"""with s as (select user_id map_id, case when event_id % 9 = 0 then null when event_id % 4 = 0 then event_type else lower(({CLASS_NAMES})[event_id % {len(CLASS_NAMES)} + 1]) end n from events), t as (select map_id, n, coalesce(list_position({CLASS_NAMES[:-1]}, upper(n)), 0)::int k from s)
+    select map_id, case when k > 0 then upper(n) else n end class_name, (k - 1)::int class_id, count(*) n, case when k = 0 then 'unknown class' end reason from t group by all""")
+def samples_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicked points by class, in upper case, and names that are no class with the reason."""
+    names = F.element_at(F.array(*map(F.lit, CLASS_NAMES)), (F.col("event_id") % len(CLASS_NAMES) + 1).cast("int"))
+    name = F.when(F.col("event_id") % 9 != 0, F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(F.lower(names)))
+    clicks = _table(spark, sf_dir, "events").select(F.col("user_id").alias("map_id"), name.alias("class_name"), F.col("event_id").alias("sx"), F.lit(0).alias("sy"))
+    good, bad = classify.checked_samples(clicks)
+    counted = good.groupBy("map_id", "class_name", "class_id").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit(None).cast("string"))
+    return counted.unionByName(bad.withColumn("class_id", F.lit(-1))).select("map_id", "class_name", F.col("class_id").cast("int").alias("class_id"), "n", "reason")

@@ -163,6 +163,34 @@ def test_course_is_detected(spark):
     assert len(order) == 7 and all(np.hypot(x - px, y - py) < 3 for (_, x, y), (px, py) in zip(order, [*points, finish], strict=True))
 
 
+def test_lines_of_text_are_boxed_for_a_reader(spark):
+    """Two bars beside a circle are one line of text; rings, legs and the start are none. Score finds a third bar."""
+    labels, points, finish, r = drawn_course()
+    score = np.zeros(labels.shape)
+    labels[64:75, 12:15] = labels[64:75, 18:22] = PURPLE
+    score[64:75, 25:28] = 0.9
+    kinds = [("control", x, y, r) for x, y in points] + [("finish", *finish, r * 7 / 6), ("start", *START, r * 7 / 3 / 3**0.5)]
+    nodes = spark.createDataFrame([("m", i, kind, float(x), float(y), float(size)) for i, (kind, x, y, size) in enumerate(kinds)], "map_id string, node int, kind string, x double, y double, r double")
+    r0 = spark.createDataFrame([("m", float(r))], "map_id string, r0 double")
+    found = analysis.Detection(r0, nodes, None, None, None)
+    df = spark.createDataFrame([("m", y, x, int(labels[y, x]), float(score[y, x])) for y in range(labels.shape[0]) for x in range(labels.shape[1])], "map_id string, y int, x int, label int, purple_score double")
+    boxes = [(b.x0, b.y0, b.x1, b.y1, b.n) for b in analysis.label_boxes(found, df.drop("purple_score")).collect()]
+    assert boxes == [(12, 64, 22, 75, 2)]
+    assert [(b.x0, b.x1, b.n) for b in analysis.label_boxes(found, df).collect()] == [(12, 28, 3)]
+
+
+def test_maps_run_at_their_own_scale(spark):
+    scales = spark.createDataFrame([("a", 5.0), ("b", 5.01), ("c", 9.0), ("d", None), ("e", 0.0)], "map_id string, px_per_mm double")
+    runs = []
+
+    def run(maps, px_per_mm):
+        runs.append(px_per_mm)
+        return maps.withColumn("at", F.lit(px_per_mm))
+
+    assert sorted((r.map_id, round(r["at"], 6)) for r in analysis.at_own_scale(scales, run).collect()) == [("a", 5.0), ("b", 5.0), ("c", 9.0)]
+    assert len(runs) == 2 and analysis.at_own_scale(scales.limit(0), run).collect() == []
+
+
 def test_known_radius_goes_first(spark):
     """A map whose radius a user has marked is searched at that size, though too few circles agree on one."""
     labels = np.full((110, 130), WHITE)
