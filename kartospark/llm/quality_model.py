@@ -37,8 +37,9 @@ KNEE = 0.05
 BINS = 200
 #: Least share of the positives in a set that bounds the prior.
 LEAST_TOP = 0.2
-#: Penalties of squared weights: words alone must not tell trusted texts from the like that nobody has trusted yet.
-RIDGE, LEXICAL_RIDGE = 1e-3, 4.0
+#: Penalty of squared weights, and that of words' weights at one positive, which falls with the root of the positives' number:
+#: a few trusted texts do not show which words good texts have, and words must not tell them from the like that nobody has trusted yet.
+RIDGE, LEXICAL_RIDGE = 1e-3, 50.0
 STEPS = 2000
 
 SHAPE = ("one", "symbols", "exclamations", "digits", "uppercase", "echoes", "repeats", "dup_lines", "few_distinct", "long_words", "short_words", "blank")
@@ -152,15 +153,15 @@ class Model(NamedTuple):
     prior: float
 
 
-def _ridge() -> np.ndarray:
-    return np.repeat([RIDGE, LEXICAL_RIDGE], [len(SHAPE), N_LEXICAL])
+def _ridge(n_positive: float) -> np.ndarray:
+    return np.repeat([RIDGE, LEXICAL_RIDGE / np.sqrt(n_positive)], [len(SHAPE), N_LEXICAL])
 
 
 def naive_weights(sums: np.ndarray) -> np.ndarray:
     """The least-squares classifier of positives against all rows."""
     everything, positive = sums
     n_u, n_p = everything[0, 0], positive[0, 0]
-    return np.linalg.solve(everything / n_u + positive / n_p + np.diag(_ridge()), positive[0] / n_p - everything[0] / n_u)
+    return np.linalg.solve(everything / n_u + positive / n_p + np.diag(_ridge(n_p)), positive[0] / n_p - everything[0] / n_u)
 
 
 def best_bin(u: np.ndarray, p: np.ndarray) -> float:
@@ -202,7 +203,7 @@ def minimise(sums: np.ndarray, prior: float) -> np.ndarray:
     scale = 1 / np.sqrt(np.diag(m_u) + 1e-6)
     m_u, m_p = m_u * np.outer(scale, scale), m_p * np.outer(scale, scale)
     e_u, e_p = m_u[0] / scale[0], m_p[0] / scale[0]
-    w, ridge = np.zeros(len(scale)), _ridge()
+    w, ridge = np.zeros(len(scale)), _ridge(positive[0, 0])
     rate = 1 / (float(np.linalg.eigvalsh(m_u + m_p)[-1]) / 2 + ridge.max())  # below the inverse of the greatest curvature
     for _ in range(STEPS):
         w -= rate * (risk(w, m_u, m_p, e_u, e_p, prior)[1] + ridge * w)

@@ -131,6 +131,17 @@ def test_nonnegative_risk_is_minimised():
     assert all(brute_risk(w + shape * rng.normal(0, 0.05, len(w)), x, positive, 0.7) > least - 1e-3 for _ in range(20))
 
 
+def test_words_alone_tell_texts_apart(spark, documents):
+    """Texts of one shape that differ in their words only: unlabelled ones like the trusted are ranked above the others."""
+    rng = np.random.default_rng(9)
+    kinds = [[f"{a}{b}rtil" for a in "bcdfg" for b in "ae"], [f"{a}{b}rtil" for a in "klmnp" for b in "ou"]]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2], 30))) for i in range(1200)]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 600, 2)], "doc_id long")
+    score = {r.doc_id: r.score for r in quality_model.scored(documents(rows), trusted).collect()}
+    good, bad = [score[i] for i in range(600, 1200, 2)], [score[i] for i in range(601, 1200, 2)]
+    assert np.mean(np.array(good)[:, None] > np.array(bad)[None]) > 0.99
+
+
 def test_quality_query_equals_brute_force(spark, documents):
     """Features, moments, prior, descent and scores of a small table, all recomputed without Spark."""
     rng = np.random.default_rng(9)
