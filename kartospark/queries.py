@@ -353,6 +353,23 @@ def course_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs.select("map_id", "from_id", "to_id", F.round(length, 4).alias("length_px"), F.round(length * routing.metres_per_pixel(F.lit(4000), F.lit(None).cast("double")), 3).alias("length_m"))
 
 
+_OFF = "sqrt((p.x - a.x - t * (b.x - a.x)) * (p.x - a.x - t * (b.x - a.x)) + (p.y - a.y - t * (b.y - a.y)) * (p.y - a.y - t * (b.y - a.y)))"
+_ALONG = "case when (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) > 0 then greatest(0.0::double, least(1.0::double, ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / ((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))) else 0.0::double end"
+
+
+@query(f"""with recursive p as (select user_id map_id, row_number() over (partition by user_id order by ts, event_id) n, value x, (event_id % 500)::double y from events),
+    s(map_id, i, j) as (select map_id, 1::bigint, max(n) from p group by map_id
+      union all select map_id, unnest([i, k]), unnest([k, j]) from (
+        select s.map_id, i, j, arg_max(p.n, {{'off': {_OFF.replace(" t ", f" ({_ALONG}) ")}, 'n': -p.n}}) k from s join p on p.map_id = s.map_id and p.n > i and p.n < j join p a on a.map_id = s.map_id and a.n = i join p b on b.map_id = s.map_id and b.n = j
+        where {_OFF.replace(" t ", f" ({_ALONG}) ")} > 150 group by s.map_id, i, j))
+    select map_id, n, x, y from p where exists (select 1 from s where s.map_id = p.map_id and (s.i = p.n or s.j = p.n))""")
+def paths_simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's way through the plane, without the points that a line within 150 of all of them can spare."""
+    n = F.row_number().over(_window("user_id", "ts", "event_id")).cast("long")
+    way = _table(spark, sf_dir, "events").select(F.col("user_id").alias("map_id"), F.lit(0).alias("leg"), n.alias("n"), F.col("value").alias("x"), (F.col("event_id") % 500).cast("double").alias("y"))
+    return routing.simplified(way, 150.0).select("map_id", "n", "x", "y")
+
+
 @query(f"{_CONTROLS} select l.map_id, coalesce(a.kind, '?') from_kind, coalesce(b.kind, '?') to_kind, count(*) n from l left join c a on a.id = l.from_id left join c b on b.id = l.to_id and b.id % 3 <> 0 where to_id is not null group by 1, 2, 3")
 def leg_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     controls = _controls(spark, sf_dir)
