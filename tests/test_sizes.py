@@ -13,3 +13,7 @@ def _far_suppliers(spark, tmp_path):
 
 def test_courses_by_labels_of_large_supplier_keys(spark, tmp_path):
     assert QUERIES["courses_by_labels"](spark, _far_suppliers(spark, tmp_path)).count() > 0
+
+
+def test_courses_by_lines_of_large_supplier_keys(spark, tmp_path):
+    assert QUERIES["courses_by_lines"](spark, _far_suppliers(spark, tmp_path)).count() > 0
