@@ -1,5 +1,8 @@
 """Queries on tables whose keys or groups are larger than those of the small copies."""
 
+from pyspark.sql import functions as F
+
+from kartospark.operators import course
 from kartospark.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,3 +20,12 @@ def test_courses_by_labels_of_large_supplier_keys(spark, tmp_path):
 
 def test_courses_by_lines_of_large_supplier_keys(spark, tmp_path):
     assert QUERIES["courses_by_lines"](spark, _far_suppliers(spark, tmp_path)).count() > 0
+
+
+def test_boxes_are_matched_as_their_candidate_pairs_are(spark):
+    """Many boxes and circles of one place, and more than a tile across: the same as by pairs."""
+    spots = spark.range(1200).selectExpr("id % 2 map_id", "id node", "double(hash(id, 1) % 60) + 60 cx", "double(hash(id, 2) % 12) cy")
+    boxes = spots.selectExpr("map_id", "node lid", "cx + 3 x0", "cy - 2 y0", "cx + 9 x1", "cy + 2 y1")
+    want = course.matched(course.label_candidates(boxes, spots, F.lit(1.0)))
+    got = course.matched_boxes(boxes, spots, F.lit(1.0))
+    assert sorted(map(tuple, got.select("map_id", "lid", "node").collect())) == sorted(map(tuple, want.select("map_id", "lid", "node").collect()))
