@@ -94,10 +94,14 @@ def mask_rgba(mask: Column, rgba: tuple[int, int, int, int]) -> dict[str, Column
 
 
 def cost_ramp(cells: DataFrame) -> DataFrame:
-    """Green to red by cost within each map; forbidden cells are dark purple."""
+    """Green to red by cost within each map, green where all costs are equal; forbidden cells are dark purple.
+
+    Costs are compared to nine decimals: the last bits of a mean depend on the order in which its pixels came.
+    """
     inf = F.lit(float("inf"))
-    ends = cells.where(F.col("cost") < inf).groupBy("map_id").agg(F.min("cost").alias("__lo"), F.max("cost").alias("__hi"))
-    t = F.when(F.col("__hi") > F.col("__lo"), (F.col("cost") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))
+    cost = F.round("cost", 9)
+    ends = cells.where(F.col("cost") < inf).groupBy("map_id").agg(F.min(cost).alias("__lo"), F.max(cost).alias("__hi"))
+    t = F.when(F.col("__hi") > F.col("__lo"), (cost - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))
     bad = ~(F.col("cost") < inf)
 
     def channel(forbidden: int, value: Column) -> Column:

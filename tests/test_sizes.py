@@ -2,9 +2,10 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from kartospark.operators import course, rings
+from kartospark.operators import areas, classify, course, rings, routing, stencil
 from kartospark.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,3 +42,42 @@ def test_circles_of_one_place_are_suppressed_without_pairs_of_them(spark):
     kept = rings.suppressed(circles.union(alone), F.when(F.col("cr") > 0, 8.0).otherwise(0.0)).collect()
     assert sorted((c.cx, c.cid) for c in kept) == [(5.0, 13), (5.0, 90000), (15.0, 27)]
     assert time.monotonic() - start < 60
+
+
+def test_hatch_elements_are_not_sent_to_the_driver_map_by_map(spark, monkeypatch):
+    """Openings by sizes of their own: equal to those map by map, and nothing that grows with the maps is broadcast by name."""
+    pixels = spark.range(6 * 400).selectExpr("id div 400 map_id", "int(id % 400 div 20) y", "int(id % 20) x").where("hash(y, x, map_id) % 9 <> 0")
+    sizes = spark.createDataFrame([(m, 3 + m % 3 * 2) for m in range(6)], "map_id long, k int")
+    sent = []
+    broadcast = F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: (sent.append(df.count()), broadcast(df))[1])
+    got = {tuple(r) for r in areas._opened_each(pixels, sizes).collect()}
+    assert sum(sent) <= 3
+    want = set()
+    for m in range(6):
+        own, k = {(r.y, r.x) for r in pixels.where(f"map_id = {m}").collect()}, stencil.ellipse(3 + m % 3 * 2)
+        left = {(y, x) for y, x in own if all((y + a, x + b) in own for a, b in k)}
+        want |= {(m, y + a, x + b) for y, x in left for a, b in k}
+    assert got == want
+
+
+def test_legs_from_one_cell_spread_once(spark):
+    """Two hundred controls on two cells: distances of two starts only, and each leg its route."""
+    cells = spark.range(64).selectExpr("0 map_id", "int(id div 8) r", "int(id % 8) c", "1.0D cost")
+    at = spark.range(200).selectExpr("0 map_id", "id pid", "int(id % 2 * 7) r", "int(id % 2 * 7) c")
+    controls = at.selectExpr("map_id", "pid id", "pid order", "c * 4.0D x", "r * 4.0D y")
+    rows = []
+    spread = routing.spread
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(routing, "spread", lambda *a, **k: (lambda d: (rows.append(d.count()), d)[1])(spread(*a, **k)))
+        legs = routing.legs(controls, cells, at, 4).collect()
+    assert rows[0] <= 2 * 64
+    assert len(legs) == 199 and all(g.ok and abs(g.cost - 28 * 2**0.5) < 1e-9 and len(g.path) == 2 for g in legs)
+
+
+def test_cost_ramp_does_not_hang_on_the_last_bits_of_means(spark):
+    """Two cells of the same pixels, whose mean was summed in different orders, have one colour; so have both ends of a flat map."""
+    up = 1.5 + 2**-52
+    cells = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 1.5), (0, 0, 2, up), (1, 0, 0, 1.5), (1, 0, 1, up)], "map_id int, row int, c int, cost double")
+    shown = {(r.map_id, r.c): (r.r, r.g) for r in classify.cost_ramp(cells).collect()}
+    assert shown == {(0, 0): (0, 255), (0, 1): (255, 0), (0, 2): (255, 0), (1, 0): (0, 255), (1, 1): (0, 255)}
