@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from kartospark.sources.shared import checkpointed
+from kartospark.sources.shared import checkpointed, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,26 +46,98 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return cur.selectExpr("u v", "v root").union(cur.selectExpr("v", "v root").distinct())
 
 
-def runs(mask: DataFrame) -> DataFrame:
-    """Horizontal runs ``(map_id, y, x0, x1)`` of the pixels ``(map_id, y, x)`` of a mask; x1 is the last pixel."""
-    row = Window.partitionBy("map_id", "y").orderBy("x")
-    return mask.withColumn("run", F.col("x") - F.row_number().over(row)).groupBy("map_id", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("run")
+#: Rows of pixels that are labelled together in a task.
+BAND = 64
 
 
-def mask_components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
-    """``(map_id, y, x, comp)`` for every pixel of a sparse mask; ``comp`` is the component's first pixel ``(y, x)``.
+def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest of ``n`` numbers that each is connected to by the pairs: roots move to smaller ones, then paths are halved."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return label
+
+
+def _band_batches(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """Runs of each band, those that abut as one, and the first run ``(ry, rx)`` of what each is part of within the band.
+
+    Rows come sorted by band, ``y`` and ``x0``; ``nth`` is 1 for a band's first. The last band of a batch may go on in the next one.
+    """
 
-    Pixels collapse to row runs, runs of neighbouring rows that touch are edges, and the
-    graph's components name the pixels: work follows the number of runs, not of pixels.
+    def labelled(rows: pa.RecordBatch) -> pa.RecordBatch:
+        nth, y, x0, x1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("nth", "y", "x0", "x1"))
+        band = nth == 1
+        step = np.diff(y, prepend=y[:1])
+        new = band | (step != 0)
+        first = new.copy()
+        first[1:] |= x0[1:] != x1[:-1] + 1
+        at = np.flatnonzero(first)
+        last = np.append(at[1:], len(y)) - 1
+        # Rows are numbered so that only those that are neighbours in one band have neighbouring numbers.
+        row = np.cumsum(np.where(new, np.where(band | (step != 1), 2, 1), 0))[at]
+        left = x0.min() - 2
+        a, b = x0[at] - left, x1[last] - left
+        span = b.max() + 4
+        low = np.searchsorted(row * span + b, (row - 1) * span + a - reach, "left")
+        high = np.searchsorted(row * span + a, (row - 1) * span + b + reach, "right")
+        n = np.maximum(high - low, 0)
+        i = np.repeat(np.arange(len(at)), n)
+        root = _connected(len(at), i, np.repeat(low, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+        take = pa.array(at)
+        kind_y, kind_x = rows.schema.field("y").type, rows.schema.field("x0").type
+        columns = [rows.column("map_id").take(take), rows.column("y").take(take), rows.column("x0").take(take), rows.column("x1").take(pa.array(last)), pa.array(y[at][root]).cast(kind_y), pa.array(x0[at][root]).cast(kind_x)]
+        return pa.RecordBatch.from_arrays(columns, names=["map_id", "y", "x0", "x1", "ry", "rx"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = np.flatnonzero(batch.column("nth").to_numpy() == 1)
+        if len(cut):
+            done = [*held, batch.slice(0, int(cut[-1]))]
+            if sum(b.num_rows for b in done):
+                yield labelled(pa.Table.from_batches(done).combine_chunks().to_batches()[0])
+            held, batch = [], batch.slice(int(cut[-1]))
+        held.append(batch)
+    if held:
+        yield labelled(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def run_components(pieces: DataFrame, diagonal: bool = True) -> DataFrame:
+    """``(map_id, y, x0, x1, comp)``: runs of a mask given as pieces of rows ``(map_id, y, x0, x1)``, and the first pixel ``(y, x)`` of each one's component.
+
+    Bands of ``BAND`` rows are labelled in tasks; only parts that touch a neighbouring band
+    are a graph, whose components name them. So rounds and what they shuffle follow what
+    crosses bands.
     """
     reach = 1 if diagonal else 0
-    r = runs(mask).select("map_id", "y", "x0", "x1", F.struct("map_id", "y", "x0").alias("id"))
-    above = r.select(F.col("map_id").alias("m"), (F.col("y") + 1).alias("yy"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("b"))
+    kind = pieces.schema
+    banded = pieces.select("map_id", "y", "x0", "x1", F.floor(F.col("y") / BAND).alias("band"))
+    banded = banded.withColumn("nth", F.row_number().over(Window.partitionBy("map_id", "band").orderBy("y", "x0")))
+    told = StructType([kind["map_id"], *[StructField(n, kind[c].dataType) for n, c in (("y", "y"), ("x0", "x0"), ("x1", "x1"), ("ry", "y"), ("rx", "x0"))]])
+    r = written(banded.select("map_id", "y", "x0", "x1", "nth").mapInArrow(partial(_band_batches, reach=reach), told)).withColumn("id", F.struct("map_id", F.col("ry").alias("y"), F.col("rx").alias("x")))
+    above = r.where(F.pmod("y", F.lit(BAND)) == BAND - 1).select(F.col("map_id").alias("m"), (F.col("y") + 1).alias("yy"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("b"))
     touch = (F.col("map_id") == F.col("m")) & (F.col("y") == F.col("yy")) & (F.col("x0") <= F.col("a1") + reach) & (F.col("a0") <= F.col("x1") + reach)
-    roots = connected_components(r.join(above, touch).select(F.col("id").alias("a"), "b"))
-    named = r.join(roots, F.col("id") == F.col("v"), "left").select("map_id", "y", "x0", "x1", F.coalesce("root", "id").alias("root"))
-    pixels = named.select("map_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.struct(F.col("root.y").alias("y"), F.col("root.x0").alias("x")).alias("comp"))
-    return pixels
+    roots = connected_components(r.where(F.pmod("y", F.lit(BAND)) == 0).join(above, touch).select(F.col("id").alias("a"), "b"))
+    named = r.join(roots, F.col("id") == F.col("v"), "left").withColumn("root", F.coalesce("root", "id"))
+    return named.select("map_id", "y", "x0", "x1", F.struct(F.col("root.y").alias("y"), F.col("root.x").alias("x")).alias("comp"))
+
+
+def run_pixels(labelled: DataFrame) -> DataFrame:
+    """Pixels ``(map_id, y, x)`` of runs, with the other columns."""
+    rest = [c for c in labelled.columns if c not in ("map_id", "y", "x0", "x1")]
+    return labelled.select("map_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), *rest)
+
+
+def mask_components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
+    """``(map_id, y, x, comp)`` for every pixel of a sparse mask; ``comp`` is the component's first pixel ``(y, x)``."""
+    return run_pixels(run_components(mask.select("map_id", "y", F.col("x").alias("x0"), F.col("x").alias("x1")), diagonal))
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:

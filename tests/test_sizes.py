@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from kartospark.operators import areas, classify, course, rings, routing, stencil
+from kartospark.operators import areas, classify, course, graph, rings, routing, stencil
 from kartospark.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -109,3 +109,32 @@ def test_centres_of_one_place_are_sampled_once(spark, monkeypatch):
     got = rings.radial_profile(circles, mask, F.array(F.lit(7.0), F.lit(8.0), F.lit(8.5))).collect()
     assert rows == [3 * 3] and len(got) == 900
     assert all(r.support == 1.0 for r in got if r.cid % 3 == 1 and r.radius == 8.0)
+
+
+def _brute_components(pixels, diagonal):
+    left, out = set(pixels), {}
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            y, x = todo.pop()
+            part.append((y, x))
+            near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if diagonal or not a or not b} & left
+            left -= near
+            todo += near
+        out |= dict.fromkeys(part, min(part))
+    return out
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_components_equal_brute_force_and_only_what_crosses_bands_is_a_graph(spark, monkeypatch, diagonal):
+    """Maps of several bands, with components through all of them, rows left out and columns below zero."""
+    edges, connected = [], graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda e: (edges.append(e.count()), connected(e))[1])
+    plane = spark.range(2 * 200 * 40).selectExpr("id % 2 map_id", "int(id div 80) y", "int(id div 2 % 40) - 20 x")
+    mask = plane.where("abs(hash(map_id, y, x)) % 100 < 38 + 10 * map_id and y % 150 <> 140 or x = 3 and map_id = 1")
+    got = graph.mask_components(mask, diagonal).collect()
+    for m in range(2):
+        own = [r for r in got if r.map_id == m]
+        assert {(r.y, r.x): (r.comp.y, r.comp.x) for r in own} == _brute_components([(r.y, r.x) for r in own], diagonal)
+    assert len(got) == mask.count()
+    assert edges[0] < 200 * 2
