@@ -15,6 +15,9 @@ is. Sets go to the runs in which a row still stays, and are verified there, brea
 groups need no counts, so a row leaves a run as soon as it is linked. Nothing is ever
 gathered by candidate components, however long a chain of look-alikes is. Shingles are
 hashed to 64 bits.
+
+What is known to be near already, as by fingerprints, is verified first; pairs within one
+group of what that links are connected, so the join leaves them out.
 """
 
 from __future__ import annotations
@@ -133,16 +136,16 @@ def _reached(start: int, stop: int, matches: Callable[[int, np.ndarray], np.ndar
 
 
 def _stay_batches(batches: Iterator[pa.RecordBatch], similarity: float, known: tuple[str, ...], kept: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Rows of each run that are in a pair which the filters leave and which no ``known`` shows to share a shingle of an earlier run.
+    """Rows of each run that are in a pair of two groups which the filters leave and which no ``known`` shows to share a shingle of an earlier run.
 
     ``known`` are hashes of shingles ahead of the run's, 0 for none; two sets with an equal one both have that shingle.
     """
     for rows in _whole_runs(batches):
-        r, starts, order = _sorted_runs(rows, ["class", "packed", *known])
+        r, starts, order = _sorted_runs(rows, ["class", "packed", "group", *known])
         told = [(r[n], r[n] != 0) for n in known]
 
-        def first(i: np.ndarray, j: np.ndarray, told: list = told) -> np.ndarray:
-            ok = np.ones(len(i), dtype=bool)
+        def first(i: np.ndarray, j: np.ndarray, told: list = told, group: np.ndarray = r["group"]) -> np.ndarray:
+            ok = group[i] != group[j]
             for h, there in told:
                 ok &= (h[i] != h[j]) | ~there[i]
             return ok
@@ -203,29 +206,50 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(r["class"][np.concatenate(a)]), pa.array(r["class"][np.concatenate(b)])], names=["a", "b"])
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", near: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text_key, root)`` for every row; ``root`` names the group.
 
     Texts link where the Jaccard similarity of their sets of distinct shingles is at least
     ``similarity``; groups are components of links. All such links count and no others.
     Texts of fewer words than a shingle are one shingle, texts without words one group.
+    ``near`` is ``(key, text_key)``: texts under one key may be alike. They are verified
+    first; the result does not depend on them.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     level = docs.sparkSession.sparkContext.broadcast(rarity(rows, partial(_hashes, size=shingle)))
     marked = written(rows.mapInArrow(partial(_mark_batches, level=level, shingle=shingle, similarity=similarity, block=block), _MARKED))
 
+    def verified(met: DataFrame) -> DataFrame:
+        one = marked.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).join(met.select("class").distinct(), "class", "left_semi")
+        wanted = one.select(F.col("one.doc_id").alias("w_id"), F.col("one.text_key").alias("w_key"))
+        texts = rows.join(wanted, _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
+        sets = texts.select("text").mapInArrow(partial(_set_batches, level=level, shingle=shingle), "c long, parity binary, words array<long>")
+        hot = _hot(met, min(block, SETS_BLOCK))
+        return written(_dealt(met.join(sets, F.col("class") == F.col("c")).drop("c"), hot).mapInArrow(partial(_verify_batches, similarity=similarity), "a long, b long").distinct())
+
+    grouped, links = marked.withColumn("group", F.col("class")), []
+    if near is not None:
+        told = near.join(marked.where("size > 0").select("text_key", "class", F.shiftleft(F.col("size").cast("long"), 32).alias("packed")).distinct(), "text_key").select("key", "class", "packed").distinct()
+        told = written(told)
+        told = written(told.join(told.groupBy("key").count().where("count > 1"), "key", "left_semi"))
+        links.append(verified(told))
+        ahead = written(connected_components(links[0]))
+        grouped = marked.join(ahead, F.col("class") == F.col("v"), "left").withColumn("group", F.coalesce("root", "class")).drop("v", "root")
+        del told, ahead
+        forget(docs.sparkSession)
+
     # Runs, first by what a row can tell alone: one that shares the shingle ahead of the run's was met there.
-    listed = marked.where(F.size("words") > 0)
+    listed = grouped.where(F.size("words") > 0)
     hot = _hot(listed.select(F.explode("hot").alias("key")), block)
     packed = F.shiftleft(F.col("size").cast("long"), 32) + F.shiftleft(F.col("single"), 2)
-    each = listed.select("class", "parity", packed.alias("packed"), "words", F.posexplode("words").alias("place", "key"))
-    postings = each.select("key", "class", "parity", (F.col("packed") + F.shiftleft("place", 2)).alias("packed"), F.col("key").alias("word"), F.coalesce(F.get("words", F.col("place") - 1), F.lit(0)).alias("before"))
-    columns = "key long, class long, packed long, word long, parity binary"
-    stay = partial(_stay_batches, similarity=similarity, known=("before",), kept=("key", "class", "packed", "word", "parity"))
+    each = listed.select("class", "group", "parity", packed.alias("packed"), "words", F.posexplode("words").alias("place", "key"))
+    postings = each.select("key", "class", "group", "parity", (F.col("packed") + F.shiftleft("place", 2)).alias("packed"), F.col("key").alias("word"), F.coalesce(F.get("words", F.col("place") - 1), F.lit(0)).alias("before"))
+    columns = "key long, class long, packed long, group long, word long, parity binary"
+    stay = partial(_stay_batches, similarity=similarity, known=("before",), kept=("key", "class", "packed", "group", "word", "parity"))
     parts = [written(_dealt(postings.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == i), hot).mapInArrow(stay, columns)) for i in range(ROUNDS)]
     found = reduce(DataFrame.unionByName, parts)
-    del listed, hot, each, postings
+    del grouped, listed, hot, each, postings
     forget(docs.sparkSession)
 
     # Again, by least hashes of the shingles ahead under which a row has stayed: what is left of a pair is its first run and few more.
@@ -237,15 +261,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     del found, told, parts
     forget(docs.sparkSession)
 
-    one = marked.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).join(met.select("class").distinct(), "class", "left_semi")
-    wanted = one.select(F.col("one.doc_id").alias("w_id"), F.col("one.text_key").alias("w_key"))
-    texts = rows.join(wanted, _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    sets = texts.select("text").mapInArrow(partial(_set_batches, level=level, shingle=shingle), "c long, parity binary, words array<long>")
-    hot = _hot(met, min(block, SETS_BLOCK))
-    verified = written(_dealt(met.join(sets, F.col("class") == F.col("c")).drop("c"), hot).mapInArrow(partial(_verify_batches, similarity=similarity), "a long, b long").distinct())
+    links.append(verified(met))
     discard(met)
-    del one, wanted, texts, sets, met, hot
+    del met
     forget(docs.sparkSession)
-    roots = written(connected_components(verified))
+    roots = written(connected_components(reduce(DataFrame.unionByName, links)))
     named = marked.select("doc_id", "text_key", "class").join(roots, F.col("class") == F.col("v"), "left")
     return named.select("doc_id", "text_key", F.coalesce("root", "class").alias("root"))

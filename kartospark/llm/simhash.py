@@ -233,13 +233,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, block:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for all except one of each near-duplicate group (``shingle_sets``), with the columns of ``docs``.
+def near_runs(docs: DataFrame, shingle: int = 5, distance: int = 4, block: int = BLOCK, text_col: str = "text") -> DataFrame:
+    """``(key, text_key)``: texts of fingerprints that pivot tables link to one (``key``), it included; ``text_key`` is the text's hash."""
+    text = F.col(text_col).cast("string")
+    marked = written(fingerprints(docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")), shingle, "text_key", "text").distinct())
+    found = links(marked.select("fp").distinct(), distance, block).select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    own = marked.select(F.col("fp").alias("key"), "fp")
+    return found.union(own).distinct().join(marked, "fp").select("key", F.col("doc_id").alias("text_key"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` but for all except one of each near-duplicate group, with the columns of ``docs``.
+
+    Texts whose fingerprints differ in at most ``distance`` bits meet by pivot tables, and
+    an exact check of their sets of shingles follows. Pairs of the similarity whose
+    fingerprints are farther apart come from the set join (``shingle_sets``), which leaves
+    out what the tables have connected.
 
     The row with the smallest id stays (a null id comes last; of texts that share it the
     one with the smallest hash, of repeated rows any). Texts without words are one group.
     """
-    groups = similar_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col)
+    near = near_runs(docs, shingle, distance, text_col=text_col)
+    groups = similar_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col, near=near)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     i, k, mine = unused(docs, "id", "key", "mine")
     stays = groups.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.doc_id").alias(i), F.col("first.text_key").alias(k))

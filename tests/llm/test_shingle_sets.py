@@ -89,6 +89,24 @@ def test_long_runs_equal_brute_force(spark, documents, monkeypatch):
     assert got == want
 
 
+def test_what_pivot_tables_link_is_verified_first_and_left_out_of_the_join(spark, documents, monkeypatch):
+    """Groups are those without the tables; near copies that the tables connect do not stay in the join's runs."""
+    rng = random.Random(12)
+    base = words(rng, 400)
+    near = [" ".join(base[:k] + words(rng, 1) + base[k + 1 :]) for k in range(0, 60, 3)]
+    texts = [t for _, t in EDGE] + near + repeated_line(5) + isolated(0.7, 0.9, 20, 8)
+    df = documents([(i, t) for i, t in enumerate(texts)])
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: (lambda d: (seen.append(d.count()), d)[1])(links(*a, **k)))
+    kept = simhash.one_of_each(df).count()
+    assert seen[0] >= 10
+    want = [brute([(i, t) for i, t in enumerate(texts)])]
+    got = {r.doc_id: r.root for r in shingle_sets.similar_groups(df, near=simhash.near_runs(df)).collect()}
+    names = [got[i] for i in range(len(texts))]
+    assert [names.index(x) for x in names] == want[0]
+    assert kept == len(set(want[0]))
+
+
 def test_isolated_pairs_are_found(spark, documents):
     texts = isolated(0.8, 0.86, 60, 2)
     got, want = groups_of(spark, documents, texts)
