@@ -92,12 +92,14 @@ class Steps:
         self.keep = (self.x != shape.start_token).astype(np.float32)[:, None]
         self.before, self.out, self.n, self.hun = (np.empty((n, HIDDEN), dtype=np.float32) for _ in range(4))
         self.gates = np.empty((n, 2 * HIDDEN), dtype=np.float32)
-        g = p["E"][self.x]
+        # Halved here once, as each step would (exact, a power of two).
+        g, u = p["E"][self.x], p["U"].copy()
+        g[:, : 2 * HIDDEN] *= 0.5
+        u[:, : 2 * HIDDEN] *= 0.5
         for a, b in zip(self.cuts, self.cuts[1:], strict=False):
             hp = np.multiply(h[: b - a], self.keep[a:b], out=self.before[a:b])
-            hu = hp @ p["U"]
+            hu = hp @ u
             gates = np.add(g[a:b, : 2 * HIDDEN], hu[:, : 2 * HIDDEN], out=self.gates[a:b])
-            gates *= 0.5
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
@@ -201,10 +203,14 @@ class Feed:
         self.base = np.cumsum(self.length) - self.length
         self.flat = np.concatenate(self.row) if self.row else np.empty(0, dtype=np.int64)
 
-    def windows(self, size: int):
-        """Rows of ``size`` steps of the streams still running, step by step; short streams drop out between steps."""
-        for t0 in range(0, int(self.length.max(initial=0)), size):
-            yield [self.flat[self.base[:k] + t] for t in range(t0, t0 + size) if (k := int(np.searchsorted(-self.length, -t, side="left")))]
+    def windows(self, size: int, rows: int = 0):
+        """Rows of ``size`` steps of the streams still running, or as many as make ``rows``, step by step; short streams drop out between steps."""
+        falling, t0 = -self.length, 0
+        while running := int(np.searchsorted(falling, -t0, side="left")):
+            t1 = t0 + max(size, rows // running)
+            ks = np.searchsorted(falling, -np.arange(t0, t1), side="left").tolist()
+            yield [self.flat[self.base[:k] + t] for t, k in enumerate(ks, t0) if k]
+            t0 = t1
 
 
 def total_log_prob(p: Params, shape: Shape, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, starts: np.ndarray, counts: np.ndarray, n_streams: int = 256, window: int = 64) -> np.ndarray:
@@ -212,7 +218,7 @@ def total_log_prob(p: Params, shape: Shape, inputs: np.ndarray, cls: np.ndarray,
     feed = Feed(shape, inputs, starts, counts, n_streams)
     out = np.zeros(len(inputs))
     h = np.zeros((len(feed.length), HIDDEN), dtype=np.float32)
-    for rows in feed.windows(window):
+    for rows in feed.windows(window, n_streams * window):
         steps = Steps(p, shape, [feed.before[s] for s in rows], h)
         h, rows = steps.state, np.concatenate(rows)
         out[rows] = log_prob(p, shape, steps.out, cls[rows], word[rows])

@@ -45,6 +45,8 @@ GROUP_BYTES = 8 << 20
 MAX_GROUPS = 1 << 14
 _FLUSH = 300_000
 _SLICE = 4 << 20
+#: Text scored at once; more, as the longest text of each takes steps of its own.
+_SCORE_SLICE = 8 << 20
 _LN10 = float(np.log(10))
 
 
@@ -250,7 +252,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], lex, params, n_texts: int)
     log_count = np.log10(np.append(lex.counts + SMOOTH, [n_texts + SMOOTH, 1.0]))  # last: rare words, added by the join
     log_mass = np.log10(lex.open_mass)
     for batch in batches:
-        for part in slices(batch, "text", _SLICE):
+        for part in slices(batch, "text", _SCORE_SLICE):
             ids, cls, number, inputs, counts, rare_at, hashes = _encode(lex, part.column("text"))
             starts = np.cumsum(counts) - counts
             text_of = np.repeat(np.arange(len(counts)), counts)

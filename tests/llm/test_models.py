@@ -323,3 +323,15 @@ def test_language_model_without_training_text(spark, documents):
     got = lm.scored(documents(EDGE), F.lit(False)).collect()
     assert len(got) == len(EDGE) and all(math.isfinite(r.score) for r in got)
     assert lm.scored(documents([]), F.lit(True)).collect() == []
+
+
+def test_streams_that_are_left_run_in_long_windows():
+    """One long text among short ones: every row once and in its text's order, few windows for what is left."""
+    counts = np.array([3, 5000, 4, 0, 2])
+    starts = np.cumsum(counts) - counts
+    feed = lm.gru.Feed(lm.gru.Shape(np.array([0, 1]), 1), np.zeros(counts.sum(), dtype=np.int64), starts, counts, 4)
+    windows = list(feed.windows(64, 256 * 64))
+    rows = np.concatenate([r for w in windows for r in w])
+    assert len(windows) < 5 and sorted(rows.tolist()) == list(range(counts.sum()))
+    assert all((np.diff(rows[(rows >= s) & (rows < s + n)]) == 1).all() for s, n in zip(starts, counts, strict=True))
+    assert len(list(feed.windows(64))) == -(-5000 // 64)
