@@ -15,9 +15,8 @@ languages at most exist as labels) is all that reaches the driver.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -45,6 +44,8 @@ LEAST_FIT = -4.5
 _EXCLUDED = -1e3
 _CACHE_WORDS = 200_000
 _SLICE = 3 << 20
+#: Words whose n-grams are made at once, in bytes; an n-gram takes about a hundred bytes of scratch, and a byte begins three.
+_GRAM_SLICE = 1 << 17
 
 #: First code points of script ranges, by the Unicode block charts; each lasts until the next.
 SCRIPTS = [
@@ -123,6 +124,31 @@ def grams(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def numbered(texts: Iterable[str | None], seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in ``seen``, to which new words are added, of all words of the texts, and each text's count; no text's words outlive it."""
+    counts = []
+
+    def every() -> Iterator[bytes]:
+        for text in texts:
+            own = words(text)
+            counts.append(len(own))
+            yield from own
+
+    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in every()), dtype=np.int64)
+    return ids, np.array(counts, dtype=np.int64)
+
+
+def parts(distinct: list[bytes], limit: int = _GRAM_SLICE) -> Iterator[slice]:
+    """Cut a list of words so that each part holds about ``limit`` bytes (one long word may exceed it)."""
+    total = np.cumsum(np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) + 1)
+    start = 0
+    while start < len(distinct):
+        base = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, base + limit, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by language: keys below ``N_BUCKETS`` are n-grams, the following ones scripts."""
     totals: dict[str, np.ndarray] = {}
@@ -132,15 +158,15 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             texts = part.column("text").to_pylist()
             for lang in sorted(set(langs)):
                 seen: dict[bytes, int] = {}
-                every = [words(t) for t, x in zip(texts, langs, strict=True) if x == lang]
-                ids = np.fromiter((seen.setdefault(w, len(seen)) for w in chain.from_iterable(every)), dtype=np.int64)
+                ids, _ = numbered((t for t, x in zip(texts, langs, strict=True) if x == lang), seen)
                 if not len(ids):
                     continue
-                times = np.bincount(ids)
-                bucket, owner = grams(list(seen))
-                scripts = np.array([script(w) for w in seen])
+                times, distinct = np.bincount(ids), list(seen)
+                scripts = np.array([script(w) for w in distinct])
                 total = totals.setdefault(lang, np.zeros(N_BUCKETS + len(SCRIPT_NAMES)))
-                total[:N_BUCKETS] += np.bincount(bucket, weights=times[owner], minlength=N_BUCKETS)
+                for at in parts(distinct):
+                    bucket, owner = grams(distinct[at])
+                    total[:N_BUCKETS] += np.bincount(bucket, weights=times[at][owner], minlength=N_BUCKETS)
                 total[N_BUCKETS:] += np.bincount(scripts[scripts >= 0], weights=times[scripts >= 0], minlength=len(SCRIPT_NAMES))
     for lang, total in totals.items():
         keys = np.flatnonzero(total)
@@ -218,7 +244,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, switch:
     return label
 
 
-def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, spans: bool, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, spans: bool, text: str, names: list[str], keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """``keep``: the column ``text`` is one of the table's own and is returned too."""
     model = model.value
     n_langs = len(model.langs)
     seen: dict[bytes, int] = {}
@@ -228,33 +255,31 @@ def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, span
     expected = model.expected()
     for batch in batches:
         for part in slices(batch, text, _SLICE):
-            split = [words(t) for t in part.column(text).to_pylist()]
             if len(seen) > _CACHE_WORDS:
                 seen, scores, lettered, n_grams = {}, scores[:0], lettered[:0], n_grams[:0]
             known = len(seen)
-            counts = np.array([len(w) for w in split], dtype=np.int64)
-            ids = np.fromiter((seen.setdefault(w, len(seen)) for w in chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+            ids, counts = numbered(part.column(text).to_pylist(), seen)
             if len(seen) > known:
                 new = list(seen)[known:]
-                more, n = word_scores(model, new) if n_langs else (np.zeros((len(new), 0), dtype=np.float32), np.zeros(len(new), dtype=np.int64))
-                scores, n_grams = np.concatenate([scores, more]), np.concatenate([n_grams, n])
+                scored = [word_scores(model, new[at]) for at in parts(new)] if n_langs else [(np.zeros((len(new), 0), dtype=np.float32), np.zeros(len(new), dtype=np.int64))]
+                scores, n_grams = np.concatenate([scores, *(x for x, _ in scored)]), np.concatenate([n_grams, *(n for _, n in scored)])
                 lettered = np.concatenate([lettered, np.array([script(w) >= 0 for w in new])])
             starts = np.cumsum(counts) - counts
             text_of = np.repeat(np.arange(len(counts)), counts)
             has = lettered[ids]
-            pred: list[str] = [UNDETERMINED] * len(split)
-            score, fit = np.zeros(len(split)), np.zeros(len(split))
-            found: list[list[dict]] = [[] for _ in split]
+            pred: list[str] = [UNDETERMINED] * len(counts)
+            score, fit = np.zeros(len(counts)), np.zeros(len(counts))
+            found: list[list[dict]] = [[] for _ in counts]
             if n_langs and len(ids):
                 label = viterbi(scores[ids], starts, counts, switch)
-                votes = np.bincount(text_of[has] * n_langs + label[has], minlength=len(split) * n_langs).reshape(-1, n_langs)
+                votes = np.bincount(text_of[has] * n_langs + label[has], minlength=len(counts) * n_langs).reshape(-1, n_langs)
                 total = votes.sum(axis=1)
                 top = votes.argmax(axis=1)
                 # Words that their script rules out of all but other languages tell nothing.
                 own = scores[ids, label]
                 told = has & (own > _EXCLUDED)
-                excess = np.bincount(text_of[told], weights=(own / SCALE - n_grams[ids] * expected[label])[told], minlength=len(split))
-                fit = excess / np.maximum(np.bincount(text_of[told], weights=n_grams[ids][told], minlength=len(split)), 1)
+                excess = np.bincount(text_of[told], weights=(own / SCALE - n_grams[ids] * expected[label])[told], minlength=len(counts))
+                fit = excess / np.maximum(np.bincount(text_of[told], weights=n_grams[ids][told], minlength=len(counts)), 1)
                 for i in np.flatnonzero(total):
                     pred[i] = model.langs[top[i]]
                     score[i] = votes[i, top[i]] / total[i]
@@ -266,7 +291,7 @@ def _label_batches(batches: Iterator[pa.RecordBatch], model, switch: float, span
                     i = text_of[a]
                     if total[i]:
                         found[i].append({"lang": model.langs[label[a]], "start": int(a - starts[i]), "end": int(b - starts[i])})
-            rest = part.drop_columns([text])
+            rest = part if keep else part.drop_columns([text])
             extra = [pa.array(pred), pa.array(score), pa.array(found, type=_SPAN), pa.array(fit)]
             yield pa.RecordBatch.from_arrays([*rest.columns, *extra], names=[*rest.schema.names, *names])
 
@@ -289,11 +314,17 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, text_col: st
     are the new columns' names; columns of ``docs`` that have them are replaced.
     """
     rows = docs.drop(*(n for n in names if n != text_col))
-    (text,) = unused(rows, "text")
-    rows = rows.withColumn(text, F.col(text_col).cast("string")).drop(*(n for n in names if n == text_col))
+    # A string column that stays is read as it is: a copy of it would double what goes to the workers.
+    own = [f.name for f in rows.schema if f.name.lower() == text_col.lower() and f.dataType == StringType()]
+    keep = len(own) == 1 and text_col not in names
+    if keep:
+        (text,) = own
+    else:
+        (text,) = unused(rows, "text")
+        rows = rows.withColumn(text, F.col(text_col).cast("string")).drop(*(n for n in names if n == text_col))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*(f for f in rows.schema if f.name != text), *(StructField(n, t) for n, t in zip(names, _TYPES, strict=True))])
-    return rows.mapInArrow(partial(_label_batches, model=sent, switch=switch, spans=spans, text=text, names=list(names)), schema)
+    schema = StructType([*(f for f in rows.schema if keep or f.name != text), *(StructField(n, t) for n, t in zip(names, _TYPES, strict=True))])
+    return rows.mapInArrow(partial(_label_batches, model=sent, switch=switch, spans=spans, text=text, names=list(names), keep=keep), schema)
 
 
 _TYPES = (StringType(), DoubleType(), ArrayType(StructType([StructField("lang", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])), DoubleType())

@@ -1,6 +1,9 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
+from functools import partial
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +73,39 @@ def test_viterbi_equals_brute_force():
             assert total(label[a : a + n].tolist(), scores[a : a + n]) == pytest.approx(best, abs=1e-4)
 
 
+def test_new_words_take_bounded_memory(monkeypatch):
+    """Scratch arrays hold the n-grams of a part of a slice's words, not of all; results are those of all at once."""
+    rng = np.random.default_rng(5)
+    many = [bytes(w).decode() for w in rng.integers(97, 123, (150_000, 8), dtype=np.uint8)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(many[i : i + 50]) for i in range(0, len(many), 50)], "lang": ["a", "b"] * 1500})
+    score = np.log(rng.random((language.N_BUCKETS, 2))).astype(np.float32)
+    model = SimpleNamespace(value=language.Model(["a", "b"], score, np.ones((len(language.SCRIPT_NAMES), 2), dtype=bool)))
+    peaks, results = [], []
+    for make in (language._count_batches, partial(language._label_batches, model=model, switch=10.0, spans=True, text="text", names=list(language.ADDED))):
+        tracemalloc.start()
+        results.append(list(make(iter([batch]))))
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+        monkeypatch.setattr(language, "parts", lambda distinct: [slice(0, len(distinct))])
+        assert results[-1] == list(make(iter([batch])))
+        monkeypatch.undo()
+    assert max(peaks) < 90, peaks
+
+
+def test_texts_are_sent_to_the_workers_once(spark, documents):
+    docs = documents([(1, "the cat"), (2, None)], extra=False)
+    model = language.train(docs)
+    for found in (language.identify(docs, model), language.identify(docs, model, text_col="TEXT")):
+        (python,) = [p for p in found._jdf.queryExecution().analyzed().toString().splitlines() if "MapInArrow" in p]
+        assert "Project" not in found._jdf.queryExecution().analyzed().toString(), python
+        assert found.columns == docs.columns + list(language.ADDED) and found.where("text = 'the cat'").count() == 1
+    # Other types, and a text that a new column replaces, still go as a copy of their own.
+    number = docs.selectExpr("doc_id", "doc_id as text")
+    assert [r.text for r in language.identify(number, model).orderBy("doc_id").collect()] == [1, 2]
+    named = language.identify(docs.select("doc_id", "text"), model, names=["text", "score", "spans", "fit"])
+    assert named.columns == ["doc_id", "text", "score", "spans", "fit"] and {r.text for r in named.collect()} == {"und"}
+
+
 def test_no_languages_and_empty_tables(spark, documents):
     model = language.train(documents([]))
     assert {r.lang_pred for r in language.identify(documents(EDGE), model).collect()} == {"und"}
