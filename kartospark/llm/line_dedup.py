@@ -9,15 +9,18 @@ a linked one.
 2. A set's prefix is its rarest words, so many that similar sets must share one. The
    first word that two similar sets share is in both prefixes; the pair is looked for
    under that word alone. Words that occur once in the corpus are left out.
-3. Rows of one prefix word meet in one place. Length and positional filters and a
+3. A task's rows of a bucket of prefix words travel as one row and are sorted where they
+   meet, so rows of one prefix word meet in one place. Length and positional filters and a
    parity map of about a bit a word (two sets differ in at least as many words as bits)
    discard pairs exactly, without the sets. Rows of a pair that is left stay in the run.
-4. Only classes that stayed somewhere are fetched, with their sets, which are written once.
+4. Only classes that stayed somewhere are fetched, with their sets, which are written once;
+   of texts without such a class most are told by a map of bits before texts are shuffled.
    They meet again in the same runs, in the same rounds, and the pairs that are left there
    are verified: no others are ever tried. A pair counts in the run of the first word that
    it shares, so once.
 
-Runs of one word longer than ``block`` are cut into pairs of blocks over many tasks.
+Runs of one word longer than ``block`` are cut into pairs of blocks over many tasks, row
+by row; words of ``WIDE`` occurrences or more are not even gathered in a bucket before.
 Links are counted in place; pairs are never emitted.
 """
 
@@ -42,10 +45,19 @@ CHUNK = 4096
 BLOCK = 4096
 #: Rounds in which runs meet, each those of its share of the words, so that only a part of all rows is on disk at once.
 ROUNDS = 2
+#: Buckets of prefix words for each shuffle partition; a bucket's rows travel in packets and are compared together.
+BUCKETS = 16
+#: Postings that a task holds before it packs them.
+PACKED = 1 << 20
+#: Words with so many occurrences are not gathered by word before their runs are cut.
+WIDE = 1 << 20
+#: Bits of the map by which texts without a wanted line are left out before texts are shuffled.
+N_SLOTS = 1 << 24
 #: Text handled at once; its words' dictionary stays small.
 _SLICE = 1 << 20
 _FOUR = 4  # smaller sets have no similar set but themselves
-_DOC = "doc_id long, text_key long, lines array<struct<line:int,class:long,size:int,parity:binary,single:int,words:array<long>,hot:array<long>>>"
+_LINES = pa.list_(pa.struct([("line", pa.int32()), ("class", pa.int64())]))
+_DOC = "doc_id long, text_key long, lines array<struct<line:int,class:long>>, bucket int, keys binary, classes binary, packed binary, parity binary"
 
 
 class _Powers:
@@ -213,14 +225,39 @@ def _prefix(size: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def _line_batches(batches: Iterator[pa.RecordBatch], level, block: int) -> Iterator[pa.RecordBatch]:
-    """Each text's lines: class, size, parity map and the prefix words that may occur elsewhere.
+def _stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of stretches that begin at ``start``, one after the other."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+
+
+def _packets(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """One row for each bucket in postings ``(bucket, key, class, packed, words of each map, maps)``."""
+    bucket, key, cls, packed, words, flat = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(bucket, kind="stable")
+    runs = run_starts(bucket[order])
+    start = np.cumsum(words) - words
+    ends = np.append(0, np.cumsum(words[order]))[runs]
+    columns = [_maps(x[order], runs) for x in (key, cls, packed)] + [_maps(flat[_stretches(start[order], words[order])], ends)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][runs[:-1]].astype(np.int32)), *columns], names=["bucket", "keys", "classes", "packed", "parity"])
+
+
+def _line_batches(batches: Iterator[pa.RecordBatch], level, buckets: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Each text's lines with their classes, and apart from them packets of postings: a class under each prefix word that may occur elsewhere.
 
     Words that occur once are the first of a prefix and left out; a class's words are
-    listed once a task. ``hot`` are those words that occur often enough for a long run.
+    listed once a task. A packet holds the postings of a bucket of words; those of words
+    that occur ``wide`` times or more are dealt by class, to buckets beyond the others.
     """
     level, seen = level.value, set()
-    many = 1 + int(np.log2(block) * 5)
+    many = 1 + int(np.log2(wide) * 5)
+    found: list[tuple[np.ndarray, ...]] = []
+    names = [x.split()[0] for x in _DOC.split(", ")]
+
+    def packets() -> pa.RecordBatch:
+        made = _packets(found)
+        found.clear()
+        return pa.RecordBatch.from_arrays([*(pa.nulls(made.num_rows, t) for t in (pa.int64(), pa.int64(), _LINES)), *made.columns], names=names)
+
     for batch in batches:
         for part in slices(batch, "text", _SLICE):
             text_of, line_no, start, token, lv = _tokens(as_bytes(part.column("text")), level)
@@ -233,17 +270,20 @@ def _line_batches(batches: Iterator[pa.RecordBatch], level, block: int) -> Itera
                     seen.add(c)
                     fresh[i] = True
             row = np.repeat(np.arange(len(cls)), size)
-            single = np.bincount(row[lv == 0], minlength=len(cls))
-            listed = fresh[row] & (np.arange(len(token)) - start[row] < _prefix(size)[row]) & (lv > 0)
-
-            def lists(which: np.ndarray, row: np.ndarray = row, token: np.ndarray = token, n: int = len(cls)) -> pa.ListArray:
-                at = np.flatnonzero(which)
-                return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(n + 1)).astype(np.int32)), pa.array(token[at].view(np.int64)))
-
-            columns = [pa.array(line_no.astype(np.int32)), pa.array(cls.view(np.int64)), pa.array(size.astype(np.int32)), _maps(flat, offset), pa.array(single.astype(np.int32))]
-            lines = pa.StructArray.from_arrays([*columns, lists(listed), lists(listed & (lv >= many))], names=["line", "class", "size", "parity", "single", "words", "hot"])
+            at = np.flatnonzero(fresh[row] & (np.arange(len(token)) - start[row] < _prefix(size)[row]) & (lv > 0))
+            if len(at):
+                of, key = row[at], token[at]
+                bucket = np.where(lv[at] < many, key % np.uint64(buckets), np.uint64(buckets) + cls[of] % np.uint64(buckets))
+                words = np.diff(offset)[of]
+                found.append((bucket, key, cls[of], (size[of] << 32) + (at - start[of] << 2), words, flat[_stretches(offset[of], words)]))
+            lines = pa.StructArray.from_arrays([pa.array(line_no.astype(np.int32)), pa.array(cls.view(np.int64))], names=["line", "class"])
             nested = pa.ListArray.from_arrays(pa.array(np.searchsorted(text_of, np.arange(part.num_rows + 1)).astype(np.int32)), lines)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), nested], names=["doc_id", "text_key", "lines"])
+            none = [pa.nulls(part.num_rows, t) for t in (pa.int32(), *[pa.binary()] * 4)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), nested.cast(_LINES), *none], names=names)
+            if sum(len(x[0]) for x in found) >= PACKED:
+                yield packets()
+    if found:
+        yield packets()
 
 
 def _needed(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -309,6 +349,11 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _sorted_runs(rows: pa.Table, names: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Rows by run and size, one row a class and run; also the places they had."""
     r = {n: rows.column(n).to_numpy() for n in ["key", *names]}
+    return _runs(r, rows.column("parity").combine_chunks())
+
+
+def _runs(r: dict[str, np.ndarray], parity: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """``_sorted_runs`` of columns sorted by ``key``."""
     r["size"], r["position"], r["half"] = r["packed"] >> 32, r["packed"] >> 2 & 0x3FFFFFFF, r["packed"] & 3
     runs = run_starts(r["key"])
     run = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
@@ -318,7 +363,7 @@ def _sorted_runs(rows: pa.Table, names: list[str]) -> tuple[dict[str, np.ndarray
     order = order[once]
     out = {k: v[order] for k, v in r.items()} | {"run": run[once].astype(np.int64)}
     out["size"] = out["size"].astype(np.int64)
-    out["parity"] = _Parity(rows.column("parity").combine_chunks(), order)
+    out["parity"] = _Parity(parity, order)
     return out, np.searchsorted(out["run"], np.arange(len(runs))), order
 
 
@@ -336,28 +381,72 @@ def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _staying(r: dict[str, np.ndarray], starts: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Rows that are in a surviving pair of a run of at most ``longest`` rows."""
+    stays = np.zeros(len(r["class"]), dtype=bool)
+    for i, j in _pairs(r, starts, longest=longest):
+        stays[i] = stays[j] = True
+    return stays
+
+
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of each run that are in a surviving pair."""
     for rows in _whole_runs(batches):
         r, starts, _ = _sorted_runs(rows, ["class", "packed"])
-        stays = np.zeros(len(r["class"]), dtype=bool)
-        for i, j in _pairs(r, starts):
-            stays[i] = stays[j] = True
+        stays = _staying(r, starts)
         yield pa.RecordBatch.from_arrays([pa.array(r[n][stays]) for n in ("key", "class", "packed")], names=["key", "class", "packed"])
 
 
-def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of intersections of pairs of sets."""
-    if not len(i):
-        return np.zeros(0, dtype=np.int64)
-    a = [sets[k] for k in i.tolist()]
-    b = [sets[k] for k in j.tolist()]
-    which = np.arange(len(a))
-    pair = np.concatenate([np.repeat(which, [len(x) for x in a]), np.repeat(which, [len(x) for x in b])])
-    token = np.concatenate([*a, *b])
-    order = np.lexsort((token, pair))
-    pair, token = pair[order], token[order]
-    return np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (token[1:] == token[:-1])], minlength=len(a))
+def _unpacked(packets: pa.Table, alone: bool) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """Postings of packets, sorted by word, and their parity maps; those that are ``alone`` under their word only if asked for."""
+    key, cls, packed, flat = (np.frombuffer(b"".join(packets.column(n).to_pylist()), dtype=np.int64) for n in ("keys", "classes", "packed", "parity"))
+    words = _map_words(packed >> 32)
+    start = np.cumsum(words) - words
+    order = np.argsort(key)
+    length = np.diff(run_starts(key[order]))
+    order = order[np.repeat(alone | (length > 1), length)]
+    maps = _maps(flat[_stretches(start[order], words[order])], np.append(0, np.cumsum(words[order])))
+    return {"key": key[order], "class": cls[order], "packed": packed[order]}, maps
+
+
+def _bucket_batches(batches: Iterator[pa.RecordBatch], buckets: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Rows of each run of a bucket that are in a surviving pair.
+
+    Of runs longer than ``block``, and of buckets from ``buckets`` on, all rows are told,
+    with their parity maps: their runs are still to be cut.
+    """
+    names = ["key", "class", "packed", "parity"]
+    for rows in _whole_runs(batches):
+        cuts = run_starts(rows.column("key").to_numpy())
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            wide = rows.column("key")[a].as_py() >= buckets
+            told, maps = _unpacked(rows.slice(a, b - a), wide)
+            if wide:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, told.values()), maps], names=names)
+            elif len(maps):
+                r, starts, order = _runs(told | {"packed": told["packed"] + 2}, maps)
+                stays, long = _staying(r, starts, block), np.repeat(np.diff(starts) > block, np.diff(starts))
+                yield pa.RecordBatch.from_arrays([*(pa.array(r[n][stays]) for n in names[:3]), pa.nulls(int(stays.sum()), pa.binary())], names=names)
+                if long.any():
+                    yield pa.RecordBatch.from_arrays([*(pa.array(told[n][order[long]]) for n in names[:3]), maps.take(pa.array(order[long]))], names=names)
+
+
+class _Sets:
+    """Sets of numbered words, whose overlaps are looked up in one sorted list of row and word."""
+
+    def __init__(self, word: np.ndarray, start: np.ndarray, size: np.ndarray, n_words: int):
+        self.word, self.start, self.size, self.n = word, start, size, n_words
+        self.known = np.sort(np.repeat(np.arange(len(size)), size) * n_words + word[_stretches(start, size)])
+
+    def overlaps(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Sizes of intersections of pairs of sets."""
+        size = self.size[i]
+        pair = np.repeat(np.arange(len(i)), size)
+        if not len(pair) or not len(self.known):
+            return np.zeros(len(i), dtype=np.int64)
+        wanted = j[pair] * self.n + self.word[_stretches(self.start[i], size)]
+        there = self.known[np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)] == wanted
+        return np.bincount(pair[there], minlength=len(i))
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,9 +454,10 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for rows in _whole_runs(batches):
         r, starts, order = _sorted_runs(rows, ["class", "packed", "rank_id", "rank_line"])
         words = rows.column("words").combine_chunks()
-        flat, offsets = words.values.to_numpy(), words.offsets.to_numpy()
-        sets = [flat[offsets[k] : offsets[k + 1]] for k in order.tolist()]
-        before = [x[:n] for x, n in zip(sets, r["position"].tolist(), strict=True)]  # words ahead of the run's own
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        distinct, word = np.unique(words.values.to_numpy(), return_inverse=True)
+        sets = _Sets(word, offsets[order], r["size"], len(distinct))
+        before = _Sets(word, offsets[order], r["position"], len(distinct))  # words ahead of the run's own
         n_links = np.zeros(len(order), dtype=np.int64)
         beaten = np.zeros(len(order), dtype=bool)
         rank = np.empty(len(order), dtype=np.int64)
@@ -375,9 +465,9 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for i, j in _pairs(r, starts):
             for at in range(0, len(i), 10_000):
                 x, y = i[at : at + 10_000], j[at : at + 10_000]
-                first = _overlaps(before, x, y) == 0
+                first = before.overlaps(x, y) == 0
                 x, y = x[first], y[first]
-                common = _overlaps(sets, x, y)
+                common = sets.overlaps(x, y)
                 linked = common >= THRESHOLD * (r["size"][x] + r["size"][y] - common) - 1e-9
                 x, y = x[linked], y[linked]
                 np.add.at(n_links, x, 1)
@@ -437,6 +527,15 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``texts`` that may be ``wanted``, by a map of ``N_SLOTS`` bits: all that are and a share of the others, as many as bits are set."""
+    slot = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(N_SLOTS))
+    page, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    pages = wanted.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return texts.join(F.broadcast(pages), page == F.col("page")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("page", "bits")
+
+
 def marked_lines(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(uid, doc_id, text_key, line, class, n_links, removed)``, one row for each line with a word.
 
@@ -450,32 +549,43 @@ def marked_lines(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
     one's lines are removed. Very long lines and texts are compared whole. Empty tables
     give empty results. Other columns are not read.
     """
-    return _marked(docs, block, id_col, text_col)[1]
+    _, each, told = _marked(docs, block, id_col, text_col)
+    return _with_classes(each, told).select("uid", "doc_id", "text_key", "line", "class", "n_links", "removed")
+
+
+def _with_classes(each: DataFrame, told: DataFrame) -> DataFrame:
+    """Lines with what is known of their class, and whether they are removed."""
+    first = (F.col("uid") == F.col("first_uid")) & (F.col("line") == F.col("first_line"))
+    return each.join(told, F.col("class") == F.col("c")).withColumn("removed", ~first | F.col("beaten"))
 
 
-def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All texts ``(uid, doc_id, text_key)`` and ``marked_lines``."""
+def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All texts ``(uid, doc_id, text_key, lines)``, their lines, and classes with their size, first line and links."""
     context = docs.sparkSession.sparkContext
     rows = _keyed(docs, id_col, text_col)
     level = context.broadcast(rarity(rows))
-    lines = written(rows.mapInArrow(partial(_line_batches, level=level, block=block), _DOC).withColumn("uid", F.monotonically_increasing_id()))
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = written(rows.mapInArrow(partial(_line_batches, level=level, buckets=buckets, wide=max(WIDE, block)), _DOC).withColumn("uid", F.monotonically_increasing_id()))
+    lines = made.where("bucket is null").select("uid", "doc_id", "text_key", "lines")
     each = lines.select("uid", "doc_id", "text_key", F.explode("lines").alias("x")).select("uid", "doc_id", "text_key", "x.line", "x.class")
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "line", "uid", "doc_id", "text_key")
 
-    listed = lines.select(F.explode("lines").alias("x")).where(F.size("x.words") > 0)
-    hot = _hot(listed.select(F.explode("x.hot").alias("key")), block)
-    packed = F.shiftleft(F.col("x.size").cast("long"), 32) + F.shiftleft(F.col("x.single"), 2)
-    postings = listed.select("x.class", "x.parity", packed.alias("packed"), F.posexplode("x.words").alias("place", "key")).select("key", "class", "parity", (F.col("packed") + F.shiftleft("place", 2)).alias("packed"))
-    parts = [written(_dealt(postings.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == i), hot).mapInArrow(_candidate_batches, "key long, class long, packed long")) for i in range(ROUNDS)]
+    packets = made.where("bucket is not null").select(F.col("bucket").alias("key"), "keys", "classes", "packed", "parity")
+    met = partial(_bucket_batches, buckets=buckets, block=block)
+    rounds = [written(packets.where(F.col("key") % ROUNDS == i).repartition("key").sortWithinPartitions("key").mapInArrow(met, "key long, class long, packed long, parity binary")) for i in range(ROUNDS)]
+    long = reduce(DataFrame.unionByName, rounds).where("parity is not null")
+    cut = written(_dealt(long, _hot(long.select("key"), block)).mapInArrow(_candidate_batches, "key long, class long, packed long"))
+    parts = [part.where("parity is null").drop("parity").unionByName(cut.where(F.pmod("key", F.lit(ROUNDS)) == i)) for i, part in enumerate(rounds)]
     found = reduce(DataFrame.unionByName, parts)
-    del listed, hot, postings
+    del packets, long
     forget(docs.sparkSession)
-    classes = written(each.groupBy("class").agg(F.min(rank).alias("first")).select("class", "first.*"))
+    classes = written(each.groupBy("class").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).select("class", "n", "first.*"))
 
     wanted = classes.join(found.select("class").distinct(), "class", "left_semi")
-    by_text = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("line", F.col("id").alias("rank_id"))).alias("wanted"))
-    texts = rows.join(by_text, _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key"))).dropDuplicates(["doc_id", "text_key"])
+    by_text = written(wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", F.col("id").alias("rank_id"))).alias("wanted")))
+    texts = _likely(rows, by_text).join(by_text.withColumnsRenamed({"doc_id": "w_id", "text_key": "w_key"}), _same("doc_id", "w_id") & (F.col("text_key") == F.col("w_key"))).dropDuplicates(["doc_id", "text_key"])
     sets = written(texts.select("text", "wanted").mapInArrow(partial(_set_batches, level=level), "rank_id long, rank_line long, class long, parity binary, words array<long>").withColumnRenamed("class", "c"))
+    discard(by_text)
     del found, wanted, by_text, texts
     forget(docs.sparkSession)
     verified = []
@@ -484,13 +594,11 @@ def _marked(docs: DataFrame, block: int, id_col: str, text_col: str) -> tuple[Da
         verified.append(written(met.mapInArrow(_verify_batches, "class long, n_links long, beaten boolean")))
         del met
         forget(docs.sparkSession)
-    discard(sets, *parts)
+    discard(sets, cut, *rounds)
     links = written(reduce(DataFrame.unionByName, verified).groupBy("class").agg(F.sum("n_links").alias("n_links"), F.max("beaten").alias("beaten")))
     discard(*verified)
-    told = classes.join(links, "class", "left").select(F.col("class").alias("c"), F.col("uid").alias("first_uid"), F.col("line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("beaten", F.lit(False)).alias("beaten"))
-    joined = each.join(told, F.col("class") == F.col("c"))
-    first = (F.col("uid") == F.col("first_uid")) & (F.col("line") == F.col("first_line"))
-    return lines.select("uid", "doc_id", "text_key"), joined.select("uid", "doc_id", "text_key", "line", "class", "n_links", (~first | F.col("beaten")).alias("removed"))
+    told = classes.join(links, "class", "left").select(F.col("class").alias("c"), "n", F.col("uid").alias("first_uid"), F.col("line").alias("first_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("beaten", F.lit(False)).alias("beaten"))
+    return lines, each, told
 
 
 def by_document(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -498,16 +606,16 @@ def by_document(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", tex
 
     ``kept`` lists line numbers; rows without lines have none and 0 in every count.
     """
-    texts, lines = _marked(docs, block, id_col, text_col)
-    counted = lines.groupBy(F.col("uid").alias("u")).agg(
-        F.count(F.lit(1)).alias("n_lines"),
+    texts, each, told = _marked(docs, block, id_col, text_col)
+    # Lines alone in their class and without links are kept and count for nothing.
+    counted = _with_classes(each.select("uid", "line", "class"), told.where("n > 1 or n_links > 0")).groupBy(F.col("uid").alias("u")).agg(
         F.count_if("removed").alias("n_removed"),
         F.sum("n_links").alias("n_links"),
-        F.array_sort(F.collect_list(F.when(~F.col("removed"), F.col("line")))).alias("kept"),
+        F.collect_list(F.when(F.col("removed"), F.col("line"))).alias("gone"),
     )
-    joined = texts.join(counted, F.col("uid") == F.col("u"), "left")
-    zero = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_lines", "n_removed", "n_links")]
-    return joined.select("doc_id", "text_key", *zero, F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    joined = texts.select("uid", "doc_id", "text_key", F.col("lines.line").alias("line")).join(counted, F.col("uid") == F.col("u"), "left")
+    counts = [F.size("line").cast("long").alias("n_lines"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("n_removed", "n_links"))]
+    return joined.select("doc_id", "text_key", *counts, F.array_except("line", F.coalesce("gone", F.array().cast("array<int>"))).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

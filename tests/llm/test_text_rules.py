@@ -1,7 +1,10 @@
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +295,39 @@ def test_chains_and_copies_equal_brute_force(spark, documents):
         assert sorted((repr(r.doc_id), r.line, r.n_links, r.removed) for r in got) == brute_lines(rows)
 
 
+def test_postings_travel_in_packets():
+    """A task's postings are one row for each bucket of words, not one row each; nothing is lost in them."""
+    texts = [f"w{i % 50} w{i % 60} w{i % 70} a{i} " + " ".join(f"x{(i + k) % 200}" for k in range(i % 100)) for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(range(500)), pa.array(texts)], names=["doc_id", "text_key", "text"])
+    (count,) = line_dedup._count_batches(iter([batch]))
+    total = np.zeros(line_dedup.N_CELLS, dtype=np.int32).reshape(-1, line_dedup.CHUNK)
+    for chunk, counts in zip(*(c.to_pylist() for c in count.columns), strict=True):
+        total[chunk] = np.frombuffer(counts, dtype=np.int32)
+    level = SimpleNamespace(value=np.where(total.ravel() > 1, np.minimum(255, 1 + np.floor(np.log2(np.maximum(total.ravel(), 1)) * 5)), 0).astype(np.uint8))
+    made = pa.Table.from_batches(line_dedup._line_batches(iter([batch]), level, buckets=8, wide=1 << 20))
+    packets = made.filter(pc.is_valid(made["bucket"]))
+    r, maps = line_dedup._unpacked(packets, True)
+    assert packets.num_rows <= 8 and made.num_rows - packets.num_rows == 500
+    want, owner = {}, {}
+    for t in texts:
+        start, token, lv = line_dedup._tokens([t.encode()], level.value)[2:]
+        cls, flat, offset = line_dedup._classes(start, token)
+        place = np.flatnonzero((np.arange(len(token)) < line_dedup._prefix(np.diff(start))[0]) & (lv > 0))
+        owner[int(cls.view(np.int64)[0])] = flat.tobytes()
+        want |= {(int(token.view(np.int64)[k]), int(cls.view(np.int64)[0])): (len(token) << 32) + (int(k) << 2) for k in place}
+    assert len(want) > 1000 and dict(zip(zip(r["key"].tolist(), r["class"].tolist(), strict=True), r["packed"].tolist(), strict=True)) == want
+    assert len(r["key"]) == len(want) and maps.to_pylist() == [owner[c] for c in r["class"].tolist()]
+
+
+def test_common_words_are_cut_before_they_are_gathered(spark, documents, monkeypatch):
+    """Words dealt by class, not by word, give the same links."""
+    rows = line_rows()
+    monkeypatch.setattr(line_dedup, "WIDE", 16)
+    for block in (16, 5):
+        got = line_dedup.marked_lines(documents(rows), block=block).collect()
+        assert sorted((repr(r.doc_id), r.line, r.n_links, r.removed) for r in got) == brute_lines(rows)
+
+
 def test_repeated_and_long_rows(spark, documents):
     rows = EDGE + [(50, "the very same text of a repeated row")] * 3
     got = line_dedup.by_document(documents(rows)).collect()
