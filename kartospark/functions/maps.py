@@ -19,3 +19,12 @@ def with_map_values(rows: DataFrame, values: DataFrame, across: str = "x", how:
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
     dealt = rows.withColumn("__part", F.pmod(F.col(across), F.lit(PARTS)).cast("int"))
     return dealt.join(values.withColumn("__part", parts), ["map_id", "__part"], how).drop("__part")
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that follow the number of pixels, always by sorted shuffles.
+
+    Pixels take few bytes on disk, and rows that are made of a row are not counted, so
+    Spark would take such tables for small ones and broadcast them through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)

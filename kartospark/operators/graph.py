@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from kartospark.functions.maps import meet
 from kartospark.sources.shared import checkpointed, written
 
 
@@ -46,8 +47,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return cur.selectExpr("u v", "v root").union(cur.selectExpr("v", "v root").distinct())
 
 
-#: Rows of pixels that are labelled together in a task.
-BAND = 64
+#: Rows of pixels that are labelled together in a task, and bands whose parts then are.
+BAND, BANDS = 64, 64
 
 
 def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -64,10 +65,27 @@ def _connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups of sorted rows. ``nth`` is 1 for a group's first; the last group of a batch may go on in the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = np.flatnonzero(batch.column("nth").to_numpy() == 1)
+        if len(cut):
+            done = [*held, batch.slice(0, int(cut[-1]))]
+            if sum(b.num_rows for b in done):
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+            held, batch = [], batch.slice(int(cut[-1]))
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _band_batches(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     """Runs of each band, those that abut as one, and the first run ``(ry, rx)`` of what each is part of within the band.
 
-    Rows come sorted by band, ``y`` and ``x0``; ``nth`` is 1 for a band's first. The last band of a batch may go on in the next one.
+    Rows come sorted by band, ``y`` and ``x0``.
     """
 
     def labelled(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -94,27 +112,37 @@ def _band_batches(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.
         columns = [rows.column("map_id").take(take), rows.column("y").take(take), rows.column("x0").take(take), rows.column("x1").take(pa.array(last)), pa.array(y[at][root]).cast(kind_y), pa.array(x0[at][root]).cast(kind_x)]
         return pa.RecordBatch.from_arrays(columns, names=["map_id", "y", "x0", "x1", "ry", "rx"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cut = np.flatnonzero(batch.column("nth").to_numpy() == 1)
-        if len(cut):
-            done = [*held, batch.slice(0, int(cut[-1]))]
-            if sum(b.num_rows for b in done):
-                yield labelled(pa.Table.from_batches(done).combine_chunks().to_batches()[0])
-            held, batch = [], batch.slice(int(cut[-1]))
-        held.append(batch)
-    if held:
-        yield labelled(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+    return map(labelled, _whole_groups(batches))
+
+
+def _star_batches(batches: Iterator[pa.RecordBatch], height: int) -> Iterator[pa.RecordBatch]:
+    """Parts ``(ay, ax)`` that touch ``(by, bx)`` in the band above, as links from each to the first that it is connected to within a group of bands, ``height`` rows. Links to another group, at the first row of one, stay and are ``far``.
+
+    Rows come sorted by group of bands.
+    """
+
+    def linked(rows: pa.RecordBatch) -> pa.RecordBatch:
+        nth, y, *ends = (rows.column(c).to_numpy().astype(np.int64) for c in ("nth", "y", "ay", "ax", "by", "bx"))
+        far = y % height == 0
+        near, far = np.flatnonzero(~far), np.flatnonzero(far)
+        group = np.cumsum(nth == 1)[near] - 1
+        parts, which = np.unique(np.concatenate([np.stack([group, ends[k][near], ends[k + 1][near]], axis=1) for k in (0, 2)]), axis=0, return_inverse=True)
+        root = _connected(len(parts), *which.reshape(2, -1))
+        moved = np.flatnonzero(root != np.arange(len(parts)))
+        take = pa.array(np.concatenate([np.flatnonzero(nth == 1)[parts[moved, 0]], far]))
+        links = [parts[moved, 1], parts[moved, 2], parts[root[moved], 1], parts[root[moved], 2]]
+        columns = [pa.array(np.concatenate([new, old[far]])).cast(rows.schema.field(n).type) for n, new, old in zip(("ay", "ax", "by", "bx"), links, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([rows.column("map_id").take(take), *columns, pa.array(np.arange(len(take)) >= len(moved))], names=["map_id", "ay", "ax", "by", "bx", "far"])
+
+    return map(linked, _whole_groups(batches))
 
 
 def run_components(pieces: DataFrame, diagonal: bool = True) -> DataFrame:
     """``(map_id, y, x0, x1, comp)``: runs of a mask given as pieces of rows ``(map_id, y, x0, x1)``, and the first pixel ``(y, x)`` of each one's component.
 
-    Bands of ``BAND`` rows are labelled in tasks; only parts that touch a neighbouring band
-    are a graph, whose components name them. So rounds and what they shuffle follow what
-    crosses bands.
+    Bands of ``BAND`` rows are labelled in tasks, then parts of ``BANDS`` bands that touch;
+    only links between groups of so many bands are a graph, whose components name them.
+    So what is shuffled follows what crosses bands, and rounds what crosses such groups.
     """
     reach = 1 if diagonal else 0
     kind = pieces.schema
@@ -122,10 +150,22 @@ def run_components(pieces: DataFrame, diagonal: bool = True) -> DataFrame:
     banded = banded.withColumn("nth", F.row_number().over(Window.partitionBy("map_id", "band").orderBy("y", "x0")))
     told = StructType([kind["map_id"], *[StructField(n, kind[c].dataType) for n, c in (("y", "y"), ("x0", "x0"), ("x1", "x1"), ("ry", "y"), ("rx", "x0"))]])
     r = written(banded.select("map_id", "y", "x0", "x1", "nth").mapInArrow(partial(_band_batches, reach=reach), told)).withColumn("id", F.struct("map_id", F.col("ry").alias("y"), F.col("rx").alias("x")))
-    above = r.where(F.pmod("y", F.lit(BAND)) == BAND - 1).select(F.col("map_id").alias("m"), (F.col("y") + 1).alias("yy"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("b"))
+    above = r.where(F.pmod("y", F.lit(BAND)) == BAND - 1).select(F.col("map_id").alias("m"), (F.col("y") + 1).alias("yy"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("ry").alias("by"), F.col("rx").alias("bx"))
     touch = (F.col("map_id") == F.col("m")) & (F.col("y") == F.col("yy")) & (F.col("x0") <= F.col("a1") + reach) & (F.col("a0") <= F.col("x1") + reach)
-    roots = connected_components(r.where(F.pmod("y", F.lit(BAND)) == 0).join(above, touch).select(F.col("id").alias("a"), "b"))
-    named = r.join(roots, F.col("id") == F.col("v"), "left").withColumn("root", F.coalesce("root", "id"))
+    pairs = r.where(F.pmod("y", F.lit(BAND)) == 0).join(above, touch).select("map_id", "y", F.col("ry").alias("ay"), F.col("rx").alias("ax"), "by", "bx")
+    pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("map_id", F.floor(F.col("y") / (BAND * BANDS))).orderBy("y")))
+    ends = [StructField(n, kind[c].dataType) for n, c in (("ay", "y"), ("ax", "x0"), ("by", "y"), ("bx", "x0"))]
+    links = written(pairs.mapInArrow(partial(_star_batches, height=BAND * BANDS), StructType([kind["map_id"], *ends, StructField("far", BooleanType())])))
+    a, b = (F.struct("map_id", F.col(f"{end}y").alias("y"), F.col(f"{end}x").alias("x")) for end in "ab")
+    near, far = (links.where(c).select(a.alias("a"), b.alias("b")) for c in ("not far", "far"))
+    if far.isEmpty():
+        roots = near.selectExpr("a id", "b root").union(connected_components(far).toDF("id", "root"))
+    else:
+        first = [near.toDF(end, f"{end}_root") for end in "ab"]
+        met = meet(meet(far, first[0], ["a"], "left"), first[1], ["b"], "left")
+        met = connected_components(met.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))).toDF("b", "root")
+        roots = meet(near, met, ["b"], "left").select(F.col("a").alias("id"), F.coalesce("root", "b").alias("root")).union(met)
+    named = meet(r, roots, ["id"], "left").withColumn("root", F.coalesce("root", "id"))
     return named.select("map_id", "y", "x0", "x1", F.struct(F.col("root.y").alias("y"), F.col("root.x").alias("x")).alias("comp"))
 
 
@@ -160,5 +200,5 @@ def fill_holes(plane: DataFrame) -> DataFrame:
     edge = plane.groupBy(F.col("map_id").alias("em")).agg(F.max("y").alias("ey"), F.max("x").alias("ex"))
     outer = off.join(edge, F.col("map_id") == F.col("em"))
     outer = outer.where((F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("ey")) | (F.col("x") == F.col("ex"))).select("map_id", "comp").distinct()
-    holes = off.join(outer, ["map_id", "comp"], "left_anti").select("map_id", "y", "x", F.lit(True).alias("hole"))
-    return plane.join(holes, ["map_id", "y", "x"], "left").select("map_id", "y", "x", (F.col("on") | F.col("hole").isNotNull()).alias("on"))
+    holes = meet(off, outer, ["map_id", "comp"], "left_anti").select("map_id", "y", "x", F.lit(True).alias("hole"))
+    return meet(plane, holes, ["map_id", "y", "x"], "left").select("map_id", "y", "x", (F.col("on") | F.col("hole").isNotNull()).alias("on"))

@@ -1,5 +1,6 @@
 """Queries on tables whose keys or groups are larger than those of the small copies."""
 
+import re
 import time
 
 import pytest
@@ -138,3 +139,51 @@ def test_components_equal_brute_force_and_only_what_crosses_bands_is_a_graph(spa
         assert {(r.y, r.x): (r.comp.y, r.comp.x) for r in own} == _brute_components([(r.y, r.x) for r in own], diagonal)
     assert len(got) == mask.count()
     assert edges[0] < 200 * 2
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 5, 8, 9])
+def test_openings_equal_brute_force(spark, k):
+    """Even sizes too, whose elements are not symmetric; pixels beyond the border do not count."""
+    rows = spark.range(2 * 24 * 20).selectExpr("id % 2 map_id", "int(id div 40) y", "int(id div 2 % 20) x").selectExpr("*", "abs(hash(map_id, y, x)) % 100 < 85 + 10 * map_id on")
+    got = {(r.map_id, r.y, r.x) for r in stencil.opened_by(rows, "on", k, "out").where("out").collect()}
+    own, element = {(r.map_id, r.y, r.x) for r in rows.where("on").collect()}, stencil.ellipse(k)
+    plane = {(m, y, x) for m in range(2) for y in range(24) for x in range(20)}
+    left = {(m, y, x) for m, y, x in own if all((m, y + a, x + b) in own or (m, y + a, x + b) not in plane for a, b in element)}
+    assert got == {(m, y + a, x + b) for m, y, x in left for a, b in element} & plane and got
+
+
+def test_pixels_are_not_broadcast(spark, monkeypatch):
+    """Pixels are small on disk: by the sizes of files, they and what is spread of them would go through the driver. Only elements by size and sizes of maps do."""
+    plans, written = [], areas.written
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    plane = spark.range(2 * 40 * 40).selectExpr("id % 2 map_id", "int(id div 80) y", "int(id div 2 % 40) x")
+    plane = written(plane.selectExpr("*", "abs(hash(map_id, y, x)) % 11 label", "abs(hash(x, y)) % 3 = 0 purple"))
+    for module in (areas, graph):
+        monkeypatch.setattr(module, "written", lambda df: written(plan(df)))
+    plan(areas.outside_map(areas.hatched(plane, 2.0), 1.0))
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert len(plans) > 10 and [line for line in joins if not re.search(r"\[(k|em)#", line)] == []
+
+
+@pytest.mark.parametrize("bands", [1, 2])
+def test_components_equal_brute_force_across_groups_of_bands(spark, monkeypatch, bands):
+    """Links within groups of bands are settled in tasks, those between groups as a graph."""
+    monkeypatch.setattr(graph, "BANDS", bands)
+    mask = spark.range(330 * 24).selectExpr("0 map_id", "int(id div 24) - 10 y", "int(id % 24) x").where("abs(hash(y, x)) % 100 < 45")
+    got = {(r.y, r.x): (r.comp.y, r.comp.x) for r in graph.mask_components(mask).collect()}
+    assert got == _brute_components(got, True)
+
+
+@pytest.mark.parametrize(("bands", "links"), [(64, 0), (5, 5)])
+def test_only_links_between_groups_of_bands_are_a_graph(spark, monkeypatch, bands, links):
+    """A snake through ten bands of a map, up and down."""
+    monkeypatch.setattr(graph, "BANDS", bands)
+    edges, connected = [], graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda e: (edges.extend(e.collect()), connected(e))[1])
+    snake = spark.range(640 * 9).selectExpr("0 map_id", "int(id div 9) y", "int(id % 9) x").where("x % 2 = 0 or x % 4 = 1 and y = 639 or x % 4 = 3 and y = 0")
+    assert {tuple(r.comp) for r in graph.mask_components(snake).collect()} == {(0, 0)}
+    assert len(edges) == links
